@@ -1,0 +1,351 @@
+"""Each operator against its brute-force version: on the small tables and on awkward rows."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import types as T
+
+from quarry.llm import exact, fingerprint, jaccard, langid, lines, mixing, packing, queries, substring, tokenfile, tokens, toxicity
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()), T.StructField("score", T.StringType()), T.StructField("n", T.StringType())])
+LONG = " ".join(f"w{i}" for i in range(40_000))
+PASSAGE = "This first sentence of the passage has quite some words in it. Then another sentence of the passage comes with even more words than before. At last a third one closes the passage with words that nothing else in these rows has."
+ODD = [
+    (1, None, None, None),
+    (2, "", "en", "a"),
+    (3, LONG, "en", "a"),
+    (4, LONG + " x", None, "b"),
+    (5, "the same words here again and again, all the same", "en", "b"),
+    (6, "the same words here again and again, all the same", "en", "b"),
+    (6, "the same words here again and again, all the same", "en", "b"),
+    (7, " \n\t ", "en", None),
+    (8, "a line that is long enough\nA LINE that is long enough\t\n\nx", "fr", "c"),
+    (9, "A line that is long enough", "fr", "c"),
+    (10, "y\na line that is long enough\r\nz", "fr", "c"),
+    (11, "ä ö ü ß ​ é̈", "de", "ü"),
+    (12, "one\x1ctwo 🙂🙂🙂 three  four\n\nfive <|endoftext|>", "es", "Z"),
+    (None, "no id here but words all the same", "en", "a"),
+    (13, f"some text before it {PASSAGE} and something quite different after", "en", "a"),
+    (14, f"Other words come here. And more of them stand there. {PASSAGE} Nothing follows", "en", "a"),
+    (15, "123 456 .,!", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 0, "k", "s", "n") for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def pairs(table):
+    return [(r[0], r[1]) for r in table]
+
+
+def key(r):
+    return tuple((x is not None, x) for x in r)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.collect()), key=key)
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_lines(spark, docs, rows, odd, which):
+    table, held = (docs, rows) if which == "small" else (odd, pairs(ODD))
+    got = lines.LineIndex.build(table, shards=5, distinct_ids=which == "small").dedup(table)
+    from pyspark.sql import functions as F
+
+    assert result(got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))) == sorted(brute.line_dedup(held), key=key)
+
+
+def test_lines_can_be_taken_back(spark, docs):
+    part, rest = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
+    whole = lines.LineIndex.build(docs, shards=4)
+    both = lines.LineIndex.build(rest, shards=4).insert(part)
+    assert result(both.counts.select("key", "refs", "last_doc")) == result(whole.counts.select("key", "refs", "last_doc"))
+    back = both.delete(part, rest)
+    assert result(back.counts.select("key", "refs", "last_doc")) == result(lines.LineIndex.build(rest, shards=4).counts.select("key", "refs", "last_doc"))
+    assert result(back.dedup(rest)) == result(lines.LineIndex.build(rest, shards=4).dedup(rest))
+
+
+def test_cuckoo_filter():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    f = lines.CuckooFilter.of(keys)
+    assert f.contains(keys).all()
+    f.delete(keys[:2500])
+    assert f.contains(keys[2500:]).all()
+    assert f.contains(keys[:2500]).mean() < 0.01
+    assert (lines.CuckooFilter.loads(f.dumps()).table == f.table).all()
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_exact(spark, docs, rows, odd, which):
+    table, held = (docs, rows) if which == "small" else (odd, pairs(ODD))
+    by = defaultdict(list)
+    for d, t in held:
+        by[t or ""].append(d)
+    want = []
+    for t, ids in by.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        left = True
+        for i in ids:
+            want.append((i, keep, len(ids), left and i == keep, brute.sha(t)))
+            left = left and i != keep
+    assert result(exact.exact_dedup(table, capacity=20, max_depth=6)) == sorted(want, key=key)
+    assert sorted(map(key, ((r.doc_id,) for r in exact.drop_exact(table).collect()))) == sorted(key((w[0],)) for w in want if w[3])
+
+
+def test_exact_index_chains_and_splits(spark, docs, rows):
+    """Keys that collide are chained and told apart by their bytes; no bucket below the last depth is overfull."""
+    from pyspark.sql import functions as F
+
+    got = exact.build_index(docs, capacity=8, max_depth=8, key=lambda c: F.xxhash64(F.length(c)))
+    held = got.collect()
+    assert len(held) == len({t for _, t in rows})
+    assert max(r.chain for r in held) > 1
+    per = Counter((r.bucket, r.depth) for r in exact.build_index(docs, capacity=8, max_depth=12).collect())
+    assert max(per.values()) <= 8 and len({d for _, d in per}) > 1
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_jaccard(docs, rows, odd, which, n, percent):
+    table, held = (docs, rows) if which == "small" else (odd, pairs(ODD))
+    want = brute.groups([(d, t) for d, t in held if d is not None], n, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.shingle_groups(table, n, percent).collect() if r.doc_id is not None}
+    assert got == want
+
+
+def test_jaccard_pods_in_blocks(spark):
+    """A pod of many near copies, cut into blocks of few elements, gives the same components as brute force."""
+    rng = np.random.default_rng(3)
+    base = [f"v{i}" for i in range(60)]
+    held = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 7))):
+            w[int(rng.integers(60))] = f"x{rng.integers(1000)}"
+        held.append((d, " ".join(w[: int(rng.integers(50, 61))])))
+    sets = {d: np.unique(np.array([hash(x) & 0x7FFFFFFFFFFFFFFF for x in brute.shingle_set(t, 4)], np.uint64)) for d, t in held}
+    edges = spark.createDataFrame([(0, d) for d in range(1, 120)], "a long, b long")
+    sizes = spark.createDataFrame([(d, len(s)) for d, s in sets.items()], "id long, n long")
+    made = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in sets.items()], "id long, tokens binary")
+    got = {r.id: r.component for r in jaccard.link_sets(edges, sizes, lambda ids: made.join(ids, "id"), 85, block=500).collect()}
+    want = {d: c for d, (_, c) in brute.groups(held, 4, 85).items()}
+    assert {d: got.get(d, d) for d in want} == want
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_mixing(docs, odd, which):
+    table = docs if which == "small" else odd
+    held = [(r.doc_id, r.text, r.source) for r in table.collect()]
+    sizes = defaultdict(int)
+    for _, t, s in held:
+        sizes[s] += len(brute.WORD.findall(t or ""))
+    want = brute.mix_targets(dict(sizes))
+    got = mixing.mix(table, block=200).collect()
+    assert len(got) == len(held)
+    assert sorted(key((r.doc_id, r["size"])) for r in got) == sorted(key((d, len(brute.WORD.findall(t or "")))) for d, t, _ in held)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        assert 0 <= r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
+        taken[r.source] += r.taken
+    if which == "small":
+        for s, t in want.items():
+            assert abs(taken[s] - t) <= 0.02 * t
+    again = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(table.repartition(5), block=200).collect()}
+    if which == "small":
+        assert again == {(r.doc_id, r["size"]): r.taken for r in got}
+
+
+def test_flight_keeps_constraints():
+    rng = np.random.default_rng(2)
+    p, size = rng.random(500), rng.integers(1, 1000, 500).astype(float)
+    q = mixing.flight(p, np.vstack([np.ones(500), size]), 5)
+    assert ((q > 0) & (q < 1)).sum() <= 2
+    assert q.sum() == pytest.approx(p.sum(), abs=1e-3) and q @ size == pytest.approx(p @ size, rel=1e-6)
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder(rows, name, spaced):
+    e = tokens.Encoder(queries.tokenizer(name), spaced)
+    texts = [t for _, t in rows][:300] + [t for t in pairs(ODD)[1] if isinstance(t, str)] + ["", "\n", "a\n", " a", "a ", "a  b", "don't 's", "x\n y", "t\tq", "\nfoo", "a|b | c", "..., !!", "Σας ΟΔΟΣ", "é̈. É."]
+    for t, got in zip(texts, e.encode(texts), strict=True):
+        assert got.tolist() == e.model.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_token_files(spark, tmp_path, docs, rows, odd, which):
+    from tokenizers import Tokenizer
+
+    table, held = (docs, rows) if which == "small" else (odd, pairs(ODD))
+    model = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    want, at = [], 0
+    for d, t in sorted(held, key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), brute.crc(ids)))
+        at += len(ids)
+    shards = tokenfile.write_tokens(table, f"file://{tmp_path}/t", queries.tokenizer("byte_bpe_50k.json"), seq_len=128, shards=3)
+    assert sorted(map(tuple, tokenfile.read_index(spark, f"file://{tmp_path}/t", shards).collect()), key=lambda r: r[1]) == want
+    s = tokenfile.TokenShard(f"file://{tmp_path}/t", shards[-1][0])
+    k = shards[-1][1] - 1
+    assert s.document(k).tolist() == [*model.encode(want[-1][0] is not None and dict(held)[want[-1][0]] or "", add_special_tokens=False).ids, 2]
+    total = shards[-1][2]
+    last = (total - 1) // 128
+    assert s.mask(last).to_pylist() == [True] * (total - last * 128) + [False] * (128 - total + last * 128)
+    assert not s.sequence(0).flags.owndata
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_packing(docs, rows, odd, which):
+    from tokenizers import Tokenizer
+
+    table, held = (docs, rows) if which == "small" else (odd, pairs(ODD))
+    model = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    model.encode_special_tokens = True
+    want = defaultdict(list)
+    for d, t in held:
+        want[d].append([*model.encode(t or "", add_special_tokens=False).ids, 2])
+    got = packing.pack_documents(table, queries.tokenizer("word_bpe_49k.json"), unit=300_000).collect()
+    by, seqs = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for d, kept in want.items():
+        ids = kept[0]
+        assert sum(r.length for r in by[d]) == sum(map(len, kept))
+        for r in by[d]:
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == brute.crc(ids[r.start : r.start + r.length])
+        if len(kept) == 1:
+            at = 0
+            for r in sorted(by[d], key=lambda r: r.start):
+                assert r.start == at
+                at += r.length
+    used = room = 0
+    for pieces in seqs.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 4096
+        used += at
+        room += at if at & (at - 1) == 0 else 4096
+    assert used / room > 0.98
+
+
+def test_nnls():
+    rng = np.random.default_rng(4)
+    a = rng.random((20, 8))
+    x = np.maximum(0, rng.normal(size=8))
+    assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-6)
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_fingerprints(docs, rows, odd, which):
+    table, held = (docs, rows) if which == "small" else (odd, [r for k, r in enumerate(pairs(ODD)) if k != 6])
+    want = brute.edited(held)
+    got = fingerprint.fingerprints(table if which == "small" else table.dropDuplicates(["doc_id"])).collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
+    prints = defaultdict(set)
+    text = dict(held)
+    for r in got:
+        prints[text[r.doc_id]].add(r.fingerprint)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert all(len(p) == 1 for p in prints.values())
+    if which == "small":
+        assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.4
+
+
+def test_entropy_bins():
+    data = np.random.default_rng(6).integers(97, 110, 300).astype(np.uint8)
+    got = fingerprint.entropy_bins(data)
+    for k in range(0, len(got), 17):
+        c = np.bincount(data[k : k + fingerprint.WINDOW])
+        s = sum(int(fingerprint._G[x]) for x in c)
+        assert got[k] == (fingerprint._TOP - s) * (fingerprint.BINS - 1) // fingerprint._TOP
+
+
+def test_toxicity(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r.score for r in toxicity.score_ids(docs, toxicity.train(docs, labels)).collect()}
+    held = [(got[r.doc_id], r.toxic) for r in labels.where("toxic is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert auc > 0.85  # a handful of held-out positives at this size
+
+
+def test_language(docs):
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    held = [(got[r.doc_id].lang_pred, r.lang) for r in docs.where("lang is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_language_mixture(docs):
+    """Half of one language and half of another: both are chosen, with near equal shares."""
+    import pyarrow as pa
+
+    model = langid.train(docs)
+    by = {lang: " ".join(r.text for r in docs.where(f"lang = '{lang}' and n_chars > 2000").limit(2).collect())[:3000] for lang in ("en", "de")}
+    p = model.shares(pa.array([by["en"] + by["de"], by["en"]]))
+    assert 0.3 < p[0][model.names.index("en")] < 0.7 and 0.3 < p[0][model.names.index("de")] < 0.7
+    assert p[1][model.names.index("en")] > 0.9
+
+
+def test_passages(odd, docs, rows):
+    got = substring.duplicate_passages(odd).collect()
+    assert {13, 14} <= {r.doc_id for r in got}
+    assert {r.doc_id for r in got if r.removed and r.keep_doc_id == 13} == {14}
+    # All documents that share an exact run of 60 words must be found, and none that shares no run of 8.
+    def runs(t, n):
+        w = brute.WORD.findall(t or "")
+        return {hash(tuple(w[i : i + n])) for i in range(len(w) - n + 1)}
+
+    long, short = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        for h in runs(t, 60):
+            long[h].add(d)
+        for h in runs(t, 6):
+            short[h].add(d)
+    must = set().union(*(s for s in long.values() if len(s) > 1))
+    may = set().union(*(s for s in short.values() if len(s) > 1))
+    found = {r.doc_id for r in substring.duplicate_passages(docs).collect()}
+    assert len(must - found) <= 0.02 * len(must) and found <= may
+
+
+def test_odd_and_empty_tables(spark, odd, empty):
+    """Nothing crashes, and each row has its result."""
+    labels = spark.createDataFrame([(5, 1), (8, 0), (9, None), (10, 0), (6, 1), (12, 1), (11, 0)], "doc_id long, toxic int")
+    n = len(ODD)
+    for table, m in ((odd, n), (empty, 0)):
+        assert toxicity.score_ids(table, toxicity.train(table, labels)).count() == m
+        assert toxicity.score(table, toxicity.train(table, labels)).count() == m
+        got = langid.predict(table, langid.train(table)).collect()
+        assert len(got) == m
+        assert {r.lang_pred for r in got if r.doc_id in (1, 2, 7, 15)} <= {"und"}
+        assert fingerprint.fingerprints(table).count() == m
+        assert mixing.mix(table).count() == m
+        assert exact.exact_dedup(table).count() == m
+        assert jaccard.shingle_groups(table).count() == m
+        assert lines.LineIndex.build(table).dedup(table).count() == m
+    assert substring.duplicate_passages(empty).count() == 0
+    assert packing.pack_documents(empty, queries.tokenizer("word_bpe_49k.json")).count() == 0
