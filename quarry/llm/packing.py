@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.tokens import Encoder
+from quarry.llm.tokens import encoder
 
 CLASSES = 64
 
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder(tokenizer, False), TaskContext.get().partitionId() << 36
+        encode, base = encoder(tokenizer, False).encode, TaskContext.get().partitionId() << 36
         names, tokens, count = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for k in range(0, len(ids), 256):
-                for d, x in zip(ids[k : k + 256], encoder.encode(texts[k : k + 256]), strict=True):
+                for d, x in zip(ids[k : k + 256], encode(texts[k : k + 256]), strict=True):
                     names.append(d)
                     tokens.append(np.append(x, np.uint32(end_id)).astype("<u4"))
                     count += len(x) + 1

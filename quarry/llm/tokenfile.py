@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.files import opened, place
-from quarry.llm.tokens import Encoder
+from quarry.llm.tokens import encoder
 
 #: Sequences in a batch.
 BATCH = 256
@@ -46,8 +46,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, spaced: bool = True,
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer, spaced), TaskContext.get().partitionId()
-        kind = _ids_type(encoder.model.get_vocab_size())
+        made, shard = encoder(tokenizer, spaced), TaskContext.get().partitionId()
+        encode, kind = made.encode, _ids_type(made.model.get_vocab_size())
         schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))], metadata={"end_id": str(end_id)})
         ids, sizes, full = [], [], BATCH * seq_len
 
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, spaced: bool = True,
                     texts = b.column("text").to_pylist()
                     ids.append(b.column("doc_id"))
                     for k in range(0, len(texts), 256):
-                        for x in encoder.encode(texts[k : k + 256]):
+                        for x in encode(texts[k : k + 256]):
                             sizes.append(len(x) + 1)
                             held += [x.astype(kind), np.array([end_id], kind)]
                             count += len(x) + 1

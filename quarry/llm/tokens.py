@@ -8,11 +8,12 @@ chunk table is emptied when it reaches ``CHUNKS`` entries, which bounds memory a
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 
-CHUNKS = 1_000_000
+CHUNKS = 1_500_000
 
 
 def _ramp(size: np.ndarray) -> np.ndarray:
@@ -153,3 +154,9 @@ class Encoder:
         for k, a, b in zip(at, edges[:-1], edges[1:], strict=True):
             out[k] = ids[a:b]
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One encoder a Python worker: what a task has learned serves the next one."""
+    return Encoder(path, spaced)
