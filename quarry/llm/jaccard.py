@@ -1,7 +1,6 @@
 """Exact similarity self-join of sets by signature trees, in pods.
 
-``link_sets`` is the join proper. It gets candidate edges (which pairs may reach the threshold) that are complete
-up to connection: two sets that link are connected by candidate edges. The components of these are the pods. A
+``link_sets`` is the join proper. It gets pods: groups of sets such that two sets that link share a pod. A
 pod's sets go to one task, or, where they are more than ``block`` elements, to a task for each pair of
 blocks of the pod, ordered by size, whose size ranges allow a link. A task builds a tree: leaves hold a few
 sets, nodes the OR of their token bitmaps and the range of their sizes. A dual traversal prunes
@@ -12,8 +11,12 @@ listing all pairs of a group.
 ``shingle_groups`` builds it for word shingles of documents. Documents with the same set form a class first. Candidates
 come from prefixes: of all tokens in one order, two sets with 100 * i >= t * u share one among the first
 n - ceil(t n / 100) + 1 of each. The order puts tokens in crowded cells of a count sketch over all
-documents last, so a passage that many documents share is no meeting point for them. The classes of a
-token, by size, are linked to their neighbours only, as far as the sizes allow a link.
+documents last, so a passage that very many documents share is no meeting point for them. A pair of sets needs
+an overlap of o = ceil(t (n + m) / (100 + t)); every token of one prefix that the other lacks counts
+against it, so the prefixes must have o - max(ceil(t n / 100), ceil(t m / 100)) + 1 tokens in common. Tokens
+with at most ``FEW`` holders count the pairs for that test. The holders of any other token,
+by size, are linked to their neighbours only, as far as the sizes allow a link; that connects
+whatever may link without pairs. The components of these candidate edges are the pods.
 
 Cases: null or empty text and text without words has the empty set and links with nothing; null doc_ids keep their row
 with a null component and link with nothing; rows that repeat a doc_id get the same component; an empty table
@@ -25,17 +28,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, path_of, remove, stored
-from quarry.llm.text import buffers, shingle_sets
+from quarry.llm.common import components, stored
+from quarry.llm.text import buffers, mix, shingle_sets
 
 CELLS = 1 << 20
 LEAF = 8
+#: A token with at most so many holders counts their pairs.
+FEW = 16
+PAIRS = [np.triu_indices(m, 1) for m in range(FEW + 1)]
 
 
 class Union:
@@ -118,7 +123,7 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
                 compare(i, j)
         return links
     most = max(len(sets[i]) for i in [*left, *(right or [])])
-    words = max(16, min(1024, (1 << (4 * most - 1).bit_length()) // 64))
+    words = max(64, min(1024, (1 << (4 * most - 1).bit_length()) // 64))
     a = tree(sets, left, words)
     b = a if right is None else tree(sets, right, words)
     stack = [(a, b)]
@@ -153,41 +158,75 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
     return links
 
 
-def link_sets(edges: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 1_000_000) -> DataFrame:
+def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (pod, i, j, block, id, tokens) with equal (pod, i, j) in a row: links (a, b)."""
+
+    def links(i: int, j: int, block: np.ndarray, ids: np.ndarray, tokens: pa.Array) -> list[tuple[int, int]]:
+        _, keep = np.unique(ids, return_index=True)
+        sets = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in keep.tolist()]
+        u, own = Union(len(sets)), block[keep]
+        if i == j:
+            found = traverse(sets, list(range(len(sets))), None, percent, u)
+        else:
+            left, right = np.flatnonzero(own == i).tolist(), np.flatnonzero(own == j).tolist()
+            # Links within a block only serve to prune here; their own task reports them.
+            traverse(sets, left, None, percent, u)
+            traverse(sets, right, None, percent, u)
+            found = traverse(sets, left, right, percent, u) if left and right else []
+        names = ids[keep]
+        return [(int(names[x]), int(names[y])) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def done() -> list[tuple[int, int]]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            return links(now[1], now[2], t["block"].to_numpy(), t["id"].to_numpy(), t["tokens"].chunk(0)) if t.num_rows > 1 else []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = [b.column(c).to_numpy() for c in ("pod", "i", "j")]
+            edge = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
+            out: list[tuple[int, int]] = []
+            for x, y in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+                key = (k[0][x], k[1][x], k[2][x])
+                if held and key != now:
+                    out += done()
+                    held = []
+                now = key
+                held.append(b.slice(x, y - x))
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        if held and (out := done()):
+            pairs = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 2_000_000) -> DataFrame:
     """Components (id, component) of the sets that link; sets without a link don't appear.
 
-    edges: candidates (a, b). sizes: (id, n), the sets' sizes. fetch: from ids (a DataFrame with id) to
-    (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes.
+    pods: (pod, id, n), n the size of the set; an id may be in several. fetch: from ids (a DataFrame with
+    distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes.
     """
-    pods = components(edges).withColumnRenamed("component", "pod")
     by = Window.partitionBy("pod").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = pods.join(sizes, "id").withColumn("block", F.floor(F.coalesce(F.sum("n").over(by), F.lit(0)) / block).cast("int"))
-    laid = stored(laid, "pods")
+    laid = stored(pods.withColumn("block", F.floor(F.coalesce(F.sum("n").over(by), F.lit(0)) / block).cast("int")), "pods")
     blocks = laid.groupBy("pod", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = blocks.select("pod", F.col("block").alias("i"), F.col("high").alias("top")), blocks.select("pod", F.col("block").alias("j"), "low")
-    meet = x.join(y, "pod").where((F.col("i") <= F.col("j")) & (F.col("top") * 100 >= F.col("low") * percent)).select("pod", "i", "j")
+    # A pod in one block has the one task (0, 0); only the others meet block by block.
+    large = laid.where("block > 0").select("pod").distinct()
+    meet = x.join(large, "pod", "left_semi").join(y, "pod").where((F.col("i") <= F.col("j")) & (F.col("top") * 100 >= F.col("low") * percent)).select("pod", "i", "j")
     parts = meet.select("pod", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    sets = fetch(laid.select("id"))
-    rows = sets.join(laid, "id").join(parts, ["pod", "block"]).select("pod", "i", "j", "block", "id", "tokens")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").drop_duplicates("id")
-        ids = pdf["id"].to_numpy()
-        held = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-        u = Union(len(held))
-        at = pdf["block"].to_numpy()
-        left = np.flatnonzero(at == key[1]).tolist()
-        links = traverse(held, left, None, percent, u) if key[1] == key[2] else []
-        if key[1] != key[2]:
-            right = np.flatnonzero(at == key[2]).tolist()
-            # Links within a block only serve to prune here; their own task reports them.
-            traverse(held, left, None, percent, u)
-            traverse(held, right, None, percent, u)
-            links = traverse(held, left, right, percent, u)
-        return pd.DataFrame({"a": ids[[i for i, _ in links]], "b": ids[[j for _, j in links]]}, dtype="int64")
-
-    found = stored(rows.groupBy("pod", "i", "j").applyInPandas(run, "a long, b long"), "links")
-    return components(found)
+    more = laid.join(parts, ["pod", "block"]).select("pod", "i", "j", "block", "id")
+    single = laid.join(large, "pod", "left_anti").select("pod", F.lit(0).alias("i"), F.lit(0).alias("j"), "block", "id")
+    sets = fetch(laid.select("id").distinct())
+    rows = single.union(more).join(sets, "id").select("pod", "i", "j", "block", "id", "tokens")
+    rows = rows.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j")
+    return components(rows.mapInArrow(_tasks(percent), "a long, b long"))
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -222,31 +261,105 @@ def prefix(tokens: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
     return tokens[np.argpartition(rank, k - 1)[:k]]
 
 
-def _neighbours(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (token, n, id) in that order: edges between successive ids of a token whose sizes allow a link."""
+def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """From rows (token, n, id) in that order: parts (token, n, id, first) without repeated rows; a part ends with a run
+    or, for a run over FEW * 64 rows, anywhere, its last row then beginning the next part.
+
+    first marks the rows that begin a run: another token, or sizes that no longer allow a link.
+    """
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column(k).to_numpy() for k in ("token", "n", "id")]
+        if held is not None:
+            now = [np.append(x, y) for x, y in zip(held, now, strict=True)]
+        t, n, i = now
+        new = np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))
+        t, n, i = t[new], n[new], i[new]
+        first = np.append(True, (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:]))
+        end = int(np.flatnonzero(first)[-1])
+        if len(t) - end > FEW * 64:
+            yield t, n, i, first
+            end = len(t) - 1
+        elif end:
+            yield t[:end], n[:end], i[:end], first[:end]
+        held = [t[end:], n[end:], i[end:]]
+    if held is not None and len(held[0]):
+        yield *held, np.append(True, np.zeros(len(held[0]) - 1, bool))
+
+
+def token_pods(rows: DataFrame, percent: int) -> DataFrame:
+    """Pods (pod, id, n) from rows (token, n, id): the holders of each token, split where sizes no longer allow a link.
+
+    Runs that are cut because of their length overlap in one row only, so they get one pod.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t, n, i = (b.column(k).to_numpy() for k in ("token", "n", "id"))
-            if last is not None:
-                t, n, i = (np.append(x, y) for x, y in zip(last, (t, n, i), strict=True))
-            last = (t[-1:], n[-1:], i[-1:])
-            ok = (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (i[1:] != i[:-1])
-            a, c = np.minimum(i[1:], i[:-1])[ok], np.maximum(i[1:], i[:-1])[ok]
-            if len(a):
-                pairs = np.unique(np.stack([a, c], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        last, pod = None, np.int64(0)
+        for t, n, i, first in _runs(batches, percent):
+            first = first.copy()
+            if last == (t[0], i[0]):
+                first[0] = False  # goes on with the run before
+            begin = np.flatnonzero(first)
+            start = np.searchsorted(begin, np.arange(len(t)), "right") - 1
+            names = mix(t[begin].view(np.uint64) ^ mix(n[begin].astype(np.uint64))).view(np.int64) if len(begin) else np.zeros(1, np.int64)
+            pods = np.where(start >= 0, names[start], pod)
+            size = np.bincount(start + 1, minlength=2)[start + 1]
+            keep = (size > 1) | (start < 0)
+            if last == (t[0], i[0]):
+                keep[0] = False
+            last, pod = (t[-1], i[-1]), pods[-1]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(pods[keep]), pa.array(i[keep]), pa.array(n[keep])], ["pod", "id", "n"])
 
-    return run
+    by = rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    return by.mapInArrow(run, "pod long, id long, n long")
 
 
 def token_edges(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate edges (a, b) from rows (token, n, id): a shuffle by token, sorted by size within it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for t, n, i, first in _runs(batches, percent):
+            begin = np.flatnonzero(first)
+            size = np.diff(np.append(begin, len(t)))
+            cut = last == (t[0], i[0])  # the run was begun before, so it has many holders
+            last = (t[-1], i[-1])
+            many = np.repeat(size > FEW, size)
+            if cut:
+                many[: size[0]] = True
+            chain = np.flatnonzero(many[1:] & ~first[1:]) + 1
+            a, b, na, nb, c = [i[chain - 1]], [i[chain]], [n[chain - 1]], [n[chain]], [np.full(len(chain), 1 << 30)]
+            seen: dict[bytes, int] = {}
+            for x, m in zip(begin.tolist(), size.tolist(), strict=True):
+                if 1 < m <= FEW and not many[x]:
+                    key = np.append(i[x : x + m], n[x : x + m]).tobytes()
+                    seen[key] = seen.get(key, 0) + 1
+            for key, count in seen.items():
+                both = np.frombuffer(key, np.int64)
+                m = len(both) // 2
+                x, y = PAIRS[m]
+                ids, ns = both[:m], both[m:]
+                ok = 100 * ns[x] >= percent * ns[y]
+                x, y = x[ok], y[ok]
+                a.append(ids[x])
+                b.append(ids[y])
+                na.append(ns[x])
+                nb.append(ns[y])
+                c.append(np.full(len(x), count))
+            out = [np.concatenate(v).astype(np.int64) for v in (a, b, na, nb, c)]
+            if len(out[0]):
+                turn = out[0] > out[1]
+                for p, q in ((0, 1), (2, 3)):
+                    out[p], out[q] = np.where(turn, out[q], out[p]), np.where(turn, out[p], out[q])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["a", "b", "na", "nb", "c"])
+
     by = rows.repartition("token").sortWithinPartitions("token", "n", "id")
-    return by.mapInArrow(_neighbours(percent), "a long, b long").distinct()
+    pairs = by.mapInArrow(run, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / 100) + 1
+    return pairs.where(F.col("c") >= need).select("a", "b")
 
 
 def shingle_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -282,7 +395,8 @@ def shingle_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
         return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, tokens binary")
 
-    groups = link_sets(edges, classes.select("id", "n"), fetch, percent)
+    pods = components(edges).withColumnRenamed("component", "pod").join(classes.select("id", "n"), "id").select("pod", "id", "n")
+    groups = link_sets(pods, fetch, percent)
     named = classes.join(groups, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = made.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     whole = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

@@ -145,10 +145,9 @@ def test_jaccard_pods_in_blocks(spark):
             w[int(rng.integers(60))] = f"x{rng.integers(1000)}"
         held.append((d, " ".join(w[: int(rng.integers(50, 61))])))
     sets = {d: np.unique(np.array([hash(x) & 0x7FFFFFFFFFFFFFFF for x in brute.shingle_set(t, 4)], np.uint64)) for d, t in held}
-    edges = spark.createDataFrame([(0, d) for d in range(1, 120)], "a long, b long")
-    sizes = spark.createDataFrame([(d, len(s)) for d, s in sets.items()], "id long, n long")
+    pods = spark.createDataFrame([(0, d, len(s)) for d, s in sets.items()], "pod long, id long, n long")
     made = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in sets.items()], "id long, tokens binary")
-    got = {r.id: r.component for r in jaccard.link_sets(edges, sizes, lambda ids: made.join(ids, "id"), 85, block=500).collect()}
+    got = {r.id: r.component for r in jaccard.link_sets(pods, lambda ids: made.join(ids, "id"), 85, block=500).collect()}
     want = {d: c for d, (_, c) in brute.groups(held, 4, 85).items()}
     assert {d: got.get(d, d) for d in want} == want
 
