@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
-from quarry.llm.jaccard import link_sets
+from quarry.llm.jaccard import link_sets, token_pods
 from quarry.llm.text import buffers, mix, slices, words
 
 SHINGLE, BANDS = 5, 4
@@ -125,9 +125,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8) -
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok].view(np.int64)), pa.array(n), pa.array(np.repeat(k[which], BANDS)[ok])], ["token", "n", "id"])
 
     places = stored(docs.mapInArrow(emit_places, "k long, doc_id long, no int, start long, end long, words int"), "passages")
-    from quarry.llm.jaccard import token_edges
-
-    edges = stored(token_edges(docs.mapInArrow(emit_bands, "token long, n long, id long"), percent), "passage-edges")
+    pods = token_pods(docs.mapInArrow(emit_bands, "token long, n long, id long"), percent)
     held = stored(places.groupBy("k").agg(F.min(F.struct("doc_id", "no", "start", "end", "words")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "passage-classes")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -151,8 +149,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8) -
         # Repeated rows with one doc_id and different texts: a span that lies outside a text is skipped.
         return docs.join(spans, "doc_id").where(F.octet_length("text") >= F.array_max(F.transform("spans", lambda s: s["end"]))).mapInArrow(sets, "id long, tokens binary")
 
-    sizes = held.select(F.col("k").alias("id"), (F.col("at.words") - SHINGLE + 1).cast("long").alias("n"))
-    near = stored(link_sets(edges, sizes, fetch, percent), "passage-links")
+    near = stored(link_sets(pods, fetch, percent), "passage-links")
     clustered = held.join(near.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     clusters = clustered.groupBy("c").agg(F.min("at").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
     chosen = clustered.select("k", "c").join(clusters, "c").select("k", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies")
