@@ -232,22 +232,23 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Fullness of each cell, a log scale in 8 bits: how often tokens of the cell occur in the sets of all documents.
 
-    Each task sums CELLS counters; they are added up in a tree, so the driver gets two of them.
+    Each task sums CELLS counters of 4 bytes; they are added up in a tree, so the driver gets a few of them.
+    The sums are rounded to 32-bit floats, which are good enough for an order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CELLS, np.int64)
+        sums = np.zeros(CELLS, np.float32)
         for b in batches:
             data, offsets = buffers(b.column("text"))
             held = [(s >> np.uint64(44)).astype(np.int64) for s in shingle_sets(data, offsets, n)]
             if held:
-                sums += np.bincount(np.concatenate(held), minlength=CELLS)
+                sums += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["c"])
 
     made = docs.select("text").mapInArrow(run, "c binary")
-    add = lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+    add = lambda a, b: (np.frombuffer(a, np.float32) + np.frombuffer(b, np.float32)).tobytes()
     rows = made.rdd.map(lambda r: bytes(r[0]))
-    counts = np.frombuffer(rows.treeReduce(add, 3), np.int64) if rows.getNumPartitions() else np.zeros(CELLS, np.int64)
+    counts = np.frombuffer(rows.treeReduce(add, 4), np.float32) if rows.getNumPartitions() else np.zeros(CELLS, np.float32)
     return np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
 
 

@@ -105,7 +105,7 @@ class Languages:
         return best
 
 
-def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 2000, alpha: float = 0.5) -> Languages:
+def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 1000, alpha: float = 0.5) -> Languages:
     """From per_language documents of each lang (smallest hashes of doc_id) whose fold isn't held_out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held_out)).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
