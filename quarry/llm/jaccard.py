@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, stored
 from quarry.llm.text import buffers, mix, shingle_sets
+from quarry.llm.tokens import release
 
 CELLS = 1 << 20
 LEAF = 8
@@ -237,6 +238,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums = np.zeros(CELLS, np.float32)
         for b in batches:
             data, offsets = buffers(b.column("text"))
@@ -245,7 +247,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
                 sums += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["c"])
 
-    made = docs.select("text").mapInArrow(run, "c binary")
+    # A few tasks a core, however many files there are: each one sends a whole sketch.
+    made = docs.select("text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "c binary")
     add = lambda a, b: (np.frombuffer(a, np.float32) + np.frombuffer(b, np.float32)).tobytes()
     rows = made.rdd.map(lambda r: bytes(r[0]))
     counts = np.frombuffer(rows.treeReduce(add, 4), np.float32) if rows.getNumPartitions() else np.zeros(CELLS, np.float32)

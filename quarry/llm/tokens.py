@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 
-CHUNKS = 1_500_000
+CHUNKS = 1_200_000
 
 
 def _ramp(size: np.ndarray) -> np.ndarray:
@@ -160,3 +160,8 @@ class Encoder:
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder a Python worker: what a task has learned serves the next one."""
     return Encoder(path, spaced)
+
+
+def release() -> None:
+    """Gives back the encoders that earlier tasks left in this Python worker."""
+    encoder.cache_clear()

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 from quarry.llm.text import STOPS, buffers, slices, words
+from quarry.llm.tokens import release
 
 
 def fold(n: int):
@@ -82,6 +83,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 1500,
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         kind = batch.column("positive").to_numpy(zero_copy_only=False)
@@ -130,6 +132,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     out = "score" if "score" not in names else "_score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column("text")))], [*names, out])
 
@@ -142,6 +145,7 @@ def score_ids(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(b.column("text")))], ["doc_id", "score"])
 
