@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,9 +135,6 @@ def match(p: Column, patterns: list[str], group: str = "name") -> Column:
 
 def resolve(base: Column, link: Column) -> Column:
     """A relative link as an absolute URL (Arrow-batched Python: no built-in does this)."""
-    import pandas as pd
-    from urllib.parse import urljoin
-
     @F.pandas_udf("string")
     def join(b: pd.Series, r: pd.Series) -> pd.Series:
         def one(x, y):

@@ -78,11 +78,11 @@ def rank(sections: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75
     """BM25 of sections (doc, n, text) of each doc for a query's words, x1.25 where all occur: (doc, n, score, hits)."""
     words = sections.select("doc", "n", F.explode(F.transform(tokens(F.col("text")), stem)).alias("term"))
     size = words.groupBy("doc", "n").agg(F.count("*").alias("len"))
-    per = size.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("N"))
+    per = size.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("n_sections"))
     tf = words.where(F.col("term").isin(query)).groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("doc", "term").agg(F.count("*").alias("df"))
     j = tf.join(df, ["doc", "term"]).join(size, ["doc", "n"]).join(per, "doc")
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (F.col("n_sections") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     out = j.groupBy("doc", "n").agg(F.sum(s).alias("s"), F.count("*").alias("hits"))
     return out.select("doc", "n", (F.col("s") * F.when(F.col("hits") == len(query), 1.25).otherwise(1.0)).alias("score"), "hits")
