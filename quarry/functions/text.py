@@ -29,15 +29,21 @@ def ascii_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _ends(w: Column, *ends: str) -> Column:
+    return reduce(lambda x, y: x | y, [w.endswith(e) for e in ends])
+
+
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
 def plural(w: Column) -> Column:
-    """Search's plural rule: ies to y, -es after a hiss, -s unless ss, us or is."""
-    keep = w.rlike("(ss|us|is)$")
+    """Search's plural rule: ies to y, -es after a hiss, -s unless ss, us or is. Plain string functions: this runs for every word."""
     return (
-        F.when(keep, w)
-        .when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when(w.rlike("(ch|sh|x|z|ss)es$"), F.regexp_replace(w, "es$", ""))
-        .when(w.endswith("s"), F.regexp_replace(w, "s$", ""))
-        .otherwise(w)
+        F.when(~w.endswith("s") | _ends(w, "ss", "us", "is"), w)
+        .when(w.endswith("ies"), F.concat(_cut(w, 3), F.lit("y")))
+        .when(_ends(w, "ches", "shes", "xes", "zes", "sses"), _cut(w, 2))
+        .otherwise(_cut(w, 1))
     )
 
 
@@ -45,8 +51,9 @@ def stem(w: Column) -> Column:
     """Plural rule, then -ation, -ing or -ed off words long enough. Short words and those with digits stay."""
     p = plural(w)
     n = F.length(p)
-    cut = F.when((n > 6) & p.endswith("ation"), F.regexp_replace(p, "ation$", "")).when((n > 5) & p.endswith("ing"), F.regexp_replace(p, "ing$", "")).when((n > 5) & p.endswith("ed"), F.regexp_replace(p, "ed$", "")).otherwise(p)
-    return F.when((F.length(w) < 4) | w.rlike("[0-9]"), w).otherwise(cut)
+    cut = F.when((n > 6) & p.endswith("ation"), _cut(p, 5)).when((n > 5) & p.endswith("ing"), _cut(p, 3)).when((n > 5) & p.endswith("ed"), _cut(p, 2)).otherwise(p)
+    digits = F.translate(w, "0123456789", "") != w
+    return F.when((F.length(w) < 4) | digits, w).otherwise(cut)
 
 
 def singular(w: Column) -> Column:

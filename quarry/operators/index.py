@@ -18,7 +18,8 @@ def terms(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
     parts = [F.struct(F.lit(f).alias("field"), F.lit(1 << FIELDS.index(f)).alias("bit"), F.lit(WEIGHTS[f]).alias("weight"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in fields.items()]
     kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
     each = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "p.*")
-    words = each.select("doc", "kind", "field", "bit", F.when((F.col("kind") == "item") & (F.col("field") == "description"), 1.0).otherwise(F.col("weight")).alias("weight"), (~((F.col("kind") == "item") & (F.col("field") == "description"))).alias("counted"), F.explode(F.transform(tokens(F.col("text")), stem)).alias("term"))
+    words = each.select("doc", "kind", "field", "bit", F.when((F.col("kind") == "item") & (F.col("field") == "description"), 1.0).otherwise(F.col("weight")).alias("weight"), (~((F.col("kind") == "item") & (F.col("field") == "description"))).alias("counted"), F.explode(tokens(F.col("text"))).alias("raw"))
+    words = words.withColumn("term", stem(F.col("raw")))
     return words.groupBy("doc", "kind", "field", "bit", "weight", "counted", "term").agg(F.count("*").alias("n"))
 
 

@@ -76,7 +76,7 @@ def split(docs: DataFrame) -> DataFrame:
 
 def rank(sections: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of sections (doc, n, text) of each doc for a query's words, x1.25 where all occur: (doc, n, score, hits)."""
-    words = sections.select("doc", "n", F.explode(F.transform(tokens(F.col("text")), stem)).alias("term"))
+    words = sections.select("doc", "n", F.explode(tokens(F.col("text"))).alias("raw")).select("doc", "n", stem(F.col("raw")).alias("term"))
     size = words.groupBy("doc", "n").agg(F.count("*").alias("len"))
     per = size.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("n_sections"))
     tf = words.where(F.col("term").isin(query)).groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))

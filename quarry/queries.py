@@ -230,7 +230,7 @@ def bm25_coverage_bonus(spark, d):
     return _scored(spark, d).groupBy("q", "hits").agg(F.count("*").alias("docs"), F.round(F.max("score"), 4).alias("best"))
 
 
-@query(f"WITH {_T}, v AS (SELECT DISTINCT unnest(ws) AS term FROM t), q AS (SELECT * FROM (VALUES ('energi'), ('nichtt'), ('whatt'), ('nothere'), ('mentelle')) AS x(word)) SELECT word, term FROM q, v WHERE length(word) >= 5 AND length(term) >= 4 AND word NOT IN (SELECT term FROM v) AND levenshtein(word, term) <= 1")
+@query(f"WITH {_T}, v AS (SELECT DISTINCT unnest(ws) AS term FROM t), q AS (SELECT * FROM (VALUES ('energi'), ('nichtt'), ('whatt'), ('nothere'), ('mentelle')) AS x(word)) SELECT word, term FROM q, v WHERE length(word) >= 5 AND length(term) >= 4 AND word NOT IN (SELECT term FROM v) AND levenshtein(word, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')) <= 1")
 def fuzzy_vocab_match(spark, d):
     v = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
     return search.fuzzy(spark.createDataFrame([(x,) for x in ("energi", "nichtt", "whatt", "nothere", "mentelle")], "word string"), v)
@@ -458,7 +458,7 @@ def labels_recall_mrr_ndcg(spark, d):
     return quality.ndcg(hits, grades).join(r, "q").select("q", F.round("ndcg", 6).alias("ndcg"), "unjudged", "recall", F.round("rr", 6).alias("rr"))
 
 
-@query(r"""WITH w0 AS (SELECT conv_id AS doc, turn AS n, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS raw FROM conversations), w AS (SELECT doc, n, CASE WHEN raw = 'thes' THEN 'the' ELSE raw END AS term FROM w0), z AS (SELECT doc, n, count(*) AS len FROM w GROUP BY ALL), a AS (SELECT doc, avg(len) AS av, count(*) AS nn FROM z GROUP BY doc),
+@query(r"""WITH w0 AS (SELECT conv_id AS doc, turn AS n, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS raw FROM conversations), p AS (SELECT doc, n, raw, """ + _PL.format("raw") + r""" AS p FROM w0), w AS (SELECT doc, n, CASE WHEN length(raw) < 4 OR regexp_matches(raw, '[0-9]') THEN raw WHEN length(p) > 6 AND p LIKE '%ation' THEN regexp_replace(p, 'ation$', '') WHEN length(p) > 5 AND p LIKE '%ing' THEN regexp_replace(p, 'ing$', '') WHEN length(p) > 5 AND p LIKE '%ed' THEN regexp_replace(p, 'ed$', '') ELSE p END AS term FROM p), z AS (SELECT doc, n, count(*) AS len FROM w GROUP BY ALL), a AS (SELECT doc, avg(len) AS av, count(*) AS nn FROM z GROUP BY doc),
  f AS (SELECT doc, n, term, count(*) AS tf FROM w WHERE term IN ('the', 'of') GROUP BY ALL), g AS (SELECT doc, term, count(*) AS df FROM f GROUP BY ALL)
  SELECT f.doc, f.n, count(*) AS hits, round(sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) * CASE WHEN count(*) = 2 THEN 1.25 ELSE 1 END, 5) AS score FROM f JOIN g USING (doc, term) JOIN z USING (doc, n) JOIN a USING (doc) GROUP BY f.doc, f.n""")
 def conversation_section_ranking(spark, d):
