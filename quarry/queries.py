@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text, urls
-from quarry.operators import catalog, index, items, quality, search, sections, tagging
+from quarry.operators import catalog, index, items, quality, reports, search, sections, tagging, validation
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -477,6 +477,127 @@ def budget_split(spark, d):
     return sections.share_budget(table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("part"), F.length("text").alias("size")), 600)
 
 
+# Reports and selections ---------------------------------------------------------------------------------------------
+
+
+@query("WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n, min(o_orderkey) AS p FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) AS i FROM c) SELECT o_custkey, v AS o_orderpriority FROM r WHERE i = 1")
+def most_common_value(spark, d):
+    return reports.mode(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("WITH a AS (SELECT l_suppkey AS k, count(*) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS v FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, a.v AS now, b.v AS before FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+def build_diff(spark, d):
+    l = table(spark, d, "lineitem")
+    count = lambda x: x.groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("v"))
+    return reports.diff(count(l), count(l.where("l_returnflag <> 'R'")), "k", "v")
+
+
+@query("SELECT o_orderpriority, batch, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT *, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 40 AS batch FROM orders) GROUP BY ALL")
+def batches_of_ids(spark, d):
+    b = reports.batches(table(spark, d, "orders"), ["o_orderpriority"], [F.col("o_orderkey")], 40)
+    return b.groupBy("o_orderpriority", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("WITH s AS (SELECT p_brand, p_type, p_partkey, (row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) > 1)::INT AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s, p_partkey) AS i FROM s) SELECT p_brand, p_partkey FROM r WHERE i <= 5")
+def shape_diverse_sample(spark, d):
+    return reports.diverse(table(spark, d, "part"), ["p_brand"], "p_type", [F.col("p_partkey")], 5).select("p_brand", "p_partkey")
+
+
+@query("SELECT doc_id, substring(text, 101, 50) AS part, CASE WHEN length(text) > 150 THEN 150 END AS next_offset FROM documents WHERE text IS NOT NULL")
+def source_window(spark, d):
+    w = table(spark, d, "documents").where("text is not null").select("doc_id", reports.window_of(F.col("text"), 100, 50).alias("w"))
+    return w.select("doc_id", "w.part", "w.next_offset")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 1500 THEN text WHEN strlen(substring(text, 1, 500)) <= 1500 THEN substring(text, 1, 500) ELSE substring(text, 1, 100) END AS shown FROM documents WHERE text IS NOT NULL")
+def tiered_shrink(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", reports.smallest_tier([t, F.substring(t, 1, 500), F.substring(t, 1, 100)], 1500).alias("shown"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, min(length(text)) AS size FROM conversations GROUP BY ALL), p AS (SELECT *, 800 - coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM d)
+ SELECT conv_id, turn, least(size, room)::BIGINT AS given FROM p WHERE room >= 100""")
+def example_packing(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min(F.length("text")).alias("size"))
+    return reports.greedy_pack(c, "conv_id", "turn", "size", 800, 100).select("conv_id", "turn", F.col("given").cast("long").alias("given"))
+
+
+@query("SELECT source AS kind, count(*) AS n, ceil(count(*) / 20)::BIGINT AS batches, (sum(ceil(n_chars / 4)) + ceil(count(*) / 20) * 5000)::BIGINT AS tokens FROM documents GROUP BY source")
+def queue_cost(spark, d):
+    q = table(spark, d, "documents").select(F.col("source").alias("kind"), F.ceil(F.col("n_chars") / 4).alias("tokens"))
+    return reports.queue_cost(q, 20, 5000)
+
+
+@query("SELECT event_type, user_id % 5 AS grp, count(*) AS n, floor(count(*) * 1000 / 37 + 0.5)::BIGINT AS estimate FROM events WHERE event_type = 'error' GROUP BY ALL")
+def barrier_extrapolation(spark, d):
+    f = table(spark, d, "events").where("event_type = 'error'").groupBy("event_type", (F.col("user_id") % 5).alias("grp")).agg(F.count("*").alias("n"))
+    return reports.extrapolate(f, "grp", F.lit(37), F.lit(1000))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) SELECT event_type, count(*) AS users, round(sum(value), 4) AS total FROM r WHERE i = 1 GROUP BY event_type")
+def usage_last_wins(spark, d):
+    return reports.last_by(table(spark, d, "events"), "user_id", "event_id").groupBy("event_type").agg(F.count("*").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH n AS (SELECT s_suppkey, s_nationkey AS k FROM supplier), o AS (SELECT c_nationkey AS k, min(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, c_custkey FROM n JOIN o USING (k)""")
+def loose_key_match(spark, d):
+    r = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    return items.loose_match(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), r, "k").select("s_suppkey", "c_custkey")
+
+
+@query("""WITH c AS (SELECT s_suppkey AS id, unnest([s_nationkey + 7, s_nationkey + 3, s_nationkey]) AS key, generate_subscripts([1, 2, 3], 1) AS pos FROM supplier), f AS (SELECT id, arg_min(key, pos) AS found FROM c WHERE key IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY id)
+ SELECT s_suppkey AS id, found FROM supplier LEFT JOIN f ON s_suppkey = id""")
+def twin_lookup(spark, d):
+    k = F.col("s_nationkey")
+    known = table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("key"))
+    return items.first_candidate(table(spark, d, "supplier").withColumn("id", F.col("s_suppkey")), known, F.array(k + 7, k + 3, k)).select("id", F.col("found").cast("int").alias("found"))
+
+
+@query("""WITH e AS (SELECT user_id AS listing, event_id // 500 AS page, event_type AS link FROM events), f AS (SELECT listing, link, min(page) AS page FROM e GROUP BY ALL), n AS (SELECT listing, page, count(*) AS new FROM f GROUP BY ALL),
+ p AS (SELECT DISTINCT listing, page FROM e), x AS (SELECT p.listing, p.page, coalesce(new, 0) AS new FROM p LEFT JOIN n ON n.listing = p.listing AND n.page = p.page), s AS (SELECT listing, min(page) AS stop FROM x WHERE new = 0 GROUP BY listing)
+ SELECT x.listing, x.page, new FROM x LEFT JOIN s USING (listing) WHERE stop IS NULL OR x.page < stop""")
+def listing_stop_rule(spark, d):
+    return items.listing_stop(table(spark, d, "events").select(F.col("user_id").alias("listing"), F.floor(F.col("event_id") / 500).alias("page"), F.col("event_type").alias("link")))
+
+
+@query("SELECT code, count(*) AS n FROM (SELECT DISTINCT user_id, event_type AS code FROM events WHERE event_type <> 'view') GROUP BY code")
+def barrier_ranking(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("site")).agg(F.collect_set("event_type").alias("codes"))
+    return reports.barriers(s, ["view"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'gated' WHEN event_type = 'view' THEN 'empty' WHEN event_type = 'signup' THEN 'dead' ELSE 'ok' END AS state FROM events")
+def registry_states(spark, d):
+    t = F.col("event_type")
+    status = F.when(t == "error", 403).when(t == "signup", 404).otherwise(200)
+    return table(spark, d, "events").select("event_id", quality.registry_state(status, F.when(t == "view", 0).otherwise(1), F.lit(True), F.lit(False)).alias("state"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'retry' WHEN event_type = 'signup' THEN 'miss' WHEN user_id % 2 = 0 THEN 'miss' ELSE 'pass' END AS verdict FROM events")
+def soft_404_verdicts(spark, d):
+    t, u = F.col("event_type"), F.lit("https://a.com/x")
+    return table(spark, d, "events").select("event_id", quality.soft_404(F.when(t == "error", 503).when(t == "signup", 404).otherwise(200), u, u, F.when(F.col("user_id") % 2 == 0, 200).otherwise(404), F.lit("t")).alias("verdict"))
+
+
+@query()
+def json_schema_problems(spark, d):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}}}
+    return validation.validate(table(spark, d, "events"), "event_id", "props", schema, closed=True)
+
+
+@query("SELECT event_id AS doc_id FROM events WHERE NOT (json_extract_string(props, '$.k')::INT BETWEEN 0 AND 90)")
+def json_schema_failures(spark, d):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}}}
+    return validation.validate(table(spark, d, "events"), "event_id", "props", schema).where(F.size("problems") > 0).select(F.col("event_id").alias("doc_id"))
+
+
+@query("""WITH e AS (SELECT n_name AS name, n_regionkey, 25 - n_nationkey AS mentions FROM nation), r AS (SELECT n_regionkey, string_agg('- [' || name || '](https://' || name || ')', chr(10) ORDER BY mentions DESC, name) AS t, count(*) AS n FROM e GROUP BY 1)
+ SELECT r_regionkey AS category, '## ' || r_name || ' · ' || n || chr(10) || t AS text FROM region JOIN r ON r_regionkey = n_regionkey""")
+def router_markdown(spark, d):
+    e = table(spark, d, "nation").select(F.array("n_regionkey").alias("categories"), F.col("n_name").alias("name"), F.concat(F.lit("https://"), "n_name").alias("url"), F.lit("").alias("desc"), (25 - F.col("n_nationkey")).alias("mentions"))
+    return reports.router(e, table(spark, d, "region").select(F.col("r_regionkey").alias("category"), F.col("r_regionkey").alias("place"), F.col("r_name").alias("label")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
