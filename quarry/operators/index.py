@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import stem, tokens
@@ -17,7 +17,9 @@ def terms(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
     """(doc, kind, field, bit, weight, counted, term, n) from text columns: fields maps a field to its column."""
     parts = [F.struct(F.lit(f).alias("field"), F.lit(1 << FIELDS.index(f)).alias("bit"), F.lit(WEIGHTS[f]).alias("weight"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in fields.items()]
     kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
-    each = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "p.*")
+    # Texts are dealt by document once; the counts by document and term, and the lengths, then need no other shuffle.
+    each = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *sorted(set(fields.values()))).repartition("doc")
+    each = each.select("doc", "kind", F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "p.*")
     words = each.select("doc", "kind", "field", "bit", F.when((F.col("kind") == "item") & (F.col("field") == "description"), 1.0).otherwise(F.col("weight")).alias("weight"), (~((F.col("kind") == "item") & (F.col("field") == "description"))).alias("counted"), F.explode(tokens(F.col("text"))).alias("raw"))
     words = words.withColumn("term", stem(F.col("raw")))
     return words.groupBy("doc", "kind", "field", "bit", "weight", "counted", "term").agg(F.count("*").alias("n"))
@@ -26,13 +28,14 @@ def terms(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
 def build(t: DataFrame) -> DataFrame:
     """Postings (term, doc, tf100, mask): length-normalised term frequencies in hundredths, and the fields as bits.
 
-    Lengths are joined by document, averages by kind; one shuffle by document, one by term.
+    Lengths are sums over a document's own rows; averages by kind are a row a kind, hence broadcast.
     """
-    length = t.groupBy("doc", "kind").agg(F.sum(F.when(F.col("counted"), F.col("weight") * F.col("n")).otherwise(0.0)).alias("len"))
-    average = length.groupBy("kind").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
-    norm = length.join(F.broadcast(average), "kind").select("doc", (1 - B + B * F.col("len") / F.col("avg")).alias("norm"))
-    tf = t.groupBy("doc", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("w"), F.bit_or("bit").alias("mask"))
-    return tf.join(norm, "doc").select("term", "doc", F.greatest(F.lit(1), F.floor(100 * F.col("w") / F.col("norm") + 0.5)).cast("int").alias("tf100"), F.col("mask").cast("int"))
+    counted = F.when(F.col("counted"), F.col("weight") * F.col("n")).otherwise(0.0)
+    average = t.groupBy("doc", "kind").agg(F.sum(counted).alias("len")).groupBy("kind").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
+    tf = t.groupBy("doc", "kind", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("w"), F.sum(counted).alias("c"), F.bit_or("bit").alias("mask"))
+    tf = tf.withColumn("len", F.sum("c").over(Window.partitionBy("doc"))).join(F.broadcast(average), "kind")
+    norm = 1 - B + B * F.col("len") / F.col("avg")
+    return tf.select("term", "doc", F.greatest(F.lit(1), F.floor(100 * F.col("w") / norm + 0.5)).cast("int").alias("tf100"), F.col("mask").cast("int"))
 
 
 def idf(postings: DataFrame, n_docs: int) -> DataFrame:
@@ -42,7 +45,5 @@ def idf(postings: DataFrame, n_docs: int) -> DataFrame:
 
 def delta(postings: DataFrame) -> DataFrame:
     """Postings with the gap to the term's previous document, for compact storage."""
-    from pyspark.sql import Window
-
     gap = F.col("doc") - F.coalesce(F.lag("doc").over(Window.partitionBy("term").orderBy("doc")), F.lit(0))
     return postings.select("term", "doc", "tf100", F.lower(F.conv(gap.cast("string"), 10, 36)).alias("gap36"))

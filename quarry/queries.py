@@ -216,7 +216,7 @@ _SCORE = f"""{_IDX}, {_CSQL}, ci AS (SELECT c.*, coalesce(idf, 0) AS idf FROM c
 
 
 def _scored(spark, d):
-    p = _postings(spark, d)
+    p = _postings(spark, d).persist()  # read for the idf and for the scores; spills to disk
     return search.score(p, index.idf(p, table(spark, d, "documents").count()), search.concepts_of(spark, _CROWS))
 
 
