@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import urls
+from quarry.functions import names, urls
 
 
 def merge_upsert(rows: DataFrame) -> DataFrame:
@@ -76,3 +76,27 @@ def merge_records(entries: DataFrame, records: DataFrame, columns: list[str]) ->
     r = records.select("id", F.col("present").alias("_present"), *[F.col(c).alias(f"_r_{c}") for c in columns])
     new = {c: F.when(F.array_contains("_present", c), F.when(F.lower(f"_r_{c}").isin("", "unknown"), None).otherwise(F.col(f"_r_{c}"))).otherwise(F.col(c)) for c in columns}
     return entries.join(r, "id", "left").withColumns(new).drop("_present", *[f"_r_{c}" for c in columns])
+
+
+def name_pages(rows: DataFrame) -> DataFrame:
+    """rows (id, name, kind, url, domain, title) with display names; pages of one domain that would share a name go by their path."""
+    named = rows.withColumn("name", names.display_name(*[F.col(c) for c in ("name", "kind", "url", "domain", "title")]))
+    page = F.col("kind") == "page"
+    shared = named.where(page).groupBy("domain", "name").agg(F.count("*").alias("_n")).where("_n > 1").select("domain", "name", F.lit(True).alias("_twice"))
+    owner = F.nullif(F.regexp_extract("name", r"\(([^)]+)\)$", 1), F.lit(""))
+    by_path = names.path_name(F.col("url"), F.coalesce(owner, "domain"))
+    out = named.join(shared, ["domain", "name"], "left")
+    return out.withColumn("name", F.when(page & F.col("_twice"), F.coalesce(by_path, "name")).otherwise(F.col("name"))).select(*rows.columns)
+
+
+def keyword_spellings(said: DataFrame) -> DataFrame:
+    """(spelling, canonical) for said (alias, canonical, rank, pos): of equal spellings the first by rank and place counts."""
+    return said.select(names.spelling(F.col("alias")).alias("spelling"), "canonical", F.struct("rank", "pos").alias("o")).where("spelling <> ''").groupBy("spelling").agg(F.min_by("canonical", "o").alias("canonical"))
+
+
+def normalise_keywords(rows: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(id, keywords): each cleaned and in its canonical spelling, the first of equal ones; ids without keywords are left out."""
+    each = rows.select("id", F.posexplode("keywords").alias("pos", "k")).withColumn("clean", names.keyword(F.col("k"))).where("clean <> ''")
+    each = each.withColumn("spelling", F.regexp_replace("clean", r"[^\p{L}\p{N}]+", "")).join(F.broadcast(spellings), "spelling", "left")
+    one = each.groupBy("id", F.coalesce("canonical", "clean").alias("k")).agg(F.min("pos").alias("pos"))
+    return one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k"))), lambda x: x["k"]).alias("keywords"))
