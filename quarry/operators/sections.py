@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import stem, tokens
+from quarry.functions.text import non_latin_share, stem, tokens
 
 _HEAD = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -119,3 +119,72 @@ def fits(parts: DataFrame, by: str, order: str, size: str, budget: int) -> DataF
     """Parts in order while their running size is within the budget."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return parts.withColumn("_s", F.sum(size).over(w)).where(F.col("_s") <= budget).drop("_s")
+
+
+#: Weights of words in code, longer forms, own and parent headings, full matches and other scripts.
+IN_CODE, LONGER, LONGER_FROM, OWN, PARENT, ALL, FOREIGN, FOREIGN_FROM = 0.3, 0.8, 4, 2.0, 1.0, 1.25, 0.5, 0.3
+_CODE = r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\z)"
+
+
+def _stems(c, *keep: str):
+    return [*keep, F.explode(F.transform(tokens(c), stem)).alias("term")]
+
+
+def rank_headed(sections: DataFrame, concepts: list[list[dict]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc, n, score, hits) of sections (doc, n, title, path, text) for the concepts of one query.
+
+    A concept is a list of alternatives {weight, words: [term], tags: [[[term, ...], ...]]}; a tag is a list of alias groups.
+    An alternative's words count if all occur, a longer form of a word of four letters at 0.8; a tag counts as its best group
+    whose words all occur, and its words aren't counted again. A heading that carries what matched adds its idf, twice if it is
+    the section's own. A concept that only the headings above carry counts as its idf. All concepts met: x1.25; a section in
+    another script: x0.5 for a query in ASCII. The query is a small table and broadcast; the rest is keyed by section.
+    """
+    rows, asked = [], set()
+    for c, alts in enumerate(concepts):
+        for a, alt in enumerate(alts):
+            held = {t for tag in alt.get("tags", []) for group in tag for t in group}
+            words = sorted(set(alt.get("words", [])) - held)
+            asked |= held | set(words)
+            parts = [(0, k, False, len(words), [w]) for k, w in enumerate(words)] + [(p + 1, g, True, len(set(group)), sorted(set(group))) for p, tag in enumerate(alt.get("tags", [])) for g, group in enumerate(tag)]
+            rows += [(c, a, float(alt.get("weight", 1.0)), p, g, tag, size, t) for p, g, tag, size, ts in parts for t in ts]
+    spark = sections.sparkSession
+    query = F.broadcast(spark.createDataFrame(rows, "c int, a int, weight double, part int, grp int, tag boolean, size int, word string"))
+    lengths = sorted({len(r[-1]) for r in rows if not r[5] and len(r[-1]) >= LONGER_FROM})
+
+    here = ["doc", "n"]
+    plain = sections.select(*_stems(F.regexp_replace("text", _CODE, " "), *here), F.lit(1.0).alias("w"))
+    code = sections.select(*_stems(F.array_join(F.regexp_extract_all("text", F.lit(_CODE), F.lit(0)), "\n"), *here), F.lit(IN_CODE).alias("w"))
+    tf = plain.unionByName(code).groupBy(*here, "term").agg(F.sum("w").alias("tf"))
+    size = tf.groupBy(*here).agg(F.sum("tf").alias("len"))
+    per = sections.select(*here).join(size, here, "left").groupBy("doc").agg(F.avg(F.coalesce("len", F.lit(0.0))).alias("avg"), F.count("*").alias("all"))
+    forms = F.array_distinct(F.array("term", *[F.substring("term", 1, k) for k in lengths]))
+    tf = tf.withColumn("word", F.explode(forms)).where(F.col("word").isin(sorted(asked)))
+    df = tf.select(*here, "term").distinct()
+    df = df.groupBy("doc", "term").agg(F.count("*").alias("df")).join(per, "doc")
+    df = df.select("doc", "term", "avg", F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    scored = tf.join(df, ["doc", "term"]).join(size, here).withColumn("s", s * F.when(F.col("word") == F.col("term"), 1.0).otherwise(LONGER))
+
+    met = scored.join(query, "word").where("not tag or word = term")
+    best = met.groupBy(*here, "c", "a", "weight", "part", "grp", "tag", "size", "word").agg(F.max(F.struct("s", F.col("term"))).alias("m"))
+    words = best.where("not tag").groupBy(*here, "c", "a", "weight", "size").agg(F.sum("m.s").alias("s"), F.collect_set("m.term").alias("via")).where("size(via) > 0")
+    told = best.where("not tag").groupBy(*here, "c", "a").agg(F.count("*").alias("got"))
+    words = words.join(told, [*here, "c", "a"]).where("got = size").select(*here, "c", "a", "weight", "s", "via")
+    groups = best.where("tag").groupBy(*here, "c", "a", "weight", "part", "grp", "size").agg(F.sum("m.s").alias("s"), F.sort_array(F.collect_set("m.term")).alias("via")).where("size(via) = size")
+    tags = groups.groupBy(*here, "c", "a", "weight", "part").agg(F.max(F.struct("s", "via")).alias("g")).select(*here, "c", "a", "weight", "g.s", "g.via")
+    alts = words.unionByName(tags).groupBy(*here, "c", "a", "weight").agg(F.sum("s").alias("s"), F.array_distinct(F.flatten(F.collect_list("via"))).alias("via"))
+
+    own = sections.select(*_stems(F.col("title"), *here), F.lit(1).alias("own"))
+    above = sections.select(*_stems(F.array_join("path", " "), *here), F.lit(0).alias("own"))
+    heads = own.unionByName(above).groupBy(*here, "term").agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("above")).join(df.select("doc", "term", "idf"), ["doc", "term"])
+    bonus = alts.select(*here, "c", "a", F.explode("via").alias("term")).join(heads, [*here, "term"])
+    bonus = bonus.groupBy(*here, "c", "a").agg(F.coalesce(F.max(F.when(F.col("own") == 1, F.col("idf") * OWN)), F.max(F.col("idf") * PARENT)).alias("bonus"))
+    found = alts.join(bonus, [*here, "c", "a"], "left").groupBy(*here, "c").agg(F.max((F.col("s") + F.coalesce("bonus", F.lit(0.0))) * F.col("weight")).alias("s"))
+    trail = heads.where("above = 1").join(query.select("c", F.col("word").alias("term")).distinct(), "term").groupBy(*here, "c").agg(F.max(F.col("idf") * PARENT).alias("trail"))
+    each = found.join(trail, [*here, "c"], "full").select(*here, F.coalesce("s", "trail").alias("s"))
+    out = each.groupBy(*here).agg(F.sum("s").alias("s"), F.count("*").alias("hits"))
+    scale = F.when((F.col("hits") == len(concepts)) & (F.lit(len(concepts)) > 1), ALL).otherwise(1.0)
+    if all(t.isascii() for t in asked):
+        foreign = sections.select(*here, (non_latin_share(F.col("text")) > FOREIGN_FROM).alias("foreign"))
+        out, scale = out.join(foreign, here), scale * F.when(F.col("foreign"), FOREIGN).otherwise(1.0)
+    return out.select(*here, (F.col("s") * scale).alias("score"), "hits").where("score > 0")
