@@ -58,7 +58,7 @@ def matched(pages: DataFrame, compiled: DataFrame, parents: DataFrame) -> DataFr
     with id, name, base and captures. parents (domain, parent)."""
     p = pages.select("domain", "pos", urls.normalize(F.col("url")).alias("url")).where("url is not null").withColumn("key", urls.key(F.col("url")))
     p = p.groupBy("domain", "key").agg(F.min(F.struct("pos", "url")).alias("f")).select("domain", "key", "f.pos", "f.url").withColumn("path", urls.path(F.col("url")))
-    fits = p.join(F.broadcast(compiled), "domain").where(F.expr("regexp_like(path, regex) and not (excluded <> '' and regexp_like(path, excluded))"))
+    fits = p.join(compiled, "domain").where(F.expr("regexp_like(path, regex) and not (excluded <> '' and regexp_like(path, excluded))"))
     first = fits.groupBy("domain", "key").agg(F.min_by(F.struct(*[c for c in fits.columns if c not in ("domain", "key")]), "template").alias("f")).select("domain", "key", "f.*")
     caps = F.array(*[F.expr(f"regexp_extract(path, regex, {i})") for i in range(1, 6)])
     part = lambda froms: F.array_join(F.transform(froms, lambda i: F.when(i > 0, F.get("caps", i - 1)).otherwise(F.get("segs", -i - 1))), "-")
@@ -75,7 +75,7 @@ def adapt(pages: DataFrame, compiled: DataFrame, parents: DataFrame, taken: Data
     A page whose id a registry item without URL has gives it its URL; with loose_ids also one whose letters and digits are equal, unless
     two items share them. A page with a taken id or URL makes nothing, nor does any page under attach_only. Of pages with one id the first
     makes the item. Elements: the template's, the captured, those of filter pages, else those the path segment tags to.
-    attached: (id, url). Joins are on ids and keys; vocabulary and templates are bounded and broadcast.
+    attached: (id, url). Joins are on domains, ids and keys; only the vocabulary, which is bounded, is broadcast.
     """
     m = matched(pages, compiled, parents)
     loose = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

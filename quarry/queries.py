@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text, urls
-from quarry.operators import catalog, index, items, quality, reports, search, sections, tagging, validation
+from quarry.operators import catalog, index, items, pages, phrases, quality, reports, search, sections, sitemaps, tagging, validation
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -598,6 +598,92 @@ def router_markdown(spark, d):
     return reports.router(e, table(spark, d, "region").select(F.col("r_regionkey").alias("category"), F.col("r_regionkey").alias("place"), F.col("r_name").alias("label")))
 
 
+# Names, pages, templates, phrases ---------------------------------------------------------------------------------------
+
+_AL = "element string, name string, is_alias boolean, pos int"
+
+
+@query("SELECT c_custkey AS id, 'Item ' || c_custkey || ' (Acme)' AS name FROM customer")
+def display_names(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("acme.dev").alias("name"), F.lit("page").alias("kind"), F.concat(F.lit("https://acme.dev/p/item-"), F.col("c_custkey").cast("string")).alias("url"), F.lit("acme.dev").alias("domain"), F.concat("c_mktsegment", F.lit(" | Acme")).alias("title"))
+    return catalog.name_pages(c).select("id", "name")
+
+
+@query("SELECT event_id AS id, [CASE WHEN event_type = 'view' THEN 'page view' ELSE event_type END, 'tool ' || user_id] AS keywords FROM events")
+def keywords_normalised(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.array(F.concat("event_type", F.lit("s")), F.upper("event_type"), F.concat(F.lit("(Tool_"), F.col("user_id").cast("string"), F.lit(")"))).alias("keywords"))
+    return catalog.normalise_keywords(e, catalog.keyword_spellings(spark.createDataFrame([("View", "page view", 0, 0)], "alias string, canonical string, rank int, pos int")))
+
+
+@query("""WITH c AS (SELECT 'https://h' || user_id % 20 || '.com' AS home, ['docs', 'components', 'pricing', 'about', 'blog'][event_id % 5 + 1] AS bucket, CASE WHEN event_id % 2 = 0 THEN '' ELSE '/' || event_id % 7 END AS tail, [3, 2, 0][event_id % 3 + 1] AS bonus FROM events),
+ b AS (SELECT home, bucket, home || '/' || bucket || tail AS url, max(bonus - 2 * (CASE WHEN tail = '' THEN 1 ELSE 2 END) - length('/' || bucket || tail) / 100) AS score FROM c WHERE bucket <> 'blog' GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY home, bucket ORDER BY score DESC, url) AS k FROM b),
+ p AS (SELECT home, url, bucket, row_number() OVER (PARTITION BY home ORDER BY CASE WHEN k = 1 THEN list_position(['docs', 'components', 'pricing', 'about', 'license'], bucket) ELSE 6 END, score DESC, url) AS place FROM r WHERE k = 1 OR bucket IN ('docs', 'components')) SELECT * FROM p WHERE place <= 6""")
+def extra_pages(spark, d):
+    home = F.concat(F.lit("https://h"), (F.col("user_id") % 20).cast("string"), F.lit(".com"))
+    part = F.element_at(F.array(*[F.lit(x) for x in ("docs", "components", "pricing", "about", "blog")]), (F.col("event_id") % 5 + 1).cast("int"))
+    tail = F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("/"), (F.col("event_id") % 7).cast("string")))
+    source = F.element_at(F.array(*[F.lit(x) for x in ("llms", "nav", "sitemap")]), (F.col("event_id") % 3 + 1).cast("int"))
+    return pages.choose(table(spark, d, "events").select(home.alias("home"), F.concat(home, F.lit("/"), part, tail).alias("url"), source.alias("source")), 6)
+
+
+@query("SELECT page_id, 0 AS pos, 'section' || page_id AS anchor, url AS text FROM pages")
+def page_anchors(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("<div id=top><section id='section"), F.col("page_id").cast("string"), F.lit("'><div><h2>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</h2></div></section></div>")).alias("html"))
+    return pages.anchors(p)
+
+
+@query()
+def content_outlines(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return pages.outline(sections.split(docs), docs, 400, 120)
+
+
+@query("""WITH u AS (SELECT DISTINCT ['components', 'blog', 'x'][p_size % 3 + 1] AS dir, CASE WHEN p_partkey % 2 = 0 THEN 'button-' ELSE '' END || 'k' || p_partkey AS name FROM part), g AS (SELECT dir, count(*) AS n, count(*) FILTER (name LIKE 'button-%') AS t FROM u GROUP BY dir)
+ SELECT 'p.com' AS domain, '/' || dir || '/{name}' AS template, n AS children, floor(100 * t / n + 0.5)::INT AS element_pct, dir = 'components' OR (dir = 'x' AND floor(100 * t / n + 0.5) >= 30) AS high, CASE WHEN dir = 'blog' THEN 'meta' WHEN dir = 'components' THEN 'component prefix' WHEN floor(100 * t / n + 0.5) >= 30 THEN 'elements' ELSE 'neither' END AS why FROM g WHERE n >= 10""")
+def template_mining_modes(spark, d):
+    path = F.concat(F.element_at(F.array(F.lit("components"), F.lit("blog"), F.lit("x")), F.col("p_size") % 3 + 1), F.lit("/"), F.when(F.col("p_partkey") % 2 == 0, "button-").otherwise(""), F.lit("k"), F.col("p_partkey").cast("string"))
+    slugs = items.element_slugs(spark.createDataFrame([("button", "button", False, 0)], _AL))
+    return items.suggest_templates(table(spark, d, "part").select(F.lit("p.com").alias("domain"), F.concat(F.lit("https://www.p.com/"), path).alias("url")), slugs, spark.createDataFrame(tagging.ALIASES, tagging.SCHEMA))
+
+
+@query("""WITH i AS (SELECT o_custkey AS parent, o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'code' WHEN 'O' THEN 'page' ELSE 'gated' END AS access, o_orderpriority AS e FROM orders),
+ c AS (SELECT parent, count(*) FILTER (access = 'code') AS code, count(*) FILTER (access = 'gated') AS gated, count(*) FILTER (access = 'page' AND pos % 2 = 0) AS gallery_examples, count(*) FILTER (access = 'page' AND pos % 2 = 1) AS docs_pages, greatest(count(*) // 3, 1) AS step FROM i GROUP BY parent),
+ e AS (SELECT parent, e || ' ' || count(*) AS t, row_number() OVER (PARTITION BY parent ORDER BY count(*) DESC, min(pos), e) AS r FROM i GROUP BY parent, e), l AS (SELECT parent, list(t ORDER BY r) AS item_elements FROM e WHERE r <= 2 GROUP BY parent),
+ n AS (SELECT parent, pos, row_number() OVER (PARTITION BY parent ORDER BY pos) - 1 AS k FROM i), s AS (SELECT parent, list('o' || pos ORDER BY k) AS sample_items FROM n JOIN c USING (parent) WHERE k % step = 0 AND k < step * 3 GROUP BY parent)
+ SELECT parent, code, gated, gallery_examples, docs_pages, item_elements, sample_items FROM c JOIN l USING (parent) JOIN s USING (parent)""")
+def registry_fact_sheet(spark, d):
+    o = table(spark, d, "orders")
+    access = F.when(F.col("o_orderstatus") == "F", "code").when(F.col("o_orderstatus") == "O", "page").otherwise("gated")
+    i = o.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), access.alias("access"), F.when(F.col("o_orderkey") % 2 == 0, "example").otherwise("page").alias("granularity"), F.array("o_orderpriority").alias("elements"))
+    return items.registry_facts(i, 2, 3)
+
+
+@query(_SQL["conversation_section_ranking"])
+def headed_section_ranking(spark, d):
+    s = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("n"), F.col("role").alias("title"), F.array().cast("array<string>").alias("path"), F.lower("text").alias("text"))
+    return sections.rank_headed(s, [[{"words": ["the"]}], [{"words": ["of"]}]]).select("doc", "n", "hits", F.round("score", 5).alias("score"))
+
+
+@query("""WITH e AS (SELECT DISTINCT event_type AS q FROM events), a AS (SELECT q, unnest(CASE q WHEN 'click' THEN [{'alt': 0, 'term': 'el:click', 'is_tag': true, 'weight': 1.0}, {'alt': 0, 'term': 'click', 'is_tag': false, 'weight': 1.0}]
+ WHEN 'purchase' THEN [{'alt': 0, 'term': 'purchase', 'is_tag': false, 'weight': 1.0}, {'alt': 1, 'term': 'order', 'is_tag': false, 'weight': 0.7}] WHEN 'signup' THEN [{'alt': 0, 'term': 'signup', 'is_tag': false, 'weight': 1.0}, {'alt': 1, 'term': 'sinup', 'is_tag': false, 'weight': 0.6}]
+ ELSE [{'alt': 0, 'term': q, 'is_tag': false, 'weight': 1.0}] END) AS x FROM e) SELECT q, 0 AS concept, x.alt::INT AS alt, x.term AS term, x.is_tag AS is_tag, x.weight::DOUBLE AS weight, false AS gated FROM a""")
+def query_concepts(spark, d):
+    known = phrases.Vocabulary(elements={"click": ["click"]}, synonyms={"buying": ["purchase", "order"]})
+    return phrases.analyse(table(spark, d, "events").select(F.col("event_type").alias("q")).distinct(), known, spark.createDataFrame([("sinup",), ("view",), ("error",)], "term string"))
+
+
+@query(rf"""WITH {_U}, m AS (SELECT site, page_id, norm, regexp_extract(p, '^/([^/]+)/(\d+)/?$', 1) AS a, regexp_extract(p, '^/([^/]+)/(\d+)/?$', 2) AS n FROM k WHERE regexp_matches(p, '^/([^/]+)/(\d+)/?$')), g AS (SELECT site, a, n, arg_min(norm, page_id) AS url FROM m GROUP BY ALL)
+ SELECT site || '/' || a || '-' || n AS id, site AS parent, upper(a[1]) || a[2:] || ' ' || n AS name, url, 'page' AS access FROM g""")
+def sitemap_page_items(spark, d):
+    p = table(spark, d, "pages").select(urls.site(F.col("url")).alias("domain"), F.col("page_id").alias("pos"), "url")
+    sites = p.select("domain").distinct()
+    one = sitemaps.patterns(spark, [{"domain": "", "match": "/{*}/{n}"}]).drop("domain")
+    compiled = sites.withColumn("all", F.lit(0)).join(one.withColumn("all", F.lit(0)), "all").drop("all")
+    made, _ = sitemaps.adapt(p, compiled, sites.select("domain", F.col("domain").alias("parent")), spark.createDataFrame([], "id string, parent string, url string, source string"), items.element_slugs(spark.createDataFrame([], _AL)), spark.createDataFrame(tagging.ALIASES, tagging.SCHEMA))
+    return made.select("id", "parent", "name", "url", "access")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
