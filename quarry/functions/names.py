@@ -142,3 +142,16 @@ def cut_at_line(c: Column, most: int) -> Column:
     head = F.substring(c, 1, most)
     line = F.regexp_extract(head, r"(?s)^(.*)\n", 1)
     return F.when(F.length(c) <= most, c).when(F.length(line) > int(most * 0.7), line).otherwise(head)
+
+
+def short_desc(desc: Column, name: Column, domain: Column, most: int = 100) -> Column:
+    """A description without the title that it begins with where that only repeats the name or domain; at most `most` characters."""
+    d = F.trim(F.regexp_replace(F.coalesce(desc, F.lit("")), "^GitHub - [^:]{1,60}:\\s*", ""))
+    marks = [" — ", " – ", " - ", " / ", ": "]
+    first = F.get(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: F.instr(d, m) > 1), F.lit(0))
+    lead = _bare(F.split_part(d, F.coalesce(first, F.lit("\x01")), F.lit(1)))
+    site = _bare(F.split_part(domain, F.lit("."), F.lit(1)))
+    repeats = first.isNotNull() & (lead != "") & (_bare(name).startswith(lead) | lead.startswith(site) | _bare(domain).startswith(lead))
+    rest = F.trim(F.substring(d, F.instr(d, first) + F.length(first), F.length(d)))
+    out = F.when(F.coalesce(repeats, F.lit(False)), rest).otherwise(d)
+    return F.when(F.length(out) > most, F.concat(F.rtrim(F.substring(out, 1, most - 3)), F.lit("…"))).otherwise(out)

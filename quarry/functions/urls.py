@@ -150,3 +150,25 @@ def resolve(base: Column, link: Column) -> Column:
 
 def fingerprint(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
+
+
+#: A name that no registry has, for soft-404 probes.
+NO_SUCH_NAME = "no-such-item-zq7"
+
+
+def _encoded(name: Column) -> Column:
+    parts = F.split(name, "/")
+    bad = F.exists(parts, lambda p: p.isin("", ".", ".."))
+    return F.when(~bad, F.array_join(F.transform(parts, lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/"))
+
+
+def candidates(name: Column, templates: list[str]) -> Column:
+    """A name in each URL template that has {name}; none for a name with an empty part or one that leaves its folder."""
+    filled = _encoded(name)
+    return F.coalesce(F.when(filled.isNotNull(), F.array_distinct(F.array(*[F.replace(F.lit(t), F.lit("{name}"), filled) for t in templates]))), F.array().cast("array<string>"))
+
+
+def probe(name: Column, template: str) -> Column:
+    """The same with the name's last part replaced by one that no site has; null where candidates() has none."""
+    other = F.regexp_replace(name, r"[^/]+$", NO_SUCH_NAME)
+    return F.when(_encoded(name).isNotNull(), F.replace(F.lit(template), F.lit("{name}"), _encoded(other)))

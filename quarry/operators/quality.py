@@ -58,3 +58,25 @@ def ndcg(hits: DataFrame, grades: DataFrame, k: int = 5) -> DataFrame:
     best = grades.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("grade"), "id"))).where(F.col("r") <= k)
     ideal = best.groupBy("q").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("r") + 1)).alias("ideal"))
     return ideal.join(dcg, "q", "left").select("q", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"), F.coalesce("unjudged", F.lit(0)).alias("unjudged"))
+
+
+def llms_state(answers: DataFrame) -> DataFrame:
+    """(id, state) over landed answers (id, status, type, body, challenged, gated) of a site's llms files: ok, gated, challenge or no-llms."""
+    text = (F.trim("body") != "") & ~(F.lower("type").contains("html") | F.lower(F.trim("body")).rlike("^<(!doctype html|html)"))
+    ok = F.coalesce((F.col("status") == 200) & text, F.lit(False))
+    wall = ~ok & (F.col("status") != 200) & F.coalesce("gated", F.lit(False))
+    bot = F.coalesce("challenged", F.lit(False)) | ((F.col("status") == 403) & ~F.coalesce("gated", F.lit(False)))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return answers.groupBy("id").agg(F.when(any_(ok), "ok").when(any_(wall), "gated").when(any_(bot), "challenge").otherwise("no-llms").alias("state"))
+
+
+def reachability(corpus: Column, repo_file: Column, registry: Column, llms: Column, home_status: Column, is_repo: Column) -> Column:
+    """How an entry can be read (corpus, repo, registry, llms), else why not: dead, gated, bot-walled, repo-gone or no-endpoint."""
+    how = F.when(corpus.isNotNull(), F.concat(F.lit("corpus:"), corpus)).when(repo_file.isNotNull(), F.concat(F.lit("repo:"), repo_file)).when(registry == "ok", "registry").when(llms == "ok", "llms.txt")
+    gone = F.coalesce((home_status == 0) | (home_status >= 500), F.lit(True))
+    either = lambda s: F.coalesce(registry == s, F.lit(False)) | F.coalesce(llms == s, F.lit(False))
+    return F.coalesce(how, F.when(gone, "dead").when(either("gated"), "gated").when(either("challenge"), "bot-walled").when(is_repo, "repo-gone").otherwise("no-endpoint"))
+
+
+def digest_status(home_blocked: Column, n_pages: Column, thin: Column) -> Column:
+    return F.when(home_blocked & (n_pages == 0), "blocked").when(home_blocked | thin, "partial").otherwise("ok")

@@ -115,3 +115,27 @@ def stack_build(names: Column, wanted: str | None, default: str = "ts-tw") -> Co
     """The build of a component for a stack: the one wanted, else the default, else the first. names: array<struct<stack, name>>."""
     pick = lambda s: F.get(F.filter(names, lambda x: x["stack"] == s), F.lit(0))
     return F.coalesce(*([pick(wanted)] if wanted else []), pick(default), F.get(names, F.lit(0)))
+
+
+def title_hints(sections: DataFrame, k: int = 15) -> DataFrame:
+    """(doc, hints): the commonest first words of three letters or more in the titles of a document's sections, as "word n"."""
+    w = sections.select("doc", F.regexp_extract(F.lower("title"), r"([\p{L}\p{N}]{3,})", 1).alias("w")).where("w <> ''").groupBy("doc", "w").agg(F.count("*").alias("n"))
+    r = w.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "w"))).where(F.col("r") <= k)
+    return r.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "w", F.col("n").cast("string")).alias("t")))), lambda x: x["t"]).alias("hints"))
+
+
+def coverage(items: DataFrame) -> DataFrame:
+    """Per element of items (id, registry, demo, slug, elements): items, demos among them, distinct slugs, registries."""
+    each = items.select("registry", "demo", "slug", F.explode("elements").alias("element"))
+    return each.groupBy("element").agg(F.count("*").alias("raw"), F.count_if("demo").alias("demos"), F.countDistinct("slug").alias("merged"), F.countDistinct("registry").alias("registries"))
+
+
+def unreachable(entries: DataFrame) -> DataFrame:
+    """(category, reason, n) of unreachable entries (categories, reason); both alone and together, null for all of one."""
+    return entries.select(F.explode("categories").alias("category"), "reason").groupingSets([["category", "reason"], ["category"]], "category", "reason").agg(F.count("*").alias("n"))
+
+
+def taxonomy_prompt(terms: DataFrame) -> DataFrame:
+    """(group, text): ids with definitions of terms (group, pos, id, definition), a line each."""
+    line = F.concat(F.lit("- "), "id", F.lit(": "), F.coalesce("definition", F.lit("")))
+    return terms.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))

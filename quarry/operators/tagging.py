@@ -58,3 +58,34 @@ def categorize(rows: DataFrame, labels: DataFrame, words: DataFrame, default: st
     by_text = said.groupBy("id").agg(F.min(F.struct("pos", "category")).alias("t"))
     out = rows.select("id").join(by_label, "id", "left").join(by_text, "id", "left")
     return out.select("id", F.coalesce("by_label", F.when(F.col("t").isNotNull(), F.array("t.category")), F.array(F.lit(default))).alias("categories"))
+
+
+#: Elements that ordinary prose names too often, categories of interface resources, the length of a short note.
+NOISY = ["team", "features", "ai-agent-ui", "cursor", "map", "list", "select", "404", "command-palette", "switch", "contact", "stats", "changelog", "timeline", "form", "input", "banner", "alert", "pagination"]
+RESOURCES = ["components", "sections", "inspiration", "templates", "motion", "layout", "color-effects", "registries"]
+SHORT_NOTE = 100
+
+
+def variants(texts: DataFrame, aliases: DataFrame, variant_aliases: DataFrame) -> DataFrame:
+    """(id, element, variant) for texts (id, text): aliases of variants (element, variant, alias) that lie in no alias of their element."""
+    own = spans(texts, aliases.where("not weak and not exclude"))
+    key = F.concat_ws("\x01", "element", "variant")
+    v = spans(texts, variant_aliases.select(key.alias("element"), "alias", F.lit(False).alias("weak"), F.lit(False).alias("exclude")))
+    v = v.select("id", F.split("element", "\x01")[0].alias("element"), F.split("element", "\x01")[1].alias("variant"), "start", "stop").alias("v")
+    within = (F.col("o.id") == F.col("v.id")) & (F.col("o.element") == F.col("v.element")) & (F.col("o.start") <= F.col("v.start")) & (F.col("o.stop") >= F.col("v.stop"))
+    return v.join(own.alias("o"), within, "left_anti").select("id", "element", "variant").distinct()
+
+
+def hints(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, element, strong) of entries (id, name, desc, labels, categories, about, note): strong where name and description name it,
+    else where a label does or, for interface resources, the about text or a short note. The entry's own name is cut out of texts."""
+    quoted = F.concat(F.lit(r"(?i)\Q"), F.replace("name", F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    bare = lambda c: F.when(F.coalesce("name", F.lit("")) != "", F.regexp_replace(F.coalesce(c, F.lit("")), quoted, F.lit(" "))).otherwise(F.coalesce(c, F.lit("")))
+    resource = F.coalesce(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in RESOURCES])), F.lit(False))
+    main = F.concat(F.lower(F.coalesce("name", F.lit(""))), F.lit(" | "), bare(F.col("desc")))
+    about = F.when(resource & ~F.col("about").eqNullSafe(F.col("desc")), bare(F.col("about")))
+    note = F.when(resource & (F.length("note") <= SHORT_NOTE), bare(F.col("note")))
+    told = F.array_compact(F.concat(F.array(main), F.transform(F.coalesce("labels", F.array().cast("array<string>")), bare), F.array(about, note)))
+    texts = rows.select("id", F.posexplode(told).alias("part", "text")).select(F.struct("id", "part").alias("id"), "text")
+    found = elements(texts, aliases).groupBy(F.col("id.id").alias("id"), "element").agg(F.bool_or(F.col("id.part") == 0).alias("strong"))
+    return found.where(F.col("strong") | ~F.col("element").isin(NOISY))

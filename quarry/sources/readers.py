@@ -128,3 +128,38 @@ def manifest(files: DataFrame) -> DataFrame:
     p = F.lower("path")
     kind = F.when(p.endswith("llms.txt") | p.endswith("llms-full.txt"), "llms").when(p.endswith("registry.json"), "registry").when(p.contains("sitemap"), "sitemap").when(p.endswith(".md"), "markdown").otherwise("other")
     return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+def item_files(c: Column) -> Column:
+    """Files (path, content) of a registry item's JSON: those with content; else its css and variables as one file; a path that leaves its folder is left out."""
+    kind = "struct<files:array<struct<path:string,target:string,content:string>>,css:map<string,string>,cssVars:string>"
+    item = F.from_json(c, kind)
+    files = F.transform(F.filter(item["files"], lambda f: f["content"].isNotNull()), lambda f: F.struct(F.coalesce(f["path"], f["target"], F.lit("file")).alias("path"), f["content"].alias("content")))
+    files = F.filter(F.coalesce(files, F.array().cast("array<struct<path:string,content:string>>")), lambda f: ~f["path"].rlike(r"(^|[\\/])\.\.([\\/]|$)|^[\\/]"))
+    rules = F.array_join(F.transform(F.map_entries(item["css"]), lambda e: F.concat(e["key"], F.lit(" {\n"), e["value"], F.lit("\n}"))), "\n\n")
+    root = F.when(item["cssVars"].isNotNull() & (item["cssVars"] != "{}"), F.concat(F.lit(":root {\n"), item["cssVars"], F.lit("\n}")))
+    style = F.concat_ws("\n\n", F.nullif(rules, F.lit("")), root)
+    return F.when((F.size(files) == 0) & (style != ""), F.array(F.struct(F.lit("css").alias("path"), style.alias("content")))).otherwise(files)
+
+
+def domain_list(lines: DataFrame, column: int | None = None) -> DataFrame:
+    """Distinct domains of lines (value): text before # in lower case, or a tab-separated column of it (from 0)."""
+    v = F.split_part("value", F.lit("#"), F.lit(1))
+    v = F.get(F.split(v, "\t"), F.lit(column)) if column is not None else v
+    return lines.select(F.lower(F.trim(v)).alias("domain")).where("domain <> ''").distinct()
+
+
+def rendered(spark: SparkSession, path: str) -> DataFrame:
+    """(url, links, anchors) of landed renders, one JSON file a page; several of one URL: the last file by name."""
+    df = spark.read.schema("url string, links array<string>, anchors array<struct<id:string,text:string>>").json(path, multiLine=True).withColumn("_f", F.input_file_name())
+    return df.where("url is not null").groupBy("url").agg(F.max_by(F.struct("links", "anchors"), "_f").alias("r")).select("url", "r.*")
+
+
+def probe_summary(pages: DataFrame, k: int = 8) -> DataFrame:
+    """(site, links, prefixes, ids): what pages (site, url, html) link to on their own site by first path segment, and their ids."""
+    own = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["'](/[^"'/#?]*)"""), F.lit(1))
+    each = pages.select("site", F.explode(own).alias("prefix")).groupBy("site", "prefix").agg(F.count("*").alias("n"))
+    r = each.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "prefix")))
+    top = r.groupBy("site").agg(F.sum("n").alias("links"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.struct("r", F.concat_ws(" ", "prefix", F.col("n").cast("string")).alias("t"))))), lambda x: x["t"]).alias("prefixes"))
+    ids = pages.groupBy("site").agg(F.sum(F.regexp_count("html", F.lit(r"""(?i)<(?:section|article|h[1-4])\b[^>]*\bid\s*="""))).alias("ids"))
+    return ids.join(top, "site", "left")
