@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import stem, tokens
@@ -25,6 +25,13 @@ def terms(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
     return words.groupBy("doc", "kind", "field", "bit", "weight", "counted", "term").agg(F.count("*").alias("n"))
 
 
+def tag_terms(docs: DataFrame, doc: str, field: str, prefix: str, values: Column) -> DataFrame:
+    """Rows as terms() gives them for whole tags of a document, as prefix:tag."""
+    kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
+    row = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), F.explode(F.array_distinct(values)).alias("v"))
+    return row.select("doc", "kind", F.lit(field).alias("field"), F.lit(1 << FIELDS.index(field)).alias("bit"), F.lit(WEIGHTS[field]).alias("weight"), F.lit(True).alias("counted"), F.concat(F.lit(prefix + ":"), "v").alias("term"), F.lit(1).cast("long").alias("n"))
+
+
 def build(t: DataFrame) -> DataFrame:
     """Postings (term, doc, tf100, mask): length-normalised term frequencies in hundredths, and the fields as bits.
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import stem, tokens
@@ -68,6 +68,31 @@ class Vocabulary:
         return sorted(seen.values(), key=lambda p: (ORDER[p.kind], -len(p.words)))
 
 
+def splits(spark: SparkSession, texts: list[str]) -> dict[str, list[tuple[str, str]]]:
+    """Words and stems of each of a vocabulary's texts, by the functions that documents are split with (a row a text)."""
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _pairs(F.col("t")).alias("p")).collect()
+    return {r.t: [(x.w, x.s) for x in r.p] for r in rows}
+
+
+def _pairs(c: Column) -> Column:
+    return F.transform(tokens(c), lambda w: F.struct(w.alias("w"), stem(w).alias("s")))
+
+
+def for_sections(concepts: DataFrame, vocabulary: Vocabulary) -> list[list[dict]]:
+    """One query's concepts as sections.rank_headed() takes them: a tag stands for all its wordings. A query has few rows."""
+    wordings = {"el": vocabulary.elements, "cat": vocabulary.categories, "va": {f"{e}/{v}": a for (e, v), a in vocabulary.variants.items()}}
+    split = splits(concepts.sparkSession, sorted({*vocabulary.texts(), *[n for w in wordings.values() for n in w]}))
+    out: dict[int, dict[int, dict]] = {}
+    for r in concepts.orderBy("concept", "alt").collect():
+        alt = out.setdefault(r.concept, {}).setdefault(r.alt, {"weight": r.weight, "words": [], "tags": []})
+        if r.is_tag:
+            kind, name = r.term.split(":", 1)
+            alt["tags"].append([g for t in [name, *wordings[kind].get(name, [])] if (g := [x for _, x in split[t]])])
+        else:
+            alt["words"].append(r.term)
+    return [list(alts.values()) for alts in out.values()]
+
+
 def read_query(words: list[str], stems: list[str], by_first: dict[str, list[tuple[int, Phrase]]]) -> list[tuple[str, tuple, bool]]:
     """(word, alts, gated) of a query. Phrases that begin at some word are looked up by it and taken in the vocabulary's
     order; each word of the query serves one phrase. What remains are plain words without the stop words."""
@@ -95,13 +120,11 @@ def analyse(queries: DataFrame, vocabulary: Vocabulary, terms: DataFrame | None
     """Concepts (see search.CONCEPTS) of queries (q). The vocabulary is bounded and sent to the workers once; queries are read in
     Arrow batches. terms (term): with it, a plain word of five letters or more that it lacks also means the terms one edit away."""
     spark = queries.sparkSession
-    pairs = lambda c: F.transform(tokens(c), lambda w: F.struct(w.alias("w"), stem(w).alias("s")))
-    texts = vocabulary.texts()
-    said = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pairs(F.col("t")).alias("p")).collect()  # a row an alias
+    split = splits(spark, vocabulary.texts())
     by_first: dict[str, list[tuple[int, Phrase]]] = {}
-    for rank, p in enumerate(vocabulary.phrases({r.t: [(x.w, x.s) for x in r.p] for r in said})):
+    for rank, p in enumerate(vocabulary.phrases(split)):
         by_first.setdefault(p.words[0], []).append((rank, p))
-    first_stem = {x.w: x.s for r in said for x in r.p}
+    first_stem = {w: s for p in split.values() for w, s in p}
     for w, ps in list(by_first.items()):
         if first_stem[w] != w:
             by_first.setdefault(first_stem[w], []).extend(ps)
@@ -115,7 +138,7 @@ def analyse(queries: DataFrame, vocabulary: Vocabulary, terms: DataFrame | None
                     rows += [(q, c, a, t, bool(re.match("(el|va|cat):", t)), weight, gated) for a, (ts, weight) in enumerate(alts) for t in dict.fromkeys(ts)]
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
 
-    out = queries.select("q", pairs(F.col("q")).alias("p")).mapInArrow(run, CONCEPTS)
+    out = queries.select("q", _pairs(F.col("q")).alias("p")).mapInArrow(run, CONCEPTS)
     if terms is None:
         return out
     lone = out.groupBy("q", "concept").agg(F.count("*").alias("n"), F.max("alt").alias("alts"), F.first("term").alias("word"), F.first("is_tag").alias("tag")).where("n = 1 and alts = 0 and not tag")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
-from quarry.operators import index, reports, search, sections
+from quarry.operators import index, pages, phrases, reports, search, sections
 
 
 class Catalog:
@@ -23,10 +23,10 @@ class Catalog:
         "parent": "string", "slug": "string", "description": "string", "variants": "map<string,array<string>>", "access": "string", "granularity": "string", "type": "string", "stacks": "array<string>", "install_url": "string",
     }
 
-    def __init__(self, entries: DataFrame, items: DataFrame, contents: DataFrame | None = None, synonyms: DataFrame | None = None) -> None:
+    def __init__(self, entries: DataFrame, items: DataFrame, contents: DataFrame | None = None, synonyms: DataFrame | None = None, vocabulary: phrases.Vocabulary | None = None) -> None:
         self.spark: SparkSession = entries.sparkSession
         full = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in self.COLUMNS.items()])
-        self.entries, self.contents = full(entries), contents
+        self.entries, self.contents, self.vocabulary = full(entries), contents, vocabulary
         self.items = full(items).withColumn("kind", F.lit("item"))
         self.synonyms = synonyms if synonyms is not None else self.spark.createDataFrame([], "term string, alt_terms array<string>")
 
@@ -37,7 +37,10 @@ class Catalog:
     @cached_property
     def postings(self) -> DataFrame:
         joined = self.all.withColumn("element", F.array_join("elements", " ")).withColumn("category", F.array_join("categories", " ")).withColumn("variant", F.array_join(F.flatten(F.map_values("variants")), " ")).withColumn("text", F.coalesce("desc", "description"))
-        return index.build(index.terms(joined, "id", {"name": "name", "element": "element", "variant": "variant", "description": "text", "about": "about", "category": "category", "domain": "domain"})).persist()
+        tags = index.tag_terms(self.all, "id", "element", "el", F.col("elements")).unionByName(index.tag_terms(self.all, "id", "category", "cat", F.col("categories")))
+        pairs = F.flatten(F.transform(F.map_entries("variants"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("/"), v))))
+        tags = tags.unionByName(index.tag_terms(self.all, "id", "variant", "va", pairs)) if self.vocabulary else tags.where("false")
+        return index.build(tags.unionByName(index.terms(joined, "id", {"name": "name", "element": "element", "variant": "variant", "description": "text", "about": "about", "category": "category", "domain": "domain"}))).persist()
 
     @cached_property
     def idf(self) -> DataFrame:
@@ -48,7 +51,8 @@ class Catalog:
         """rows with score and rank order; without a query by mentions, then name."""
         if not query:
             return rows.withColumn("score", F.coalesce(F.col("mentions"), F.lit(0)).cast("double"))
-        concepts = search.analyse(self.spark.createDataFrame([(query,)], "q string"), self.synonyms)
+        asked = self.spark.createDataFrame([(query,)], "q string")
+        concepts = phrases.analyse(asked, self.vocabulary, self.idf.select("term")) if self.vocabulary else search.analyse(asked, self.synonyms)
         hits = search.score(self.postings, self.idf, concepts)
         hits = search.boost(hits, self.entries.where("kind <> 'page'").select(F.col("id").alias("doc"), "name"))
         return rows.join(hits.select(F.col("doc").alias("id"), "score"), "id")
@@ -115,10 +119,19 @@ class Catalog:
             return parts.where(F.col("n") == section).select("n", "title", "path", "part")
         if query:
             words = self.spark.createDataFrame([(query,)], "q string").select(F.transform(text.tokens(F.col("q")), text.stem).alias("w")).first().w
+            if self.vocabulary:
+                concepts = phrases.for_sections(phrases.analyse(self.spark.createDataFrame([(query,)], "q string"), self.vocabulary), self.vocabulary)
+                ranked = sections.rank_headed(parts.select("doc", "n", "title", "path", F.col("part").alias("text")), concepts)
+                return parts.join(ranked, ["doc", "n"]).orderBy(F.desc("score"), "n").limit(5).select("n", "title", "path", "part", "score")
             ranked = sections.rank(parts.select("doc", "n", F.col("part").alias("text")), sorted(set(words)))
             return parts.join(ranked, ["doc", "n"]).orderBy(F.desc("score"), "n").limit(5).select("n", "title", "path", "part", "score")
         return parts.select("n", "title", "path", F.when(F.length("text") <= whole, F.col("part")).alias("part")).orderBy("n")
 
+    def outline(self, ref: str, budget: int = 7000) -> DataFrame:
+        """The titles of an entry's document, down to the level that fits the budget of bytes."""
+        doc = self.contents.where(F.col("doc") == self.resolve(ref)).select(F.xxhash64("doc").alias("doc"), "text")
+        return pages.outline(sections.split(doc), doc, budget).select("depth", "listed", "text")
+
     def component(self, sources: DataFrame, ref: str, name: str, offset: int = 0, size: int = 20_000) -> DataFrame:
         """A window of a component's source files (parent, name, path, content), joined in path order."""
         f = sources.where((F.col("parent") == self.resolve(ref)) & (F.lower("name") == name.lower()))

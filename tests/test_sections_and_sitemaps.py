@@ -71,3 +71,18 @@ def test_sitemaps(spark):
     got = {r.id: (r.name, r.elements) for r in made.collect()}
     assert got == {"a/alert-dialog": ("Alert Dialog", ["modal"]), "a/modal-one": ("Modal One", ["modal"]), "a/modal-two": ("Modal Two", ["modal"]), "a/zig": ("Zig", ["modal"])}
     assert {r.domain: (r.pages, r.made, r.attached) for r in sitemaps.facts(pages.where("url is not null"), made, attached).collect()}["a.com"] == (11, 4, 2)
+
+
+def test_catalog_with_vocabulary(spark):
+    from quarry.plans.api import Catalog
+
+    entries = spark.createDataFrame([("a", "Alpha", "https://a.com", "a.com", "site", "tools", ["kits"], ["navbar"]), ("b", "Beta", "https://b.com", "b.com", "site", "a nav menu of sorts", ["fonts"], None)], "id string, name string, url string, domain string, kind string, desc string, categories array<string>, elements array<string>")
+    items_ = spark.createDataFrame([("a/x", "a", "Bar", {"navbar": ["mega"]}, ["navbar"])], "id string, parent string, name string, variants map<string,array<string>>, elements array<string>")
+    contents = spark.createDataFrame([("a", "# Navbar\n" + "x " * 120 + "\n## Props\n" + "y " * 120 + "\n# Other\n" + "z menu " * 60)], "doc string, text string")
+    c = Catalog(entries, items_, contents, vocabulary=VOCABULARY)
+    assert [r.id for r in c.search("gezinme").collect()][0] == "a"
+    assert [r.id for r in c.search("yazı tipi").collect()] == ["b"]
+    assert c.search_items("mega navbar").first().id == "a/x"
+    assert c.content("a", query="nav menu").first().title == "Navbar"
+    assert c.outline("a", 7000).first().listed == 3
+    assert c.search("the of").count() == 0
