@@ -10,7 +10,12 @@ the same shingles form a class, so copies cost one row a task. Classes that coll
 candidates; signature trees verify the exact Jaccard similarity, and the components are the clusters. A cluster
 that occurs in two documents or more keeps its first paragraph (smallest doc_id, then place).
 
-Class ids are 64-bit hashes of the shingles; two different classes among 10^9 share one with probability 0.03.
+Exact passages that start and end inside paragraphs are found by runs: of every ``passage`` consecutive words of a document,
+whatever their lines and sentences, the part of ``passage // 2`` words with the least hash is a run. So two documents
+that share ``passage`` words in a row share a run inside them, always, and runs follow each other within
+``passage // 2 + 2`` words. Equal runs are a cluster of their own; they overlap each other and paragraphs.
+
+Class ids are 64-bit hashes of the shingles, or of a run's words; two different classes among 10^9 share one with probability 0.03.
 
 Cases: null or empty text has no paragraph; null doc_ids are ignored; rows that repeat a doc_id and a text are one
 document; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 from quarry.llm.jaccard import link_sets, token_pods
-from quarry.llm.text import buffers, mix, slices, words
+from quarry.llm.text import _powers, buffers, mix, slices, words
 
 SHINGLE, BANDS = 5, 4
 _STOP = np.zeros(256, bool)
@@ -35,10 +40,10 @@ _STOP[[ord(c) for c in ".!?"]] = True
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1) ** 3 | 1) % (1 << 64) for j in range(SHINGLE)], np.uint64)
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """The paragraphs of at least min_words words: row, no, start, end (bytes in the row), words, and first and last + 1 shingle in ``shingle``."""
+def paragraphs(data: np.ndarray, offsets: np.ndarray, min_words: int, found: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+    """The paragraphs of at least min_words words: row, no, start, end (bytes in the row), words, and first and last + 1 shingle in ``shingle``. found: what words() gives."""
     base = int(offsets[0])
-    starts, ends, hashes, rows = words(data, offsets)
+    starts, ends, hashes, rows = found
     n = len(starts)
     empty = {k: np.zeros(0, np.int64) for k in ("row", "no", "start", "end", "words", "a", "b")} | {"shingle": np.zeros(0, np.uint64)}
     if n < max(min_words, SHINGLE):
@@ -68,6 +73,29 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[st
     return {"row": row, "no": no, "start": starts[first] - (offsets[row] - base), "end": ends[cut] - (offsets[row] - base), "words": count, "a": first, "b": cut + 2 - SHINGLE, "shingle": mix(h)}
 
 
+def runs(offsets: np.ndarray, passage: int, found: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+    """The runs: row, no, start, end (bytes in the row), words and class k. A row's runs are numbered by their first word, from the row's number of words on."""
+    starts, ends, hashes, rows = found
+    n, size = len(starts), passage // 2
+    span = passage - size + 1
+    begin = np.flatnonzero(np.arange(n) + passage <= np.repeat(rows[1:], np.diff(rows)))
+    if not len(begin):
+        return {k: np.zeros(0, np.int64) for k in ("row", "no", "start", "end", "words", "k")}
+    up, down = _powers(n)
+    sums = np.append(np.uint64(0), np.cumsum(hashes * up[:n], dtype=np.uint64))
+    h = mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + np.uint64(0x632BE59BD9B4E019))
+    # The low bits hold the place modulo span: they tell the place again, and of equal runs choose one in a span.
+    low = np.uint64((1 << (span - 1).bit_length()) - 1)
+    least, width = (h & ~low) | (np.arange(len(h)) % span).astype(np.uint64), 1
+    while width < span:
+        step = min(width, span - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.unique(begin + ((least[begin] & low).astype(np.int64) - begin) % span)
+    row = np.searchsorted(rows, at, "right") - 1
+    head = offsets[row] - offsets[0]
+    return {"row": row, "no": rows[row + 1] - rows[row] + at - rows[row], "start": starts[at] - head, "end": ends[at + size - 1] - head, "words": np.full(len(at), size), "k": h[at].view(np.int64)}
+
+
 def classes(p: dict[str, np.ndarray]) -> np.ndarray:
     """The class id of each paragraph."""
     sums = np.append(np.uint64(0), np.cumsum(mix(p["shingle"] ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
@@ -89,23 +117,32 @@ def bands(p: dict[str, np.ndarray], which: np.ndarray) -> np.ndarray:
 def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     data, offsets = buffers(batch.column("text"))
     for i, j in slices(offsets):
-        yield i, paragraphs(data, offsets[i : j + 1], min_words)
+        at = offsets[i : j + 1]
+        yield i, paragraphs(data, at, min_words, words(data, at))
 
 
-def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8) -> DataFrame:
-    """The paragraphs of clusters that span documents.
+def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8, passage: int = 50) -> DataFrame:
+    """The paragraphs and runs of clusters that span documents.
 
     Columns: doc_id, paragraph, start_byte, end_byte, n_words, keep_doc_id, keep_paragraph, copies
-    (paragraphs in the cluster) and removed (false for the one that stays).
+    (paragraphs in the cluster) and removed (false for the one that stays). A run is a row like a
+    paragraph, its number at least the document's number of words.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
     def emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            for i, p in _parts(b, min_words):
-                if len(p["row"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(classes(p)), pa.array(ids[i + p["row"]]), pa.array(p["no"].astype(np.int32)), pa.array(p["start"]), pa.array(p["end"]), pa.array(p["words"].astype(np.int32))], ["k", "doc_id", "no", "start", "end", "words"])
+            data, offsets = buffers(b.column("text"))
+            for i, j in slices(offsets):
+                at = offsets[i : j + 1]
+                found = words(data, at)
+                p, r = paragraphs(data, at, min_words, found), runs(at, passage, found)
+                k = np.append(classes(p), r["k"])
+                if len(k):
+                    row, no, start, end, size = (np.append(p[c], r[c]) for c in ("row", "no", "start", "end", "words"))
+                    run = np.arange(len(k)) >= len(p["row"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[i + row]), pa.array(no.astype(np.int32)), pa.array(start), pa.array(end), pa.array(size.astype(np.int32)), pa.array(run)], ["k", "doc_id", "no", "start", "end", "words", "run"])
 
     def emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -124,7 +161,8 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8) -
                 n = np.repeat((p["b"] - p["a"])[which], BANDS)[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok].view(np.int64)), pa.array(n), pa.array(np.repeat(k[which], BANDS)[ok])], ["token", "n", "id"])
 
-    places = stored(docs.mapInArrow(emit_places, "k long, doc_id long, no int, start long, end long, words int"), "passages")
+    made = stored(docs.mapInArrow(emit_places, "k long, doc_id long, no int, start long, end long, words int, run boolean"), "passages")
+    places, parts = made.where("not run").drop("run"), made.where("run").drop("run")
     pods = token_pods(docs.mapInArrow(emit_bands, "token long, n long, id long"), percent)
     held = stored(places.groupBy("k").agg(F.min(F.struct("doc_id", "no", "start", "end", "words")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "passage-classes")
 
@@ -153,6 +191,8 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8) -
     clustered = held.join(near.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     clusters = clustered.groupBy("c").agg(F.min("at").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
     chosen = clustered.select("k", "c").join(clusters, "c").select("k", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies")
-    out = places.join(chosen, "k").dropDuplicates(["doc_id", "no", "k"])
+    equal = parts.groupBy("k").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
+    equal = equal.select("k", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies")
+    out = places.join(chosen, "k").union(parts.join(equal, "k")).dropDuplicates(["doc_id", "no", "k"])
     same = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("no") == F.col("keep_paragraph"))
     return out.select("doc_id", F.col("no").alias("paragraph"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("words").alias("n_words"), "keep_doc_id", "keep_paragraph", "copies", (~same).alias("removed"))

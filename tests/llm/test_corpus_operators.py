@@ -1,5 +1,6 @@
 """Each operator against its brute-force version: on the small tables and on awkward rows."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -341,6 +342,32 @@ def test_passages(odd, docs, rows):
     assert len(must - found) <= 0.02 * len(must) and found <= may
 
 
+def test_passages_inside_sentences(spark, docs, rows):
+    """Every 50 words in a row that two documents share hold a whole reported span, wherever they start, stop and break."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    short = [" ".join(f"{x} {y} {z}." for x, y, z in zip(fresh(17), fresh(17), fresh(17), strict=True)).split() for _ in range(5)]
+    cases = []
+    for shared in [fresh(50) for _ in range(40)] + short + [["same"] * 60, ["two", "words"] * 40]:
+        lines = "\n".join(" ".join(shared[k : k + 6]) for k in range(0, len(shared), 6))
+        for middle in (" ".join(shared), lines):
+            cases.append((len(cases), " ".join([*fresh(rng.integers(5, 40)), middle, *fresh(rng.integers(5, 40))])))
+    for table, texts in ((spark.createDataFrame(cases, "doc_id long, text string"), cases), (docs, rows)):
+        held, windows = defaultdict(set), []
+        for d, t in texts:
+            raw = (t or "").encode()
+            w = [(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+            for k in range(len(w) - 49):
+                key = tuple(x[2] for x in w[k : k + 50])
+                held[hash(key)].add(d)
+                windows.append((hash(key), d, w[k][0], w[k + 49][1]))
+        spans = defaultdict(list)
+        for r in substring.duplicate_passages(table).collect():
+            spans[r.doc_id].append((r.start_byte, r.end_byte))
+        must = [(d, a, b) for h, d, a, b in windows if len(held[h]) > 1]
+        assert must and not [m for m in must if not any(m[1] <= x and y <= m[2] for x, y in spans[m[0]])]
+
+
 def test_odd_and_empty_tables(spark, odd, empty):
     """Nothing crashes, and each row has its result."""
     labels = spark.createDataFrame([(5, 1), (8, 0), (9, None), (10, 0), (6, 1), (12, 1), (11, 0)], "doc_id long, toxic int")
