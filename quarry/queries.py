@@ -545,6 +545,12 @@ def loose_key_match(spark, d):
     return items.loose_match(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), r, "k").select("s_suppkey", "c_custkey")
 
 
+@query("""WITH n AS (SELECT s_suppkey, ltrim(regexp_replace(s_name, '[^0-9]', '', 'g'), '0') AS k FROM supplier), o AS (SELECT ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0') AS k, min(c_custkey) AS c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, c_custkey FROM n JOIN o USING (k)""")
+def loose_name_match(spark, d):
+    k = lambda c: F.regexp_replace(F.regexp_replace(c, "[^0-9]", ""), "^0+", "").alias("k")
+    return items.loose_match(table(spark, d, "supplier").select("s_suppkey", k("s_name")), table(spark, d, "customer").select(k("c_name"), "c_custkey"), "k").select("s_suppkey", "c_custkey")
+
+
 @query("""WITH c AS (SELECT s_suppkey AS id, unnest([s_nationkey + 7, s_nationkey + 3, s_nationkey]) AS key, generate_subscripts([1, 2, 3], 1) AS pos FROM supplier), f AS (SELECT id, arg_min(key, pos) AS found FROM c WHERE key IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY id)
  SELECT s_suppkey AS id, found FROM supplier LEFT JOIN f ON s_suppkey = id""")
 def twin_lookup(spark, d):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from quarry import queries
+from quarry.operators import items
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,11 @@ def test_query(spark, duck, name):
     at = [got.columns.index(c) for c in cols]
     assert sorted(got.columns) == cols
     assert rows == sorted([tuple(norm(r[k]) for k in at) for r in got.fetchall()], key=repr)
+
+
+def test_loose_name_match_reads_all_customers(spark):
+    """Any customer can be matched, and a name that several share matches none."""
+    got = {(r.s_suppkey, r.c_custkey) for r in queries.queries()["loose_name_match"](spark, SF).collect()}
+    assert got == {(s, s) for s in range(spark.read.parquet(f"{SF}/supplier.parquet").count())}
+    several = spark.createDataFrame([("1", 1), ("1", 2), ("2", 3)], "k string, r int")
+    assert [(x.k, x.r) for x in items.loose_match(several.select("k").distinct(), several, "k").collect()] == [("2", 3)]
