@@ -379,6 +379,12 @@ def union_precedence(spark, d):
     return items.union_first([a, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"))], "k", [F.col("pos")]).select("k", "adapter")
 
 
+@query("WITH u AS (SELECT l_orderkey AS k, 0 AS adapter, l_linenumber AS pos FROM lineitem UNION ALL SELECT o_orderkey, 1, 0 FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY adapter, pos) AS i FROM u) SELECT k, adapter FROM r WHERE i = 1")
+def union_precedence_whole(spark, d):
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"))
+    return items.union_first([a, table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("pos"))], "k", [F.col("pos")]).select("k", "adapter")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_left_anti(spark, d):
     return table(spark, d, "orders").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")

@@ -48,3 +48,11 @@ def test_loose_name_match_reads_all_customers(spark):
     assert got == {(s, s) for s in range(spark.read.parquet(f"{SF}/supplier.parquet").count())}
     several = spark.createDataFrame([("1", 1), ("1", 2), ("2", 3)], "k string, r int")
     assert [(x.k, x.r) for x in items.loose_match(several.select("k").distinct(), several, "k").collect()] == [("2", 3)]
+
+
+def test_union_precedence_reads_whole_tables(spark):
+    """Every order has a row, from the second adapter just where no line has its key."""
+    got = {r.k: r.adapter for r in queries.queries()["union_precedence_whole"](spark, SF).collect()}
+    lines = {r.l_orderkey for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    assert got == {k: int(k not in lines) for k in orders | lines} and set(got.values()) == {0, 1}
