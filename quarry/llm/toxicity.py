@@ -127,9 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score column (0 to 1)."""
-    names = docs.columns
-    out = "score" if "score" not in names else "_score"
+    """docs with a score column (0 to 1), the last one: ``score``, after as many underscores as keep it from docs' own names."""
+    names, out = docs.columns, "score"
+    while out in [n.lower() for n in names]:
+        out = "_" + out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

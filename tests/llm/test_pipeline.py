@@ -84,3 +84,15 @@ def test_stages(spark, corpus):
                 have[r.doc_id] += r.length
             assert have == want
     assert sum(r.length for r in cp.run(spark, at).collect()) == sum(have.values())
+
+
+def test_drop_toxic_keeps_foreign_scores(spark, corpus):
+    """A score column of the table is neither read nor changed."""
+    at, docs = corpus
+    now = spark.read.parquet(f"{at}/documents.parquet")
+    want = sorted(r.doc_id for r in cp.drop_toxic(spark, now, at).collect())
+    own = now.selectExpr("*", "'text' as Score", "doc_id * 1.0 as _score")
+    got = cp.drop_toxic(spark, own, at)
+    assert got.columns == own.columns
+    assert sorted((r.doc_id, r.Score, r._score) for r in got.collect()) == [(d, "text", d) for d in want]
+    assert len(want) < len(docs)
