@@ -9,15 +9,16 @@ landed by the choice that comes nearest to the word total.
 
 Cases: null text has no words, null sources form a source of their own (last), documents without
 words are balanced by count only and take nothing, an empty table gives an empty result, and rows
-that repeat a doc_id are treated as documents of their own. The random numbers come from a hash of
-the block, so reruns agree.
+that repeat a doc_id are treated as documents of their own. Blocks and random numbers come from a hash of
+each document's id, source and text, rows equal in all three being numbered, so reruns agree however the
+rows are laid out. Equal rows are numbered in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import remove, path_of, stored
@@ -25,6 +26,12 @@ from quarry.llm.common import remove, path_of, stored
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def mark() -> Column:
+    """A hash of doc_id, source and text that tells nulls apart: rows that have it in common can stand for each other."""
+    names = ["doc_id", "source", "text"]
+    return F.xxhash64(*names, *[F.isnull(c) for c in names])
+
+
 def targets(sources: DataFrame, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
     """Rows (source, source_size, target) from (source, source_size).
 
@@ -114,17 +121,17 @@ def _block(pdf: pd.DataFrame, final: bool) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 4000) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words that the mix takes) and copies."""
-    spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    """Per document: doc_id, source, size, source_size, target, taken (words that the mix takes), copies and mark (its mark())."""
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), mark().alias("mark"))
+    number = F.row_number().over(Window.partitionBy("mark").orderBy("doc_id", "source", "size")).cast("long")
+    sized = stored(sized.withColumn("row", number), "mix-sizes")
     known = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weights), "mix-targets")
     counts = sized.groupBy("source").agg(F.count("*").alias("n"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = stored(known.join(counts, known.source.eqNullSafe(counts.source)).select(known.source, "source_size", "target", rate.alias("rate"), "n"), "mix-plan")
     of = plan.select(F.col("source").alias("_s"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), "n")
     left = sized.join(of, sized.source.eqNullSafe(of._s)).drop("_s")
-    mark = F.xxhash64("doc_id", "source", "size")
-    left = left.select("doc_id", "row", "source", "size", "p", mark.alias("mark"), F.ceil(F.col("n") / block).alias("blocks"))
+    left = left.select("doc_id", "row", "source", "size", "p", "mark", F.ceil(F.col("n") / block).alias("blocks"))
     schema = "doc_id long, row long, source string, size long, p double, mark long, blocks long"
     done = None
     while True:
@@ -142,8 +149,8 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.
             break
         again = rest.groupBy("source").agg(F.count("*").alias("n"))
         left = rest.drop("blocks").join(again.select(F.col("source").alias("_s"), F.ceil(F.col("n") / block).alias("blocks")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(*left.columns)
-    final = done.select("row", F.col("p").alias("extra"))
+    final = done.select("mark", "row", F.col("p").alias("extra"))
     of = plan.select(F.col("source").alias("_s"), "source_size", "target", F.floor("rate").cast("long").alias("whole"))
-    out = sized.join(final, "row").join(of, sized.source.eqNullSafe(of._s))
+    out = sized.join(final, ["mark", "row"]).join(of, sized.source.eqNullSafe(of._s))
     copies = (F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "mark")

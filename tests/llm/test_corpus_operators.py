@@ -177,6 +177,13 @@ def test_mixing(docs, odd, which):
         assert again == {(r.doc_id, r["size"]): r.taken for r in got}
 
 
+def test_mixing_in_blocks_reruns_alike(spark, docs):
+    """Several blocks a source: the physical layout changes nothing, for repeated rows neither."""
+    table = docs.select("doc_id", "text", "source").union(docs.selectExpr("null", "text", "source").where("length(text) < 400").crossJoin(spark.range(2)).drop("id"))
+    runs = [Counter((r.doc_id, r.source, r["size"], r.copies) for r in mixing.mix(table.repartition(n, by), block=8).collect()) for n, by in ((2, "text"), (7, "doc_id"))]
+    assert runs[0] == runs[1]
+
+
 def test_flight_keeps_constraints():
     rng = np.random.default_rng(2)
     p, size = rng.random(500), rng.integers(1, 1000, 500).astype(float)
