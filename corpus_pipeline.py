@@ -3,7 +3,7 @@ group stays, sources are mixed to target weights, and what remains is packed int
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, jaccard, mixing, packing, toxicity
@@ -31,9 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times); words near each source's target."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    each = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return each.select(*docs.columns)
+    # Rows with one mark are equal in doc_id, source and text; their copies differ by one at most.
+    low, copies = F.min("copies"), F.sum("copies")
+    taken = mixing.mix(docs).groupBy(F.col("mark").alias("_mark")).agg(low.alias("_low"), (copies - low * F.count("*")).alias("_more")).where("_low > 0 or _more > 0")
+    each = docs.withColumn("_mark", mixing.mark()).join(taken, "_mark")
+    each = each.withColumn("_row", F.row_number().over(Window.partitionBy("_mark").orderBy("_mark")))
+    each = each.withColumn("_copies", (F.col("_low") + (F.col("_row") <= F.col("_more")).cast("int")).cast("int")).where("_copies > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

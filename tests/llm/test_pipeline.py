@@ -7,6 +7,7 @@ import brute
 import pytest
 
 import corpus_pipeline as cp
+from quarry.llm import mixing
 from quarry.llm.queries import tokenizer
 
 BAD = ["vilebad", "nastybad", "foulbad"]
@@ -96,3 +97,14 @@ def test_drop_toxic_keeps_foreign_scores(spark, corpus):
     assert got.columns == own.columns
     assert sorted((r.doc_id, r.Score, r._score) for r in got.collect()) == [(d, "text", d) for d in want]
     assert len(want) < len(docs)
+
+
+def test_mix_takes_null_and_repeated_ids(spark):
+    """Each row is taken as often as the mix says, whatever its doc_id."""
+    rows = [(None if d % 3 == 0 else d % 10, " ".join(["w"] * (d + 1)), f"s{d % 3 if d % 2 else 0}") for d in range(300)] + [(5, "equal rows here", "s1")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[(r.doc_id, r["size"], r.source)] += r.copies
+    got = Counter((r.doc_id, len(r.text.split()), r.source) for r in cp.mix_sources(spark, docs, "").collect())
+    assert got == +want and any(d is None for d, *_ in got)
