@@ -114,6 +114,15 @@ def bands(p: dict[str, np.ndarray], which: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(p: dict[str, np.ndarray], which: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each of these paragraphs."""
+    size = (p["b"] - p["a"])[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    at = np.repeat(p["a"][which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(owner))
+    own = np.unique(mix(p["shingle"][at] ^ mix(owner.astype(np.uint64))), return_index=True)[1]
+    return np.bincount(owner[own], minlength=len(which)).astype(np.int64)
+
+
 def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     data, offsets = buffers(batch.column("text"))
     for i, j in slices(offsets):
@@ -158,7 +167,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8, p
                 seen.update(k[which].tolist())
                 x = bands(p, which)
                 ok = (x != np.iinfo(np.uint64).max).ravel()
-                n = np.repeat((p["b"] - p["a"])[which], BANDS)[ok]
+                n = np.repeat(distinct(p, which), BANDS)[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok].view(np.int64)), pa.array(n), pa.array(np.repeat(k[which], BANDS)[ok])], ["token", "n", "id"])
 
     made = stored(docs.mapInArrow(emit_places, "k long, doc_id long, no int, start long, end long, words int, run boolean"), "passages")

@@ -375,6 +375,13 @@ def test_passages_inside_sentences(spark, docs, rows):
         assert must and not [m for m in must if not any(m[1] <= x and y <= m[2] for x, y in spans[m[0]])]
 
 
+def test_passages_of_repeated_words(spark):
+    """Paragraphs with the same distinct shingles link, however often they repeat them."""
+    table = spark.createDataFrame([(1, "again " * 20), (2, "again " * 75)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, r.keep_doc_id) for r in substring.duplicate_passages(table).collect()}
+    assert {(1, 20, 1), (2, 75, 1)} <= got
+
+
 def test_odd_and_empty_tables(spark, odd, empty):
     """Nothing crashes, and each row has its result."""
     labels = spark.createDataFrame([(5, 1), (8, 0), (9, None), (10, 0), (6, 1), (12, 1), (11, 0)], "doc_id long, toxic int")
