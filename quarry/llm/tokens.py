@@ -2,12 +2,14 @@
 
 Both vocabularies used here split text before merging, and never across a single space or newline
 between other characters. So a text is encoded chunk by chunk, each distinct chunk once, and
-the ids are gathered by array indexing. A text with any other white space is encoded whole. The
+the ids are gathered by array indexing. A text with any other white space is encoded whole, and so is one
+that may hold the literal of a special token, which the library's plain call turns into that token's id. The
 chunk table is emptied when it reaches ``CHUNKS`` entries, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 from itertools import repeat
 
@@ -32,7 +34,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: How the literals of special tokens begin; a text with such a beginning is never cut.
+        self.marks = sorted({t.content[:2].lower() for t in self.model.get_added_tokens_decoder().values()})
         self.spaced = spaced
         self.opens = np.zeros(self.model.get_vocab_size() + 1, bool)
         if spaced:  # tokens that begin with the space
@@ -63,9 +66,12 @@ class Encoder:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _base(self, chunk: str) -> tuple[str, str]:
-        """A chunk of letters and one stop as (letters, stop): both vocabularies split there. Otherwise (chunk, "")."""
+        """A chunk of letters and one stop as (letters, stop): both vocabularies split there. Otherwise (chunk, "").
+
+        Letters beyond ASCII must be letters still once they are composed and lower-cased: a mark would join the stop.
+        """
         low = chunk.lower() if not self.spaced and chunk.isascii() else chunk
-        if low[-1] in self.stops and low[:-1].isalpha() and (low.isascii() or max(low) < "\u0250"):
+        if low[-1] in self.stops and low[:-1].isalpha() and (low.isascii() or max(low) < "\u0250" and unicodedata.normalize("NFC", low[:-1]).lower().isalpha()):
             return low[:-1], low[-1]
         return low, ""
 
@@ -115,6 +121,8 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """Chunks of a text whose white space is single spaces and newlines between other characters, else None."""
+        if any(m in (text if m.upper() == m else text.lower()) for m in self.marks):
+            return None
         out = text.replace("\n", " \n" if self.spaced else " ").split(" ")
         if "" in out or "\n" in out or len(text.split()) != len(out):
             return None
