@@ -6,21 +6,17 @@ Every intermediate that is read more than once is written as Parquet to the fold
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_FALLBACK: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local temporary folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``. There is no other folder that driver and executors are sure to share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = _FALLBACK.setdefault("dir", "") or _FALLBACK.update(dir="file://" + tempfile.mkdtemp(prefix="quarry-")) or _FALLBACK["dir"]
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -44,6 +40,34 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each after as many underscores as keep all of them apart from df's own columns."""
+    have, lead = {c.lower() for c in df.columns}, "_"
+    while any(c.startswith(lead + n) for c in have for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def parts_for(df: DataFrame, target: int = 64 << 20) -> int:
+    """How many tasks of about target bytes df makes by Catalyst's estimate, the session's shuffle partitions at least.
+
+    Plans without statistics, such as rows handed over by the driver, are estimated at exabytes; they get the minimum.
+    """
+    size, least = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 50 else max(least, size // target)
+
+
+def join_by_size(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:
+    """rows joined with keyed on equal columns ``on``, where keyed's column size says how many of the total rows have its key.
+
+    Fewer than ``parts`` keys can hold over total / parts rows each, so those are broadcast, however large the
+    tables are, and their rows stay where they are; all others meet by a shuffle.
+    """
+    hot, rest = (keyed.where(x) for x in (F.col(size) * parts > total, F.col(size) * parts <= total))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def path_of(df: DataFrame) -> str:
     """The folder of a stored DataFrame."""
     return df.inputFiles()[0].rsplit("/", 1)[0]
