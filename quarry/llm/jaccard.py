@@ -1,17 +1,24 @@
 """Exact similarity self-join of sets by signature trees, in pods.
 
 ``link_sets`` is the join proper. It gets pods: groups of sets such that two sets that link share a pod. A
-pod's sets go to one task, or, where they are more than ``block`` elements, to a task for each pair of
-blocks of the pod, ordered by size, whose size ranges allow a link. A task builds a tree: leaves hold a few
-sets, nodes the OR of their token bitmaps and the range of their sizes. A dual traversal prunes
-node pairs whose largest possible overlap is too small, and those whose sets are all one component
-already; what remains is compared exactly. So the links found connect just what all links connect, without
-listing all pairs of a group.
-
-``shingle_groups`` builds it for word shingles of documents. Documents with the same set form a class first. Candidates
+task builds trees: leaves hold a few sets, nodes the OR of their token bitmaps and the range of
+their sizes. A dual traversal prunes node pairs whose largest possible overlap is too small, and those whose
+sets are all one component already; what remains is compared exactly. So the links found connect just
+what all links connect, without listing all pairs of a group.
+
+A pod of more than ``block`` elements is cut into blocks by size band (sets that link are in the same band or
+in neighbouring ones) and by a hash of the id. First each block meets itself and one hub block of its band
+and of the band below: work in proportion to the pod. That makes a group of near copies one component, however large it is.
+Then only the sets outside the pod's largest component meet all of the pod, known components being
+joined from the start. So no task is larger than two blocks, and what two passes cost is the
+pod plus (sets outside its largest component) x pod. Only a pod of very many sets that share their rarest tokens and still
+don't link makes that product large.
+
+``shingle_groups`` builds it for word shingles of documents. Documents with the same set form a class first, named by 128 bits. Candidates
 come from prefixes: of all tokens in one order, two sets with 100 * i >= t * u share one among the first
 n - ceil(t n / 100) + 1 of each. The order puts tokens in crowded cells of a count sketch over all
-documents last, so a passage that very many documents share is no meeting point for them. A pair of sets needs
+documents last, so a passage that very many documents share is no meeting point for them; a token stands out
+once its holders are a tenth of what a cell holds on average. A pair of sets needs
 an overlap of o = ceil(t (n + m) / (100 + t)); every token of one prefix that the other lacks counts
 against it, so the prefixes must have o - max(ceil(t n / 100), ceil(t m / 100)) + 1 tokens in common. Tokens
 with at most ``FEW`` holders count the pairs for that test. The holders of any other token,
@@ -19,21 +26,23 @@ by size, are linked to their neighbours only, as far as the sizes allow a link;
 whatever may link without pairs. The components of these candidate edges are the pods.
 
 Cases: null or empty text and text without words has the empty set and links with nothing; null doc_ids keep their row
-with a null component and link with nothing; rows that repeat a doc_id get the same component; an empty table
-gives an empty result.
+with a null component and link with nothing; rows that repeat a doc_id are sets of their own: each row of the id links by its own
+text, and has the component that its own text belongs to; equal sets, and with them repeated rows, are always one component; a text of any
+length is one set; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, stored
+from quarry.llm.common import components, fresh_names, join_by_size, stored
 from quarry.llm.text import buffers, mix, shingle_sets
 from quarry.llm.tokens import release
 
@@ -113,7 +122,11 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
         a, b = sets[i], sets[j]
         if u.find(i) == u.find(j) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
             return
-        both = len(a) + len(b) - len(np.union1d(a, b))
+        if len(a) < len(b):
+            a, b = b, a
+        at = np.searchsorted(a, b)
+        at[at == len(a)] = 0
+        both = int((a[at] == b).sum())
         if 100 * both >= percent * (len(a) + len(b) - both):
             u.join(i, j)
             links.append((i, j))
@@ -160,22 +173,21 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
 
 
 def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (pod, i, j, block, id, tokens) with equal (pod, i, j) in a row: links (a, b)."""
-
-    def links(i: int, j: int, block: np.ndarray, ids: np.ndarray, tokens: pa.Array) -> list[tuple[int, int]]:
-        _, keep = np.unique(ids, return_index=True)
-        sets = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in keep.tolist()]
-        u, own = Union(len(sets)), block[keep]
-        if i == j:
-            found = traverse(sets, list(range(len(sets))), None, percent, u)
-        else:
-            left, right = np.flatnonzero(own == i).tolist(), np.flatnonzero(own == j).tolist()
-            # Links within a block only serve to prune here; their own task reports them.
-            traverse(sets, left, None, percent, u)
-            traverse(sets, right, None, percent, u)
-            found = traverse(sets, left, right, percent, u) if left and right else []
-        names = ids[keep]
-        return [(int(names[x]), int(names[y])) for x, y in found]
+    """From rows (pod, i, j, side, id, known, tokens) with equal (pod, i, j) in a row: links (a, b).
+
+    Sets of side 0 meet those of side 1, or each other where there is no side 1. Sets with one
+    ``known`` are one component already.
+    """
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        side, ids, known, tokens = t["side"].to_numpy(), t["id"].to_numpy(), t["known"].to_numpy(), t["tokens"].chunk(0)
+        _, keep = np.unique(np.stack([side, ids], 1), axis=0, return_index=True)
+        sets, side, names = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in keep.tolist()], side[keep], ids[keep]
+        u, first = Union(len(sets)), {}
+        for k, c in enumerate(known[keep].tolist()):
+            u.join(first.setdefault(c, k), k)
+        left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
+        return [(int(names[x]), int(names[y])) for x, y in traverse(sets, left, right or None, percent, u)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -183,7 +195,7 @@ def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         def done() -> list[tuple[int, int]]:
             t = pa.Table.from_batches(held).combine_chunks()
-            return links(now[1], now[2], t["block"].to_numpy(), t["id"].to_numpy(), t["tokens"].chunk(0)) if t.num_rows > 1 else []
+            return links(t) if t.num_rows > 1 else []
 
         for b in batches:
             if not b.num_rows:
@@ -208,26 +220,59 @@ def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 2_000_000) -> DataFrame:
+def _laid(rows: DataFrame, name: str, block: int) -> DataFrame:
+    """rows (pod, band, id, n) with a block, a number that tells the band and a slot in it, of about ``block`` elements."""
+    slots = rows.groupBy("pod", "band").agg(F.ceil(F.sum("n") / block).alias("_slots"))
+    at = F.shiftleft(F.col("band"), 32) + F.pmod(F.xxhash64("id"), F.col("_slots"))
+    return rows.join(slots, ["pod", "band"]).withColumn(name, at).drop("_slots")
+
+
+def _meet(tasks: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (pod, i, j, side, id, known) of tasks (pod, i, j): left has the rows of blocks i, right those of blocks j; a block meets itself on one side."""
+    one = tasks.join(left.select("pod", F.col("block").alias("i"), "id", "known"), ["pod", "i"]).select("pod", "i", "j", F.lit(0).alias("side"), "id", "known")
+    two = tasks.where("i <> j").join(right.select("pod", F.col("block").alias("j"), "id", "known"), ["pod", "j"]).select("pod", "i", "j", F.lit(1).alias("side"), "id", "known")
+    return one.union(two)
+
+
+def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 100_000, wide: int = 1_000_000) -> DataFrame:
     """Components (id, component) of the sets that link; sets without a link don't appear.
 
     pods: (pod, id, n), n the size of the set; an id may be in several. fetch: from ids (a DataFrame with
-    distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes.
+    distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes. block, wide: elements of a
+    block in the first pass and in the second.
     """
-    by = Window.partitionBy("pod").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = stored(pods.withColumn("block", F.floor(F.coalesce(F.sum("n").over(by), F.lit(0)) / block).cast("int")), "pods")
-    blocks = laid.groupBy("pod", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = blocks.select("pod", F.col("block").alias("i"), F.col("high").alias("top")), blocks.select("pod", F.col("block").alias("j"), "low")
-    # A pod in one block has the one task (0, 0); only the others meet block by block.
-    large = laid.where("block > 0").select("pod").distinct()
-    meet = x.join(large, "pod", "left_semi").join(y, "pod").where((F.col("i") <= F.col("j")) & (F.col("top") * 100 >= F.col("low") * percent)).select("pod", "i", "j")
-    parts = meet.select("pod", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    more = laid.join(parts, ["pod", "block"]).select("pod", "i", "j", "block", "id")
-    single = laid.join(large, "pod", "left_anti").select("pod", F.lit(0).alias("i"), F.lit(0).alias("j"), "block", "id")
-    sets = fetch(laid.select("id").distinct())
-    rows = single.union(more).join(sets, "id").select("pod", "i", "j", "block", "id", "tokens")
-    rows = rows.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j")
-    return components(rows.mapInArrow(_tasks(percent), "a long, b long"))
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    rows = stored(pods.withColumn("band", F.floor(F.log("n") / width).cast("long")).withColumn("known", F.col("id")), "pods")
+    large = rows.groupBy("pod").agg(F.sum("n").alias("total")).where(F.col("total") > block).select("pod")
+    cut = stored(_laid(rows.join(large, "pod", "left_semi"), "block", block), "pod-blocks")
+    hubs = cut.groupBy("pod", "band").agg(F.min("block").alias("i"))
+    blocks = cut.select("pod", "band", F.col("block").alias("j")).distinct()
+    met = blocks.join(hubs, ["pod", "band"]).union(blocks.join(hubs.withColumn("band", F.col("band") + 1), ["pod", "band"]))
+    tasks = met.select("pod", "i", "j").union(blocks.select("pod", F.col("j").alias("i"), "j")).distinct()
+    single = rows.join(large, "pod", "left_anti").select("pod", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), "id", "known")
+
+    def compare(each: DataFrame) -> DataFrame:
+        each = stored(each, "pod-tasks")
+        dealt = each.join(fetch(each.select("id").distinct()), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
+        return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links")
+
+    links = compare(single.union(_meet(tasks, cut, cut)))
+    found = components(links)
+    if cut.isEmpty():
+        return found
+    found = stored(found, "set-components")
+    cut = cut.drop("block", "known").join(found.withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
+    cut = stored(cut.select("pod", "band", "id", "n", "known"), "pod-known")
+    most = cut.groupBy("pod", "known").agg(F.count("*").alias("c")).groupBy("pod").agg(F.max_by("known", F.struct("c", "known")).alias("_most"))
+    rest = cut.join(most, "pod").where("known <> _most").drop("_most")
+    if rest.isEmpty():
+        return found
+    left, right = stored(_laid(rest, "block", wide), "pod-rest"), stored(_laid(cut, "block", wide), "pod-all")
+    x = left.select("pod", "band", F.col("block").alias("i")).distinct()
+    y = right.select("pod", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j")).distinct()
+    # The two sides are numbered apart, so that a block never counts as meeting itself.
+    left, tasks = left.withColumn("block", -2 - F.col("block")), x.join(y, ["pod", "band"]).select("pod", (-2 - F.col("i")).alias("i"), "j")
+    return components(links.union(compare(_meet(tasks, left, right))))
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -366,8 +411,23 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("c") >= need).select("a", "b")
 
 
+def name(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's class: 128 bits of a hash of its sorted tokens."""
+    d = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+
 def shingle_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return row_groups(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: doc_id, mark (a hash of its text), n (the size of its set), component_id and first.
+
+    first: whether the row is the first of its component, that with the smallest doc_id and, of several with
+    that doc_id, the smallest mark; rows equal in both are all first. Rows without a set or a doc_id are.
+    """
     cells = sketch(docs, n)
     shared = docs.sparkSession.sparkContext.broadcast(cells)  # CELLS bytes
 
@@ -376,32 +436,62 @@ def shingle_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
             data, offsets = buffers(b.column("text"))
             size, one, two, first = [], [], [], []
             for s in shingle_sets(data, offsets, n):
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
+                k1, k2 = name(s)
                 size.append(len(s))
-                one.append((d >> 64) - (1 << 63))
-                two.append((d & ((1 << 64) - 1)) - (1 << 63))
+                one.append(k1)
+                two.append(k2)
                 first.append(prefix(s, shared.value, percent).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n", "k1", "k2", "prefix"])
-
-    made = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>"), "shingles")
-    classes = stored(made.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    rows = made.select("doc_id", "k1", "k2", "prefix").join(classes.withColumnRenamed("k1", "c1").withColumnRenamed("k2", "c2"), F.col("doc_id") == F.col("id")).where("k1 = c1 and k2 = c2")
-    edges = token_edges(rows.select(F.explode("prefix").alias("token"), "n", "id"), percent)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "mark", "n", "k1", "k2", "prefix"])
+
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, prefix array<long>")
+    made = stored(made, "shingles")
+    classes = made.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.count("*").alias("rows")).withColumn("id", F.col("at.doc_id"))
+    # A class is named by its smallest doc_id, or by a hash where several classes have that one (rows that repeat a doc_id).
+    several = classes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("several"))
+    classes = stored(classes.join(several, "id", "left").select("k1", "k2", "n", "id", "at", "rows", F.when(F.col("several"), F.xxhash64("k1", "k2", "id")).otherwise(F.col("id")).alias("node")), "classes")
+    firsts = classes.select(F.col("id").alias("doc_id"), "k1", "k2", "node")
+    rows = made.where("n > 0").select("doc_id", "k1", "k2", "n", "prefix").join(firsts, ["doc_id", "k1", "k2"])
+    edges = token_edges(rows.select(F.explode("prefix").alias("token"), "n", F.col("node").alias("id")), percent)
 
     def fetch(ids: DataFrame) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, offsets = buffers(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(data, offsets, n)], pa.binary())], ["id", "tokens"])
-
-        return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, tokens binary")
-
-    pods = components(edges).withColumnRenamed("component", "pod").join(classes.select("id", "n"), "id").select("pod", "id", "n")
-    groups = link_sets(pods, fetch, percent)
-    named = classes.join(groups, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    out = made.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    whole = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
+                held = list(shingle_sets(data, offsets, n))
+                # Of rows that repeat a doc_id only those of the class count.
+                own = [k for k, want in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)) if name(held[k]) == want]
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own, pa.int64())), pa.array([held[k].tobytes() for k in own], pa.binary())], ["id", "tokens"])
+
+        wanted = firsts.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+        return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "id long, tokens binary")
+
+    sizes = classes.select(F.col("node").alias("id"), "n")
+    pods = components(edges).withColumnRenamed("component", "pod").join(sizes, "id").select("pod", "id", "n")
+    groups = link_sets(pods, fetch, percent).withColumnRenamed("id", "node")
+    both = stored(classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "class-groups")
+    least = both.groupBy("component").agg(F.min("at").alias("least"))
+    named = both.join(least, "component").select("k1", "k2", "rows", "least")
+    total = max(1, made.count())
+    part = made.where("n > 0 and doc_id is not null").select("doc_id", "mark", "n", "k1", "k2")
+    out = join_by_size(part, named, ["k1", "k2"], "rows", total)
+    out = out.select("doc_id", "mark", "n", F.col("least.doc_id").alias("component_id"), ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))).alias("first"))
+    return out.union(made.where("n = 0 or doc_id is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+def drop_near(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each component: the one with the smallest doc_id stays (see row_groups).
+
+    Rows without words or without a doc_id stay, all of them; of rows equal in doc_id and text one stays.
+    """
+    rows = stored(row_groups(docs, n, percent).where("n > 0 and doc_id is not null").select("doc_id", "mark", "first"), "near-rows")
+    of = rows.groupBy("doc_id", "mark").agg(F.first("first").alias("first"), F.count("*").alias("c")).where("not first or c > 1")
+    names = fresh_names(docs, "mark", "first")
+    of = of.select(F.col("doc_id").alias(names[0] + "d"), F.col("mark").alias(names[0]), F.col("first").alias(names[1]))
+    each = docs.join(of, (docs["doc_id"] == F.col(names[0] + "d")) & (F.xxhash64(docs["text"]) == F.col(names[0])), "left")
+    # What is left of the flagged rows is equal in doc_id and text, and one of each stays.
+    again = each.where(F.col(names[1])).dropDuplicates([names[0] + "d", names[0]])
+    own = [docs[c] for c in docs.columns]
+    return each.where(F.col(names[1]).isNull()).select(*own).union(again.select(*own))

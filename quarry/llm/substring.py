@@ -3,7 +3,7 @@
 A paragraph ends at a newline and, within a line, after each sentence of ``min_words`` words or more (a
 shorter sentence belongs to the one that follows). The cuts depend on nearby words only, so
 a passage copied into the middle of other text is cut alike wherever it stands. Paragraphs under
-``min_words`` words can't be matched. Five-word shingles of a paragraph fall into ``BANDS`` ranges of
+``min_words`` words can't be matched: single sentences and license lines that many documents happen to share are no passages. Five-word shingles of a paragraph fall into ``BANDS`` ranges of
 their hash; the least hash of each is a band of one row. With similarity s a pair is missed with
 probability (1 - s)^4, 0.0016 at 0.8, and never if the paragraphs are equal. Paragraphs with
 the same shingles form a class, so copies cost one row a task. Classes that collide in a band are
@@ -15,10 +15,13 @@ whatever their lines and sentences, the part of ``passage // 2`` words with the
 that share ``passage`` words in a row share a run inside them, always, and runs follow each other within
 ``passage // 2 + 2`` words. Equal runs are a cluster of their own; they overlap each other and paragraphs.
 
-Class ids are 64-bit hashes of the shingles, or of a run's words; two different classes among 10^9 share one with probability 0.03.
+A class is named by two 64-bit hashes of its shingles, or of a run's words. The first names it in the join; where
+two classes share that one, a hash of both does.
 
 Cases: null or empty text has no paragraph; null doc_ids are ignored; rows that repeat a doc_id and a text are one
-document; an empty table gives an empty result; other columns are ignored.
+document; rows that repeat a doc_id with other texts are one document too, which has the paragraphs of each; of equal paragraphs
+the first by doc_id, then place, stays; texts of any length are cut whole; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import join_by_size, stored
 from quarry.llm.jaccard import link_sets, token_pods
 from quarry.llm.text import _powers, buffers, mix, slices, words
 
 SHINGLE, BANDS = 5, 4
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
+_SALT, _OTHER = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1) ** 3 | 1) % (1 << 64) for j in range(SHINGLE)], np.uint64)
 
 
@@ -80,7 +84,7 @@ def runs(offsets: np.ndarray, passage: int, found: tuple[np.ndarray, ...]) -> di
     span = passage - size + 1
     begin = np.flatnonzero(np.arange(n) + passage <= np.repeat(rows[1:], np.diff(rows)))
     if not len(begin):
-        return {k: np.zeros(0, np.int64) for k in ("row", "no", "start", "end", "words", "k")}
+        return {k: np.zeros(0, np.int64) for k in ("row", "no", "start", "end", "words", "k", "k2")}
     up, down = _powers(n)
     sums = np.append(np.uint64(0), np.cumsum(hashes * up[:n], dtype=np.uint64))
     h = mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + np.uint64(0x632BE59BD9B4E019))
@@ -93,13 +97,20 @@ def runs(offsets: np.ndarray, passage: int, found: tuple[np.ndarray, ...]) -> di
     at = np.unique(begin + ((least[begin] & low).astype(np.int64) - begin) % span)
     row = np.searchsorted(rows, at, "right") - 1
     head = offsets[row] - offsets[0]
-    return {"row": row, "no": rows[row + 1] - rows[row] + at - rows[row], "start": starts[at] - head, "end": ends[at + size - 1] - head, "words": np.full(len(at), size), "k": h[at].view(np.int64)}
+    np.cumsum(mix(hashes ^ _OTHER) * up[:n], out=sums[1:])
+    other = mix((sums[at + size] - sums[at]) * down[at] + _OTHER)
+    return {"row": row, "no": rows[row + 1] - rows[row] + at - rows[row], "start": starts[at] - head, "end": ends[at + size - 1] - head, "words": np.full(len(at), size), "k": h[at].view(np.int64), "k2": other.view(np.int64)}
 
 
-def classes(p: dict[str, np.ndarray]) -> np.ndarray:
-    """The class id of each paragraph."""
-    sums = np.append(np.uint64(0), np.cumsum(mix(p["shingle"] ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-    return mix(sums[p["b"]] - sums[p["a"]] + p["words"].astype(np.uint64)).view(np.int64) if len(p["a"]) else np.zeros(0, np.int64)
+def classes(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each paragraph, two hashes."""
+    if not len(p["a"]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = []
+    for salt in (_SALT, _OTHER):
+        sums = np.append(np.uint64(0), np.cumsum(mix(p["shingle"] ^ salt), dtype=np.uint64))
+        out.append(mix(sums[p["b"]] - sums[p["a"]] + p["words"].astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def bands(p: dict[str, np.ndarray], which: np.ndarray) -> np.ndarray:
@@ -130,14 +141,15 @@ def _parts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, dict[st
         yield i, paragraphs(data, at, min_words, words(data, at))
 
 
-def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8, passage: int = 50) -> DataFrame:
+def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15, passage: int = 50, key_bits: int = 64) -> DataFrame:
     """The paragraphs and runs of clusters that span documents.
 
     Columns: doc_id, paragraph, start_byte, end_byte, n_words, keep_doc_id, keep_paragraph, copies
     (paragraphs in the cluster) and removed (false for the one that stays). A run is a row like a
-    paragraph, its number at least the document's number of words.
+    paragraph, its number at least the document's number of words. key_bits: how many bits of a class's
+    first hash are used (tests let classes share them).
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs, mask = docs.select("doc_id", "text").where("doc_id is not null and text is not null"), np.int64((1 << key_bits) - 1 if key_bits < 64 else -1)
 
     def emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,36 +159,48 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8, p
                 at = offsets[i : j + 1]
                 found = words(data, at)
                 p, r = paragraphs(data, at, min_words, found), runs(at, passage, found)
-                k = np.append(classes(p), r["k"])
+                one, two = classes(p)
+                k, k2 = np.append(one, r["k"]) & mask, np.append(two, r["k2"])
                 if len(k):
                     row, no, start, end, size = (np.append(p[c], r[c]) for c in ("row", "no", "start", "end", "words"))
                     run = np.arange(len(k)) >= len(p["row"])
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[i + row]), pa.array(no.astype(np.int32)), pa.array(start), pa.array(end), pa.array(size.astype(np.int32)), pa.array(run)], ["k", "doc_id", "no", "start", "end", "words", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), pa.array(ids[i + row]), pa.array(no.astype(np.int32)), pa.array(start), pa.array(end), pa.array(size.astype(np.int32)), pa.array(run)], ["k", "k2", "doc_id", "no", "start", "end", "words", "run"])
 
     def emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             for _, p in _parts(b, min_words):
-                k = classes(p)
-                _, which = np.unique(k, return_index=True)
-                which = np.array([w for w in which.tolist() if int(k[w]) not in seen], np.int64)
+                k, k2 = classes(p)
+                names = list(zip((k & mask).tolist(), k2.tolist(), strict=True))
+                fresh = {c: w for w, c in enumerate(names) if c not in seen}
+                which = np.array(list(fresh.values()), np.int64)
                 if not len(which):
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 400_000:
                     seen.clear()  # only bounds memory: a class sent twice changes nothing
-                seen.update(k[which].tolist())
+                seen.update(fresh)
                 x = bands(p, which)
                 ok = (x != np.iinfo(np.uint64).max).ravel()
                 n = np.repeat(distinct(p, which), BANDS)[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok].view(np.int64)), pa.array(n), pa.array(np.repeat(k[which], BANDS)[ok])], ["token", "n", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok].view(np.int64)), pa.array(n), pa.array(np.repeat((k & mask)[which], BANDS)[ok]), pa.array(np.repeat(k2[which], BANDS)[ok])], ["token", "n", "k", "k2"])
 
-    made = stored(docs.mapInArrow(emit_places, "k long, doc_id long, no int, start long, end long, words int, run boolean"), "passages")
+    made = stored(docs.mapInArrow(emit_places, "k long, k2 long, doc_id long, no int, start long, end long, words int, run boolean"), "passages")
     places, parts = made.where("not run").drop("run"), made.where("run").drop("run")
-    pods = token_pods(docs.mapInArrow(emit_bands, "token long, n long, id long"), percent)
-    held = stored(places.groupBy("k").agg(F.min(F.struct("doc_id", "no", "start", "end", "words")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "passage-classes")
+    held = stored(places.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "no", "start", "end", "words")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "passage-classes")
+    several = stored(held.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.lit(True).alias("several")), "passage-names")
+
+    def node(rows: DataFrame) -> DataFrame:
+        """rows with the 64-bit name of their class."""
+        if several.isEmpty():
+            return rows.withColumn("node", F.col("k"))
+        return rows.join(several, "k", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("k", "k2")).otherwise(F.col("k"))).drop("several")
+
+    bounds = node(docs.mapInArrow(emit_bands, "token long, n long, k long, k2 long")).select("token", "n", F.col("node").alias("id"))
+    pods = token_pods(bounds, percent)
+    held = node(held)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        spans = ids.join(held, ids.id == held.k).select(F.col("at.doc_id").alias("doc_id"), F.struct("k", "at.start", "at.end").alias("s"))
+        spans = held.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("at.doc_id").alias("doc_id"), F.struct("node", "k", "k2", "at.start", "at.end").alias("s"))
         spans = spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +209,31 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 8, p
                 keys, out = [], []
                 for r, spans in enumerate(b.column("spans").to_pylist()):
                     for s in spans:
-                        _, _, hashes, _ = words(data, np.array([offsets[r] + s["start"], offsets[r] + s["end"]]))
+                        start, end = offsets[r] + s["start"], offsets[r] + s["end"]
+                        if end > offsets[r + 1]:
+                            continue  # another text of that doc_id
+                        _, _, hashes, _ = words(data, np.array([start, end]))
+                        if len(hashes) < SHINGLE:
+                            continue
                         h = np.zeros(len(hashes) - SHINGLE + 1, np.uint64)
                         for j in range(SHINGLE):
                             h += hashes[j : len(hashes) - SHINGLE + 1 + j] * _FACTORS[j]
-                        keys.append(s["k"])
-                        out.append(np.unique(mix(h)).tobytes())
+                        h = mix(h)
+                        one, two = classes({"a": np.array([0]), "b": np.array([len(h)]), "shingle": h, "words": np.array([len(hashes)])})
+                        if (one[0] & mask, two[0]) == (s["k"], s["k2"]):
+                            keys.append(s["node"])
+                            out.append(np.unique(h).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["id", "tokens"])
 
-        # Repeated rows with one doc_id and different texts: a span that lies outside a text is skipped.
-        return docs.join(spans, "doc_id").where(F.octet_length("text") >= F.array_max(F.transform("spans", lambda s: s["end"]))).mapInArrow(sets, "id long, tokens binary")
+        return docs.join(spans, "doc_id").mapInArrow(sets, "id long, tokens binary")
 
-    near = stored(link_sets(pods, fetch, percent), "passage-links")
-    clustered = held.join(near.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    near = stored(link_sets(pods, fetch, percent).withColumnRenamed("id", "node"), "passage-links")
+    clustered = held.join(near, "node", "left").withColumn("c", F.coalesce("component", "node"))
     clusters = clustered.groupBy("c").agg(F.min("at").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
-    chosen = clustered.select("k", "c").join(clusters, "c").select("k", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies")
-    equal = parts.groupBy("k").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
-    equal = equal.select("k", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies")
-    out = places.join(chosen, "k").union(parts.join(equal, "k")).dropDuplicates(["doc_id", "no", "k"])
+    chosen = stored(clustered.select("k", "k2", "n", "c").join(clusters, "c").select("k", "k2", "n", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies"), "passage-clusters")
+    equal = parts.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
+    equal = stored(equal.select("k", "k2", F.col("copies").alias("n"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies"), "passage-runs")
+    total = max(1, made.count())
+    out = join_by_size(places, chosen, ["k", "k2"], "n", total).union(join_by_size(parts, equal, ["k", "k2"], "n", total)).dropDuplicates(["doc_id", "no", "k", "k2"])
     same = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("no") == F.col("keep_paragraph"))
     return out.select("doc_id", F.col("no").alias("paragraph"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("words").alias("n_words"), "keep_doc_id", "keep_paragraph", "copies", (~same).alias("removed"))
