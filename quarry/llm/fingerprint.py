@@ -9,7 +9,9 @@ shorter chain takes its best match.
 
 Cases: null text counts as empty and has the empty fingerprint; a text shorter than a window is one
 feature; equal fingerprints have likeness 1, an empty one and another 0; repeated rows and null doc_ids
-follow one another in doc_id order, nulls first; an empty table gives an empty result.
+follow one another in doc_id order, nulls first, and by their texts where ids are equal; windows of equal rank: the leftmost counts;
+texts of any length are read whole, their comparison taking (filters of one) x (filters of the other); other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import parts_for
 from quarry.llm.text import _powers, buffers, mix, slices
 
 WINDOW, POP, POPULAR = 32, 32, 12
@@ -185,8 +187,7 @@ def in_order(docs: DataFrame, per_bucket: int | None = None) -> DataFrame:
     The row with look = 1 repeats the first row of the following bucket (of the first one after the
     last), so that each row's successor is in its own bucket. One shuffle of the texts.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     low = -(1 << 63)
     rank = F.coalesce(F.col("doc_id"), F.lit(low))
     n = 6 * parts

@@ -7,7 +7,9 @@ trigrams; the nested sets that drop the smallest shares are candidates. The pred
 with the largest share in the chosen set, and the share is its score.
 
 Cases: null text, empty text and text without a letter are ``und`` with score 0, and so is everything
-if there is no labelled text; repeated rows are predicted each; an empty table gives an empty result.
+if there is no labelled text; repeated rows are predicted each; a null doc_id belongs to no fold: nothing is learned from it, it is
+not held out, and it is predicted; of languages with equal shares the first by name is predicted; texts of any length are read
+whole; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Cases: null text has no words, null sources form a source of their own (last), d
 words are balanced by count only and take nothing, an empty table gives an empty result, and rows
 that repeat a doc_id are treated as documents of their own. Blocks and random numbers come from a hash of
 each document's id, source and text, rows equal in all three being numbered, so reruns agree however the
-rows are laid out. Equal rows are numbered in one task.
+rows are laid out. Equal rows are numbered in one task. Documents of equal size are taken in the order of that hash; texts of any length
+are counted whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

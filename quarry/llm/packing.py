@@ -9,7 +9,8 @@ the windows, and are then laid end to end. The tail of a unit is cut into sequen
 powers of two, which need no padding. Every token lies in exactly one piece.
 
 Cases: null or empty text is a document of the end id alone; documents longer than a unit form one of
-their own; repeated rows are packed each; an empty table gives an empty result.
+their own; repeated rows are packed each; null doc_ids are packed like others, under a null name; documents of equal length are
+taken in the order of the table; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

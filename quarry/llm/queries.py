@@ -35,13 +35,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.train(docs, 4, 2))
-    return out.select("doc_id", (toxicity.fold(4) == 2).alias("held_out"), "lang_pred", "score", "shares")
+    return out.select("doc_id", toxicity.held_out(4, 2).alias("held_out"), "lang_pred", "score", "shares")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), 5, 0)
-    return toxicity.score_ids(docs, model).select("doc_id", (toxicity.fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.score_ids(docs, model).select("doc_id", toxicity.held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

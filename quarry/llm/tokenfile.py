@@ -8,7 +8,8 @@ the same number of sequences, so sequence i lies at a computed place; files are
 memory map gives arrays without a copy.
 
 Cases: null text is an empty document (only the end id); null doc_ids come first; rows that repeat a
-doc_id are written one after the other; an empty table gives empty shards.
+doc_id are written one after the other, by their texts; a text of any length is encoded whole; other columns are ignored, whatever
+their names; an empty table gives empty shards. Shards are as many as Catalyst's estimate of the table's bytes asks for.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.common import parts_for
 from quarry.llm.files import opened, place
 from quarry.llm.tokens import encoder
 
@@ -42,8 +44,7 @@ def _lists(flat: np.ndarray, seq_len: int, n: int) -> pa.RecordBatch:
 
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, spaced: bool = True, end_id: int = 2, seq_len: int = 2048, shards: int | None = None) -> list[tuple[int, int, int]]:
     """Writes docs to uri; returns (shard, documents, tokens) of each shard, which is all that reaches the driver."""
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or parts_for(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, shard = encoder(tokenizer, spaced), TaskContext.get().partitionId()

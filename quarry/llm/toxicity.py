@@ -10,7 +10,9 @@ The classifier is fitted on a bounded sample: ``positives`` and ``unlabelled`` d
 smallest hashes of their ids. Every whole text is scored.
 
 Cases: null and empty texts get the score of a text without known words; without a positive example
-all scores are 0; rows are scored each, repeated or not; an empty table gives an empty result.
+all scores are 0; rows are scored each, repeated or not; a null doc_id belongs to no fold: nothing is learned from it, it is not held
+out, and it is scored; words that tie for the last place are taken in the order of their hashes; texts of any length are read
+whole, block by block; other columns are ignored, and the score's name gives way to theirs; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ def fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def held_out(n: int, which: int):
+    """Whether the doc_id is in that fold. A null doc_id is in none."""
+    return F.coalesce(fold(n) == which, F.lit(False))
+
+
 @dataclass
 class Model:
     """Sorted word hashes, their weights and the bias."""

@@ -76,7 +76,6 @@ def test_stages(spark, corpus):
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
-            model.encode_special_tokens = True
             want = Counter()
             for d, t, _ in before:
                 want[d] += len(model.encode(t or "", add_special_tokens=False).ids) + 1
@@ -108,3 +107,34 @@ def test_mix_takes_null_and_repeated_ids(spark):
         want[(r.doc_id, r["size"], r.source)] += r.copies
     got = Counter((r.doc_id, len(r.text.split()), r.source) for r in cp.mix_sources(spark, docs, "").collect())
     assert got == +want and any(d is None for d, *_ in got)
+
+
+CLASHES = ["_score", "score", "key", "sha", "_key", "_sha", "keep", "_keep", "mark", "_mark", "first", "low", "_low", "more", "row", "_row", "copies", "_copies", "copy", "n", "size", "p", "block", "id", "text_sha256", "__mark"]
+
+
+def odd_rows(spark):
+    w = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, w, "a"), (1, w, "a"), (1, w + " more", "a"), (1, "quite another text with its own words", "b"), (2, w + " end", None), (None, w, "a"), (None, None, None), (3, None, "b"), (4, "", "b"), (5, w, "b"), (6, "something else entirely stands here", "c"), (6, "and a second row of six", "c"), (7, "long " * 60_000, "c")]
+    return rows, spark.createDataFrame([(*r, *[f"x{k}"] * len(CLASHES)) for k, r in enumerate(rows)], ", ".join(["doc_id long", "text string", "source string", *[f"{c} string" for c in CLASHES]]))
+
+
+def test_stages_with_clashing_columns_and_odd_ids(spark, corpus):
+    at, _ = corpus
+    rows, docs = odd_rows(spark)
+    empty = docs.limit(0)
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, at)
+        assert got.columns == docs.columns and stage(spark, empty, at).count() == 0
+        held = got.collect()
+        # Every row that comes out is one that went in, with its own columns.
+        assert all((r.doc_id, r.text, r.source) == rows[int(r.copy[1:])] and len({r[c] for c in CLASHES}) == 1 for r in held)
+        kept[name] = sorted(int(r.copy[1:]) for r in held)
+    assert kept["toxicity"] == list(range(len(rows)))
+    # Of rows 0, 1, 5 and 9 (one text) the largest id stays; 6, 7 and 8 are all empty.
+    assert kept["exact_dedup"] == [2, 3, 4, 8, 9, 10, 11, 12]
+    # Rows 0, 1, 2, 4 and 9 are near copies; the null id among them is no part of it.
+    near = kept["ngram_jaccard_join"]
+    assert [k for k in near if k not in (0, 1, 2)] == [3, 5, 6, 7, 8, 10, 11, 12] and len(near) == 9
+    assert cp.pack_sequences(spark, empty, at).count() == 0
+    assert cp.pack_sequences(spark, docs, at).select("doc_id").distinct().count() == 8
