@@ -1,5 +1,13 @@
 """A corpus pipeline of five stages: toxic documents go, exact copies go, one document of each near-duplicate
-group stays, sources are mixed to target weights, and what remains is packed into sequences."""
+group stays, sources are mixed to target weights, and what remains is packed into sequences.
+
+Cases, for every stage: columns that documents doesn't have pass through unread, whatever their names, up to the last stage; an
+empty table gives an empty result; texts of any length are read whole. Null and empty texts: scored like a text without known
+words; equal to each other; near copies of nothing; without words, so the mix takes them by count alone; one end id
+when packed. Null doc_ids: scored like others; lowest of equal texts; near copies of nothing; mixed and packed like others. Rows that
+repeat a doc_id are told apart by their texts; rows equal in both become one, but for the mix, which takes each as often as its share
+says. Ties: the largest doc_id of equal texts stays, and the smallest of near copies.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, jaccard, mixing, packing, toxicity
-from quarry.llm.common import scratch
+from quarry.llm.common import fresh_names, scratch
 from quarry.llm.queries import table, tokenizer
 
 
@@ -25,19 +33,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles with a similarity of 0.8 connect, the smallest doc_id stays."""
-    groups = jaccard.shingle_groups(docs, 5, 80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.drop_near(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times); words near each source's target."""
     # Rows with one mark are equal in doc_id, source and text; their copies differ by one at most.
-    low, copies = F.min("copies"), F.sum("copies")
-    taken = mixing.mix(docs).groupBy(F.col("mark").alias("_mark")).agg(low.alias("_low"), (copies - low * F.count("*")).alias("_more")).where("_low > 0 or _more > 0")
-    each = docs.withColumn("_mark", mixing.mark()).join(taken, "_mark")
-    each = each.withColumn("_row", F.row_number().over(Window.partitionBy("_mark").orderBy("_mark")))
-    each = each.withColumn("_copies", (F.col("_low") + (F.col("_row") <= F.col("_more")).cast("int")).cast("int")).where("_copies > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mark, low, more, row, copies, copy = fresh_names(docs, "mark", "low", "more", "row", "copies", "copy")
+    least, total = F.min("copies"), F.sum("copies")
+    taken = mixing.mix(docs).groupBy(F.col("mark").alias(mark)).agg(least.alias(low), (total - least * F.count("*")).alias(more)).where(f"{low} > 0 or {more} > 0")
+    each = docs.withColumn(mark, mixing.mark()).join(taken, mark)
+    each = each.withColumn(row, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
+    each = each.withColumn(copies, (F.col(low) + (F.col(row) <= F.col(more)).cast("int")).cast("int")).where(f"{copies} > 0")
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
