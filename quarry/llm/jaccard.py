@@ -7,7 +7,7 @@ sets are all one component already; what remains is compared exactly. So the lin
 what all links connect, without listing all pairs of a group.
 
 A pod of more than ``block`` elements is cut into blocks by size band (sets that link are in the same band or
-in neighbouring ones) and by a hash of the id. First each block meets itself and one hub block of its band
+in neighbouring ones) and by a hash of the id. First each block meets itself and some sets, the hubs, of its band
 and of the band below: work in proportion to the pod. That makes a group of near copies one component, however large it is.
 Then only the sets outside the pod's largest component meet all of the pod, known components being
 joined from the start. So no task is larger than two blocks, and what two passes cost is the
@@ -39,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, fresh_names, join_by_size, stored
@@ -220,11 +220,11 @@ def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _laid(rows: DataFrame, name: str, block: int) -> DataFrame:
-    """rows (pod, band, id, n) with a block, a number that tells the band and a slot in it, of about ``block`` elements."""
-    slots = rows.groupBy("pod", "band").agg(F.ceil(F.sum("n") / block).alias("_slots"))
+def _laid(rows: DataFrame, size: Column) -> DataFrame:
+    """rows (pod, band, id, n, total) with a block, a number that tells the band and a slot in it, of about ``size`` elements."""
+    slots = rows.groupBy("pod", "band", "total").agg(F.sum("n").alias("_n")).select("pod", "band", F.ceil(F.col("_n") / size).alias("_slots"))
     at = F.shiftleft(F.col("band"), 32) + F.pmod(F.xxhash64("id"), F.col("_slots"))
-    return rows.join(slots, ["pod", "band"]).withColumn(name, at).drop("_slots")
+    return rows.join(slots, ["pod", "band"]).withColumn("block", at)
 
 
 def _meet(tasks: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -234,21 +234,23 @@ def _meet(tasks: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return one.union(two)
 
 
-def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 100_000, wide: int = 1_000_000) -> DataFrame:
+def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 1 << 14, wide: int = 1 << 22) -> DataFrame:
     """Components (id, component) of the sets that link; sets without a link don't appear.
 
     pods: (pod, id, n), n the size of the set; an id may be in several. fetch: from ids (a DataFrame with
-    distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes. block, wide: elements of a
-    block in the first pass and in the second.
+    distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes. block: elements of a
+    block in the first pass; in the second an eighth of the pod, from 4 * block to ``wide``.
     """
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     rows = stored(pods.withColumn("band", F.floor(F.log("n") / width).cast("long")).withColumn("known", F.col("id")), "pods")
-    large = rows.groupBy("pod").agg(F.sum("n").alias("total")).where(F.col("total") > block).select("pod")
-    cut = stored(_laid(rows.join(large, "pod", "left_semi"), "block", block), "pod-blocks")
-    hubs = cut.groupBy("pod", "band").agg(F.min("block").alias("i"))
-    blocks = cut.select("pod", "band", F.col("block").alias("j")).distinct()
-    met = blocks.join(hubs, ["pod", "band"]).union(blocks.join(hubs.withColumn("band", F.col("band") + 1), ["pod", "band"]))
-    tasks = met.select("pod", "i", "j").union(blocks.select("pod", F.col("j").alias("i"), "j")).distinct()
+    large = stored(rows.groupBy("pod").agg(F.sum("n").alias("total")).where(F.col("total") > block), "large-pods")
+    cut = stored(_laid(rows.join(large, "pod"), F.lit(block)), "pod-blocks")
+    blocks = cut.select("pod", "band", "block").distinct()
+    own = blocks.select("pod", F.col("block").alias("i"), F.col("block").alias("j"))
+    # About an eighth of a block of each band, by another hash, stands on the other side of its blocks.
+    hub = cut.where(F.pmod(F.xxhash64("id", F.lit(1)), 8 * F.col("_slots")) == 0).withColumn("block", -2 - F.col("band"))
+    near = hub.select("pod", "band", F.col("block").alias("i")).distinct()
+    near = near.select("pod", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "i").join(blocks, ["pod", "band"]).select("pod", "i", F.col("block").alias("j"))
     single = rows.join(large, "pod", "left_anti").select("pod", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), "id", "known")
 
     def compare(each: DataFrame) -> DataFrame:
@@ -256,18 +258,19 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
         dealt = each.join(fetch(each.select("id").distinct()), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
         return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links")
 
-    links = compare(single.union(_meet(tasks, cut, cut)))
+    links = compare(single.union(_meet(own, cut, cut)).union(_meet(near, hub, cut)))
     found = components(links)
     if cut.isEmpty():
         return found
     found = stored(found, "set-components")
-    cut = cut.drop("block", "known").join(found.withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
-    cut = stored(cut.select("pod", "band", "id", "n", "known"), "pod-known")
+    cut = cut.drop("block", "known", "_slots").join(found.withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
+    cut = stored(cut.select("pod", "band", "id", "n", "total", "known"), "pod-known")
     most = cut.groupBy("pod", "known").agg(F.count("*").alias("c")).groupBy("pod").agg(F.max_by("known", F.struct("c", "known")).alias("_most"))
     rest = cut.join(most, "pod").where("known <> _most").drop("_most")
     if rest.isEmpty():
         return found
-    left, right = stored(_laid(rest, "block", wide), "pod-rest"), stored(_laid(cut, "block", wide), "pod-all")
+    size = F.greatest(F.lit(4 * block), F.least(F.lit(wide), F.col("total") / 8))
+    left, right = stored(_laid(rest, size), "pod-rest"), stored(_laid(cut, size), "pod-all")
     x = left.select("pod", "band", F.col("block").alias("i")).distinct()
     y = right.select("pod", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j")).distinct()
     # The two sides are numbered apart, so that a block never counts as meeting itself.
@@ -465,7 +468,7 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 own = [k for k, want in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)) if name(held[k]) == want]
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own, pa.int64())), pa.array([held[k].tobytes() for k in own], pa.binary())], ["id", "tokens"])
 
-        wanted = firsts.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+        wanted = stored(firsts.join(ids.select(F.col("id").alias("node")), "node", "left_semi"), "wanted-sets")
         return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "id long, tokens binary")
 
     sizes = classes.select(F.col("node").alias("id"), "n")
