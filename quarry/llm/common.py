@@ -25,11 +25,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and is computed once."""
-    path = path or scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage and is computed once.
+
+    most: how many rows there can be, where that is known. They are then written by a task for each quarter of a million, so that
+    small tables are few files; the last stage runs in as many tasks.
+    """
+    path = scratch(df.sparkSession, name)
+    schema = df.schema
+    if most is not None:
+        df = df.coalesce(max(1, most // 250_000))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -64,7 +71,7 @@ def join_by_size(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, to
     tables are, and their rows stay where they are; all others meet by a shuffle.
     """
     hot, rest = (keyed.where(x) for x in (F.col(size) * parts > total, F.col(size) * parts <= total))
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
@@ -85,7 +92,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stored(e, "components")
-    mark = None
+    n, mark = e.count(), None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -93,10 +100,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
         pairs = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        nxt = stored(pairs.where("u > v").distinct(), "components")
+        # A round makes no more edges than there were, but for one to its smallest neighbour for each node.
+        nxt = stored(pairs.where("u > v").distinct(), "components", 2 * n)
         row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         remove(spark, *([path_of(e)] if e.inputFiles() else []))
-        e, last, mark = nxt, mark, (row.n, row.s)
+        e, last, mark, n = nxt, mark, (row.n, row.s), row.n
         if mark == last:
             break
     else:

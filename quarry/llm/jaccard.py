@@ -243,8 +243,9 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     """
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     rows = stored(pods.withColumn("band", F.floor(F.log("n") / width).cast("long")).withColumn("known", F.col("id")), "pods")
-    large = stored(rows.groupBy("pod").agg(F.sum("n").alias("total")).where(F.col("total") > block), "large-pods")
-    cut = stored(_laid(rows.join(large, "pod"), F.lit(block)), "pod-blocks")
+    most = rows.count()
+    large = stored(rows.groupBy("pod").agg(F.sum("n").alias("total")).where(F.col("total") > block), "large-pods", most)
+    cut = stored(_laid(rows.join(large, "pod"), F.lit(block)), "pod-blocks", most)
     blocks = cut.select("pod", "band", "block").distinct()
     own = blocks.select("pod", F.col("block").alias("i"), F.col("block").alias("j"))
     # About an eighth of a block of each band, by another hash, stands on the other side of its blocks.
@@ -254,28 +255,30 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     single = rows.join(large, "pod", "left_anti").select("pod", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), "id", "known")
 
     def compare(each: DataFrame) -> DataFrame:
-        each = stored(each, "pod-tasks")
-        dealt = each.join(fetch(each.select("id").distinct()), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
+        each = stored(each, "pod-tasks", 4 * most)
+        dealt = fetch(each.select("id").distinct()).join(each.hint("shuffle_hash"), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
         return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links")
 
     links = compare(single.union(_meet(own, cut, cut)).union(_meet(near, hub, cut)))
     found = components(links)
     if cut.isEmpty():
         return found
-    found = stored(found, "set-components")
+    found = stored(found, "set-components", most)
     cut = cut.drop("block", "known", "_slots").join(found.withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
-    cut = stored(cut.select("pod", "band", "id", "n", "total", "known"), "pod-known")
-    most = cut.groupBy("pod", "known").agg(F.count("*").alias("c")).groupBy("pod").agg(F.max_by("known", F.struct("c", "known")).alias("_most"))
-    rest = cut.join(most, "pod").where("known <> _most").drop("_most")
+    cut = stored(cut.select("pod", "band", "id", "n", "total", "known"), "pod-known", most)
+    first = cut.groupBy("pod", "known").agg(F.count("*").alias("c")).groupBy("pod").agg(F.max_by("known", F.struct("c", "known")).alias("_first"))
+    rest = cut.join(first, "pod").where("known <> _first").drop("_first")
     if rest.isEmpty():
         return found
     size = F.greatest(F.lit(4 * block), F.least(F.lit(wide), F.col("total") / 8))
-    left, right = stored(_laid(rest, size), "pod-rest"), stored(_laid(cut, size), "pod-all")
+    left, right = stored(_laid(rest, size), "pod-rest", most), stored(_laid(cut, size), "pod-all", most)
     x = left.select("pod", "band", F.col("block").alias("i")).distinct()
     y = right.select("pod", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j")).distinct()
     # The two sides are numbered apart, so that a block never counts as meeting itself.
     left, tasks = left.withColumn("block", -2 - F.col("block")), x.join(y, ["pod", "band"]).select("pod", (-2 - F.col("i")).alias("i"), "j")
-    return components(links.union(compare(_meet(tasks, left, right))))
+    more = compare(_meet(tasks, left, right))
+    # What is connected already goes in as a star a component.
+    return found if more.isEmpty() else components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -459,6 +462,8 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = made.where("n > 0").select("doc_id", "k1", "k2", "n", "prefix").join(firsts, ["doc_id", "k1", "k2"])
     edges = token_edges(rows.select(F.explode("prefix").alias("token"), "n", F.col("node").alias("id")), percent)
 
+    most = classes.count()
+
     def fetch(ids: DataFrame) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -468,8 +473,8 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 own = [k for k, want in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)) if name(held[k]) == want]
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own, pa.int64())), pa.array([held[k].tobytes() for k in own], pa.binary())], ["id", "tokens"])
 
-        wanted = stored(firsts.join(ids.select(F.col("id").alias("node")), "node", "left_semi"), "wanted-sets")
-        return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "id long, tokens binary")
+        wanted = stored(firsts.join(ids.select(F.col("id").alias("node")), "node", "left_semi"), "wanted-sets", most)
+        return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(sets, "id long, tokens binary")
 
     sizes = classes.select(F.col("node").alias("id"), "n")
     pods = components(edges).withColumnRenamed("component", "pod").join(sizes, "id").select("pod", "id", "n")

@@ -184,7 +184,7 @@ class LineIndex:
     versions: dict[int, int] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, docs: DataFrame, shards: int | None = None, min_docs: int = 3, min_chars: int = 20, shard_lines: int = 1 << 18) -> LineIndex:
+    def build(cls, docs: DataFrame, shards: int | None = None, min_docs: int = 3, min_chars: int = 20, shard_lines: int = 1 << 19) -> LineIndex:
         lines = stored(_lines(docs, min_chars), "line-keys")
         shards = shards or max(1, -(-lines.count() // shard_lines))
         made = cls(docs.sparkSession, scratch(docs.sparkSession, "line-index"), shards, min_docs, min_chars, shard_lines)

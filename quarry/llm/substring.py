@@ -187,7 +187,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15,
     made = stored(docs.mapInArrow(emit_places, "k long, k2 long, doc_id long, no int, start long, end long, words int, run boolean"), "passages")
     places, parts = made.where("not run").drop("run"), made.where("run").drop("run")
     held = stored(places.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "no", "start", "end", "words")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "passage-classes")
-    several = stored(held.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.lit(True).alias("several")), "passage-names")
+    several = stored(held.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.lit(True).alias("several")), "passage-names", held.count())
 
     def node(rows: DataFrame) -> DataFrame:
         """rows with the 64-bit name of their class."""
@@ -225,7 +225,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15,
                             out.append(np.unique(h).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["id", "tokens"])
 
-        return docs.join(spans, "doc_id").mapInArrow(sets, "id long, tokens binary")
+        return docs.join(spans.hint("shuffle_hash"), "doc_id").mapInArrow(sets, "id long, tokens binary")
 
     near = stored(link_sets(pods, fetch, percent).withColumnRenamed("id", "node"), "passage-links")
     clustered = held.join(near, "node", "left").withColumn("c", F.coalesce("component", "node"))
