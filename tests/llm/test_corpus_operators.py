@@ -524,3 +524,129 @@ def test_odd_and_empty_tables(spark, odd, empty):
         assert lines.LineIndex.build(table).dedup(table).count() == m
     assert substring.duplicate_passages(empty).count() == 0
     assert packing.pack_documents(empty, queries.tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_language_em_against_plain_python():
+    """Shares and chosen sets equal a plain EM over the same likelihoods, for every document."""
+    rng = np.random.default_rng(11)
+    names = ["a", "b", "c"]
+    model = langid.Languages(names, np.log(rng.dirichlet(np.full(langid.BUCKETS, 0.02), 3).T + 1e-7).astype(np.float32))
+    texts = ["".join(rng.choice(list("abcdefgh "), rng.integers(5, 400))) for _ in range(40)]
+    import pyarrow as pa
+
+    got = model.shares(pa.array(texts), 1.0, 200)
+    for t, share in zip(texts, got, strict=True):
+        raw = b" " + t.lower().encode() + b" "
+        raw = bytes(32 if x < 33 else x for x in raw)
+        count = Counter((raw[i] * 0x10000 + raw[i + 1] * 0x100 + raw[i + 2]) * 0x9E3779B1 % (1 << 32) >> 16 for i in range(len(raw) - 2))
+        like = {b: np.exp(model.logs[b].astype(float)) for b in count}
+
+        def em(langs):
+            p = {k: 1 / len(langs) for k in langs}
+            for _ in range(2000):
+                new = dict.fromkeys(langs, 0.0)
+                for b, n in count.items():
+                    total = sum(p[k] * like[b][k] for k in langs)
+                    for k in langs:
+                        new[k] += n * p[k] * like[b][k] / total
+                p = {k: v / sum(count.values()) for k, v in new.items()}
+            return p, sum(n * np.log(sum(p[k] * like[b][k] for k in langs)) for b, n in count.items())
+
+        cost = np.log(max(2, len(count))) / 2
+        full, _ = em([0, 1, 2])
+        order = sorted(range(3), key=lambda k: -full[k])
+        tried = [([k], em([k])) for k in range(3)] + [(order[:2], em(order[:2])), (order, em(order))]
+        values = sorted(((f - cost * len(s), s, p) for s, (p, f) in tried), key=lambda x: -x[0])
+        if values[0][0] - values[1][0] < 0.5:
+            continue  # too near to call between two ways of rounding
+        assert np.allclose([values[0][2].get(k, 0.0) for k in range(3)], share, atol=0.02)
+
+
+def test_pu_risk_against_plain_python():
+    """The fitted classifier's non-negative risk, computed term by term, is below that of any nearby one and of the trivial ones."""
+    rng = np.random.default_rng(12)
+    prior, n = 0.2, 600
+    toxic = rng.random(n) < prior
+    unl = (rng.random((n, 3)) < np.where(toxic[:, None], [0.8, 0.1, 0.5], [0.1, 0.6, 0.5])).astype(bool)
+    pos = (rng.random((200, 3)) < [0.8, 0.1, 0.5]).astype(bool)
+
+    def risk(w, b):
+        loss = lambda z: float(np.logaddexp(0, -z))
+        f = lambda x: sum(v for v, on in zip(w, x, strict=True) if on) + b
+        own = prior * sum(loss(f(x)) for x in pos) / len(pos)
+        rest = sum(loss(-f(x)) for x in unl) / len(unl) - prior * sum(loss(-f(x)) for x in pos) / len(pos)
+        return own + max(0.0, rest)
+
+    w, b = toxicity.fit_nnpu(pos, unl, prior)
+    best = risk(w, b)
+    assert best < risk(np.zeros(3), np.log(prior / (1 - prior))) and best < risk(np.zeros(3), 0.0)
+    for _ in range(30):
+        assert best <= risk(w + rng.normal(0, 0.5, 3), b + rng.normal(0, 0.5)) + 2e-3
+    assert w[0] > 0 > w[1]
+    found = unl @ w + b > 0
+    assert found[toxic].mean() > 0.6 and found[~toxic].mean() < 0.15
+
+
+def test_features_against_plain_python(rows):
+    """Features, filters and likeness of whole texts, byte by byte and window by window."""
+    f = fingerprint
+    texts = [t for _, t in rows if t and len(t) < 900][:25] + ["", "short", "a" * 100, "ab" * 40]
+    hist = Counter()
+    bins = {}
+    for t in texts:
+        raw = t.encode()
+        own = []
+        for i in range(len(raw) - f.WINDOW + 1):
+            s = sum(round(1024 * c * np.log2(c)) for c in Counter(raw[i : i + f.WINDOW]).values())
+            own.append((f._TOP - s) * (f.BINS - 1) // f._TOP)
+        bins[t] = own
+        hist.update(own)
+    order = sorted((b for b in hist if b >= f.BINS // 8), key=lambda b: (hist[b], -b))
+    rank = {b: k for k, b in enumerate(order)}
+    table = f.ranks(np.array([hist[b] for b in range(f.BINS)]))
+    assert {b: int(table[b]) for b in order} == rank
+    want = {}
+    for t in texts:
+        raw, r = t.encode(), [rank.get(b, 65535) for b in bins[t]]
+        points = Counter()
+        padded = [65535] * (f.POP - 1) + r + [65535] * (f.POP - 1)
+        for i in range(len(padded) - f.POP + 1):
+            run = padded[i : i + f.POP]
+            points[i + run.index(min(run)) - f.POP + 1] += 1
+        starts = [i for i in range(len(r)) if r[i] < 65535 and points[i] >= f.POPULAR]
+        if not starts and raw:
+            starts = [r.index(min(r))] if r else [0]
+        hashes = []
+        for i in starts:
+            part = raw[i : i + f.WINDOW]
+            h = 0
+            for k, x in enumerate(part):
+                h = (h + int(f._BYTES[x]) * pow(0x9E3779B97F4A7C15, k, 1 << 64)) % (1 << 64)
+            hashes.append(int(f.mix(np.array([(h + len(part)) % (1 << 64)], np.uint64))[0]))
+        hashes = list(dict.fromkeys(hashes))
+        chain = []
+        for k in range(0, len(hashes), f.PER_FILTER):
+            bits = {(h >> 11 * i) & (f.BITS - 1) for h in hashes[k : k + f.PER_FILTER] for i in range(f.PROBES)}
+            chain.append(np.packbits([b in bits for b in range(f.BITS)]))
+        want[t] = np.array(chain, np.uint8).reshape(-1, f.BITS // 8)
+    got = dict(zip(texts, f._digests(texts, table), strict=True))
+    assert all(got[t].shape == want[t].shape and (got[t] == want[t]).all() for t in texts)
+
+    def like(a, b):
+        if a.shape == b.shape and (a == b).all():
+            return 1.0
+        if not len(a) or not len(b):
+            return 0.0
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        bits = lambda x: set(np.flatnonzero(np.unpackbits(x)))
+        best = []
+        for x in a:
+            found = []
+            for y in b:
+                n, m = len(bits(x)), len(bits(y))
+                found.append((len(bits(x) & bits(y)) - n * m / f.BITS) / max(min(n, m) - n * m / f.BITS, 1e-9))
+            best.append((max(found), len(bits(x))))
+        return min(1.0, max(0.0, sum(v * n for v, n in best) / sum(n for _, n in best)))
+
+    for a, b in zip(texts, texts[1:]):
+        assert f.likeness(got[a], got[b]) == pytest.approx(like(want[a], want[b]), abs=1e-9)
