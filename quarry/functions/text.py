@@ -17,16 +17,12 @@ def trim(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of letters and digits in any script, lower case; camel case and letter/digit borders part words."""
-    c = F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    c = F.regexp_replace(F.regexp_replace(c, r"(\p{L})(\p{N})", "$1 $2"), r"(\p{N})(\p{L})", "$1 $2")
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2")), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
 
 
 def ascii_tokens(c: Column) -> Column:
     """Words of a-z and 0-9 only, parted like tokens()."""
-    c = F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
-    c = F.regexp_replace(F.regexp_replace(c, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), F.lit("[a-z]+|[0-9]+"), F.lit(0))
 
 
 def _ends(w: Column, *ends: str) -> Column:
@@ -48,12 +44,23 @@ def plural(w: Column) -> Column:
 
 
 def stem(w: Column) -> Column:
-    """Plural rule, then -ation, -ing or -ed off words long enough. Short words and those with digits stay."""
-    p = plural(w)
-    n = F.length(p)
-    cut = F.when((n > 6) & p.endswith("ation"), _cut(p, 5)).when((n > 5) & p.endswith("ing"), _cut(p, 3)).when((n > 5) & p.endswith("ed"), _cut(p, 2)).otherwise(p)
+    """Plural rule, then -ation, -ing or -ed off words long enough. Short words and those with digits stay.
+
+    One flat list of endings, so that nothing is computed twice: a plural's ending and the one before it are cut together.
+    """
+    n = F.length(w)
     digits = F.translate(w, "0123456789", "") != w
-    return F.when((F.length(w) < 4) | digits, w).otherwise(cut)
+    single = ~w.endswith("s") | _ends(w, "ss", "us", "is")
+    return (
+        F.when((n < 4) | digits, w)
+        .when(single, F.when((n > 6) & w.endswith("ation"), _cut(w, 5)).when((n > 5) & w.endswith("ing"), _cut(w, 3)).when((n > 5) & w.endswith("ed"), _cut(w, 2)).otherwise(w))
+        .when(w.endswith("ies"), F.concat(_cut(w, 3), F.lit("y")))
+        .when(_ends(w, "ches", "shes", "xes", "zes", "sses"), _cut(w, 2))
+        .when((n > 7) & w.endswith("ations"), _cut(w, 6))
+        .when((n > 6) & w.endswith("ings"), _cut(w, 4))
+        .when((n > 6) & w.endswith("eds"), _cut(w, 3))
+        .otherwise(_cut(w, 1))
+    )
 
 
 def singular(w: Column) -> Column:

@@ -13,44 +13,67 @@ WEIGHTS = {"name": 3.0, "element": 3.0, "variant": 2.0, "description": 2.0, "lab
 FIELDS = list(WEIGHTS)
 
 
-def terms(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
-    """(doc, kind, field, bit, weight, counted, term, n) from text columns: fields maps a field to its column."""
-    parts = [F.struct(F.lit(f).alias("field"), F.lit(1 << FIELDS.index(f)).alias("bit"), F.lit(WEIGHTS[f]).alias("weight"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in fields.items()]
-    kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
-    # Texts are dealt by document once; the counts by document and term, and the lengths, then need no other shuffle.
-    each = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *sorted(set(fields.values()))).repartition("doc")
-    each = each.select("doc", "kind", F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "p.*")
-    words = each.select("doc", "kind", "field", "bit", F.when((F.col("kind") == "item") & (F.col("field") == "description"), 1.0).otherwise(F.col("weight")).alias("weight"), (~((F.col("kind") == "item") & (F.col("field") == "description"))).alias("counted"), F.explode(tokens(F.col("text"))).alias("raw"))
-    words = words.withColumn("term", stem(F.col("raw")))
-    return words.groupBy("doc", "kind", "field", "bit", "weight", "counted", "term").agg(F.count("*").alias("n"))
-
-
-def tag_terms(docs: DataFrame, doc: str, field: str, prefix: str, values: Column) -> DataFrame:
-    """Rows as terms() gives them for whole tags of a document, as prefix:tag."""
-    kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
-    row = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), F.explode(F.array_distinct(values)).alias("v"))
-    return row.select("doc", "kind", F.lit(field).alias("field"), F.lit(1 << FIELDS.index(field)).alias("bit"), F.lit(WEIGHTS[field]).alias("weight"), F.lit(True).alias("counted"), F.concat(F.lit(prefix + ":"), "v").alias("term"), F.lit(1).cast("long").alias("n"))
-
-
-def build(t: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, doc: str, fields: dict[str, str], tags: list[tuple[str, str, Column]] = (), only: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc, tf100, mask): length-normalised term frequencies in hundredths, and the fields as bits.
 
-    Lengths are sums over a document's own rows; averages by kind are a row a kind, hence broadcast.
+    fields maps a field to its text column; tags are (field, prefix, array column), whole tags that become prefix:tag.
+    only: a small table (term) of the terms that are wanted, such as those of a query.
+
+    Documents are tokenized where they lie; a document's length is a sum of array sizes there, carried in its rows, and the
+    averages are a row a kind. So what is shuffled, once, is a document's counts of the wanted terms.
     """
-    counted = F.when(F.col("counted"), F.col("weight") * F.col("n")).otherwise(0.0)
-    average = t.groupBy("doc", "kind").agg(F.sum(counted).alias("len")).groupBy("kind").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
-    tf = t.groupBy("doc", "kind", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("w"), F.sum(counted).alias("c"), F.bit_or("bit").alias("mask"))
-    tf = tf.withColumn("len", F.sum("c").over(Window.partitionBy("doc"))).join(F.broadcast(average), "kind")
+    kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
+    own = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()], *[F.coalesce(F.transform(F.array_distinct(v), lambda x, p=p: F.concat(F.lit(p + ":"), x)), F.array().cast("array<string>")).alias(f"g_{f}") for f, p, v in tags])
+    note = lambda f: (F.col("kind") == "item") & F.lit(f == "description")
+    parts, length, count = [], F.lit(0.0), F.lit(0)
+    for f, name, words in [*((f, f"t_{f}", True) for f in fields), *((f, f"g_{f}", False) for f, _, _ in tags)]:
+        parts.append(F.struct(F.lit(1 << FIELDS.index(f)).alias("bit"), F.when(note(f) & F.lit(words), 1.0).otherwise(WEIGHTS[f]).alias("weight"), F.lit(words).alias("words"), F.col(name).alias("raw")))
+        count = count + F.size(name)
+        length = length + F.when(note(f) & F.lit(words), 0.0).otherwise(WEIGHTS[f]) * F.size(name)
+    own = own.withColumn("len", length)
+    average = own.where(count > 0).groupBy("kind").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
+    each = own.select("doc", "kind", "len", F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "len", "p.bit", "p.weight", "p.words", F.explode("p.raw").alias("raw"))
+    each = each.withColumn("term", F.when(F.col("words"), stem(F.col("raw"))).otherwise(F.col("raw")))
+    if only is not None:
+        each = each.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+    tf = each.groupBy("doc", "kind", "len", "term").agg(F.sum("weight").alias("w"), F.bit_or("bit").alias("mask")).join(F.broadcast(average), "kind")
     norm = 1 - B + B * F.col("len") / F.col("avg")
     return tf.select("term", "doc", F.greatest(F.lit(1), F.floor(100 * F.col("w") / norm + 0.5)).cast("int").alias("tf100"), F.col("mask").cast("int"))
 
 
+def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, len): words of a text column."""
+    return docs.select(F.col(doc).alias("doc"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("len"))
+
+
 def idf(postings: DataFrame, n_docs: int) -> DataFrame:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", "df", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def delta(postings: DataFrame) -> DataFrame:
-    """Postings with the gap to the term's previous document, for compact storage."""
-    gap = F.col("doc") - F.coalesce(F.lag("doc").over(Window.partitionBy("term").orderBy("doc")), F.lit(0))
-    return postings.select("term", "doc", "tf100", F.lower(F.conv(gap.cast("string"), 10, 36)).alias("gap36"))
+def delta(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Postings with the gap to the term's previous document, for compact storage.
+
+    Documents are numbers of 0 and more. A window holds a term's documents of one span of ids, so no term is one task; the first of a
+    span takes the last document before it from a table with a row for each term and span.
+    """
+    part = postings.withColumn("span", F.floor(F.col("doc") / span))
+    ends = part.groupBy("term", "span").agg(F.max("doc").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("term").orderBy("span"))).select("term", "span", "before")
+    prev = F.lag("doc").over(Window.partitionBy("term", "span").orderBy("doc"))
+    own = part.withColumn("prev", prev).join(ends, ["term", "span"])
+    gap = F.col("doc") - F.coalesce("prev", "before", F.lit(0))
+    return own.select("term", "doc", "tf100", F.lower(F.conv(gap.cast("string"), 10, 36)).alias("gap36"))
+
+
+def pack(postings: DataFrame) -> DataFrame:
+    """(term, packed): a term's postings as text, gap:frequency in base 36, in document order; unpack() gives them back."""
+    one = delta(postings).select("term", "doc", F.concat("gap36", F.lit(":"), F.lower(F.conv(F.col("tf100").cast("string"), 10, 36))).alias("p"))
+    return one.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc", "p"))), lambda x: x["p"]), " ").alias("packed"))
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """(term, doc, tf100) of packed postings."""
+    each = packed.select("term", F.posexplode(F.split("packed", " ")).alias("pos", "p"))
+    each = each.select("term", "pos", F.conv(F.split_part("p", F.lit(":"), F.lit(1)), 36, 10).cast("long").alias("gap"), F.conv(F.split_part("p", F.lit(":"), F.lit(2)), 36, 10).cast("int").alias("tf100"))
+    return each.select("term", F.sum("gap").over(Window.partitionBy("term").orderBy("pos")).alias("doc"), "tf100")

@@ -115,8 +115,9 @@ def registry_facts(items: DataFrame, k: int = 12, sample: int = 15) -> DataFrame
 def prefixes(pages: DataFrame, k: int = 8) -> DataFrame:
     """The k commonest first segments of paths and how many pages lie elsewhere ("more")."""
     p = pages.select(F.coalesce(F.get(urls.segments(F.col("url")), F.lit(0)), F.lit("")).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.orderBy(F.desc("n"), "prefix"))
-    return p.withColumn("prefix", F.when(r <= k, F.col("prefix")).otherwise("more")).groupBy("prefix").agg(F.sum("n").alias("n"))
+    first = p.orderBy(F.desc("n"), "prefix").limit(k)
+    rest = p.join(first.select("prefix"), "prefix", "left_anti").agg(F.sum("n").alias("n")).where("n is not null")
+    return first.union(rest.select(F.lit("more").alias("prefix"), "n")).groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
 def access(status: Column, gate: Column, body_ok: Column) -> Column:

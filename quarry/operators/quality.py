@@ -37,11 +37,15 @@ def robots(probes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
-    """Exact percentiles at rank floor((n - 1) q + 0.5), counted from 0: (by..., q, value)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    r = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    each = r.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    return each.where(F.col("r") == F.floor((F.col("n") - 1) * F.col("q") + 0.5)).select(*by, "q", F.col("v").alias("value"))
+    """Exact percentiles at rank floor((n - 1) q + 0.5), counted from 0: (by..., q, value).
+
+    Equal values are counted before the shuffle, and the window runs over a group's distinct values.
+    """
+    c = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("v"))
+    r = c.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    each = r.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("at", F.floor((F.col("n") - 1) * F.col("q") + 0.5))
+    return each.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c"))).select(*by, "q", F.col("v").alias("value"))
 
 
 def recall_mrr(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

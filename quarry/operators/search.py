@@ -26,17 +26,20 @@ def analyse(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 def fuzzy(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Words (of 5 letters or more) that the vocabulary lacks, with the terms one edit away.
 
-    Both sides are expanded to their forms with at most one letter deleted and met on these, so there is no cross join.
+    Terms of a length that no such word comes near are left out first; then both sides are expanded to their forms with at most
+    one letter deleted and met on these, so there is no cross join.
     """
     forms = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
     unknown = words.where(F.length("word") >= 5).join(vocabulary, words.word == vocabulary.term, "left_anti")
     a = unknown.select("word", F.explode(forms(F.col("word"))).alias("form"))
-    b = vocabulary.where(F.length("term") >= 4).select("term", F.explode(forms(F.col("term"))).alias("form"))
+    near = unknown.select(F.explode(F.array(*[F.length("word") + k for k in (-1, 0, 1)])).alias("size")).distinct()
+    some = vocabulary.where(F.length("term") >= 4).withColumn("size", F.length("term")).join(near, "size", "left_semi")
+    b = some.select("term", F.explode(forms(F.col("term"))).alias("form"))
     return a.join(b, "form").where(F.levenshtein("word", "term", 1) >= 0).select("word", "term").distinct()
 
 
 def score(postings: DataFrame, idf: DataFrame, concepts: DataFrame, prior: Column | None = None) -> DataFrame:
-    """Rows (q, doc, score, hits, mask). The postings are only read for the query terms; the concept table is small.
+    """Rows (q, doc, score, hits, mask) from the postings and idf of the concepts' terms at least; others are left aside by the join.
 
     The idf scale of an alternative is at most that of the words typed; plain words weigh 0.7 beside a tag concept.
     """
@@ -119,11 +122,11 @@ def collapse(rows: DataFrame, by: list[str], order: list[Column], ids: str) -> D
 def capped_fill(hits: DataFrame, limit: int, caps: dict[str, int], default: int) -> DataFrame:
     """limit rows of (grp, doc, score): each group's strong leader, then strong rows within the group's cap, then the rest; shown by rank.
 
-    Strong is half of the best score or more.
+    Strong is half of the best score or more. A group's first rows are ranked within the group, and none beyond its first ``limit`` can be shown.
     """
-    best = F.max("score").over(Window.partitionBy())
     order = [F.desc("score"), F.col("doc")]
-    r = hits.withColumn("strong", F.col("score") >= best / 2).withColumn("in_group", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
+    r = hits.withColumn("in_group", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("in_group") <= limit)
+    r = r.withColumn("strong", F.col("score") >= hits.agg(F.max("score")).scalar() / 2)
     cap = F.lit(default)
     for g, n in caps.items():
         cap = F.when(F.col("grp") == g, n).otherwise(cap)

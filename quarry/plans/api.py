@@ -37,10 +37,9 @@ class Catalog:
     @cached_property
     def postings(self) -> DataFrame:
         joined = self.all.withColumn("element", F.array_join("elements", " ")).withColumn("category", F.array_join("categories", " ")).withColumn("variant", F.array_join(F.flatten(F.map_values("variants")), " ")).withColumn("text", F.coalesce("desc", "description"))
-        tags = index.tag_terms(self.all, "id", "element", "el", F.col("elements")).unionByName(index.tag_terms(self.all, "id", "category", "cat", F.col("categories")))
         pairs = F.flatten(F.transform(F.map_entries("variants"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("/"), v))))
-        tags = tags.unionByName(index.tag_terms(self.all, "id", "variant", "va", pairs)) if self.vocabulary else tags.where("false")
-        return index.build(tags.unionByName(index.terms(joined, "id", {"name": "name", "element": "element", "variant": "variant", "description": "text", "about": "about", "category": "category", "domain": "domain"}))).persist()
+        tags = [("element", "el", F.col("elements")), ("category", "cat", F.col("categories"))] + ([("variant", "va", pairs)] if self.vocabulary else [])
+        return index.postings(joined, "id", {"name": "name", "element": "element", "variant": "variant", "description": "text", "about": "about", "category": "category", "domain": "domain"}, tags).persist()
 
     @cached_property
     def idf(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html, text, urls
 from quarry.operators import catalog, index, items, pages, phrases, quality, reports, search, sections, sitemaps, tagging, validation
+from quarry.sources import readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -28,6 +29,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, on all cores."""
+    return readers.spread(table(spark, d, "documents"))
+
+
 # URLs ---------------------------------------------------------------------------------------------------------------
 
 _U = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^(?i)(https?)://', 1)) AS s, lower(regexp_extract(url, '^(?i)https?://([^/?#\s]+)', 1)) AS h,
@@ -168,25 +174,25 @@ _IDX = f"""{_T}, {_ST}, tf AS (SELECT doc_id AS doc, term, count(*) AS n FROM st
  dfs AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term)"""
 
 
-def _postings(spark, d):
-    return index.build(index.terms(table(spark, d, "documents"), "doc_id", {"about": "text"}))
+def _postings(spark, d, only=None):
+    return index.postings(texts(spark, d), "doc_id", {"about": "text"}, only=only)
 
 
 @query(f"WITH {_T} SELECT doc_id, len(ws) AS n_tokens, len(list_distinct(ws)) AS n_distinct FROM t")
 def tokenize_counts(spark, d):
     t = text.tokens(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {_T}, {_ST} SELECT term, count(*) AS n, count(DISTINCT raw) AS forms FROM st GROUP BY term")
 def stem_counts(spark, d):
-    w = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("raw"))
-    return w.groupBy(text.stem(F.col("raw")).alias("term")).agg(F.count("*").alias("n"), F.countDistinct("raw").alias("forms"))
+    w = texts(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    return w.groupBy(text.stem(F.col("raw")).alias("term")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query(f"WITH {_IDX} SELECT count(*) AS docs, sum(len)::BIGINT AS total, round(avg(len), 4) AS mean FROM ln")
 def doc_length_stats(spark, d):
-    t = index.terms(table(spark, d, "documents"), "doc_id", {"about": "text"}).groupBy("doc").agg(F.sum("n").alias("len"))
+    t = index.lengths(texts(spark, d), "doc_id", "text").where("len > 0")
     return t.agg(F.count("*").alias("docs"), F.sum("len").alias("total"), F.round(F.avg("len"), 4).alias("mean"))
 
 
@@ -216,8 +222,9 @@ _SCORE = f"""{_IDX}, {_CSQL}, ci AS (SELECT c.*, coalesce(idf, 0) AS idf FROM c
 
 
 def _scored(spark, d):
-    p = _postings(spark, d).persist()  # read for the idf and for the scores; spills to disk
-    return search.score(p, index.idf(p, table(spark, d, "documents").count()), search.concepts_of(spark, _CROWS))
+    concepts = search.concepts_of(spark, _CROWS)
+    p = _postings(spark, d, concepts)  # read for the idf and for the scores, shuffled once
+    return search.score(p, index.idf(p, table(spark, d, "documents").count()), concepts)
 
 
 @query(f"WITH {_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) AS rank FROM f) SELECT q, doc, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
@@ -230,9 +237,10 @@ def bm25_coverage_bonus(spark, d):
     return _scored(spark, d).groupBy("q", "hits").agg(F.count("*").alias("docs"), F.round(F.max("score"), 4).alias("best"))
 
 
-@query(f"WITH {_T}, v AS (SELECT DISTINCT unnest(ws) AS term FROM t), q AS (SELECT * FROM (VALUES ('energi'), ('nichtt'), ('whatt'), ('nothere'), ('mentelle')) AS x(word)) SELECT word, term FROM q, v WHERE length(word) >= 5 AND length(term) >= 4 AND word NOT IN (SELECT term FROM v) AND levenshtein(word, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')) <= 1")
+@query(f"""WITH {_T}, v AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS term FROM t), q AS (SELECT * FROM (VALUES ('energi'), ('nichtt'), ('whatt'), ('nothere'), ('mentelle')) AS x(word)), u AS (SELECT word FROM q ANTI JOIN v ON word = term WHERE length(word) >= 5)
+ SELECT word, term FROM u JOIN v ON length(term) >= 4 AND abs(length(term) - length(word)) <= 1 WHERE levenshtein(word, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')) <= 1""")
 def fuzzy_vocab_match(spark, d):
-    v = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+    v = texts(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
     return search.fuzzy(spark.createDataFrame([(x,) for x in ("energi", "nichtt", "whatt", "nothere", "mentelle")], "word string"), v)
 
 
@@ -691,7 +699,8 @@ def sitemap_page_items(spark, d):
     p = table(spark, d, "pages").select(urls.site(F.col("url")).alias("domain"), F.col("page_id").alias("pos"), "url")
     sites = p.select("domain").distinct()
     one = sitemaps.patterns(spark, [{"domain": "", "match": "/{*}/{n}"}]).drop("domain")
-    compiled = sites.withColumn("all", F.lit(0)).join(one.withColumn("all", F.lit(0)), "all").drop("all")
+    row = one.first()  # one pattern, which every site has
+    compiled = sites.select("domain", *[F.lit(row[c]).cast(one.schema[c].dataType).alias(c) for c in one.columns])
     made, _ = sitemaps.adapt(p, compiled, sites.select("domain", F.col("domain").alias("parent")), spark.createDataFrame([], "id string, parent string, url string, source string"), items.element_slugs(spark.createDataFrame([], _AL)), spark.createDataFrame(tagging.ALIASES, tagging.SCHEMA))
     return made.select("id", "parent", "name", "url", "access")
 

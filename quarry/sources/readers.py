@@ -15,6 +15,12 @@ SOURCE = "source_id string, schema_version int, generated_at string, count int,
 FIRST = ["curated", "awesome-lists", "x-community"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table of fewer splits than there are cores, dealt out to all of them; one with more stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)

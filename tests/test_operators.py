@@ -144,6 +144,6 @@ def test_scores_prefer_whole_matches(spark):
     from quarry.operators import index
 
     docs = spark.createDataFrame([(1, "red button"), (2, "red thing"), (3, "plain button thing")], "doc_id int, text string")
-    p = index.build(index.terms(docs, "doc_id", {"name": "text"}))
+    p = index.postings(docs, "doc_id", {"name": "text"})
     c = search.analyse(spark.createDataFrame([("red buttons",)], "q string"), spark.createDataFrame([], "term string, alt_terms array<string>"))
     assert search.top(search.score(p, index.idf(p, 3), c), 1).first().doc == 1
