@@ -130,8 +130,27 @@ def license_of(c: Column) -> Column:
     return reduce(lambda x, r: F.coalesce(x, F.when(c.rlike(r[1]), F.lit(r[0]))), rules, F.lit(None).cast("string"))
 
 
-def entities(c: Column) -> Column:
-    """The five XML entities and non-breaking space; the ampersand last."""
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(mark))
-    return c
+#: Entities that are decoded, by table. The five of XML; those that pages use beside them.
+XML = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+PAGE = {
+    "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "rarr": "→", "larr": "←", "times": "×",
+    "euro": "€", "pound": "£", "laquo": "«", "raquo": "»", "zwj": "", "zwnj": "", "shy": "",
+}
+
+
+def entities(c: Column, table: dict[str, str] | None = None) -> Column:
+    """Named entities of the table and numeric ones, each decoded once. A text without an ampersand is left alone."""
+    known = XML | (PAGE if table is None else table)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]+|#\d+|[A-Za-z][A-Za-z0-9]*);", 1))
+        rest = F.regexp_replace(part, r"^(#[xX][0-9a-fA-F]+|#\d+|[A-Za-z][A-Za-z0-9]*);", "")
+        digits = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).cast("int")
+        point = F.when(digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+        made = F.when(name.startswith("#"), point).otherwise(names[name])
+        return F.when(made.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(made, rest))
+
+    parts = F.split(c, "&")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
+    return F.when(c.contains("&"), decoded).otherwise(c)

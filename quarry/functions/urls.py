@@ -57,6 +57,17 @@ def page_key(u: Column) -> Column:
     return F.regexp_replace(key(u), r"\?.*$", "")
 
 
+def query_key(u: Column) -> Column:
+    """Host without www, path and query as they are: what sitemaps are compared by when URLs are carved out; null if it is no URL."""
+    return F.when(host(u) != "", F.concat(site(u), F.regexp_replace(path(u), "/+$", ""), F.when(F.regexp_extract(u, _PARTS, 4) != "", F.concat(F.lit("?"), F.regexp_extract(u, _PARTS, 4))).otherwise("")))
+
+
+def listed_key(u: Column) -> Column:
+    """The URL without its fragment and without a slash at its end; its query stays, and its host in lower case."""
+    bare = F.regexp_replace(u, "#.*$", "")
+    return F.when(host(u) != "", F.regexp_replace(F.concat(scheme(bare), F.lit("://"), host(bare), F.regexp_replace(bare, r"^(?i)https?://[^/?#\s]+", "")), "/$", ""))
+
+
 def sitemap_key(u: Column) -> Column:
     """page_key() decoded, lower case, without an .html ending."""
     k = page_key(u)

@@ -140,15 +140,27 @@ def facets(items: DataFrame, element: str) -> DataFrame:
     return of.groupBy("access", "granularity").agg(F.count("*").alias("n"), F.countDistinct("parent").alias("registries"))
 
 
+def reference(c: Column) -> Column:
+    """A reference as keys are compared: lower case, https, no slash at its end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "^http://", "https://"), "/+$", "")
+
+
 def resolve(refs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each ref's entry by the first way that names just one: id, url, domain, then name. (ref, id, how, candidates)."""
-    ways = [("id", F.col("id")), ("url", F.col("url")), ("domain", F.col("domain")), ("name", F.lower("name"))]
+    """Each ref's entry by the first way that names one: id, url, url without its scheme, then without www, owner/repo, a name that only one
+    entry has, a domain that only one has, the one root site of a domain. (ref, id, how, candidates); entries: id, url, name, domain, kind."""
+    asked = refs.select("ref", reference(F.col("ref")).alias("key")).where("key <> ''")
+    url = reference(F.col("url"))
+    repo = F.when(F.col("key").rlike(r"^[\w.-]+/[\w.-]+$"), F.concat(F.lit("https://github.com/"), F.col("key")))
+    ways = [
+        ("id", F.col("key"), F.col("id"), False), ("url", F.col("key"), url, False), ("https", F.concat(F.lit("https://"), "key"), url, False), ("www", F.concat(F.lit("https://www."), "key"), url, False),
+        ("repo", repo, url, False), ("name", F.col("key"), F.lower("name"), True), ("domain", F.col("key"), F.lower("domain"), True), ("root", F.col("key"), F.when(F.col("kind") == "site", F.lower("domain")), True),
+    ]
     found = None
-    for k, (how, c) in enumerate(ways):
-        one = entries.select(c.alias("ref_key"), "id").groupBy("ref_key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        met = refs.join(one, (F.lower("ref") if how == "name" else F.col("ref")) == F.col("ref_key")).select("ref", "id", "n", F.lit(how).alias("how"), F.lit(k).alias("k"))
+    for k, (how, key, of, alone) in enumerate(ways):
+        one = entries.select(of.alias("ref_key"), "id").where("ref_key is not null").groupBy("ref_key").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+        met = asked.join(one, key == F.col("ref_key")).select("ref", F.when((F.col("n") == 1) | F.lit(not alone), F.struct(F.lit(k).alias("k"), F.lit(how).alias("how"), "id")).alias("b"), "n")
         found = met if found is None else found.unionByName(met)
-    best = found.groupBy("ref").agg(F.min(F.when(F.col("n") == 1, F.struct("k", "how", "id"))).alias("b"), F.max("n").alias("candidates"))
+    best = found.groupBy("ref").agg(F.min("b").alias("b"), F.max("n").alias("candidates"))
     return refs.join(best, "ref", "left").select("ref", "b.id", "b.how", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 

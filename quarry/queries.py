@@ -302,7 +302,7 @@ def collapse_same_key(spark, d):
 @query("""WITH r AS (SELECT * FROM (VALUES ('1'), ('FRANCE'), ('nothing'), ('ASIA'), ('3')) AS v(ref)), e AS (SELECT n_nationkey::VARCHAR AS id, lower(n_name) AS name FROM nation)
  SELECT r.ref, coalesce((SELECT id FROM e WHERE id = r.ref), (SELECT min(id) FROM e WHERE name = lower(r.ref) HAVING count(*) = 1)) AS id FROM r""")
 def ref_resolution_cascade(spark, d):
-    e = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("domain"), F.col("n_name").alias("name"))
+    e = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("domain"), F.col("n_name").alias("name"), F.lit("site").alias("kind"))
     return search.resolve(spark.createDataFrame([(x,) for x in ("1", "FRANCE", "nothing", "ASIA", "3")], "ref string"), e).select("ref", "id")
 
 
@@ -706,8 +706,12 @@ def sitemap_page_items(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from quarry import catalog_queries
+
+    return _QUERIES | catalog_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from quarry import catalog_queries
+
+    return _SQL | catalog_queries.SQL
