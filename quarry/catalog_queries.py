@@ -282,3 +282,149 @@ def references_resolved(spark, d):
 def items_with_entries(spark, d):
     i = rows(spark, d, "customer", c_custkey="c_custkey", parent="c_custkey % 40")
     return catalog.cached(i, rows(spark, d, "supplier", parent="s_suppkey", s_name="s_name"), rows(spark, d, "supplier", parent="s_suppkey", s_name="s_name").limit(0), "parent", "s_name").select("c_custkey", "s_name", F.col("checked").alias("known"))
+
+
+# Reports ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_type AS dep, min(p_partkey) AS pos, 0 AS k FROM part GROUP BY p_type UNION ALL SELECT p_brand, min(p_partkey), 1 FROM part GROUP BY p_brand")
+def dependency_union(spark, d):
+    return gates.dependencies(rows(spark, d, "part", pos="p_partkey", deps="array(p_type, p_brand)")).select("dep", "first.pos", "first.k")
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS sites, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS with_registry, (SELECT sum(c_nationkey)::BIGINT FROM customer) AS items,
+ (SELECT list(c_mktsegment || ' ' || n ORDER BY c_mktsegment) FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)) AS by_type, (SELECT list(s || ' ' || n ORDER BY s) FROM (SELECT 'n' || c_nationkey % 4 AS s, count(*) AS n FROM customer GROUP BY 1)) AS by_status""")
+def inventory_totals(spark, d):
+    t = gates.totals(rows(spark, d, "customer", type="c_mktsegment", status="concat('n', c_nationkey % 4)", registry="c_custkey % 3 = 0", items="CAST(c_nationkey AS BIGINT)"))
+    listed = lambda c: F.transform(F.map_entries(c), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string")))
+    return t.select("sites", "with_registry", "items", listed("by_type").alias("by_type"), listed("by_status").alias("by_status"))
+
+
+@query("""WITH w AS (SELECT lang AS doc, regexp_extract(lower(text), '([\\p{L}\\p{N}]{3,})', 1) AS w FROM documents WHERE lang IS NOT NULL), c AS (SELECT doc, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, w) AS r FROM c) SELECT doc, list(w || ' ' || n ORDER BY r) AS hints FROM r WHERE r <= 15 GROUP BY doc""")
+def title_hint_words(spark, d):
+    return reports.title_hints(rows(spark, d, "documents", doc="lang", title="text").where("doc is not null"))
+
+
+@query("WITH e AS (SELECT unnest(list_distinct(['n' || s_nationkey % 3, 'all'])) AS category, CASE WHEN s_suppkey % 2 = 0 THEN 'dead' ELSE 'gated' END AS reason FROM supplier) SELECT category, reason, count(*) AS n FROM e GROUP BY GROUPING SETS ((category, reason), (category))")
+def unreachable_groups(spark, d):
+    return reports.unreachable(rows(spark, d, "supplier", categories="array(concat('n', s_nationkey % 3), 'all')", reason="CASE WHEN s_suppkey % 2 = 0 THEN 'dead' ELSE 'gated' END"))
+
+
+@query("SELECT p_type AS element, count(*) AS raw, count(*) FILTER (p_size % 4 = 0) AS demos, count(DISTINCT p_name) AS merged, count(DISTINCT p_brand) AS registries FROM part GROUP BY p_type")
+def tag_coverage(spark, d):
+    return reports.coverage(rows(spark, d, "part", registry="p_brand", demo="p_size % 4 = 0", slug="p_name", elements="array(p_type)"))
+
+
+@query("WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS word FROM part WHERE p_size % 2 = 1) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 9")
+def untagged_token_counts(spark, d):
+    i = rows(spark, d, "part", elements="CASE WHEN p_size % 2 = 0 THEN array('x') ELSE array() END", t="concat(p_name, ' ', lower(p_type))")
+    return reports.untagged_tokens(i, F.split("t", " "), 9)
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_nationkey % 3 = 0 THEN 0 WHEN c_nationkey % 3 = 1 THEN 1 ELSE 2 END, c_custkey) AS place FROM customer")
+def queue_in_order(spark, d):
+    q = gates.queue_order(rows(spark, d, "customer", id="c_custkey", curated="c_nationkey % 3 = 0", readable="c_nationkey % 3 = 1", pos="c_custkey"))
+    # The place in the queue: rows of earlier ranks, then those before in the rank.
+    sizes = q.groupBy("rank").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.rank") < F.col("a.rank"), "left").groupBy("a.rank").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    from pyspark.sql import Window
+
+    own = F.row_number().over(Window.partitionBy("rank").orderBy("pos"))
+    return q.join(before, "rank").select(F.col("id").alias("c_custkey"), (own + F.col("before")).alias("place"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 1.06 WHEN p_size % 3 = 1 THEN 0.94 ELSE 1.0 END AS score FROM part ORDER BY score DESC, lower(p_name), p_partkey LIMIT 25")
+def filter_only_order(spark, d):
+    access = F.when(F.col("z") == 0, "code").when(F.col("z") == 1, "gated").otherwise("page")
+    none = F.lit(False)
+    p = search.prior(F.lit("item"), access, none, none, none, none, none)
+    return gates.filter_order(rows(spark, d, "part", id="p_partkey", name="p_name", z="p_size % 3"), p).select("id", "name", "score").limit(25)
+
+
+@query("SELECT n_regionkey AS region, n_name AS name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 2, r_name FROM region WHERE r_regionkey = 2")
+def report_merged(spark, d):
+    return reports.replace_touched(rows(spark, d, "nation", region="n_regionkey", name="n_name"), rows(spark, d, "region", region="r_regionkey", name="r_name").where("region = 2"), "region")
+
+
+@query("SELECT s_suppkey, list_filter(['curated', CASE WHEN s_nationkey % 2 = 0 THEN 'gated' END, CASE WHEN s_suppkey % 3 = 0 THEN 'thin' END], lambda x: x IS NOT NULL) AS flags, list_filter([CASE WHEN s_nationkey % 2 = 0 THEN 'ask for access' END, CASE WHEN s_suppkey % 3 = 0 THEN 'render pages' END, CASE WHEN s_suppkey % 5 = 0 THEN 'use the registry' END], lambda x: x IS NOT NULL) AS advice, CASE WHEN s_suppkey % 5 = 0 THEN 'registry' WHEN s_nationkey % 2 = 0 THEN 'gated' ELSE 'other' END AS type FROM supplier")
+def flags_and_advice(spark, d):
+    s = rows(spark, d, "supplier", s_suppkey="s_suppkey", g="s_nationkey % 2 = 0", t="s_suppkey % 3 = 0", r="s_suppkey % 5 = 0")
+    codes = F.array_compact(F.array(F.when(F.col("g"), "gated"), F.when(F.col("t"), "thin")))
+    kind = F.when(F.col("r"), "registry").otherwise("site")
+    return s.select("s_suppkey", reports.flags({"curated": F.lit(True), "gated": F.col("g"), "thin": F.col("t")}).alias("flags"), reports.advice(kind, codes).alias("advice"), reports.source_type({"registry": F.col("r"), "gated": F.col("g")}).alias("type"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN NULL ELSE 'https://r/' || p_partkey || '.json' END AS install_url, CASE p_size % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'a' ELSE 'c' END AS build FROM part")
+def install_targets(spark, d):
+    p = rows(spark, d, "part", p_partkey="p_partkey", n="CAST(p_partkey AS STRING)", g="p_size % 2 = 0", f="p_size % 3 = 0", builds="CASE p_size % 4 WHEN 0 THEN array(struct('ts-tw' AS stack, 'a' AS name), struct('js-css' AS stack, 'b' AS name)) WHEN 1 THEN array(struct('js-tw' AS stack, 'x' AS name), struct('ts-tw' AS stack, 'a' AS name)) ELSE array(struct('js-tw' AS stack, 'c' AS name)) END")
+    return p.select("p_partkey", reports.install_url(F.lit("https://r/"), F.col("n"), F.col("g"), F.col("f")).alias("install_url"), reports.stack_build(F.col("builds"), "js-css")["name"].alias("build"))
+
+
+@query("SELECT lower(replace(p_name, ' ', '-')) AS slug, arg_min(p_type, p_partkey) AS element FROM part GROUP BY 1")
+def element_slug_index(spark, d):
+    return items.element_slugs(rows(spark, d, "part", element="p_type", name="p_name", is_alias="false", pos="p_partkey"))
+
+
+@query("SELECT r_regionkey AS grp, array_to_string(list('- ' || n_name || ': ' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'd' || n_nationkey END ORDER BY n_nationkey), chr(10)) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def taxonomy_prompts(spark, d):
+    t = rows(spark, d, "nation", group="n_regionkey", pos="n_nationkey", id="n_name", definition="CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE concat('d', n_nationkey) END")
+    return reports.taxonomy_prompt(t).select(F.col("group").alias("grp"), "text")
+
+
+# Verdicts -----------------------------------------------------------------------------------------------------------
+
+_ANS = "CASE s_suppkey % 6 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 401 WHEN 3 THEN 403 WHEN 4 THEN 404 ELSE NULL END"
+
+
+@query(f"""WITH a AS (SELECT s_nationkey AS id, {_ANS} AS st, s_suppkey % 6 = 0 AS txt, s_suppkey % 6 = 2 AS g FROM supplier), v AS (SELECT id, coalesce(bool_or(st = 200 AND txt), false) AS ok, coalesce(bool_or(st <> 200 AND g), false) AS w, coalesce(bool_or(st = 403 AND NOT g), false) AS c FROM a GROUP BY id)
+ SELECT id, CASE WHEN ok THEN 'ok' WHEN w THEN 'gated' WHEN c THEN 'challenge' ELSE 'no-llms' END AS state FROM v""")
+def llms_states(spark, d):
+    a = rows(spark, d, "supplier", id="s_nationkey", status=_ANS, type="CASE WHEN s_suppkey % 6 = 0 THEN 'text/plain' ELSE 'text/html' END", body="CASE WHEN s_suppkey % 6 = 0 THEN '# T' ELSE '<html>' END", challenged="false", gated="s_suppkey % 6 = 2")
+    return quality.llms_state(a)
+
+
+_RE = {"corpus": "CASE WHEN c_custkey % 11 = 0 THEN concat('f', c_custkey) END", "repo": "CASE WHEN c_custkey % 7 = 0 THEN 'README.md' END", "registry": "CASE c_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'gated' WHEN 2 THEN 'challenge' END", "llms": "CASE c_custkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'gated' ELSE 'no-llms' END", "home": "CASE c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END", "is_repo": "c_custkey % 2 = 0"}
+
+
+@query(f"""WITH r AS (SELECT c_custkey, {', '.join(f'{x} AS {c}' for c, x in _RE.items())} FROM customer) SELECT c_custkey, CASE WHEN corpus IS NOT NULL THEN 'corpus:' || corpus WHEN repo IS NOT NULL THEN 'repo:' || repo WHEN registry = 'ok' THEN 'registry' WHEN llms = 'ok' THEN 'llms.txt'
+ WHEN home IS NULL OR home = 0 OR home >= 500 THEN 'dead' WHEN coalesce(registry = 'gated', false) OR llms = 'gated' THEN 'gated' WHEN coalesce(registry = 'challenge', false) THEN 'bot-walled' WHEN is_repo THEN 'repo-gone' ELSE 'no-endpoint' END AS verdict,
+ CASE WHEN is_repo AND c_nationkey % 4 = 0 THEN 'blocked' WHEN is_repo OR c_custkey % 5 = 0 THEN 'partial' ELSE 'ok' END AS digest FROM r JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey)""")
+def reachability_verdicts(spark, d):
+    r = rows(spark, d, "customer", c_custkey="c_custkey", n="c_nationkey % 4", thin="c_custkey % 5 = 0", **_RE)
+    return r.select("c_custkey", quality.reachability(*[F.col(c) for c in _RE]).alias("verdict"), quality.digest_status(F.col("is_repo"), F.col("n"), F.col("thin")).alias("digest"))
+
+
+_ROBOT = "CASE p_partkey % 6 WHEN 0 THEN 'User-agent: *' WHEN 1 THEN concat('Disallow: /', replace(p_name, ' ', '/'), ' # no') WHEN 2 THEN concat('ALLOW:/a', p_partkey) WHEN 3 THEN concat('User-Agent: Bot', p_size % 3) WHEN 4 THEN 'Sitemap: https://x/s.xml' ELSE 'Disallow:' END"
+
+
+@query(f"""WITH l AS (SELECT p_brand AS host, p_partkey AS pos, lower(trim(regexp_extract({_ROBOT}, '^\\s*([A-Za-z-]+)\\s*:', 1))) AS k, trim(regexp_replace(regexp_extract({_ROBOT}, '^[^:]*:(.*)$', 1), '\\s*#.*$', '')) AS v FROM part), r AS (SELECT * FROM l WHERE k IN ('user-agent', 'allow', 'disallow')),
+ b AS (SELECT *, CASE WHEN k = 'user-agent' AND coalesce(lag(k) OVER w <> 'user-agent', true) THEN 1 ELSE 0 END AS b FROM r WINDOW w AS (PARTITION BY host ORDER BY pos)), g AS (SELECT *, sum(b) OVER (PARTITION BY host ORDER BY pos) AS g FROM b)
+ SELECT a.host, lower(a.v) AS agent, x.k = 'allow' AS allow, x.v AS rule FROM g a JOIN g x ON a.host = x.host AND a.g = x.g AND a.k = 'user-agent' AND x.k <> 'user-agent'""")
+def robots_parsed(spark, d):
+    return readers.robots_rules(rows(spark, d, "part", host="p_brand", pos="p_partkey", line=_ROBOT))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'https://s' || s_suppkey || '.dev/mcp' WHEN s_suppkey % 4 = 1 THEN 'https://s' || s_suppkey || '.dev' WHEN s_suppkey % 4 = 2 THEN 'https://mcp.s' || s_suppkey || '.dev/x' END AS url, CASE s_suppkey % 4 WHEN 0 THEN 'url' WHEN 1 THEN 'probe' WHEN 2 THEN 'llms.txt: - MCP server: https://mcp.s' || s_suppkey || '.dev/x?y=1).' END AS evidence FROM supplier")
+def mcp_endpoints(spark, d):
+    s = rows(spark, d, "supplier", s_suppkey="s_suppkey", u="concat('https://s', s_suppkey, '.dev', CASE WHEN s_suppkey % 4 = 0 THEN '/mcp' ELSE '' END)", p="s_suppkey % 4 = 1", l="CASE WHEN s_suppkey % 4 = 2 THEN concat('https://s.dev/mcp\\nmcp is https://s.dev/a\\n - MCP server: https://mcp.s', s_suppkey, '.dev/x?y=1).\\nmcp https://z/mcp') ELSE 'mcp https://s.dev/a' END")
+    m = gates.mcp_endpoint(F.col("u"), F.col("p"), F.replace("l", F.lit("https://s.dev/mcp\n"), F.lit("")))
+    return s.select("s_suppkey", m["url"].alias("url"), m["evidence"].alias("evidence"))
+
+
+_PRICE = "CASE p_size % 5 WHEN 0 THEN concat('$', p_size, ' / month') WHEN 1 THEN concat('from €', p_size, ' per user, free trial') WHEN 2 THEN concat('£', p_size) WHEN 3 THEN concat('$0 today then $', p_size, '/mo') ELSE 'free' END"
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'paid' WHEN 1 THEN 'freemium' WHEN 3 THEN 'freemium' END AS model, CASE p_size % 5 WHEN 0 THEN ['$' || p_size] WHEN 1 THEN ['€' || p_size] WHEN 2 THEN ['£' || p_size] WHEN 3 THEN list_filter(['$0', CASE WHEN p_size <> 0 THEN '$' || p_size END], lambda x: x IS NOT NULL) ELSE [] END AS prices FROM part")
+def pricing_models(spark, d):
+    p = rows(spark, d, "part", p_partkey="p_partkey", t=_PRICE)
+    return p.select("p_partkey", gates.pricing(F.col("t")).alias("model"), html.prices(F.col("t")).alias("prices"))
+
+
+@query("SELECT p_partkey, list_filter([CASE WHEN p_size > 40 THEN 'size' END, CASE WHEN p_name LIKE 'cold %' THEN 'name' END], lambda x: x IS NOT NULL) AS wrong FROM part")
+def argument_problems(spark, d):
+    """The validators of records: values that a vocabulary lacks."""
+    r = rows(spark, d, "part", p_partkey="p_partkey", v="array(CASE WHEN p_size > 40 THEN 'size' ELSE 'ok' END, CASE WHEN p_name LIKE 'cold %' THEN 'name' ELSE 'ok' END)")
+    bad = validation.unknown_values(r, "p_partkey", "v", spark.createDataFrame([("ok",)], "k string"), "k")
+    got = bad.groupBy("p_partkey").agg(F.sort_array(F.collect_list("value"), False).alias("wrong"))
+    return r.select("p_partkey").join(got, "p_partkey", "left").select("p_partkey", F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
