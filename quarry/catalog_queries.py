@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html, names, text, urls
 from quarry.operators import catalog, gates, items, pages, phrases, quality, reports, search, sections, sitemaps, tagging, validation
-from quarry.queries import _U, _V, table
+from quarry.queries import _ENT, _U, _V, table
 from quarry.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,3 +428,215 @@ def argument_problems(spark, d):
     bad = validation.unknown_values(r, "p_partkey", "v", spark.createDataFrame([("ok",)], "k string"), "k")
     got = bad.groupBy("p_partkey").agg(F.sort_array(F.collect_list("value"), False).alias("wrong"))
     return r.select("p_partkey").join(got, "p_partkey", "left").select("p_partkey", F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
+
+
+# Text, names and keys -----------------------------------------------------------------------------------------------
+
+
+def _clip_sql(c: str, n: int) -> str:
+    return f"CASE WHEN length({c}) > {n} THEN regexp_replace(substring({c}, 1, {n - 1}), '\\s+$', '') || '…' ELSE {c} END"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, substring(text, 1, 120) AS head, regexp_extract(substring(text, 1, 120), '(?s)^(.*)\n', 1) AS line FROM conversations)
+ SELECT conv_id, turn, {_clip_sql('text', 50)} AS clipped, CASE WHEN length(text) <= 120 THEN text WHEN length(line) > 84 THEN line ELSE head END AS cut, '<untrusted>' || chr(10) || text || chr(10) || '</untrusted>' AS wrapped, replace(replace(text, 'the', 'THE'), 'THEa', 'x') AS rewritten, regexp_extract(text, '(?is).{{0,10}}(?:that).{{0,10}}', 0) AS evidence FROM c""")
+def text_shortened(spark, d):
+    c = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", text.clip(c, 50).alias("clipped"), names.cut_at_line(c, 120).alias("cut"), text.untrusted(c).alias("wrapped"), text.rewrite(c, [("the", "THE"), ("THEa", "x")]).alias("rewritten"), text.evidence(c, "that", 10).alias("evidence"))
+
+
+@query("SELECT p_partkey, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], ' ') AS humanised, CASE WHEN p_size % 3 = 0 THEN 'buttons' WHEN p_size % 3 = 1 THEN 'Other - ' || p_name ELSE '' END AS short, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' - Docs' END AS title, CASE p_size % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'commercial' END AS licence FROM part")
+def names_shortened(spark, d):
+    p = rows(spark, d, "part", p_partkey="p_partkey", slug="replace(p_name, ' ', '-')", desc="CASE WHEN p_size % 3 = 0 THEN 'Acme — buttons' WHEN p_size % 3 = 1 THEN concat('Other - ', p_name) END", title="CASE WHEN p_size % 2 = 0 THEN concat(p_name, ' - Acme') ELSE concat(p_name, ' - Docs') END", lic="CASE p_size % 4 WHEN 0 THEN 'the MIT licence' WHEN 1 THEN 'Apache License, Version 2.0' WHEN 2 THEN 'a Commercial License' ELSE 'none' END")
+    return p.select("p_partkey", text.humanise(F.col("slug")).alias("humanised"), names.short_desc(F.col("desc"), F.lit("Acme Kit"), F.lit("acme.dev")).alias("short"), names.without_site(F.col("title"), ["Acme"]).alias("title"), text.license_of(F.col("lic")).alias("licence"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 90 THEN text ELSE (SELECT max_by(substring(text, 1, k::INT), k) FROM range(20, 88) r(k) WHERE strlen(substring(text, 1, k::INT)) <= 87) || '…' END AS clipped FROM documents WHERE text IS NOT NULL AND length(text) > 60")
+def bytes_clipped(spark, d):
+    return table(spark, d, "documents").where("text is not null and length(text) > 60").select("doc_id", names.clip_bytes(F.col("text"), 90).alias("clipped"))
+
+
+_ENC = "CASE p_size % 6 WHEN 0 THEN concat(p_name, ' &amp; x') WHEN 1 THEN concat('&#', 65 + p_size % 26, ';&#x41;', p_name) WHEN 2 THEN '&lt;b&gt; &mdash; &NBSP;&bogus;' WHEN 3 THEN '&amp;lt;' WHEN 4 THEN '&#0;&' ELSE p_name END"
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_name || ' & x' WHEN 1 THEN chr(65 + p_size % 26) || 'A' || p_name WHEN 2 THEN '<b> —  &bogus;' WHEN 3 THEN '&lt;' WHEN 4 THEN '&#0;&' ELSE p_name END AS decoded, CASE WHEN p_size % 6 = 2 THEN '<b> &mdash; &NBSP;&bogus;' END AS xml FROM part")
+def entities_decoded(spark, d):
+    p = rows(spark, d, "part", p_partkey="p_partkey", t=_ENC, z="p_size % 6")
+    return p.select("p_partkey", text.entities(F.col("t")).alias("decoded"), F.when(F.col("z") == 2, text.entities(F.col("t"), {})).alias("xml"))
+
+
+_UK = "concat(CASE WHEN page_id % 2 = 0 THEN 'HTTPS://WWW.' ELSE 'https://' END, 'Site', page_id % 5, '.dev/A%20b/index.html', CASE page_id % 3 WHEN 0 THEN '?q=1' WHEN 1 THEN '#top' ELSE '' END)"
+
+
+@query("""SELECT page_id, 'https://' || CASE WHEN page_id % 2 = 0 THEN 'www.' ELSE '' END || 'site' || page_id % 5 || '.dev/A%20b/index.html' || CASE WHEN page_id % 3 = 0 THEN '?q=1' ELSE '' END AS listed, 'site' || page_id % 5 || '.dev/A%20b/index.html' || CASE WHEN page_id % 3 = 0 THEN '?q=1' ELSE '' END AS with_query,
+ 'site' || page_id % 5 || '.dev/a b' AS sitemap, ['A b', 'index.html'] AS segments, 9 AS n_bases, 'https://reg/' || 'r/x' || page_id || '.json' AS first_base FROM pages""")
+def url_keys(spark, d):
+    u = F.col("u")
+    b = urls.item_bases(F.lit("https://reg/"), F.concat(F.lit("x"), F.col("page_id").cast("string")))
+    p = rows(spark, d, "pages", page_id="page_id", u=_UK)
+    return p.select("page_id", urls.listed_key(u).alias("listed"), urls.query_key(u).alias("with_query"), urls.sitemap_key(u).alias("sitemap"), urls.segments(u).alias("segments"), F.size(b).alias("n_bases"), F.get(b, F.lit(0)).alias("first_base"))
+
+
+@query("SELECT c_custkey, regexp_replace(lower(trim('HTTP://A.dev/' || c_name || '//')), '^http://', 'https://')[:-3] AS ref, regexp_extract_all(lower(c_name), '[a-z0-9]+') AS words, list_filter(['registry:2 (some gated)', CASE WHEN c_custkey % 2 = 0 THEN 'pages:3' END], lambda x: x IS NOT NULL) AS flags FROM customer")
+def reference_words(spark, d):
+    c = rows(spark, d, "customer", c_custkey="c_custkey", r="concat(' HTTP://A.dev/', c_name, '// ')", c_name="c_name", f="concat(' `registry:2 (some gated)', CASE WHEN c_custkey % 2 = 0 THEN ' pages:3' ELSE '' END, '` ')")
+    return c.select("c_custkey", search.reference(F.col("r")).alias("ref"), gates.words(F.col("c_name")).alias("words"), gates.flag_words(F.col("f")).alias("flags"))
+
+
+# Readers ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_round_trip(spark, d):
+    from quarry.sources.readers import json_file, landed
+
+    at = landed(spark, "json")
+    table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.json(at)
+    return json_file(spark, at, "s_suppkey long, s_name string, s_acctbal double", lines=True)
+
+
+@query("SELECT s_suppkey, s_name || chr(10) || s_nationkey AS text FROM supplier")
+def text_round_trip(spark, d):
+    from quarry.sources.readers import landed, text_files
+
+    at = landed(spark, "text")
+    rows(spark, d, "supplier", value="concat(s_suppkey, '\\t', s_name, '\\n', s_nationkey)", part="s_suppkey").repartition("part").write.partitionBy("part").text(at)
+    f = text_files(spark, at)
+    return f.select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("s_suppkey"), F.regexp_replace(F.split_part("value", F.lit("\t"), F.lit(2)), "\n$", "").alias("text"))
+
+
+@query("SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'curated' ELSE 'other' END AS source_id, CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 4 END AS source_rank, s_name AS name, 'https://s' || s_suppkey AS url FROM supplier")
+def source_files_ranked(spark, d):
+    item = "named_struct('url', concat('https://s', s_suppkey), 'name', s_name, 'desc', '', 'title', '', 'categories', array('x'), 'labels', array('y'), 'mentions', 1)"
+    s = rows(spark, d, "supplier", source_id="CASE WHEN s_nationkey % 2 = 0 THEN 'curated' ELSE 'other' END", schema_version="1", item=item)
+    return readers.sources(s.groupBy("source_id", "schema_version").agg(F.collect_list("item").alias("items"))).select("source_id", "source_rank", "name", "url")
+
+
+@query("SELECT p_brand AS doc, 'Kits ' || p_size % 3 AS category, p_name AS name, 'https://x.dev/' || p_partkey AS url, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS \"desc\" FROM part WHERE p_size % 5 <> 0")
+def markdown_table_rows(spark, d):
+    l = rows(spark, d, "part", doc="p_brand", p="p_partkey", a="concat('## Kits ', p_size % 3, ' · 9')", b="CASE WHEN p_size % 5 = 0 THEN concat('| ', p_name, ' | none |') ELSE concat('| ', p_partkey, ' | [', p_name, '](https://x.dev/', p_partkey, ') | ', CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END, ' |') END")
+    lines = l.select("doc", F.explode(F.array(F.struct((F.col("p") * 2).alias("pos"), F.col("a").alias("line")), F.struct((F.col("p") * 2 + 1).alias("pos"), F.col("b").alias("line")))).alias("x")).select("doc", "x.pos", "x.line")
+    return readers.markdown_rows(lines).select("doc", "category", "name", "url", F.coalesce("desc", F.lit("")).alias("desc"))
+
+
+@query("SELECT s_nationkey AS site, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'https://x.dev/' || s_suppkey ELSE 'https://s.dev/docs/' || s_suppkey || '.md' END AS url, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'about ' || s_suppkey END AS \"desc\" FROM supplier")
+def link_file_lines(spark, d):
+    l = rows(spark, d, "supplier", site="s_nationkey", line="concat('- [', s_name, '](', CASE WHEN s_suppkey % 2 = 0 THEN concat('https://x.dev/', s_suppkey) ELSE concat('/docs/', s_suppkey, '.md') END, ')', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat(': about ', s_suppkey) END)")
+    f = l.groupBy("site").agg(F.array_join(F.collect_list("line"), "\n").alias("t")).select("site", F.explode(readers.link_lines(F.col("t"))).alias("x"))
+    return f.select("site", "x.title", urls.resolve(F.lit("https://s.dev/"), F.col("x.url")).alias("url"), "x.desc")
+
+
+@query(f"WITH {_U} SELECT site AS domain, 'https://x.dev/' || page_id || CASE WHEN page_id % 2 = 0 THEN '&z' ELSE '' END AS loc FROM k WHERE page_id % 4 <> 3")
+def sitemap_expansion(spark, d):
+    p = rows(spark, d, "pages", site="url", page_id="page_id").select(urls.site(F.col("site")).alias("domain"), "page_id")
+    loc = F.expr("concat('<url><loc>', CASE WHEN page_id % 2 = 0 THEN concat('<![CDATA[https://x.dev/', page_id, '&z]]>') ELSE concat('https://x.dev/', page_id) END, '</loc><image:image><image:loc>https://i</image:loc></image:image></url>')")
+    # One index a site names a map for each remainder of 4; the last of them is broken.
+    maps = p.groupBy("domain", (F.col("page_id") % 4).alias("r")).agg(F.array_join(F.collect_list(loc), "").alias("b"))
+    maps = maps.select(F.concat(F.lit("https://"), "domain", F.lit("/"), "r").alias("url"), F.when(F.col("r") == 3, F.concat(F.lit("<html>"), "b")).otherwise(F.concat(F.lit("<urlset>"), "b", F.lit("</urlset>"))).alias("text"))
+    index = p.groupBy("domain").agg(F.array_join(F.transform(F.collect_set(F.col("page_id") % 4), lambda r: F.concat(F.lit("<sitemap><loc>https://"), F.col("domain"), F.lit("/"), r.cast("string"), F.lit("</loc></sitemap>"))), "").alias("b"))
+    index = index.select(F.concat(F.lit("https://"), "domain", F.lit("/index")).alias("url"), F.concat(F.lit("<sitemapindex>"), "b", F.lit("</sitemapindex>")).alias("text"))
+    start = p.select("domain", F.concat(F.lit("https://"), "domain", F.lit("/index")).alias("url"))
+    return readers.expand(start, index.union(maps))
+
+
+@query("SELECT p_brand AS registry, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS type FROM part WHERE p_size % 3 <> 0")
+def registry_index_items(spark, d):
+    i = rows(spark, d, "part", registry="p_brand", j="to_json(named_struct('name', CASE WHEN p_size % 3 <> 0 THEN p_name END, 'type', CASE WHEN p_size % 2 = 0 THEN p_type END))")
+    g = i.groupBy("registry").agg(F.array_join(F.collect_list("j"), ",").alias("b"))
+    body = F.when(F.length("registry") % 2 == 0, F.concat(F.lit("["), "b", F.lit("]"))).otherwise(F.concat(F.lit('{"items":['), "b", F.lit("]}")))
+    return g.select("registry", F.explode(readers.registry_items(body)).alias("x")).select("registry", "x.name", "x.type")
+
+
+@query("SELECT p_partkey, 'a' || p_size AS path, p_name AS content FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'css', '.x {' || chr(10) || p_name || chr(10) || '}' FROM part WHERE p_size % 3 = 1")
+def registry_item_files(spark, d):
+    b = "CASE p_size % 3 WHEN 0 THEN concat('{\"files\":[{\"path\":\"a', p_size, '\",\"content\":\"', p_name, '\"},{\"path\":\"../b\",\"content\":\"z\"},{\"path\":\"c\"}]}') WHEN 1 THEN concat('{\"css\":{\".x\":\"', p_name, '\"}}') ELSE 'no json' END"
+    return rows(spark, d, "part", p_partkey="p_partkey", b=b).select("p_partkey", F.explode(readers.item_files(F.col("b"))).alias("x")).select("p_partkey", "x.path", "x.content")
+
+
+@query("SELECT kind, count(*) AS n, sum(length(html))::BIGINT AS bytes FROM (SELECT html, CASE page_id % 5 WHEN 0 THEN 'llms' WHEN 1 THEN 'registry' WHEN 2 THEN 'sitemap' WHEN 3 THEN 'markdown' ELSE 'other' END AS kind FROM pages) GROUP BY kind")
+def corpus_manifest(spark, d):
+    return readers.manifest(rows(spark, d, "pages", path="CASE page_id % 5 WHEN 0 THEN 'a/LLMS-full.txt' WHEN 1 THEN 'a/registry.json' WHEN 2 THEN 'a/sitemap-1.xml' WHEN 3 THEN 'a/x.md' ELSE 'a/y.html' END", length="CAST(length(html) AS BIGINT)"))
+
+
+@query("SELECT DISTINCT 'd' || s_nationkey || '.dev' AS domain FROM supplier WHERE s_suppkey % 4 <> 0")
+def domain_lists(spark, d):
+    return readers.domain_list(rows(spark, d, "supplier", value="CASE WHEN s_suppkey % 4 = 0 THEN '# none' ELSE concat(' D', s_nationkey, '.DEV # ', s_name) END"))
+
+
+@query(f"WITH {_U} SELECT arg_max(page_id, page_id) AS page_id, site FROM k GROUP BY site")
+def renders_read(spark, d):
+    from quarry.sources.readers import landed, rendered
+
+    at = landed(spark, "renders")
+    p = table(spark, d, "pages").select(urls.site(F.col("url")).alias("url"), F.array(F.col("page_id").cast("string")).alias("links"), "page_id")
+    # One file a page, the names in the order of the ids.
+    p.select("url", "links", F.lpad(F.col("page_id").cast("string"), 9, "0").alias("n")).repartition("n").write.partitionBy("n").json(at)
+    got = rendered(spark, f"{at}/*")
+    return got.select(F.get("links", F.lit(0)).cast("long").alias("page_id"), F.col("url").alias("site"))
+
+
+@query(rf"""WITH {_U}, l AS (SELECT site, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["''](/[^"''/#?]*)', 1)) AS prefix FROM k JOIN pages USING (page_id)), c AS (SELECT site, prefix, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, prefix) AS r FROM c),
+ g AS (SELECT site, sum(n)::BIGINT AS links, list(prefix || ' ' || n ORDER BY r) FILTER (r <= 3) AS prefixes FROM r GROUP BY site), i AS (SELECT site, sum(len(regexp_extract_all(html, '(?i)<(?:section|article|h[1-4])\b[^>]*\bid\s*=')))::BIGINT AS ids FROM k JOIN pages USING (page_id) GROUP BY site) SELECT site, ids, links, prefixes FROM i LEFT JOIN g USING (site)""")
+def page_probe_summary(spark, d):
+    return readers.probe_summary(table(spark, d, "pages").select(urls.site(F.col("url")).alias("site"), "url", "html"), 3)
+
+
+# Pages --------------------------------------------------------------------------------------------------------------
+
+_MD = "concat('# ', p_name, ' *x*\\n\\n```\\ncode ', p_partkey, '\\n```\\n![i](a.png)\\n## Use `it` ##\\n* see [docs](/d) and <b>', p_type, '</b>\\n', CASE WHEN p_size % 2 = 0 THEN '### Deep\\n' ELSE '' END, '<!-- c -->end')"
+
+
+@query("SELECT p_partkey, p_name || ' x' AS title, [p_name || ' x'] AS h1, ['Use it'] AS h2, CASE WHEN p_size % 2 = 0 THEN ['Deep'] ELSE [] END AS h3, array_to_string(list_filter(['# ' || p_name || ' x', '## Use it ##', '- see docs and ' || p_type, CASE WHEN p_size % 2 = 0 THEN '### Deep' END, 'end'], lambda x: x IS NOT NULL), chr(10)) AS text FROM part")
+def markdown_digests(spark, d):
+    m = rows(spark, d, "part", p_partkey="p_partkey", m=_MD).select("p_partkey", gates.markdown_digest(F.col("m")).alias("x"))
+    return m.select("p_partkey", "x.title", "x.headings.h1", "x.headings.h2", "x.headings.h3", "x.text")
+
+
+@query(rf"""WITH {_V} SELECT page_id, trim(regexp_replace({_ENT.format("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title, len(list_distinct(list_filter([trim(x) FOR x IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["'']', 1)], lambda y: NOT starts_with(y, '#')))) AS n_links, sha256(t) AS text_hash FROM v""")
+def page_digest_parts(spark, d):
+    p = table(spark, d, "pages").select("page_id", html.digest(F.col("url"), F.col("html")).alias("g"))
+    return p.select("page_id", "g.title", F.size("g.links").cast("long").alias("n_links"), F.sha2("g.text", 256).alias("text_hash"))
+
+
+@query("SELECT page_id, 'https://l.dev/list?page=' || (page_id % 7 + 2) AS next FROM pages WHERE page_id % 7 + 2 <= 8")
+def next_listing_pages(spark, d):
+    p = rows(spark, d, "pages", page_id="page_id", url="concat('https://l.dev/list?page=', page_id % 7 + 1, '#', page_id)", link="explode(transform(sequence(1, 8), x -> concat('https://l.dev/list?page=', x)))")
+    return pages.next_page(p).join(p.select("url", "page_id").distinct(), "url").select("page_id", "next")
+
+
+@query("SELECT s_suppkey, ['/a' || s_suppkey, '/b?x=1'] AS paths FROM supplier")
+def capped_link_paths(spark, d):
+    s = rows(spark, d, "supplier", s_suppkey="s_suppkey", l="array('https://x.dev/', concat('https://x.dev/a', s_suppkey), 'https://x.dev', 'https://y.dev/b?x=1#z', concat('https://x.dev/a', s_suppkey, '#q'), 'https://x.dev/c')")
+    return s.select("s_suppkey", pages.link_paths(F.col("l"), 2).alias("paths"))
+
+
+@query(r"""SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || h AS target FROM (SELECT page_id, url, unnest([trim(x) FOR x IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["'']', 1)]) AS h FROM pages) WHERE regexp_matches(h, '^/[A-Za-z]+$')""")
+def rooted_links_resolved(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.explode(html.hrefs(F.col("html"))).alias("href")).where("href rlike '^/[A-Za-z]+$'")
+    return p.select("page_id", urls.normalize(urls.resolve(F.col("url"), F.col("href"))).alias("target")).distinct()
+
+
+@query("SELECT 'shops' AS source_id, 'https://s' || s_suppkey AS url, s_name AS name FROM supplier")
+def source_written(spark, d):
+    at = readers.landed(spark, "source")
+    readers.write_source(rows(spark, d, "supplier", url="concat('https://s', s_suppkey)", name="s_name"), at, "shops")
+    return readers.read_source(spark, at, "url string, name string").select("source_id", "url", "name")
+
+
+@query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 4 = 3 OR page_id % 4 = 1 AND length(html) > 3000 THEN '' ELSE html END AS text, CASE WHEN page_id % 2 = 1 AND length(html) > 3000 THEN 'too large' WHEN page_id % 4 = 3 THEN 'corrupt' END AS problem FROM (SELECT page_id, regexp_replace(substring(html, 1, 2000 + (page_id % 3)::INT * 1000), '[^ -~]', '?', 'g') AS html FROM pages)")
+def gunzipped_bodies(spark, d):
+    """Bodies as they are, gzipped, gzipped beyond the limit, and cut short."""
+    import gzip
+
+    import pyarrow as pa
+
+    def zipped(batches):
+        for b in batches:
+            out = []
+            for k, t in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                raw = t.encode()
+                out.append(gzip.compress(raw, mtime=0) if k % 4 == 1 else gzip.compress(raw, mtime=0)[:-20] if k % 4 == 3 else raw)
+            yield pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in b.column("page_id").to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+    p = rows(spark, d, "pages", page_id="page_id", html="regexp_replace(substring(html, 1, 2000 + CAST(page_id % 3 AS INT) * 1000), '[^ -~]', '?')")
+    got = readers.gunzipped(p.mapInArrow(zipped, "path string, content binary"), 3000)
+    return got.select("path", F.when(F.col("problem").isNull(), F.col("text")).otherwise("").alias("text"), "problem")

@@ -13,6 +13,10 @@ WEIGHTS = {"name": 3.0, "element": 3.0, "variant": 2.0, "description": 2.0, "lab
 FIELDS = list(WEIGHTS)
 
 
+def _prefixed(values: Column, prefix: str) -> Column:
+    return F.transform(F.array_distinct(values), lambda x: F.concat(F.lit(f"{prefix}:"), x))
+
+
 def postings(docs: DataFrame, doc: str, fields: dict[str, str], tags: list[tuple[str, str, Column]] = (), only: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc, tf100, mask): length-normalised term frequencies in hundredths, and the fields as bits.
 
@@ -23,7 +27,7 @@ def postings(docs: DataFrame, doc: str, fields: dict[str, str], tags: list[tuple
     averages are a row a kind. So what is shuffled, once, is a document's counts of the wanted terms.
     """
     kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
-    own = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()], *[F.coalesce(F.transform(F.array_distinct(v), lambda x, p=p: F.concat(F.lit(p + ":"), x)), F.array().cast("array<string>")).alias(f"g_{f}") for f, p, v in tags])
+    own = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()], *[F.coalesce(_prefixed(v, p), F.array().cast("array<string>")).alias(f"g_{f}") for f, p, v in tags])
     note = lambda f: (F.col("kind") == "item") & F.lit(f == "description")
     parts, length, count = [], F.lit(0.0), F.lit(0)
     for f, name, words in [*((f, f"t_{f}", True) for f in fields), *((f, f"g_{f}", False) for f, _, _ in tags)]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,61 @@ def matched_field(mask: Column) -> Column:
     return F.element_at(names, low + 1)
 
 
-def boost(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Navigational: a document whose compact name is the query rises just above the top. names: (doc, name)."""
+#: Words that a name may carry or drop, and what announces a name that something had before.
+GENERIC = ["ui", "icons", "icon", "library", "components", "component", "css", "illustrations", "palette", "kit", "app", "website", "site"]
+FORMER = r"\b(?:formerly(?: known as)?|previously(?: known as)?|successor to|renamed from)\s+([A-Z][\w.\-/]*(?:\s+[A-Z][\w.\-/]*){0,2})"
+
+
+def name_keys(entries: DataFrame) -> DataFrame:
+    """(key, doc, former): what entries (doc, name, and where they are known domain, kind, url, desc, about) are called, without spaces and
+    marks: name, domain with and without its ending, a repo's name, and names they had. Pages have none: they are about things."""
+    e = entries.select("doc", "name", *[(F.col(c) if c in entries.columns else F.lit(None)).cast("string").alias(c) for c in ("domain", "kind", "url", "desc", "about")])
+    e = e.where(~F.col("kind").eqNullSafe("page"))
+    site = F.regexp_replace(F.coalesce("domain", F.lit("")), r"^www\.", "")
+    own = F.when((site != "") & (site != "github.com"), site)
+    repo = F.when(F.col("kind") == "repo", F.regexp_extract("url", r"github\.com/[^/]+/([^/#?]+)", 1))
+    now = F.array_compact(F.array(compact(F.col("name")), compact(own), compact(F.regexp_replace(own, r"\.[a-z]+$", "")), compact(repo)))
+    then = F.transform(F.regexp_extract_all(F.concat_ws(" ", F.coalesce("desc", F.lit("")), F.coalesce("about", F.lit(""))), F.lit(FORMER), F.lit(1)), compact)
+    each = e.select("doc", F.explode(now).alias("key"), F.lit(False).alias("former")).union(e.select("doc", F.explode(then), F.lit(True)))
+    return each.where(F.length("key") >= 3).distinct()
+
+
+def navigational(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(q, doc): entries that a query (q) names: as a whole, with "ui" after a single word, or without a generic last word; by a former name
+    only as a whole. A query of six letters or more that names none may be one letter off. One of generic words alone names nothing."""
+    words = tokens(F.regexp_replace(F.regexp_replace("q", "^https?://", ""), r"^www\.", ""))
+    r = queries.select("q").distinct().withColumn("w", words).where((F.size("w") > 0) & (F.size(F.array_except("w", F.array(*[F.lit(g) for g in GENERIC]))) > 0))
+    whole = F.array_join("w", "")
+    ended = F.when((F.size("w") > 1) & F.element_at("w", -1).isin(GENERIC), F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), ""))
+    r = r.withColumn("whole", whole).withColumn("keys", F.array_compact(F.array(whole, F.when(F.size("w") == 1, F.concat(whole, F.lit("ui"))), ended)))
+    known = name_keys(entries)
+    now = r.select("q", F.explode("keys").alias("key")).join(known.where("not former"), "key").select("q", "doc")
+    then = r.join(known.where("former"), F.col("whole") == F.col("key")).select("q", "doc")
+    found = now.union(then).distinct()
+    # Names one letter off meet on their forms with a letter left out.
+    lost = r.where(F.length("whole") >= 6).join(found, "q", "left_anti").select(F.col("whole").alias("word"), "q")
+    near = fuzzy(lost.select("word").distinct(), known.where((F.length("key") >= 6) & ~F.col("former")).select(F.col("key").alias("term")).distinct())
+    typos = lost.join(near, "word").join(known.where("not former"), F.col("term") == F.col("key")).select("q", "doc")
+    return found.union(typos).distinct()
+
+
+def boost(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """Hits (q, doc, score) in which an entry that the query names stands just above the top."""
     top = hits.groupBy("q").agg(F.max("score").alias("top"))
-    keys = names.select("doc", compact(F.col("name")).alias("k"))
-    queries = hits.select("q").distinct().select("q", compact(F.col("q")).alias("k"))
-    named = queries.join(keys, "k").select("q", "doc").distinct().join(top, "q")
-    return hits.join(named, ["q", "doc"], "full").select("q", "doc", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce(F.col("top") * 1.01, F.lit(0.0))).alias("score"))
+    named = navigational(hits.select("q"), entries).join(top, "q").withColumnRenamed("top", "_top")
+    out = hits.join(named, ["q", "doc"], "full").withColumn("score", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce(F.col("_top") * 1.01, F.lit(0.0))))
+    return out.drop("_top")
+
+
+def answer_group(kind: Column, access: Column, granularity: Column) -> Column:
+    """The part of an answer that a hit stands in: res, code, gallery or docs."""
+    return F.when(kind != "item", "res").when(access != "page", "code").when(granularity == "example", "gallery").otherwise("docs")
+
+
+def answer_caps(limit: int) -> dict[str, int]:
+    """How many strong hits of a group an answer of so many shows before the rest goes by rank."""
+    half, third = max(2, -(-limit // 2)), max(1, math.ceil(limit * 0.3))
+    return {"res": half, "code": half, "gallery": third, "docs": third}
 
 
 def passes(kind=None, category=None, element=None, variant=None, access=None, stack=None, registry=None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
-from quarry.operators import index, pages, phrases, reports, search, sections
+from quarry.operators import gates, index, pages, phrases, reports, search, sections
 
 
 class Catalog:
@@ -21,6 +21,7 @@ class Catalog:
     COLUMNS = {
         "id": "string", "name": "string", "url": "string", "domain": "string", "kind": "string", "desc": "string", "about": "string", "categories": "array<string>", "elements": "array<string>", "mentions": "int",
         "parent": "string", "slug": "string", "description": "string", "variants": "map<string,array<string>>", "access": "string", "granularity": "string", "type": "string", "stacks": "array<string>", "install_url": "string",
+        "local": "boolean", "auto": "boolean", "readable": "boolean", "record": "boolean",
     }
 
     def __init__(self, entries: DataFrame, items: DataFrame, contents: DataFrame | None = None, synonyms: DataFrame | None = None, vocabulary: phrases.Vocabulary | None = None) -> None:
@@ -46,20 +47,30 @@ class Catalog:
         """From all documents, whatever a query filters."""
         return index.idf(self.postings, self.all.count()).persist()
 
+    @cached_property
+    def priors(self) -> DataFrame:
+        """(id, prior): what a result is worth before the query; entries that have items are mapped."""
+        mapped = self.items.select(F.col("parent").alias("id")).distinct().withColumn("_mapped", F.lit(True))
+        yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+        p = search.prior(F.col("kind"), F.col("access"), yes("local"), yes("auto"), yes("_mapped"), F.coalesce("readable", F.lit(True)), yes("record"))
+        return self.all.join(mapped, "id", "left").select("id", p.alias("prior")).dropDuplicates(["id"])
+
     def _ranked(self, query: str | None, rows: DataFrame) -> DataFrame:
-        """rows with score and rank order; without a query by mentions, then name."""
+        """rows (already filtered) with their score: the prior alone without a query, else what matches, and what the query names just above."""
+        rows = rows.join(self.priors, "id")
         if not query:
-            return rows.withColumn("score", F.coalesce(F.col("mentions"), F.lit(0)).cast("double"))
+            return rows.withColumnRenamed("prior", "score")
         asked = self.spark.createDataFrame([(query,)], "q string")
         concepts = phrases.analyse(asked, self.vocabulary, self.idf.select("term")) if self.vocabulary else search.analyse(asked, self.synonyms)
-        hits = search.score(self.postings, self.idf, concepts)
-        hits = search.boost(hits, self.entries.where("kind <> 'page'").select(F.col("id").alias("doc"), "name"))
-        return rows.join(hits.select(F.col("doc").alias("id"), "score"), "id")
+        hits = search.score(self.postings, self.idf, concepts).withColumnRenamed("doc", "id")
+        hits = hits.join(rows.select("id", "prior"), "id").select("q", F.col("id").alias("doc"), (F.col("score") * F.col("prior")).alias("score"))
+        hits = search.boost(hits, rows.where("kind <> 'item'").withColumnRenamed("id", "doc"))
+        return rows.drop("prior").join(hits.select(F.col("doc").alias("id"), "score"), "id")
 
     def _page(self, rows: DataFrame, limit: int, offset: int, most: int) -> DataFrame:
         if not 0 < limit <= most or not 0 <= offset <= 5000:
             raise ValueError(f"limit must be 1 to {most}, offset 0 to 5000")
-        return rows.orderBy(F.desc("score"), "name", "id").offset(offset).limit(limit)
+        return rows.orderBy(F.desc("score"), F.collate(F.lower("name"), "UNICODE"), "id").offset(offset).limit(limit)
 
     def _known(self, column: str, value: str | None) -> None:
         if value is not None:
@@ -67,11 +78,30 @@ class Catalog:
             if known.where(F.col("v") == value).isEmpty():
                 raise ValueError(f"{column}: {value} is not known; known are {', '.join(r.v for r in known.orderBy('v').limit(100).collect())}")
 
-    def search(self, query: str | None = None, element=None, category=None, kind=None, limit: int = 20, offset: int = 0) -> DataFrame:
-        """Entries and items together."""
+    def _hits(self, query, element=None, category=None, kind=None, variant=None) -> DataFrame:
         self._known("elements", element)
         self._known("categories", category)
-        return self._page(self._ranked(query, self.all).where(search.passes(kind=kind, category=category, element=element)), limit, offset, 60)
+        return self._ranked(query, self.all.where(search.passes(kind=kind, category=category, element=element, variant=variant)))
+
+    def search(self, query: str | None = None, element=None, category=None, kind=None, variant=None, limit: int = 20, offset: int = 0) -> DataFrame:
+        """Entries and items together, by rank."""
+        return self._page(self._hits(query, element, category, kind, variant), limit, offset, 60)
+
+    def search_groups(self, query: str | None = None, element=None, category=None, kind=None, variant=None, limit: int = 10) -> DataFrame:
+        """(grp, place, id, name, url, score, also): an answer of ``limit`` hits in groups. Equal components are one hit; each group's strong
+        leader comes in first, then strong hits within the group's cap, then what is left by rank."""
+        if not 0 < limit <= 60:
+            raise ValueError("limit must be 1 to 60")
+        rows = self._hits(query, element, category, kind, variant).withColumn("grp", search.answer_group(F.col("kind"), F.col("access"), F.col("granularity")))
+        own = F.when(F.col("kind") == "item", F.concat_ws("\x01", F.lower(F.coalesce("slug", "name")), F.array_join(F.array_sort("elements"), ","))).otherwise(F.concat(F.lit("\x02"), "id"))
+        one = search.collapse(rows.withColumn("_key", own), ["grp", "_key"], [F.desc("score"), F.col("id")], "id")
+        shown = search.capped_fill(one.select("grp", F.col("id").alias("doc"), "score"), limit, search.answer_caps(limit), limit)
+        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "id"))  # of limit rows
+        return shown.select(F.col("doc").alias("id")).join(one, "id").select("grp", place.alias("place"), "id", "name", "url", "score", "also")
+
+    def counts(self, query: str | None = None, **filters) -> DataFrame:
+        """One row: how many hits are resources, components, gallery examples and docs pages."""
+        return gates.group_counts(self._hits(query, **filters))
 
     def facets(self, element: str) -> DataFrame:
         return search.facets(self.items, element)
@@ -79,7 +109,7 @@ class Catalog:
     def search_items(self, query: str | None = None, element=None, variant=None, registry=None, access=None, stack=None, limit: int = 20) -> DataFrame:
         """Items; equal components of several registries are one row, the other ids in also."""
         self._known("elements", element)
-        rows = self._ranked(query, self.items).where(search.passes(element=element, variant=variant, registry=registry, access=access, stack=stack))
+        rows = self._ranked(query, self.items.where(search.passes(element=element, variant=variant, registry=registry, access=access, stack=stack)))
         rows = rows.withColumn("_key", F.lower(F.coalesce("slug", "name"))).withColumn("_e", F.array_join(F.array_sort("elements"), ","))
         return self._page(search.collapse(rows, ["_key", "_e"], [F.desc("score"), F.col("id")], "id").drop("_key", "_e"), limit, 0, 50)
 
@@ -91,8 +121,31 @@ class Catalog:
         return got.id
 
     def list_pages(self, ref: str, query: str | None = None, element=None, limit: int = 50, offset: int = 0) -> DataFrame:
-        rows = self._ranked(query, self.items.where(F.col("parent") == self.resolve(ref)))
-        return self._page(rows.where(search.passes(element=element)), limit, offset, 300)
+        rows = self._ranked(query, self.items.where((F.col("parent") == self.resolve(ref)) & search.passes(element=element)))
+        return self._page(rows, limit, offset, 300)
+
+    def site_urls(self, pages: DataFrame, ref: str, query: str | None = None, element: str | None = None, aliases: list[str] = (), limit: int = 50, offset: int = 0) -> DataFrame:
+        """URLs of an entry's sitemap, pages (domain, pos, url), whose path holds a word of the query or a name of the element; all without either."""
+        own = self.entries.where(F.col("id") == self.resolve(ref)).select(F.regexp_replace("domain", r"^www\.", "").alias("domain"))
+        rows = pages.join(own, "domain", "left_semi")
+        if words := gates.needles(query, element, aliases):
+            rows = rows.where(gates.named_by_path(F.col("url"), words))
+        return rows.orderBy("pos").offset(offset).limit(limit).select("url")
+
+    def closest(self, ref: str, most: int = 3) -> list[str]:
+        """Ids of items with code that a wrong item id may have meant: of its registry, else of any."""
+        key = ref.strip().lower().rstrip("/")
+        registry, _, name = key.rpartition("/")
+        name = " ".join(gates.needles(name))
+        if not name:
+            return []
+        known = self.entries.where(F.col("id") == registry).select("id").collect() if registry else []
+        for parent in [*(r.id for r in known), None]:
+            rows = self.items.where("access = 'code'")
+            got = self._page(self._ranked(name, rows.where(F.col("parent") == parent) if parent else rows), most, 0, 50).collect()
+            if got:
+                return [r.id for r in got]
+        return []
 
     def get(self, ref: str, most: int = 2000) -> DataFrame:
         """One entry as JSON, its fields fewer until it fits."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def json_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def landed(spark: SparkSession, name: str) -> str:
+    """A fresh folder for landed files, in the folder that ``spark.checkpoint.dir`` names and all executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def json_file(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """A JSON document a file or, with lines, one a line, which can be split between tasks."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -30,24 +40,34 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def gunzipped(files: DataFrame) -> DataFrame:
-    """(path, text) of binary files (path, content): gzip by its first bytes, anything corrupt as it is, 64 MB at most."""
+def gunzipped(files: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """(path, text, problem) of binary files (path, content): gzip by its first bytes. A body that is corrupt, or larger than ``most`` bytes
+    when it is unpacked, stays as it is, and problem says so; nothing is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         for b in batches:
-            out = []
+            out, problems = [], []
             for raw in b.column("content").to_pylist():
+                problem = None
                 if raw is not None and raw[:2] == b"\x1f\x8b":
                     try:
-                        raw = zlib.decompressobj(31).decompress(raw, 64 << 20)
+                        reader = zlib.decompressobj(31)
+                        plain = reader.decompress(raw, most + 1)
+                        if len(plain) > most:
+                            problem = "too large"
+                        elif not reader.eof:
+                            problem = "corrupt"
+                        else:
+                            raw = plain
                     except zlib.error:
-                        pass
+                        problem = "corrupt"
                 out.append(None if raw is None else raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "text"])
+                problems.append(problem)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string()), pa.array(problems, pa.string())], ["path", "text", "problem"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, text string, problem string")
 
 
 def sources(files: DataFrame, version: int = 1) -> DataFrame:
@@ -57,10 +77,21 @@ def sources(files: DataFrame, version: int = 1) -> DataFrame:
     return checked.select("source_id", F.when(rank == 0, len(FIRST) + 1).otherwise(rank).cast("int").alias("source_rank"), F.posexplode("items").alias("pos", "item")).select("source_id", "source_rank", "pos", "item.*")
 
 
-def write_source(rows: DataFrame, path: str, source_id: str) -> None:
-    """A source file of the rows (url, name, ...), as one JSON document."""
-    items = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("items"))
-    items.select(F.lit(source_id).alias("source_id"), F.lit(1).alias("schema_version"), F.current_timestamp().cast("string").alias("generated_at"), F.size("items").alias("count"), "items").coalesce(1).write.mode("overwrite").json(path)
+def write_source(rows: DataFrame, path: str, source_id: str, version: int = 1) -> None:
+    """A source as a folder: its rows (url, name, ...) as JSON lines under items/, and one line about them in head/. No task gathers the rows."""
+    rows.write.mode("overwrite").json(f"{path}/items")
+    written = rows.sparkSession.read.schema(rows.schema).json(f"{path}/items")
+    head = written.agg(F.count("*").alias("count")).select(F.lit(source_id).alias("source_id"), F.lit(version).alias("schema_version"), F.current_timestamp().cast("string").alias("generated_at"), "count")
+    head.write.mode("overwrite").json(f"{path}/head")
+
+
+def read_source(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
+    """The rows of a source that write_source() wrote, with its source_id. A wrong version or a missing row is an error."""
+    head = spark.read.schema("source_id string, schema_version int, count long").json(f"{path}/head").first()
+    items = spark.read.schema(schema).json(f"{path}/items")
+    if head.schema_version != version or head["count"] != items.count():
+        raise ValueError(f"{path}: not a whole source of version {version}")
+    return items.withColumn("source_id", F.lit(head.source_id))
 
 
 def markdown_rows(lines: DataFrame) -> DataFrame:

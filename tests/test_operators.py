@@ -116,7 +116,7 @@ def test_api(spark):
     c = Catalog(e, i, spark.createDataFrame([("a", "# One\n" + "word " * 60 + "\n# Two\nbutton " + "more " * 60)], "doc string, text string"))
     assert c.search("alpha ui").first().id == "a"
     assert {r.id for r in c.search("button").collect()} == {"a", "b", "a/x", "b/x"}
-    assert [r.id for r in c.search(None, kind="site").collect()] == ["b", "a"]
+    assert [r.id for r in c.search(None, kind="site").collect()] == ["a", "b"]
     got = c.search_items("button").collect()
     assert len(got) == 1 and len(got[0].also) == 1
     assert c.resolve("Beta") == "b" and c.resolve("alpha.dev") == "a"
