@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import html, names, text, urls
-from quarry.operators import catalog, gates, items, pages, phrases, quality, reports, search, sections, sitemaps, tagging, validation
-from quarry.queries import _ENT, _U, _V, table
+from quarry.operators import catalog, gates, index, items, pages, quality, reports, search, sitemaps, tagging, validation
+from quarry.queries import _ENT, _PL, _U, _V, table
 from quarry.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,3 +640,178 @@ def gunzipped_bodies(spark, d):
     p = rows(spark, d, "pages", page_id="page_id", html="regexp_replace(substring(html, 1, 2000 + CAST(page_id % 3 AS INT) * 1000), '[^ -~]', '?')")
     got = readers.gunzipped(p.mapInArrow(zipped, "path string, content binary"), 3000)
     return got.select("path", F.when(F.col("problem").isNull(), F.col("text")).otherwise("").alias("text"), "problem")
+
+
+# Tagging ------------------------------------------------------------------------------------------------------------
+
+_VOCAB = [("widget", "widget", False, False), ("bolt", "bolt", False, False), ("gear", "gear", False, False), ("gear", "large gear", False, False)]
+_SAID = "concat(p_name, ' ', lower(p_type))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, {_SAID} AS s FROM part) SELECT id, 'widget' AS element, 'small' AS variant FROM t WHERE regexp_matches(s, '\\bwidget\\b') AND regexp_matches(s, '\\bsmall\\b')
+ UNION ALL SELECT id, 'gear', 'large' FROM t WHERE regexp_matches(replace(s, 'large gear', 'gear'), '\\blarge\\b') AND regexp_matches(s, '\\bgear\\b')
+ UNION ALL SELECT id, 'bolt', 'promo' FROM t WHERE regexp_matches(s, '\\bbolt promo\\b')""")
+def element_variants(spark, d):
+    v = spark.createDataFrame([("widget", "small", "small"), ("gear", "large", "large"), ("bolt", "promo", "bolt promo")], "element string, variant string, alias string")
+    t = rows(spark, d, "part", id="p_partkey", text=_SAID)
+    found = tagging.variants(t, spark.createDataFrame(_VOCAB, tagging.SCHEMA), v)
+    # A variant counts for texts that have its element.
+    own = t.select("id", "text")
+    return found.join(own, "id").where(F.expr("text rlike concat('\\\\b', element, '\\\\b')")).select("id", "element", "variant")
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, p_name AS name, lower(p_type) AS label, p_size FROM part), e AS (SELECT unnest(['widget', 'bolt', 'gear']) AS element)
+ SELECT id, element, regexp_matches(name, '\\b' || element || '\\b') AS strong FROM t JOIN e ON regexp_matches(name, '\\b' || element || '\\b') OR (p_size % 3 = 0 AND element = 'gear') OR (p_size % 2 = 0 AND element = 'bolt')""")
+def element_hints(spark, d):
+    r = rows(spark, d, "part", id="p_partkey", name="'Kit'", desc="p_name", labels="CASE WHEN p_size % 3 = 0 THEN array('a gear') ELSE array(lower(p_type)) END", categories="CASE WHEN p_size % 2 = 0 THEN array('components') ELSE array('fonts') END", about="'the kit bolt'", note="CAST(NULL AS STRING)")
+    return tagging.hints(r, spark.createDataFrame(_VOCAB, tagging.SCHEMA))
+
+
+@query("SELECT p_partkey AS id, list_filter(['widget', CASE WHEN p_size % 2 = 0 THEN 'gear' END], lambda x: x IS NOT NULL) AS elements, CASE WHEN p_size % 3 = 0 THEN ['large', 'small'] WHEN p_size % 3 = 1 THEN ['small'] ELSE [] END AS kinds FROM part WHERE p_name LIKE '%widget'")
+def tags_merged(spark, d):
+    p = rows(spark, d, "part", id="p_partkey", e="CASE WHEN p_size % 2 = 0 THEN array('widget', 'gear', 'widget') ELSE array('widget') END", v="CASE WHEN p_size % 3 = 0 THEN array('small', 'large') WHEN p_size % 3 = 1 THEN array('small', 'small') ELSE array() END", n="p_name").where("n like '%widget'")
+    each = p.select("id", F.posexplode("e").alias("pos", "element"), "v")
+    return tagging.merge(each.select("id", "pos", "element", F.when(F.col("element") == "widget", F.col("v")).alias("variants")))
+
+
+_STEM = "CASE WHEN length(raw) < 4 OR regexp_matches(raw, '[0-9]') THEN raw WHEN length(p) > 6 AND p LIKE '%ation' THEN regexp_replace(p, 'ation$', '') WHEN length(p) > 5 AND p LIKE '%ing' THEN regexp_replace(p, 'ing$', '') WHEN length(p) > 5 AND p LIKE '%ed' THEN regexp_replace(p, 'ed$', '') ELSE p END"
+_FIELDS = f"""w AS (SELECT p_partkey AS doc, unnest(string_split(p_name, ' ')) AS raw, 3.0 AS wt, 1 AS bit FROM part UNION ALL SELECT p_partkey, unnest(regexp_extract_all(lower(p_brand || ' ' || p_type), '[a-z]+|[0-9]+')), 1.0, 32 FROM part),
+ p AS (SELECT *, {_PL.format('raw')} AS p FROM w), t AS (SELECT doc, {_STEM} AS term, wt, bit FROM p), l AS (SELECT doc, sum(wt) AS len FROM t GROUP BY doc), a AS (SELECT greatest(avg(len), 1.0) AS a FROM l),
+ post AS (SELECT term, doc, greatest(1, floor(100 * sum(wt) / (0.25 + 0.75 * any_value(len) / any_value(a)) + 0.5))::INT AS tf100, bit_or(bit)::INT AS mask FROM t JOIN l USING (doc), a GROUP BY term, doc),
+ idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term)"""
+
+
+def _parts(spark, d, tags=()):
+    return index.postings(rows(spark, d, "part", id="p_partkey", name="p_name", about="concat(p_brand, ' ', p_type)", noun="array(split(p_name, ' ')[1])"), "id", {"name": "name", "about": "about"}, list(tags))
+
+
+@query(f"WITH {_FIELDS} SELECT term, doc, tf100, mask, CASE WHEN mask % 2 = 1 THEN 'name' ELSE 'about' END AS field FROM post")
+def field_weights(spark, d):
+    return _parts(spark, d).select("term", "doc", "tf100", "mask", search.matched_field(F.col("mask")).alias("field"))
+
+
+@query(f"""WITH {_FIELDS}, s AS (SELECT doc, term, idf * (tf100 / 100.0) * 2.2 / (tf100 / 100.0 + 1.2) AS s FROM post JOIN idf USING (term) WHERE term IN ('widget', 'cold')), g AS (SELECT doc, sum(s) AS s, count(*) AS hits FROM s GROUP BY doc)
+ SELECT doc, hits, round(s * (0.35 + 0.65 * (hits / 2.0) * (hits / 2.0)) * CASE WHEN hits = 2 THEN 1.25 ELSE 1 END * CASE doc % 3 WHEN 0 THEN 1.06 WHEN 1 THEN 0.94 ELSE 1.0 END, 5) AS score FROM g""")
+def prior_in_scores(spark, d):
+    p = _parts(spark, d)
+    concepts = search.concepts_of(spark, [("q", 0, 0, "cold", False, 1.0, False), ("q", 1, 0, "widget", False, 1.0, False)])
+    no = F.lit(False)
+    access = F.when(F.col("doc") % 3 == 0, "code").when(F.col("doc") % 3 == 1, "gated").otherwise("page")
+    out = search.score(p, index.idf(p, table(spark, d, "part").count()), concepts, search.prior(F.lit("item"), access, no, no, no, no, no))
+    return out.select("doc", "hits", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {_FIELDS}, g AS (SELECT p_partkey AS doc, split_part(p_name, ' ', 2) AS noun FROM part), n AS (SELECT count(*) AS df FROM g WHERE noun = 'widget'), ti AS (SELECT ln(1 + ((SELECT count(*) FROM part) - df + 0.5) / (df + 0.5)) AS idf FROM n),
+ l2 AS (SELECT doc, len + 3.0 AS len FROM l), a2 AS (SELECT avg(len) AS a FROM l2), wt2 AS (SELECT term, doc, greatest(1, floor(100 * sum(wt) / (0.25 + 0.75 * any_value(len) / any_value(a)) + 0.5)) AS tf FROM t JOIN l2 USING (doc), a2 WHERE term IN ('cold', 'widget') GROUP BY ALL),
+ tg AS (SELECT doc, greatest(1, floor(100 * 3.0 / (0.25 + 0.75 * len / a) + 0.5)) AS tf FROM g JOIN l2 USING (doc), a2 WHERE noun = 'widget'), i2 AS (SELECT term, ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM wt2 GROUP BY term),
+ c0 AS (SELECT doc, max(s) AS s FROM (SELECT doc, 0.7 * i2.idf * (tf / 100.0) * 2.2 / (tf / 100.0 + 1.2) AS s FROM wt2 JOIN i2 USING (term) WHERE term = 'cold') GROUP BY doc), c1 AS (SELECT doc, ti.idf * (tf / 100.0) * 2.2 / (tf / 100.0 + 1.2) AS s FROM tg, ti),
+ u AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1), f AS (SELECT doc, sum(s) AS s, count(*) AS hits FROM u GROUP BY doc)
+ SELECT doc, hits, round(s * (0.35 + 0.65 * (hits / 2.0) * (hits / 2.0)) * CASE WHEN hits = 2 THEN 1.25 ELSE 1 END, 5) AS score FROM f""")
+def plain_words_beside_tags(spark, d):
+    """A plain word weighs 0.7 beside a concept that is a tag."""
+    p = _parts(spark, d, [("element", "el", F.col("noun"))])
+    concepts = search.concepts_of(spark, [("q", 0, 0, "cold", False, 1.0, False), ("q", 1, 0, "el:widget", True, 1.0, False)])
+    out = search.score(p, index.idf(p, table(spark, d, "part").count()), concepts)
+    return out.select("doc", "hits", F.round("score", 5).alias("score"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 1.08 WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0.95 ELSE 0.85 END ELSE 1.08 END AS prior FROM supplier")
+def entry_priors(spark, d):
+    s = rows(spark, d, "supplier", s_suppkey="s_suppkey", mapped="s_nationkey % 2 = 0", readable="s_suppkey % 3 <> 0", record="s_suppkey % 2 = 0")
+    no = F.lit(False)
+    return s.select("s_suppkey", search.prior(F.lit("site"), F.lit(None).cast("string"), no, no, F.col("mapped"), F.col("readable"), F.col("record")).alias("prior"))
+
+
+_NAV = "CASE c_custkey % 8 WHEN 0 THEN concat('Brand ', c_custkey % 60) WHEN 1 THEN concat('brand', c_custkey % 60, '.com') WHEN 2 THEN concat('kitname', chr(97 + CAST(c_custkey % 20 AS INT))) WHEN 3 THEN concat('repo-', c_custkey % 60) WHEN 4 THEN concat('Old Name', c_custkey % 60) WHEN 5 THEN concat('brond', c_custkey % 60) WHEN 6 THEN 'icon library' ELSE concat('brand', c_custkey % 60, ' icons') END"
+
+
+@query(f"""WITH e AS (SELECT s_suppkey AS k, 's' || s_suppkey AS doc FROM supplier WHERE s_suppkey % 5 <> 4), ks AS (SELECT doc, 'brand' || k AS key FROM e UNION SELECT doc, 'brand' || k || 'com' FROM e UNION SELECT doc, 'kitname' || chr(97 + (k % 20)::INT) || 'ui' FROM e WHERE k % 5 = 0 UNION SELECT doc, 'repo' || k FROM e WHERE k % 5 = 1),
+ q AS (SELECT DISTINCT {_NAV} AS q, c_custkey % 8 AS m, regexp_replace(lower({_NAV}), '[^a-z0-9]', '', 'g') AS w FROM customer WHERE c_custkey % 8 <> 6),
+ hit AS (SELECT q, doc FROM q JOIN ks ON key = w OR (m = 2 AND key = w || 'ui') OR (m = 7 AND key = regexp_replace(w, 'icons$', '')) UNION SELECT q, doc FROM q JOIN e ON k % 5 = 2 AND w = 'oldname' || k)
+ SELECT q, doc FROM hit UNION SELECT q, doc FROM (SELECT * FROM q ANTI JOIN hit USING (q)) JOIN ks ON length(w) >= 6 AND length(key) >= 6 AND levenshtein(w, key) <= 1""")
+def navigational_names(spark, d):
+    e = rows(spark, d, "supplier", doc="concat('s', s_suppkey)", name="CASE WHEN s_suppkey % 5 = 0 THEN concat('Kitname', chr(97 + CAST(s_suppkey % 20 AS INT)), ' UI') ELSE concat('Brand ', s_suppkey) END", domain="concat('www.brand', s_suppkey, '.com')", kind="CASE s_suppkey % 5 WHEN 4 THEN 'page' WHEN 1 THEN 'repo' ELSE 'site' END", url="concat('https://github.com/o/repo-', s_suppkey)", desc="CASE WHEN s_suppkey % 5 = 2 THEN concat('A kit, formerly Old Name', s_suppkey, ', and more') ELSE '' END", about="''")
+    return search.navigational(rows(spark, d, "customer", q=_NAV).distinct(), e)
+
+
+# Query API ----------------------------------------------------------------------------------------------------------
+
+
+def _catalog(spark, d):
+    from quarry.plans.api import Catalog
+
+    e = rows(spark, d, "supplier", id="concat('s', s_suppkey)", name="s_name", url="concat('https://s', s_suppkey, '.dev')", domain="concat('s', s_suppkey, '.dev')", kind="'site'", desc="concat('shop ', s_nationkey)", categories="array(concat('c', s_nationkey % 3))", elements="array('widget')")
+    i = rows(spark, d, "part", id="concat('s', p_partkey % 10, '/p', p_partkey)", parent="concat('s', p_partkey % 10)", name="p_name", slug="replace(p_name, ' ', '-')", description="p_type", elements="array(split(p_name, ' ')[1])", variants="map(split(p_name, ' ')[1], array(split(p_name, ' ')[0]))", access="CASE p_size % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'gated' ELSE 'page' END", granularity="CASE WHEN p_size % 2 = 0 THEN 'example' ELSE 'page' END", type="CASE WHEN p_size % 4 = 0 THEN 'registry:ui' ELSE 'registry:block' END", install_url="CASE WHEN p_size % 3 = 0 THEN concat('https://r/', p_partkey, '.json') END")
+    c = rows(spark, d, "supplier", doc="concat('s', s_suppkey)", text="concat('# One\\n', repeat('first words ', 30), '\\n# Two ', s_suppkey, '\\n', repeat('second words ', 30))")
+    return Catalog(e, i, c)
+
+
+_ALL = """en AS (SELECT 's' || s_suppkey AS id, s_name AS name, NULL AS access, NULL AS gran, 1.08 AS score, 'site' AS kind, 'widget' AS el, NULL AS va FROM supplier), it AS (SELECT 's' || p_partkey % 10 || '/p' || p_partkey AS id, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'gated' ELSE 'page' END AS access, CASE WHEN p_size % 2 = 0 THEN 'example' ELSE 'page' END AS gran,
+ CASE p_size % 3 WHEN 0 THEN 1.06 WHEN 1 THEN 0.94 ELSE 1.0 END AS score, 'item' AS kind, split_part(p_name, ' ', 2) AS el, split_part(p_name, ' ', 1) AS va FROM part), al AS (SELECT * FROM en UNION ALL SELECT * FROM it)"""
+
+
+@query(f"WITH {_ALL} SELECT id, name, score FROM al WHERE el = 'widget' ORDER BY score DESC, lower(name), id LIMIT 40")
+def api_search_resources(spark, d):
+    return _catalog(spark, d).search(None, element="widget", limit=40).select("id", "name", "score")
+
+
+@query(f"WITH {_ALL} SELECT count(*) FILTER (kind <> 'item') AS resources, count(*) FILTER (kind = 'item' AND access <> 'page') AS components, count(*) FILTER (kind = 'item' AND access = 'page' AND gran = 'example') AS gallery, count(*) FILTER (kind = 'item' AND access = 'page' AND gran <> 'example') AS docs FROM al WHERE el = 'widget' AND va = 'cold'")
+def api_search_counts(spark, d):
+    return _catalog(spark, d).counts(None, element="widget", variant="cold")
+
+
+@query(f"""WITH {_ALL}, g AS (SELECT *, CASE WHEN kind <> 'item' THEN 'res' WHEN access <> 'page' THEN 'code' WHEN gran = 'example' THEN 'gallery' ELSE 'docs' END AS grp FROM al WHERE el = 'widget'), c AS (SELECT *, row_number() OVER (PARTITION BY grp, CASE WHEN kind = 'item' THEN name ELSE id END ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY grp, CASE WHEN kind = 'item' THEN name ELSE id END) - 1 AS n_also FROM g),
+ o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS i FROM c WHERE r = 1), p AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN i <= CASE WHEN grp IN ('res', 'code') THEN 5 ELSE 3 END THEN 1 ELSE 2 END AS pr FROM o), t AS (SELECT * FROM p ORDER BY pr, score DESC, id LIMIT 10)
+ SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS place, id, n_also FROM t""")
+def api_search_groups(spark, d):
+    g = _catalog(spark, d).search_groups(None, element="widget", limit=10)
+    return g.select("grp", F.col("place").cast("long").alias("place"), "id", F.coalesce(F.size("also"), F.lit(0)).cast("long").alias("n_also"))
+
+
+@query(f"WITH {_ALL}, c AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY name) - 1 AS n_also FROM it WHERE access = 'code' AND el = 'bolt') SELECT id, name, n_also FROM c WHERE r = 1 ORDER BY score DESC, lower(name), id LIMIT 20")
+def api_search_components(spark, d):
+    return _catalog(spark, d).search_items(None, element="bolt", access="code").select("id", "name", F.greatest(F.coalesce(F.size("also"), F.lit(0)), F.lit(0)).cast("long").alias("n_also"))
+
+
+@query(f"WITH {_ALL} SELECT id, name FROM it WHERE starts_with(id, 's3/') ORDER BY score DESC, lower(name), id LIMIT 30 OFFSET 2")
+def api_list_pages(spark, d):
+    return _catalog(spark, d).list_pages("S3.dev", limit=30, offset=2).select("id", "name")
+
+
+@query("SELECT 's4' AS id, 'Supplier#000000004' AS name, 'https://s4.dev' AS url, 'shop ' || s_nationkey AS \"desc\" FROM supplier WHERE s_suppkey = 4")
+def api_get_resource(spark, d):
+    r = F.from_json("record", "id string, name string, url string, desc string")
+    return _catalog(spark, d).get("https://www.s4.dev/".replace("www.", ""), 150).select(r.alias("r")).select("r.*")
+
+
+@query("SELECT 's2/p' || p_partkey AS id FROM part WHERE p_partkey % 10 = 2 AND p_size % 4 = 0 AND (p_name || ' ' || lower(p_type)) LIKE '%e%' AND (p_name || ' ' || lower(p_type)) LIKE '%o%' ORDER BY lower(p_name), id LIMIT 100")
+def api_list_components(spark, d):
+    return _catalog(spark, d).list_registry("s2", "e O", "ui").select("id")
+
+
+@query("SELECT 2 AS n, 'Two 5' AS title, '# Two 5' || chr(10) || repeat('second words ', 30) AS part")
+def api_get_content(spark, d):
+    return _catalog(spark, d).content("s5", section=2).select("n", "title", "part")
+
+
+@query("SELECT 's1' AS parent, 'kit' AS name, substring('// a' || chr(10) || 'x' || chr(10) || chr(10) || '// b' || chr(10) || s_name, 4, 20) AS part, CASE WHEN length('// a' || chr(10) || 'x' || chr(10) || chr(10) || '// b' || chr(10) || s_name) > 23 THEN 23 END AS next_offset FROM supplier WHERE s_suppkey = 1")
+def api_get_component(spark, d):
+    s = rows(spark, d, "supplier", k="s_suppkey", parent="concat('s', s_suppkey)", name="'kit'", path="'b'", content="s_name").where("k = 1").drop("k")
+    a = s.select("parent", "name", F.lit("a").alias("path"), F.lit("x").alias("content"))
+    return _catalog(spark, d).component(a.union(s), "s1", "KIT", 3, 20)
+
+
+@query("SELECT 's' || p_partkey % 10 || '/p' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'bunx --bun shadcn@latest add https://r/' || p_partkey || '.json' END AS command, CASE p_size % 3 WHEN 1 THEN 'gated' WHEN 2 THEN 'page' END AS skipped FROM part WHERE p_partkey BETWEEN 10 AND 30 UNION ALL SELECT 'zz', NULL, 'unknown'")
+def api_install_commands(spark, d):
+    return _catalog(spark, d).install_plan([*(f"s{k % 10}/p{k}" for k in range(10, 31)), "zz"], "bun")
+
+
+@query("SELECT split_part(p_name, ' ', 2) AS element, CASE p_size % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'gated' ELSE 'page' END AS access, CASE WHEN p_size % 2 = 0 THEN 'example' ELSE 'page' END AS granularity, count(*) AS n, count(DISTINCT p_partkey % 10) AS registries FROM part WHERE split_part(p_name, ' ', 2) = 'gear' GROUP BY ALL")
+def api_element_facets(spark, d):
+    return _catalog(spark, d).facets("gear").select(F.lit("gear").alias("element"), "access", "granularity", "n", "registries")
+
+
+@query(r"WITH l AS (SELECT page_id, url, regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1) AS h FROM pages) SELECT url FROM (SELECT url, page_id FROM l WHERE page_id % 2 = 0 AND list_has_any(regexp_extract_all(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '[\p{L}\p{N}]+'), ['en', 'fr']) ORDER BY page_id LIMIT 50 OFFSET 1)")
+def api_site_urls(spark, d):
+    p = rows(spark, d, "pages", domain="CASE WHEN page_id % 2 = 0 THEN 's1.dev' ELSE 's2.dev' END", pos="page_id", url="url")
+    return _catalog(spark, d).site_urls(p, "s1", "EN x", "fr", limit=50, offset=1)

@@ -33,12 +33,19 @@ def query(u: Column) -> Column:
     return F.array_join(parts, "&")
 
 
+def _bare(u: Column) -> Column:
+    """Without the marks that text leaves at a URL's end."""
+    return F.regexp_replace(F.trim(u), r"[)\]>*`'\"]+$", "")
+
+
+def _marked(q: Column) -> Column:
+    return F.regexp_replace(q, "^(?=.)", "?")
+
+
 def normalize(u: Column) -> Column:
     """http(s) URL with a lower-case host, no fragment or tracking, no slash at the end; null if it is none."""
-    u = F.regexp_replace(F.trim(u), r"[)\]>*`'\"]+$", "")
-    q = query(u)
-    made = F.concat(scheme(u), F.lit("://"), host(u), F.regexp_replace(path(u), "/$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(host(u) != "", made)
+    u = _bare(u)
+    return F.when(host(u) != "", F.concat(scheme(u), F.lit("://"), host(u), F.regexp_replace(path(u), "/$", ""), _marked(query(u))))
 
 
 def site(u: Column) -> Column:
@@ -47,9 +54,10 @@ def site(u: Column) -> Column:
 
 def key(u: Column) -> Column:
     """What makes two URLs the same page: host without www, path (lower case on code hosts) and query."""
-    n = normalize(u)
-    p = F.when(site(n) == "github.com", F.lower(path(n))).otherwise(path(n))
-    return F.concat(site(n), p, F.when(query(n) != "", F.concat(F.lit("?"), query(n))).otherwise(""))
+    u = _bare(u)
+    p = F.regexp_replace(path(u), "/$", "")
+    p = F.when(site(u) == "github.com", F.lower(p)).otherwise(p)
+    return F.when(host(u) != "", F.concat(site(u), p, _marked(query(u))))
 
 
 def page_key(u: Column) -> Column:

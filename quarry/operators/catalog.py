@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import names, urls
+from quarry.operators.sizes import small
 
 
 def merge_upsert(rows: DataFrame) -> DataFrame:
@@ -97,6 +98,6 @@ def keyword_spellings(said: DataFrame) -> DataFrame:
 def normalise_keywords(rows: DataFrame, spellings: DataFrame) -> DataFrame:
     """(id, keywords): each cleaned and in its canonical spelling, the first of equal ones; ids without keywords are left out."""
     each = rows.select("id", F.posexplode("keywords").alias("pos", "k")).withColumn("clean", names.keyword(F.col("k"))).where("clean <> ''")
-    each = each.withColumn("spelling", F.regexp_replace("clean", r"[^\p{L}\p{N}]+", "")).join(F.broadcast(spellings), "spelling", "left")
+    each = each.withColumn("spelling", F.regexp_replace("clean", r"[^\p{L}\p{N}]+", "")).join(small(spellings), "spelling", "left")
     one = each.groupBy("id", F.coalesce("canonical", "clean").alias("k")).agg(F.min("pos").alias("pos"))
     return one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k"))), lambda x: x["k"]).alias("keywords"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import stem, tokens
+from quarry.operators.sizes import small
 
 K1, B = 1.2, 0.75
 #: Weight of a term by field; an item's description weighs 1 and adds no length.
@@ -39,7 +40,7 @@ def postings(docs: DataFrame, doc: str, fields: dict[str, str], tags: list[tuple
     each = own.select("doc", "kind", "len", F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "len", "p.bit", "p.weight", "p.words", F.explode("p.raw").alias("raw"))
     each = each.withColumn("term", F.when(F.col("words"), stem(F.col("raw"))).otherwise(F.col("raw")))
     if only is not None:
-        each = each.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+        each = each.join(small(only.select("term").distinct()), "term", "left_semi")
     tf = each.groupBy("doc", "kind", "len", "term").agg(F.sum("weight").alias("w"), F.bit_or("bit").alias("mask")).join(F.broadcast(average), "kind")
     norm = 1 - B + B * F.col("len") / F.col("avg")
     return tf.select("term", "doc", F.greatest(F.lit(1), F.floor(100 * F.col("w") / norm + 0.5)).cast("int").alias("tf100"), F.col("mask").cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import urls
 from quarry.functions.text import slug
-from quarry.operators import tagging
+from quarry.operators import sizes, tagging
 
 #: Path segments of languages, of pages that are no items, of listings and of components.
 LOCALE = r"(?i)^(cn|zh|zh-cn|zh-hans|zh-hant|zh-tw|ja|jp|ko|kr|fr|de|es|pt|pt-br|ru|it|id|tr|vi|th|pl|nl|ar|hi|uk|he|sv|da|fi|no|nb|cs|hu|ro|el|bg|fa|ms|[a-z]{2}-[a-z]{2})$"
@@ -78,7 +78,7 @@ def suggest_templates(pages: DataFrame, slugs: DataFrame, aliases: DataFrame, le
     read = F.array(F.when(~digits, F.struct(F.lit("A").alias("mode"), head(1).alias("dir"), last.alias("name"))), F.when(mid.isNotNull(), F.struct(F.when(digits, "N").otherwise("S").alias("mode"), head(2).alias("dir"), mid.alias("name"))))
     each = p.distinct().select("domain", "url", F.explode(F.array_compact(read)).alias("r")).select("domain", "url", "r.*")
     names = each.groupBy("domain", "mode", "dir", "name").agg(F.count("*").alias("n")).withColumn("slug", slug(F.col("name")))
-    names = names.join(F.broadcast(slugs), "slug", "left").where("mode <> 'S' or element is not null")
+    names = names.join(sizes.small(slugs), "slug", "left").where("mode <> 'S' or element is not null")
     said = names.select(F.col("name").alias("id"), F.col("name").alias("text")).distinct()
     tagged = tagging.elements(said, aliases).select(F.col("id").alias("name"), F.lit(True).alias("tagged")).distinct()
     names = names.join(tagged, "name", "left")
@@ -86,7 +86,7 @@ def suggest_templates(pages: DataFrame, slugs: DataFrame, aliases: DataFrame, le
     slot = F.when(F.col("mode") == "A", "{name}").otherwise(F.concat(F.when(F.col("all"), "{element}").otherwise("{name}"), F.when(F.col("mode") == "N", "/{n}").otherwise("/{*}")))
     literal = F.filter(F.split("dir", "/"), lambda x: x != "")
     g = g.withColumn("template", F.concat(F.lit("/"), "dir", F.when(F.col("dir") != "", "/").otherwise(""), slot)).withColumn("tail", F.try_element_at(literal, F.lit(-1))).withColumn("slug", slug(F.col("tail")))
-    g = g.join(F.broadcast(slugs.select("slug", F.col("element").alias("is_element"))), "slug", "left")
+    g = g.join(sizes.small(slugs.select("slug", F.col("element").alias("is_element"))), "slug", "left")
     like = F.coalesce(F.col("tail").rlike(COMPONENT), F.lit(False)) | F.col("is_element").isNotNull()
     small, pct = F.col("children") < least, F.col("element_pct")
     g = g.withColumn("element_pct", F.floor(100 * F.col("tags") / F.col("names") + 0.5).cast("int")).withColumn("like", like).where(~small | ((F.col("children") >= 3) & like))

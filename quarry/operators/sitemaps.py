@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import urls
 from quarry.functions.text import humanise, slug
 from quarry.operators import catalog, tagging
+from quarry.operators.sizes import small
 
 _SLOT = re.compile(r"\{(name|author|element|n|\*)\}")
 
@@ -92,7 +93,7 @@ def adapt(pages: DataFrame, compiled: DataFrame, parents: DataFrame, taken: Data
 
     said = new.select(F.col("base_text").alias("id"), F.col("base_text").alias("text")).distinct()
     tags = tagging.elements(said, aliases).groupBy(F.col("id").alias("base_text")).agg(F.collect_set("element").alias("tagged"))
-    new = new.join(F.broadcast(slugs.select(F.col("slug").alias("captured"), F.col("element").alias("by_capture"))), "captured", "left").join(tags, "base_text", "left")
+    new = new.join(small(slugs.select(F.col("slug").alias("captured"), F.col("element").alias("by_capture"))), "captured", "left").join(tags, "base_text", "left")
     if members is not None:
         new = new.join(members.groupBy("key").agg(F.collect_set("element").alias("by_page")), "key", "left")
     else:
@@ -107,7 +108,7 @@ def adapt(pages: DataFrame, compiled: DataFrame, parents: DataFrame, taken: Data
 
 def member_links(listings: DataFrame, slugs: DataFrame) -> DataFrame:
     """(key, element) from links of filter pages (element, link)."""
-    return listings.join(F.broadcast(slugs), slugs.slug == slug(listings.element), "left").select(urls.key(F.col("link")).alias("key"), F.coalesce(slugs.element, listings.element).alias("element")).where("key is not null").distinct()
+    return listings.join(small(slugs), slugs.slug == slug(listings.element), "left").select(urls.key(F.col("link")).alias("key"), F.coalesce(slugs.element, listings.element).alias("element")).where("key is not null").distinct()
 
 
 def facts(pages: DataFrame, made: DataFrame, attached: DataFrame) -> DataFrame:

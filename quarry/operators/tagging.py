@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_tokens, singular
+from quarry.operators.sizes import small
 
 #: A small vocabulary; any table of this shape may be given instead.
 ALIASES = [
@@ -22,10 +23,10 @@ def alias_tokens(aliases: DataFrame) -> DataFrame:
 
 
 def spans(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, element, weak, exclude, start, stop) of each alias found in texts (id, text). The vocabulary is bounded, hence broadcast."""
+    """(id, element, weak, exclude, start, stop) of each alias found in texts (id, text). A small vocabulary is broadcast."""
     words = texts.select("id", F.posexplode(ascii_tokens(F.col("text"))).alias("pos", "raw"))
     forms = words.select("id", "pos", F.explode(F.array_distinct(F.array("raw", singular(F.col("raw"))))).alias("tok"))
-    met = forms.join(F.broadcast(alias_tokens(aliases)), "tok").withColumn("start", F.col("pos") - F.col("k"))
+    met = forms.join(small(alias_tokens(aliases)), "tok").withColumn("start", F.col("pos") - F.col("k"))
     whole = met.groupBy("id", "alias_id", "element", "weak", "exclude", "size", "start").agg(F.countDistinct("k").alias("n")).where("n = size and start >= 0")
     return whole.select("id", "element", "weak", "exclude", "start", (F.col("start") + F.col("size")).alias("stop"))
 
@@ -50,16 +51,24 @@ def categorize(rows: DataFrame, labels: DataFrame, words: DataFrame, default: st
 
     rows (id, labels array, text), labels (label, category), words (word, category).
     """
-    each = rows.select("id", F.posexplode("labels").alias("pos", "label")).join(F.broadcast(labels), "label")
+    each = rows.select("id", F.posexplode("labels").alias("pos", "label")).join(small(labels), "label")
     first = each.groupBy("id", "category").agg(F.min("pos").alias("pos"))
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("pos", "category"))).where("r <= 2")
     by_label = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "category"))), lambda x: x["category"]).alias("by_label"))
-    said = rows.select("id", F.posexplode(ascii_tokens(F.col("text"))).alias("pos", "word")).join(F.broadcast(words), "word")
+    said = rows.select("id", F.posexplode(ascii_tokens(F.col("text"))).alias("pos", "word")).join(small(words), "word")
     by_text = said.groupBy("id").agg(F.min(F.struct("pos", "category")).alias("t"))
     out = rows.select("id").join(by_label, "id", "left").join(by_text, "id", "left")
     return out.select("id", F.coalesce("by_label", F.when(F.col("t").isNotNull(), F.array("t.category")), F.array(F.lit(default))).alias("categories"))
 
 
+def merge(tags: DataFrame) -> DataFrame:
+    """(id, elements, kinds) of tags (id, pos, element, variants): an item's elements in the order in which they are found, and the kinds of all of them."""
+    first = tags.groupBy("id", "element").agg(F.min("pos").alias("pos"))
+    els = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "element"))), lambda x: x["element"]).alias("elements"))
+    kinds = tags.select("id", F.explode("variants").alias("v")).groupBy("id").agg(F.array_sort(F.collect_set("v")).alias("kinds"))
+    return els.join(kinds, "id", "left").select("id", "elements", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+
+
 #: Elements that ordinary prose names too often, categories of interface resources, the length of a short note.
 NOISY = ["team", "features", "ai-agent-ui", "cursor", "map", "list", "select", "404", "command-palette", "switch", "contact", "stats", "changelog", "timeline", "form", "input", "banner", "alert", "pagination"]
 RESOURCES = ["components", "sections", "inspiration", "templates", "motion", "layout", "color-effects", "registries"]

@@ -103,6 +103,12 @@ class Catalog:
         """One row: how many hits are resources, components, gallery examples and docs pages."""
         return gates.group_counts(self._hits(query, **filters))
 
+    def close(self) -> None:
+        """Gives back what the index keeps on the executors."""
+        for kept in ("postings", "idf"):
+            if kept in self.__dict__:
+                self.__dict__.pop(kept).unpersist()
+
     def facets(self, element: str) -> DataFrame:
         return search.facets(self.items, element)
 

@@ -157,7 +157,8 @@ def html_digest(spark, d):
     return table(spark, d, "pages").select("page_id", html.digest(F.col("url"), F.col("html")).alias("digest"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, url, unnest([trim(x) FOR x IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["'']', 1)]) AS h FROM pages), a AS (SELECT page_id, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS u FROM l WHERE NOT starts_with(h, '#'))
+ SELECT DISTINCT page_id, lower(regexp_extract(u, '^(https?://[^/?#]+)', 1)) || regexp_replace(regexp_extract(u, '^https?://[^/?#]+([^?#\s]*)', 1), '/$', '') AS target FROM a WHERE regexp_matches(u, '^https?://')""")
 def links_resolved(spark, d):
     p = table(spark, d, "pages").select("page_id", "url", F.explode(html.hrefs(F.col("html"))).alias("href"))
     return p.select("page_id", urls.normalize(urls.resolve(F.col("url"), F.col("href"))).alias("target")).where("target is not null").distinct()
@@ -311,7 +312,8 @@ def ref_resolution_cascade(spark, d):
 _ALIASES = [("metal", "steel", False, False), ("metal", "brass", False, False), ("plate", "steel plate", False, False), ("widget", "widget", False, False), ("bolt", "bolt", True, False), ("gear", "gear", False, False), ("gear", "red gear", False, True)]
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS s FROM part), m AS (SELECT id, s, regexp_matches(s, '\\bsteel plate\\b') AS plate, regexp_matches(s, '\\bbrass\\b') OR regexp_matches(replace(s, 'steel plate', ''), '\\bsteel\\b') AS metal, regexp_matches(s, '\\bwidget\\b') AS widget, regexp_matches(replace(s, 'red gear', ''), '\\bgear\\b') AS gear FROM t)
+ SELECT id, unnest(list_filter([CASE WHEN plate THEN 'plate' END, CASE WHEN metal THEN 'metal' END, CASE WHEN widget THEN 'widget' END, CASE WHEN gear THEN 'gear' END, CASE WHEN regexp_matches(s, '\\bbolt\\b') AND NOT (plate OR metal OR widget OR gear) THEN 'bolt' END], lambda x: x IS NOT NULL)) AS element FROM m""")
 def tag_part_elements(spark, d):
     return tagging.elements(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), spark.createDataFrame(_ALIASES, tagging.SCHEMA))
 
@@ -381,12 +383,6 @@ def demo_attach_left_join(spark, d):
     return items.attach(table(spark, d, "customer").select(F.col("c_custkey").alias("demo"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("slug")), i).select("demo", "item")
 
 
-@query("WITH u AS (SELECT o_orderkey AS k, 0 AS adapter, 0 AS pos FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, 1, l_linenumber FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY adapter, pos) AS i FROM u) SELECT k, adapter FROM r WHERE i = 1")
-def union_precedence(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("pos"))
-    return items.union_first([a, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"))], "k", [F.col("pos")]).select("k", "adapter")
-
-
 @query("WITH u AS (SELECT l_orderkey AS k, 0 AS adapter, l_linenumber AS pos FROM lineitem UNION ALL SELECT o_orderkey, 1, 0 FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY adapter, pos) AS i FROM u) SELECT k, adapter FROM r WHERE i = 1")
 def union_precedence_whole(spark, d):
     a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"))
@@ -486,7 +482,8 @@ def section_split_counts(spark, d):
     return s.groupBy("doc").agg(F.count("*").alias("sections"), F.max(F.col("end") - F.col("start")).alias("longest"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id AS doc, turn AS part, length(text) AS size, row_number() OVER w AS r, sum(length(text)) OVER w - length(text) AS before, count(*) OVER (PARTITION BY conv_id) AS n, sum(length(text)) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY length(text), turn)),
+ l AS (SELECT *, max((600 - before)::DOUBLE / (n - r + 1)) OVER (PARTITION BY doc) AS level FROM c) SELECT doc, part, size, CASE WHEN total <= 600 THEN size ELSE floor(greatest(0, least(size, level))) END::INT AS given FROM l""")
 def budget_split(spark, d):
     return sections.share_budget(table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("part"), F.length("text").alias("size")), 600)
 
@@ -553,12 +550,6 @@ def usage_last_wins(spark, d):
     return reports.last_by(table(spark, d, "events"), "user_id", "event_id").groupBy("event_type").agg(F.count("*").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""WITH n AS (SELECT s_suppkey, s_nationkey AS k FROM supplier), o AS (SELECT c_nationkey AS k, min(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, c_custkey FROM n JOIN o USING (k)""")
-def loose_key_match(spark, d):
-    r = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k"), "c_custkey")
-    return items.loose_match(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), r, "k").select("s_suppkey", "c_custkey")
-
-
 @query("""WITH n AS (SELECT s_suppkey, ltrim(regexp_replace(s_name, '[^0-9]', '', 'g'), '0') AS k FROM supplier), o AS (SELECT ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0') AS k, min(c_custkey) AS c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, c_custkey FROM n JOIN o USING (k)""")
 def loose_name_match(spark, d):
     k = lambda c: F.regexp_replace(F.regexp_replace(c, "[^0-9]", ""), "^0+", "").alias("k")
@@ -599,7 +590,7 @@ def soft_404_verdicts(spark, d):
     return table(spark, d, "events").select("event_id", quality.soft_404(F.when(t == "error", 503).when(t == "signup", 404).otherwise(200), u, u, F.when(F.col("user_id") % 2 == 0, 200).otherwise(404), F.lit("t")).alias("verdict"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT BETWEEN 0 AND 90 THEN [] ELSE ['/k: is out of range'] END AS problems FROM events")
 def json_schema_problems(spark, d):
     schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}}}
     return validation.validate(table(spark, d, "events"), "event_id", "props", schema, closed=True)

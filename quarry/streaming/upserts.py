@@ -25,6 +25,9 @@ def upsert(stream: DataFrame, path: str, key: list[str], order: str, checkpoint:
         if n:
             rows = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}").unionByName(batch)
         latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/{n}")
+        # Batch n + 1 reads n, and n read n - 1 if it has to run again; older versions are of no use.
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
