@@ -239,7 +239,7 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
 
     pods: (pod, id, n), n the size of the set; an id may be in several. fetch: from ids (a DataFrame with
     distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes. block: elements of a
-    block in the first pass; in the second an eighth of the pod, from 4 * block to ``wide``.
+    block in the first pass; in the second a third of the pod, from 4 * block to ``wide``.
     """
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     rows = stored(pods.withColumn("band", F.floor(F.log("n") / width).cast("long")).withColumn("known", F.col("id")), "pods")
@@ -270,7 +270,7 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     rest = cut.join(first, "pod").where("known <> _first").drop("_first")
     if rest.isEmpty():
         return found
-    size = F.greatest(F.lit(4 * block), F.least(F.lit(wide), F.col("total") / 8))
+    size = F.greatest(F.lit(4 * block), F.least(F.lit(wide), F.col("total") / 3))
     left, right = stored(_laid(rest, size), "pod-rest", most), stored(_laid(cut, size), "pod-all", most)
     x = left.select("pod", "band", F.col("block").alias("i")).distinct()
     y = right.select("pod", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j")).distinct()
