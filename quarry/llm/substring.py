@@ -196,11 +196,14 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15,
         return rows.join(several, "k", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("k", "k2")).otherwise(F.col("k"))).drop("several")
 
     bounds = node(docs.mapInArrow(emit_bands, "token long, n long, k long, k2 long")).select("token", "n", F.col("node").alias("id"))
-    pods = token_pods(bounds, percent)
+    pods = stored(token_pods(bounds, percent), "passage-pods")
     held = node(held)
+    # Most classes meet no other one. Those that do go on apart, so that all classes are shuffled once more and not for each step.
+    met = pods.select(F.col("id").alias("node")).distinct()
+    cand = stored(held.join(met.hint("shuffle_hash"), "node", "left_semi"), "passage-candidates")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        spans = held.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("at.doc_id").alias("doc_id"), F.struct("node", "k", "k2", "at.start", "at.end").alias("s"))
+        spans = cand.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("at.doc_id").alias("doc_id"), F.struct("node", "k", "k2", "at.start", "at.end").alias("s"))
         spans = spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +231,9 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15,
         return docs.join(spans.hint("shuffle_hash"), "doc_id").mapInArrow(sets, "id long, tokens binary")
 
     near = stored(link_sets(pods, fetch, percent).withColumnRenamed("id", "node"), "passage-links")
-    clustered = held.join(near, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    linked = cand.join(near, "node").withColumnRenamed("component", "c")
+    alone = held.where(F.col("at.doc_id") < F.col("last")).join(near.select("node"), "node", "left_anti").withColumn("c", F.col("node"))
+    clustered = linked.unionByName(alone)
     clusters = clustered.groupBy("c").agg(F.min("at").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
     chosen = stored(clustered.select("k", "k2", "n", "c").join(clusters, "c").select("k", "k2", "n", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_paragraph"), "copies"), "passage-clusters")
     equal = parts.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where(F.col("keep.doc_id") < F.col("last"))
