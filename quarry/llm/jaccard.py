@@ -466,7 +466,7 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     def fetch(ids: DataFrame) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
                 data, offsets = buffers(b.column("text"))
                 held = list(shingle_sets(data, offsets, n))
                 # Of rows that repeat a doc_id only those of the class count.

@@ -207,7 +207,7 @@ def duplicate_passages(docs: DataFrame, percent: int = 80, min_words: int = 15,
         spans = spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
                 data, offsets = buffers(b.column("text"))
                 keys, out = [], []
                 for r, spans in enumerate(b.column("spans").to_pylist()):
