@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import html, names, text, urls
-from quarry.operators import catalog, gates, index, items, pages, quality, reports, search, sitemaps, tagging, validation
-from quarry.queries import _ENT, _PL, _U, _V, table
+from quarry.operators import catalog, gates, index, items, pages, quality, reports, search, sections, sitemaps, tagging, validation
+from quarry.queries import _ENT, _PL, _U, _V, _drop_sql, table
 from quarry.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,6 +597,15 @@ def page_digest_parts(spark, d):
     return p.select("page_id", "g.title", F.size("g.links").cast("long").alias("n_links"), F.sha2("g.text", 256).alias("text_hash"))
 
 
+_MARKED = "regexp_replace(" + _drop_sql("html") + ", '(?is)<h1\\b[^>]*>(.*?)</h1>', chr(10) || '# \\1' || chr(10), 'g')"
+
+
+@query(rf"""WITH v AS (SELECT page_id, array_to_string(list_filter([trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split({_ENT.format("regexp_replace(regexp_replace(" + _MARKED + ", '(?i)</?(" + html.BLOCKS + r")\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')")}, chr(10))], lambda y: y <> ''), chr(10)) AS t FROM pages) SELECT page_id, sha256(t) AS text_hash, len(regexp_extract_all(t, '(?m)^# .')) AS n_headings FROM v""")
+def pages_as_markdown(spark, d):
+    t = html.markdown(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.sha2(t, 256).alias("text_hash"), F.regexp_count(t, F.lit("(?m)^# .")).cast("long").alias("n_headings"))
+
+
 @query("SELECT page_id, 'https://l.dev/list?page=' || (page_id % 7 + 2) AS next FROM pages WHERE page_id % 7 + 2 <= 8")
 def next_listing_pages(spark, d):
     p = rows(spark, d, "pages", page_id="page_id", url="concat('https://l.dev/list?page=', page_id % 7 + 1, '#', page_id)", link="explode(transform(sequence(1, 8), x -> concat('https://l.dev/list?page=', x)))")
@@ -815,3 +824,56 @@ def api_element_facets(spark, d):
 def api_site_urls(spark, d):
     p = rows(spark, d, "pages", domain="CASE WHEN page_id % 2 = 0 THEN 's1.dev' ELSE 's2.dev' END", pos="page_id", url="url")
     return _catalog(spark, d).site_urls(p, "s1", "EN x", "fr", limit=50, offset=1)
+
+
+# Content, freshness and batches -------------------------------------------------------------------------------------
+
+
+@query("WITH f AS (SELECT count(*) || '-' || sum(('0x' || substring(md5(s_suppkey || chr(1) || s_name), 1, 8))::BIGINT)::VARCHAR || '-' || sum(('0x' || substring(md5(s_suppkey || chr(1) || s_name), 9, 8))::BIGINT)::VARCHAR AS fingerprint FROM supplier) SELECT 3 AS schema_version, fingerprint, true AS fresh FROM f UNION ALL SELECT 2, fingerprint, false FROM f UNION ALL SELECT 3, 'x', false")
+def index_freshness(spark, d):
+    now = gates.fingerprint(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), "s_name"), ["k", "s_name"])
+    stored = now.select(F.lit(3).alias("schema_version"), "fingerprint").union(now.select(F.lit(2), "fingerprint")).union(spark.createDataFrame([(3, "x")], "schema_version int, fingerprint string"))
+    return gates.is_fresh(stored, 3, now)
+
+
+@query("SELECT doc_id, begin_at, substring(text, begin_at + 1, 160) AS part FROM (SELECT doc_id, text, CASE WHEN nl >= 0 AND fr - nl <= least(20, mid) THEN nl + 1 ELSE fr END AS begin_at FROM (SELECT *, CASE WHEN contains(substring(text, 1, fr + 1), chr(10)) THEN fr + 1 - instr(reverse(substring(text, 1, fr + 1)), chr(10)) ELSE -1 END AS nl FROM (SELECT doc_id, text, n_chars // 2 AS mid, n_chars // 2 - least(20, n_chars // 2) AS fr FROM documents WHERE text IS NOT NULL AND n_chars = length(text))))")
+def snippet_windows(spark, d):
+    t = table(spark, d, "documents").where("text is not null and n_chars = length(text)")
+    w = sections.snapped(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int"), 160)
+    return t.select("doc_id", w.alias("w")).select("doc_id", F.col("w.begin").cast("long").alias("begin_at"), "w.part")
+
+
+@query("""WITH RECURSIVE h AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, '# ' || role AS head, text, greatest(300, least(500, (1500 - 300) // count(*) OVER (PARTITION BY conv_id))) AS per FROM conversations),
+ p AS (SELECT doc, 0::BIGINT AS i, '' AS text, 0::BIGINT AS used FROM (SELECT DISTINCT doc FROM h) UNION ALL SELECT h.doc, h.i, p.text || CASE WHEN p.i > 0 THEN chr(10) || chr(10) ELSE '' END || x.part, p.used + strlen(x.part) + 2 FROM p JOIN h ON h.doc = p.doc AND h.i = p.i + 1,
+ LATERAL (SELECT 1500 - p.used - strlen(h.head) - 2 AS room) r, LATERAL (SELECT substring(h.text, 1, greatest(200, least(h.per, r.room))::INT) AS piece) q, LATERAL (SELECT h.head || chr(10) || q.piece || CASE WHEN length(h.text) > length(q.piece) THEN chr(10) || '…(' || (length(h.text) - length(q.piece)) || ' more characters)' ELSE '' END AS part) x WHERE p.i = 0 OR r.room >= 300)
+ SELECT p.doc, p.i AS shown, h.turn AS next, p.text FROM p LEFT JOIN h ON h.doc = p.doc AND h.i = p.i + 1 WHERE p.i = (SELECT max(i) FROM p z WHERE z.doc = p.doc)""")
+def content_packed(spark, d):
+    h = rows(spark, d, "conversations", doc="conv_id", rank="turn", head="concat('# ', role)", text="text")
+    return sections.pack(h, 1500, 500, 300).select("doc", F.col("shown").cast("long").alias("shown"), "next", "text")
+
+
+_CP = "concat('https://k.dev/@a', p_size % 5, '/', CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'components' END, '/', replace(p_name, ' ', '-'), CASE p_partkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '?v=1' ELSE '' END)"
+
+
+@query("SELECT key, 'a' || a AS author, n AS name, 'https://k.dev/@a' || a || '/components/' || n AS url FROM (SELECT DISTINCT 'a' || p_size % 5 || '/' || replace(p_name, ' ', '-') AS key, p_size % 5 AS a, replace(p_name, ' ', '-') AS n FROM part WHERE p_partkey % 3 <> 0)")
+def component_page_urls(spark, d):
+    return gates.component_pages(rows(spark, d, "part", pos="p_partkey", loc=_CP))
+
+
+@query("WITH b AS (SELECT n_regionkey AS region, n_nationkey AS id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 3 AS batch FROM nation), p AS (SELECT *, row_number() OVER (PARTITION BY region, batch ORDER BY id) AS i FROM b) SELECT region, batch::INT AS batch, '# Batch ' || (batch + 1) || chr(10) || chr(10) || string_agg(i || '. `' || id || '`', chr(10) ORDER BY i) AS text FROM p GROUP BY region, batch")
+def batch_instructions(spark, d):
+    return gates.batch_texts(rows(spark, d, "nation", region="n_regionkey", id="n_nationkey"), ["region"], [F.col("id")], 3, "# Batch {n}")
+
+
+@query("SELECT o_orderkey, o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY AS recent FROM orders")
+def recent_rows(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", gates.is_recent(F.col("o_orderdate"), o.agg(F.max("o_orderdate")).scalar()).alias("recent"))
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS id, p_brand AS registry, {_PNAME} AS name, p_name AS title, {_TYPE} AS t FROM part), k AS (SELECT * FROM i WHERE NOT (coalesce(t, '') IN ('registry:hook', 'registry:file') OR registry = 'Brand#1' OR starts_with(name, 'icons-')) AND name <> 'democracy')
+ SELECT id, e AS element FROM k, (SELECT unnest(['widget', 'bolt', 'gear']) AS e) WHERE title LIKE '% ' || e UNION ALL SELECT id, 'fixed' FROM i WHERE name = 'democracy'""")
+def items_tagged(spark, d):
+    i = rows(spark, d, "part", id="p_partkey", registry="p_brand", name=_PNAME, title="p_name", type=_TYPE, asset="p_brand = 'Brand#1'")
+    fixed = table(spark, d, "part").select(F.col("p_brand").alias("registry"), F.lit("democracy").alias("name"), F.array(F.lit("fixed")).alias("elements")).distinct()
+    return tagging.tag_items(i, spark.createDataFrame(_VOCAB[:3], tagging.SCHEMA), fixed)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls
 from quarry.functions.text import clip, slug
+from quarry.operators import reports
 from quarry.operators.items import COMPONENT, SKIPPED
 from quarry.operators.search import reference
 
@@ -191,15 +192,40 @@ def hint_categories(categories: Column, by_text: Column, default: str) -> Column
     return F.array_union(F.filter(F.coalesce(categories, F.array().cast("array<string>")), lambda x: x != default), F.coalesce(by_text, F.array().cast("array<string>")))
 
 
-def is_fresh(index: DataFrame, schema_version: int, fingerprint: str) -> Column:
-    """Whether a stored index (schema_version, fingerprint) may be used as it is."""
-    return (index["schema_version"] == schema_version) & (index["fingerprint"] == fingerprint)
-
-
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a fingerprint of a table's contents, whatever the order of its rows. Sums of hashes: partial before the shuffle."""
-    h = F.xxhash64(*columns)
-    return rows.agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")).alias("fingerprint"))
+    h = F.md5(F.concat_ws("\x01", *columns))
+    part = lambda k: F.sum(F.conv(F.substring(h, k, 8), 16, 10).cast("long").cast("decimal(38,0)")).cast("string")
+    return rows.agg(F.concat_ws("-", F.count("*").cast("string"), F.coalesce(part(1), F.lit("0")), F.coalesce(part(9), F.lit("0"))).alias("fingerprint"))
+
+
+def is_fresh(index: DataFrame, schema_version: int, now: DataFrame) -> DataFrame:
+    """index (schema_version, fingerprint) with fresh: whether it may be used as it is. now: the one row that fingerprint() gives."""
+    return index.withColumn("fresh", (F.col("schema_version") == schema_version) & (F.col("fingerprint") == now.select("fingerprint").scalar()))
+
+
+def component_pages(locs: DataFrame) -> DataFrame:
+    """(key, author, name, url) of sitemap locations (pos, loc) that are components' pages of an author; of equal ones the first."""
+    bare = F.regexp_replace(F.trim("loc"), "[?#].*$", "")
+    rx = r"^(https?://[^/]+)/@([^/]+)/components/([^/]+)/?$"
+    m = locs.select("pos", bare.alias("u")).where(F.col("u").rlike(rx))
+    m = m.select("pos", F.regexp_extract("u", rx, 1).alias("site"), F.regexp_extract("u", rx, 2).alias("author"), F.regexp_extract("u", rx, 3).alias("name"))
+    m = m.withColumn("key", F.concat_ws("/", "author", "name"))
+    one = m.groupBy("key").agg(F.min_by(F.struct("site", "author", "name"), "pos").alias("f"))
+    return one.select("key", "f.author", "f.name", F.concat("f.site", F.lit("/@"), "f.author", F.lit("/components/"), "f.name").alias("url"))
+
+
+def batch_texts(rows: DataFrame, by: list[str], order: list[Column], size: int, head: str) -> DataFrame:
+    """(by..., batch, text): the instructions of each batch of ids: a heading and the numbered ids. head holds {n}, the batch's number."""
+    placed = reports.batches(rows, by, order, size).withColumn("_p", F.row_number().over(Window.partitionBy(*by, "batch").orderBy(*order)))
+    line = F.concat(F.col("_p").cast("string"), F.lit(". `"), F.col("id").cast("string"), F.lit("`"))
+    made = placed.groupBy(*by, "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    return made.select(*by, "batch", F.concat(F.replace(F.lit(head), F.lit("{n}"), (F.col("batch") + 1).cast("string")), F.lit("\n\n"), F.array_join("lines", "\n")).alias("text"))
+
+
+def is_recent(at: Column, now: Column, days: int = 7) -> Column:
+    """Read so lately that it needn't be read again."""
+    return F.coalesce(at > now - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
 
 
 def mcp_endpoint(u: Column, probed: Column, llms: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import non_latin_share, stem, tokens
@@ -76,12 +76,12 @@ def split(docs: DataFrame) -> DataFrame:
 
 def rank(sections: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of sections (doc, n, text) of each doc for a query's words, x1.25 where all occur: (doc, n, score, hits)."""
-    words = sections.select("doc", "n", F.explode(tokens(F.col("text"))).alias("raw")).select("doc", "n", stem(F.col("raw")).alias("term"))
-    size = words.groupBy("doc", "n").agg(F.count("*").alias("len"))
-    per = size.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("n_sections"))
-    tf = words.where(F.col("term").isin(query)).groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))
+    base = sections.select("doc", "n", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t")).where("len > 0")
+    per = base.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("n_sections"))
+    words = base.select("doc", "n", "len", F.explode("t").alias("raw")).select("doc", "n", "len", stem(F.col("raw")).alias("term"))
+    tf = words.where(F.col("term").isin(query)).groupBy("doc", "n", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("doc", "term").agg(F.count("*").alias("df"))
-    j = tf.join(df, ["doc", "term"]).join(size, ["doc", "n"]).join(per, "doc")
+    j = tf.join(df, ["doc", "term"]).join(per, "doc")
     idf = F.log(1 + (F.col("n_sections") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     out = j.groupBy("doc", "n").agg(F.sum(s).alias("s"), F.count("*").alias("hits"))
@@ -95,6 +95,40 @@ def best_window(hits: DataFrame, by: str, at: str, weight: str, size: int) -> Da
     return sums.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("weight"), at))).where("_r = 1").drop("_r")
 
 
+def snapped(text: Column, at: Column, size: int) -> Column:
+    """The window of ``size`` characters that shows place ``at`` (from 0): an eighth of it stands before, from the start of a line if one begins there."""
+    back = F.least(F.lit(size // 8), at)
+    first = at - back
+    head = F.substring(text, F.lit(1), first + 1)
+    line = F.length(head) - F.instr(F.reverse(head), "\n")  # where the last line end at or before first stands
+    begin = F.when((F.instr(head, "\n") > 0) & (first - line <= back) & (line + 1 > 0), line + 1).otherwise(first)
+    return F.struct(begin.alias("begin"), F.substring(text, begin + 1, F.lit(size)).alias("part"))
+
+
+def pack(hits: DataFrame, budget: int, window: int, least: int = 600) -> DataFrame:
+    """(doc, shown, next, text): the best sections of a document, hits (doc, rank, head, text), as one answer of about ``budget`` bytes.
+
+    Each gets an even share, ``window`` characters at most and ``least`` at least; a longer one is cut and says how much is left. It ends
+    before a section for which there is less room than ``least``; next is its rank. One pass over a document's few hits.
+    """
+    h = hits.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rank", "head", "text"))).alias("h"))
+    per = F.greatest(F.lit(least), F.least(F.lit(window), F.floor((budget - 300) / F.size("h")).cast("int"))).cast("int")
+    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("used"), F.lit(False).alias("full"), per.alias("per"))
+
+    def step(acc: Column, x: Column) -> Column:
+        room = F.lit(budget) - acc["used"] - F.octet_length(x["head"]) - 2
+        full = acc["full"] | ((F.size(acc["parts"]) > 0) & (room < least))
+        size = F.greatest(F.lit(200), F.least(acc["per"], room))
+        piece = F.substring(x["text"], F.lit(1), size)
+        left = F.length(x["text"]) - F.length(piece)
+        part = F.concat(x["head"], F.lit("\n"), piece, F.when(left > 0, F.concat(F.lit("\n…("), left.cast("string"), F.lit(" more characters)"))).otherwise(""))
+        return F.when(full, F.struct(acc["parts"].alias("parts"), acc["used"].alias("used"), F.lit(True).alias("full"), acc["per"].alias("per"))).otherwise(F.struct(F.concat(acc["parts"], F.array(part)).alias("parts"), (acc["used"] + F.octet_length(part) + 2).alias("used"), F.lit(False).alias("full"), acc["per"].alias("per")))
+
+    done = h.select("doc", "h", F.aggregate("h", zero, step).alias("a"))
+    shown = F.size("a.parts")
+    return done.select("doc", shown.alias("shown"), F.get("h", shown)["rank"].alias("next"), F.array_join("a.parts", "\n\n").alias("text"))
+
+
 def carry(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """value, where null, from the nearest row before."""
     return rows.withColumn(value, F.last(value, True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -127,7 +161,8 @@ _CODE = r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\z)"
 
 
 def _stems(c, *keep: str):
-    return [*keep, F.explode(F.transform(tokens(c), stem)).alias("term")]
+    """What to explode, and what to stem of it: two steps, so that stemming is plain code and not a function of arrays."""
+    return lambda df: df.select(*keep, F.explode(tokens(c)).alias("raw")).select(*keep, stem(F.col("raw")).alias("term"))
 
 
 def rank_headed(sections: DataFrame, concepts: list[list[dict]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -152,18 +187,24 @@ def rank_headed(sections: DataFrame, concepts: list[list[dict]], k1: float = 1.2
     lengths = sorted({len(r[-1]) for r in rows if not r[5] and len(r[-1]) >= LONGER_FROM})
 
     here = ["doc", "n"]
-    plain = sections.select(*_stems(F.regexp_replace("text", _CODE, " "), *here), F.lit(1.0).alias("w"))
-    code = sections.select(*_stems(F.array_join(F.regexp_extract_all("text", F.lit(_CODE), F.lit(0)), "\n"), *here), F.lit(IN_CODE).alias("w"))
-    tf = plain.unionByName(code).groupBy(*here, "term").agg(F.sum("w").alias("tf"))
-    size = tf.groupBy(*here).agg(F.sum("tf").alias("len"))
-    per = sections.select(*here).join(size, here, "left").groupBy("doc").agg(F.avg(F.coalesce("len", F.lit(0.0))).alias("avg"), F.count("*").alias("all"))
+    # Sections are read where they lie: a section's length is a matter of array sizes, and only words that the query asks for go on.
+    wanted = F.col("term").isin(sorted(asked))
+    for k in lengths:
+        wanted |= F.substring("term", 1, k).isin([w for w in sorted(asked) if len(w) == k])
+    base = sections.select(*here, tokens(F.regexp_replace("text", _CODE, " ")).alias("plain"), tokens(F.array_join(F.regexp_extract_all("text", F.lit(_CODE), F.lit(0)), "\n")).alias("code"))
+    length = F.coalesce(F.size("plain"), F.lit(0)) + IN_CODE * F.coalesce(F.size("code"), F.lit(0))
+    base = base.withColumn("len", length.cast("double"))
+    per = base.groupBy("doc").agg(F.avg("len").alias("avg"), F.count("*").alias("all"))
+    each = base.select(*here, "len", F.explode(F.array(F.struct(F.lit(1.0).alias("w"), F.col("plain").alias("t")), F.struct(F.lit(IN_CODE).alias("w"), F.col("code").alias("t")))).alias("x"))
+    each = each.select(*here, "len", "x.w", F.explode("x.t").alias("raw")).select(*here, "len", "w", stem(F.col("raw")).alias("term")).where(wanted)
+    tf = each.groupBy(*here, "len", "term").agg(F.sum("w").alias("tf"))
     forms = F.array_distinct(F.array("term", *[F.substring("term", 1, k) for k in lengths]))
     tf = tf.withColumn("word", F.explode(forms)).where(F.col("word").isin(sorted(asked)))
     df = tf.select(*here, "term").distinct()
     df = df.groupBy("doc", "term").agg(F.count("*").alias("df")).join(per, "doc")
     df = df.select("doc", "term", "avg", F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = tf.join(df, ["doc", "term"]).join(size, here).withColumn("s", s * F.when(F.col("word") == F.col("term"), 1.0).otherwise(LONGER))
+    scored = tf.join(df, ["doc", "term"]).withColumn("s", s * F.when(F.col("word") == F.col("term"), 1.0).otherwise(LONGER))
 
     met = scored.join(query, "word").where("not tag or word = term")
     best = met.groupBy(*here, "c", "a", "weight", "part", "grp", "tag", "size", "word").agg(F.max(F.struct("s", F.col("term"))).alias("m"))
@@ -174,9 +215,9 @@ def rank_headed(sections: DataFrame, concepts: list[list[dict]], k1: float = 1.2
     tags = groups.groupBy(*here, "c", "a", "weight", "part").agg(F.max(F.struct("s", "via")).alias("g")).select(*here, "c", "a", "weight", "g.s", "g.via")
     alts = words.unionByName(tags).groupBy(*here, "c", "a", "weight").agg(F.sum("s").alias("s"), F.array_distinct(F.flatten(F.collect_list("via"))).alias("via"))
 
-    own = sections.select(*_stems(F.col("title"), *here), F.lit(1).alias("own"))
-    above = sections.select(*_stems(F.array_join("path", " "), *here), F.lit(0).alias("own"))
-    heads = own.unionByName(above).groupBy(*here, "term").agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("above")).join(df.select("doc", "term", "idf"), ["doc", "term"])
+    own = _stems(F.col("title"), *here)(sections).withColumn("own", F.lit(1))
+    above = _stems(F.array_join("path", " "), *here)(sections).withColumn("own", F.lit(0))
+    heads = own.unionByName(above).where(wanted).groupBy(*here, "term").agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("above")).join(df.select("doc", "term", "idf"), ["doc", "term"])
     bonus = alts.select(*here, "c", "a", F.explode("via").alias("term")).join(heads, [*here, "term"])
     bonus = bonus.groupBy(*here, "c", "a").agg(F.coalesce(F.max(F.when(F.col("own") == 1, F.col("idf") * OWN)), F.max(F.col("idf") * PARENT)).alias("bonus"))
     found = alts.join(bonus, [*here, "c", "a"], "left").groupBy(*here, "c").agg(F.max((F.col("s") + F.coalesce("bonus", F.lit(0.0))) * F.col("weight")).alias("s"))

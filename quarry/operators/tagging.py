@@ -61,6 +61,20 @@ def categorize(rows: DataFrame, labels: DataFrame, words: DataFrame, default: st
     return out.select("id", F.coalesce("by_label", F.when(F.col("t").isNotNull(), F.array("t.category")), F.array(F.lit(default))).alias("categories"))
 
 
+def tag_items(items: DataFrame, aliases: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(id, element) of items (id, registry, name, title, type, asset): what an override (registry, name, elements) says, else what name and title
+    name; hooks, styles and the like, icons and items of asset libraries have none."""
+    from quarry.operators import gates
+
+    o = overrides.select("registry", "name", F.col("elements").alias("_fixed"))
+    r = items.join(o, ["registry", "name"], "left")
+    fixed = r.where("_fixed is not null").select("id", F.explode("_fixed").alias("element"))
+    free = r.where("_fixed is null").where(gates.is_taggable(F.col("type"), F.col("name"), F.col("asset")))
+    texts = free.select(F.struct("id", F.lit(0).alias("part")).alias("id"), F.col("name").alias("text")).union(free.select(F.struct("id", F.lit(1).alias("part")), "title"))
+    found = elements(texts.where("text is not null"), aliases).select(F.col("id.id").alias("id"), "element").distinct()
+    return fixed.union(found)
+
+
 def merge(tags: DataFrame) -> DataFrame:
     """(id, elements, kinds) of tags (id, pos, element, variants): an item's elements in the order in which they are found, and the kinds of all of them."""
     first = tags.groupBy("id", "element").agg(F.min("pos").alias("pos"))

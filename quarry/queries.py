@@ -29,9 +29,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def texts(spark: SparkSession, d: str) -> DataFrame:
-    """The documents, on all cores."""
-    return readers.spread(table(spark, d, "documents"))
+def texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, on all cores."""
+    return readers.spread(table(spark, d, name))
 
 
 # URLs ---------------------------------------------------------------------------------------------------------------
@@ -138,23 +138,23 @@ _V = rf"""v AS (SELECT page_id, html, array_to_string(list_filter([trim(regexp_r
 @query(f"WITH {_V} SELECT page_id, sha256(t) AS text_hash, length(t) AS n_chars FROM v")
 def html_visible_text(spark, d):
     t = html.visible(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.sha2(t, 256).alias("text_hash"), F.length(t).cast("long").alias("n_chars"))
+    return texts(spark, d, "pages").select("page_id", F.sha2(t, 256).alias("text_hash"), F.length(t).cast("long").alias("n_chars"))
 
 
 @query(rf"WITH {_V} SELECT page_id, len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: x <> '' AND NOT regexp_matches(lower(x), '\bcookies?\b')))) AS n_lines FROM v")
 def html_clean_lines(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(html.clean_lines(html.visible(F.col("html")))).cast("long").alias("n_lines"))
+    return texts(spark, d, "pages").select("page_id", F.size(html.clean_lines(html.visible(F.col("html")))).cast("long").alias("n_lines"))
 
 
 @query(rf"""WITH {_V} SELECT page_id, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) < 40 AND (regexp_matches(html, '(?i)id=["''](root|app|__next|__nuxt)["'']') OR len(regexp_extract_all(html, '(?i)<script\b[^>]*\bsrc=')) >= 3) AS thin FROM v""")
 def page_thin_verdict(spark, d):
     words = F.size(F.filter(F.split(html.visible(F.col("html")), r"\s+"), lambda x: x != ""))
-    return table(spark, d, "pages").select("page_id", html.thin(F.col("html"), words).alias("thin"))
+    return texts(spark, d, "pages").select("page_id", html.thin(F.col("html"), words).alias("thin"))
 
 
 @query()
 def html_digest(spark, d):
-    return table(spark, d, "pages").select("page_id", html.digest(F.col("url"), F.col("html")).alias("digest"))
+    return texts(spark, d, "pages").select("page_id", html.digest(F.col("url"), F.col("html")).alias("digest"))
 
 
 @query(r"""WITH l AS (SELECT page_id, url, unnest([trim(x) FOR x IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["'']', 1)]) AS h FROM pages), a AS (SELECT page_id, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS u FROM l WHERE NOT starts_with(h, '#'))
@@ -478,7 +478,7 @@ def conversation_section_ranking(spark, d):
 
 @query()
 def section_split_counts(spark, d):
-    s = sections.split(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    s = sections.split(texts(spark, d).select(F.col("doc_id").alias("doc"), "text"))
     return s.groupBy("doc").agg(F.count("*").alias("sections"), F.max(F.col("end") - F.col("start")).alias("longest"))
 
 
