@@ -2,8 +2,9 @@
 
 Both vocabularies used here split text before merging, and never across a single space or newline
 between other characters. So a text is encoded chunk by chunk, each distinct chunk once, and
-the ids are gathered by array indexing. A text with any other white space is encoded whole, and so is one
-that may hold the literal of a special token, which the library's plain call turns into that token's id. The
+the ids are gathered by array indexing. Letters and the marks after them are parted as well, so a chunk that ends in marks
+is put together from its letters and a small table of such ends. Where white space tells (spaced), a text with any other white space is
+encoded whole; so is one that may hold the literal of a special token, which the library's plain call turns into that token's id. The
 chunk table is emptied when it reaches ``CHUNKS`` entries, which bounds memory and changes no result.
 """
 
@@ -16,6 +17,10 @@ from itertools import repeat
 import numpy as np
 
 CHUNKS = 1_200_000
+#: ASCII characters that are neither letters, digits nor white space. A run of them is one piece for both vocabularies.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: What Python splits at and the libraries don't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def _ramp(size: np.ndarray) -> np.ndarray:
@@ -42,8 +47,8 @@ class Encoder:
             self.opens[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True
         else:
             self.bar = np.array(self.model.encode("|", add_special_tokens=False).ids)
-        stops = {p: self.model.encode(p, add_special_tokens=False).ids for p in ",.;:!?"}
-        self.stops = {p: ids[0] for p, ids in stops.items() if len(ids) == 1}
+        #: ids of runs of marks that end a chunk.
+        self.ends_in: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self._clear()
 
     def _clear(self) -> None:
@@ -66,31 +71,35 @@ class Encoder:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _base(self, chunk: str) -> tuple[str, str]:
-        """A chunk of letters and one stop as (letters, stop): both vocabularies split there. Otherwise (chunk, "").
+        """A chunk of letters and ASCII marks after them as (letters, marks): both vocabularies split there. Otherwise (chunk, "").
 
-        Letters beyond ASCII must be letters still once they are composed and lower-cased: a mark would join the stop.
+        Letters beyond ASCII must be letters still once they are composed and lower-cased: another mark would join the run.
         """
         low = chunk.lower() if not self.spaced and chunk.isascii() else chunk
-        if low[-1] in self.stops and low[:-1].isalpha() and (low.isascii() or max(low) < "\u0250" and unicodedata.normalize("NFC", low[:-1]).lower().isalpha()):
-            return low[:-1], low[-1]
+        head = low.rstrip(MARKS)
+        if len(head) < len(low) and head.isalpha() and (head.isascii() or max(head) < "\u0250" and unicodedata.normalize("NFC", head).lower().isalpha()):
+            return head, low[len(head) :]
         return low, ""
 
     def _learn(self, chunks: list[str]) -> None:
         """Learns bases first, then puts chunks together from them."""
         parts = [self._base(c) for c in chunks]
-        new = {b: None for (b, p), c in zip(parts, chunks, strict=True) if b not in self.known}
-        self._encode_new(list(new))
+        self._encode_new(list({b: None for b, _ in parts if b not in self.known}))
         rest = [(c, b, p) for c, (b, p) in zip(chunks, parts, strict=True) if c not in self.known]
         if rest:
+            for p in {p for _, _, p in rest} - self.ends_in.keys():
+                if len(self.ends_in) > 10_000:
+                    self.ends_in = {"": self.ends_in[""]}
+                self.ends_in[p] = self._ids(p)
+            extra = [self.ends_in[p] if p in self.ends_in else self._ids(p) for _, _, p in rest]
+            more = np.fromiter(map(len, extra), np.int64, len(extra))
             i = np.array([self.known[b] for _, b, _ in rest])
-            extra = np.array([self.stops.get(p, -1) for _, _, p in rest])
             first, size = self.ends[i], self.ends[i + 1] - self.ends[i]
-            whole = size + (extra >= 0)
-            total = np.append(0, np.cumsum(whole))
+            total = np.append(0, np.cumsum(size + more))
             ids = np.zeros(total[-1], np.uint32)
             ids[np.repeat(total[:-1], size) + _ramp(size)] = self.flat[np.repeat(first, size) + _ramp(size)]
-            ids[total[1:][extra >= 0] - 1] = extra[extra >= 0]
-            self._add([c for c, _, _ in rest], ids, whole)
+            ids[np.repeat(total[1:] - more, more) + _ramp(more)] = np.concatenate(extra)
+            self._add([c for c, _, _ in rest], ids, size + more)
 
     def _encode_new(self, chunks: list[str]) -> None:
         """Many chunks are encoded as one text, then told apart by the token that opens or separates them."""
@@ -120,14 +129,16 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _chunks(self, text: str) -> list[str] | None:
-        """Chunks of a text whose white space is single spaces and newlines between other characters, else None."""
+        """Chunks of a text: where white space is dropped its words; else those of a text whose white space is single spaces and
+        newlines between other characters. None if it must be encoded whole."""
         if any(m in (text if m.upper() == m else text.lower()) for m in self.marks):
             return None
-        out = text.replace("\n", " \n" if self.spaced else " ").split(" ")
+        if not self.spaced:
+            return None if any(c in text for c in SEPARATORS) else text.split()
+        out = text.replace("\n", " \n").split(" ")
         if "" in out or "\n" in out or len(text.split()) != len(out):
             return None
-        if self.spaced:
-            out[0] = "\n\n" + out[0]
+        out[0] = "\n\n" + out[0]
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
