@@ -70,10 +70,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     found = [op1_substring_dedup, op2_line_dedup, op3_language_id, op4_toxicity, op5_source_mixing, op6_ngram_jaccard, op7_token_files, op8_fingerprints, op9_packing, op10_exact_dedup]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
 LINE_SQL = r"""

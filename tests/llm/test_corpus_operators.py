@@ -314,7 +314,7 @@ def test_encoder(rows, name, spaced):
     e, plain = tokens.Encoder(queries.tokenizer(name), spaced), Tokenizer.from_file(queries.tokenizer(name))
     texts = [t for _, t in rows][:300] + [t for _, t in ODD_TEXTS] + ["", "\n", "a\n", " a", "a ", "a  b", "don't 's", "x\n y", "t\tq", "\nfoo", "a|b | c", "..., !!", "Σας ΟΔΟΣ", "é̈. É.", "İ? İ.", "x <|endoftext|> y", "<|STARTOFTEXT|>"]
     rng = np.random.default_rng(8)
-    some = ["a", "B", "é", "e\u0301", "İ", "ß", "Σ", "ŉ", ".", "?", "!", ",", "'s", "<|endoftext|>", "<|", "|>", "|", " ", "  ", "\n", "\t", "1", "中", "🙂", "the", "ªº", "\u0338", "<", "ﬁ", "K", "don't", "<|startoftext|>"]
+    some = ["a", "B", "é", "e\u0301", "İ", "ß", "Σ", "ŉ", ".", "?", "!", ",", "'s", "<|endoftext|>", "<|", "|>", "|", " ", "  ", "\n", "\t", "1", "中", "🙂", "the", "ªº", "\u0338", "<", "ﬁ", "K", "don't", "<|startoftext|>", "###", "%%%", "'", "(", "\x1c", "\x85", "\u3000", "'S", " "]
     texts += ["".join(rng.choice(some, rng.integers(1, 14))) for _ in range(5000)]
     for k in range(0, len(texts), 500):
         for t, got in zip(texts[k : k + 500], e.encode(texts[k : k + 500]), strict=True):
