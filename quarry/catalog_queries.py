@@ -334,7 +334,7 @@ def queue_in_order(spark, d):
     return q.join(before, "rank").select(F.col("id").alias("c_custkey"), (own + F.col("before")).alias("place"))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 1.06 WHEN p_size % 3 = 1 THEN 0.94 ELSE 1.0 END AS score FROM part ORDER BY score DESC, lower(p_name), p_partkey LIMIT 25")
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 1.06 WHEN p_size % 3 = 1 THEN 0.94 ELSE 1.0 END::DOUBLE AS score FROM part ORDER BY score DESC, lower(p_name), p_partkey LIMIT 25")
 def filter_only_order(spark, d):
     access = F.when(F.col("z") == 0, "code").when(F.col("z") == 1, "gated").otherwise("page")
     none = F.lit(False)
@@ -724,7 +724,7 @@ def plain_words_beside_tags(spark, d):
     return out.select("doc", "hits", F.round("score", 5).alias("score"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 1.08 WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0.95 ELSE 0.85 END ELSE 1.08 END AS prior FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 1.08 WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0.95 ELSE 0.85 END ELSE 1.08 END::DOUBLE AS prior FROM supplier")
 def entry_priors(spark, d):
     s = rows(spark, d, "supplier", s_suppkey="s_suppkey", mapped="s_nationkey % 2 = 0", readable="s_suppkey % 3 <> 0", record="s_suppkey % 2 = 0")
     no = F.lit(False)
@@ -759,7 +759,7 @@ _ALL = """en AS (SELECT 's' || s_suppkey AS id, s_name AS name, NULL AS access,
  CASE p_size % 3 WHEN 0 THEN 1.06 WHEN 1 THEN 0.94 ELSE 1.0 END AS score, 'item' AS kind, split_part(p_name, ' ', 2) AS el, split_part(p_name, ' ', 1) AS va FROM part), al AS (SELECT * FROM en UNION ALL SELECT * FROM it)"""
 
 
-@query(f"WITH {_ALL} SELECT id, name, score FROM al WHERE el = 'widget' ORDER BY score DESC, lower(name), id LIMIT 40")
+@query(f"WITH {_ALL} SELECT id, name, score::DOUBLE AS score FROM al WHERE el = 'widget' ORDER BY score DESC, lower(name), id LIMIT 40")
 def api_search_resources(spark, d):
     return _catalog(spark, d).search(None, element="widget", limit=40).select("id", "name", "score")
 
