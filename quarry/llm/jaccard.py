@@ -173,7 +173,7 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
 
 
 def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (pod, i, j, side, id, known, tokens) with equal (pod, i, j) in a row: links (a, b).
+    """From rows (pod, i, j, side, id, known, tokens) with equal (pod, i, j) in a row: edges (a, b) that connect what links connect.
 
     Sets of side 0 meet those of side 1, or each other where there is no side 1. Sets with one
     ``known`` are one component already.
@@ -187,7 +187,11 @@ def _tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for k, c in enumerate(known[keep].tolist()):
             u.join(first.setdefault(c, k), k)
         left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
-        return [(int(names[x]), int(names[y])) for x, y in traverse(sets, left, right or None, percent, u)]
+        # A star a component instead of the links themselves: no path is longer than two, which spares rounds later.
+        stars: dict[int, set[int]] = {}
+        for x, y in traverse(sets, left, right or None, percent, u):
+            stars.setdefault(u.find(x), set()).update((int(names[x]), int(names[y])))
+        return [(root, x) for held in stars.values() for root in [min(held)] for x in held if x != root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
