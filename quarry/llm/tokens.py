@@ -21,6 +21,8 @@ CHUNKS = 1_200_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: What Python splits at and the libraries don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: ASCII white space but for the space and the newline.
+OTHER_WHITE = "\t\x0b\x0c\r" + SEPARATORS
 
 
 def _ramp(size: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ class Encoder:
         if not self.spaced:
             return None if any(c in text for c in SEPARATORS) else text.split()
         out = text.replace("\n", " \n").split(" ")
-        if "" in out or "\n" in out or len(text.split()) != len(out):
+        if "" in out or "\n" in out or (any(c in text for c in OTHER_WHITE) if text.isascii() else len(text.split()) != len(out)):
             return None
         out[0] = "\n\n" + out[0]
         return out
