@@ -258,9 +258,12 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     near = near.select("pod", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "i").join(blocks, ["pod", "band"]).select("pod", "i", F.col("block").alias("j"))
     single = rows.join(large, "pod", "left_anti").select("pod", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), "id", "known")
 
+    # Both passes read the sets, which are made from their texts once.
+    sets = stored(fetch(rows.select("id").distinct()), "pod-sets")
+
     def compare(each: DataFrame) -> DataFrame:
         each = stored(each, "pod-tasks", 4 * most)
-        dealt = fetch(each.select("id").distinct()).join(each.hint("shuffle_hash"), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
+        dealt = sets.join(each.hint("shuffle_hash"), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
         return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links")
 
     links = compare(single.union(_meet(own, cut, cut)).union(_meet(near, hub, cut)))
