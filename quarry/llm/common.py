@@ -7,11 +7,18 @@ Every intermediate that is read more than once is written as Parquet to the fold
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of small tables that one task writes, and edges whose components one task finds.
+FEW_ROWS = 250_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. There is no other folder that driver and executors are sure to share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +41,7 @@ def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     if most is not None:
-        df = df.coalesce(max(1, most // 250_000))
+        df = df.coalesce(max(1, most // FEW_ROWS))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
@@ -80,20 +87,54 @@ def path_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connect(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the edges (u, v) connect as stars: every node but the smallest of its component, and that one."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up, a, b = np.arange(len(ids)), at[: len(u)], at[len(u) :]
+    while len(a):
+        # Both ends are roots; of all roots with a smaller neighbour none stays, so at least half of those that have neighbours go.
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up != up[up]).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    far = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[far], ids[up[far]]
+
+
+def stars(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) as stars. Memory is in proportion to its nodes."""
+    held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n > limit:
+            held = [connect(*map(np.concatenate, zip(*held, strict=True)))]
+            n = len(held[0][0])
+            limit = max(limit, 2 * n)
+    u, v = connect(*map(np.concatenate, zip(*held, strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_ROWS) -> DataFrame:
     """Connected components of the undirected edges (a long, b long): rows (id, component), component the smallest id.
 
-    Alternates large-star and small-star, each a keyed minimum plus a join, on a written table a
+    Each task first turns the edges that it has into stars. At most ``few`` of them are connected by one task; while there are more,
+    large-star and small-star alternate, each a keyed minimum plus a join, on a written table a
     round. Nothing but the number of edges and a checksum reaches the driver. A hub with many
     neighbours is pre-aggregated by the minimum and can be split by AQE in the join. Edges with a
     null end are ignored. Raises if ``rounds`` are not enough (they grow with the logarithm of
     the longest path).
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = stored(e, "components")
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    e = stored(e.mapInArrow(stars, "u long, v long"), "components")
     n, mark = e.count(), None
     for _ in range(rounds):
+        if n <= few:
+            last, e = e, stored(e.coalesce(1).mapInArrow(stars, "u long, v long"), "components", n)
+            remove(spark, *([path_of(last)] if last.inputFiles() else []))
+            break
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -101,7 +142,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         met = large.join(low, "u")
         pairs = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         # A round makes no more edges than there were, but for one to its smallest neighbour for each node.
-        nxt = stored(pairs.where("u > v").distinct(), "components", 2 * n)
+        nxt = stored(pairs.where("u > v").distinct().coalesce(max(1, 2 * n // FEW_ROWS)).mapInArrow(stars, "u long, v long"), "components")
         row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         remove(spark, *([path_of(e)] if e.inputFiles() else []))
         e, last, mark, n = nxt, mark, (row.n, row.s), row.n

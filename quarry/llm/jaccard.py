@@ -18,10 +18,12 @@ don't link makes that product large.
 come from prefixes: of all tokens in one order, two sets with 100 * i >= t * u share one among the first
 n - ceil(t n / 100) + 1 of each. The order puts tokens in crowded cells of a count sketch over all
 documents last, so a passage that very many documents share is no meeting point for them; a token stands out
-once its holders are a tenth of what a cell holds on average. A pair of sets needs
+once its holders are a tenth of what a cell holds on average, and the cells grow with the texts so that this is some ten at any size. A prefix
+gets s = min(SPARE, n / EVERY) tokens more. A pair of sets needs
 an overlap of o = ceil(t (n + m) / (100 + t)); every token of one prefix that the other lacks counts
-against it, so the prefixes must have o - max(ceil(t n / 100), ceil(t m / 100)) + 1 tokens in common. Tokens
-with at most ``FEW`` holders count the pairs for that test. The holders of any other token,
+against it, so the prefixes must have o - max(ceil(t n / 100) - s(n), ceil(t m / 100) - s(m)) + 1 tokens in common, which is more than s of the smaller set. Tokens
+with at most ``FEW`` holders count the pairs for that test; tokens with more holders are counted a set, and a pair is taken to have
+in common as many of them as the set with fewer has. So a set with no more of them than s needs no other meeting point. The holders of such a token that have more,
 by size, are linked to their neighbours only, as far as the sizes allow a link; that connects
 whatever may link without pairs. The components of these candidate edges are the pods.
 
@@ -46,10 +48,14 @@ from quarry.llm.common import components, fresh_names, join_by_size, stored
 from quarry.llm.text import buffers, mix, shingle_sets
 from quarry.llm.tokens import release
 
-CELLS = 1 << 20
+#: The powers of two that the number of cells is between, and cells that are counted up together.
+CELL_BITS = 20, 25
+PART = 1 << 16
 LEAF = 8
 #: A token with at most so many holders counts their pairs.
 FEW = 16
+#: A prefix has a token more for every so many of the set, up to SPARE: so many tokens with more holders connect nothing.
+EVERY, SPARE = 24, 16
 PAIRS = [np.triu_indices(m, 1) for m in range(FEW + 1)]
 
 
@@ -288,29 +294,53 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     return found if more.isEmpty() else components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
+def cell_bits(size: int) -> int:
+    """The power of two of cells for texts of so many bytes: 64 to 128 words a cell, so that what stands out doesn't depend on the size."""
+    return min(CELL_BITS[1], max(CELL_BITS[0], round(math.log2(max(1, size) / 600))))
+
+
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Fullness of each cell, a log scale in 8 bits: how often tokens of the cell occur in the sets of all documents.
 
-    Each task sums CELLS counters of 4 bytes; they are added up in a tree, so the driver gets a few of them.
-    The sums are rounded to 32-bit floats, which are good enough for an order.
+    Each task counts for itself; its counts go by a shuffle in parts of PART cells, clipped to 16 bits, and are added up there. The
+    driver gets a byte a cell.
     """
+    spark = docs.sparkSession
+    bits = cell_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        sums = np.zeros(CELLS, np.float32)
+        sums = np.zeros(1 << bits, np.uint32)
         for b in batches:
             data, offsets = buffers(b.column("text"))
-            held = [(s >> np.uint64(44)).astype(np.int64) for s in shingle_sets(data, offsets, n)]
+            held = [cells_of(s, bits) for s in shingle_sets(data, offsets, n)]
             if held:
-                sums += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["c"])
+                np.add.at(sums, np.concatenate(held), np.uint32(1))
+        parts = np.minimum(sums, 65535).astype(np.uint16).reshape(-1, PART)
+        for k in range(0, len(parts), 16):
+            some = [p.tobytes() for p in parts[k : k + 16]]
+            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.binary())], ["part", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, c in zip(b.column("part").to_pylist(), b.column("c"), strict=True):
+                sums[part] = sums.get(part, np.zeros(PART, np.uint32)) + np.frombuffer(c.as_buffer(), np.uint16)
+        full = [np.minimum(255, np.round(8 * np.log2(1 + c.astype(np.float32)))).astype(np.uint8).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(full, pa.binary())], ["part", "c"])
 
-    # A few tasks a core, however many files there are: each one sends a whole sketch.
-    made = docs.select("text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "c binary")
-    add = lambda a, b: (np.frombuffer(a, np.float32) + np.frombuffer(b, np.float32)).tobytes()
-    rows = made.rdd.map(lambda r: bytes(r[0]))
-    counts = np.frombuffer(rows.treeReduce(add, 4), np.float32) if rows.getNumPartitions() else np.zeros(CELLS, np.float32)
-    return np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
+    # A few tasks a core, however many files there are, and one with large sketches: each one sends a whole sketch.
+    tasks = max(1, 4 >> max(0, bits - 22)) * spark.sparkContext.defaultParallelism
+    made = docs.select("text").coalesce(tasks).mapInArrow(run, "part int, c binary").repartition("part").mapInArrow(add, "part int, c binary")
+    cells = np.zeros(1 << bits, np.uint8)
+    for r in made.collect():
+        cells[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.c, np.uint8)
+    return cells
+
+
+def cells_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The cells of tokens: their first bits."""
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def prefix(tokens: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
@@ -318,8 +348,8 @@ def prefix(tokens: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return tokens
-    k = n - -(-percent * n // 100) + 1
-    rank = (cells[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+    k = min(n, n - -(-percent * n // 100) + 1 + min(SPARE, n // EVERY))
+    rank = (cells[cells_of(tokens, len(cells).bit_length() - 1)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
     return tokens[np.argpartition(rank, k - 1)[:k]]
 
 
@@ -383,6 +413,7 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate edges (a, b) from rows (token, n, id): a shuffle by token, sorted by size within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, na, nb, c) with c tokens of few holders, and (id, token, n, -1, 0) for the holders of any other."""
         last = None
         for t, n, i, first in _runs(batches, percent):
             begin = np.flatnonzero(first)
@@ -392,8 +423,7 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
             many = np.repeat(size > FEW, size)
             if cut:
                 many[: size[0]] = True
-            chain = np.flatnonzero(many[1:] & ~first[1:]) + 1
-            a, b, na, nb, c = [i[chain - 1]], [i[chain]], [n[chain - 1]], [n[chain]], [np.full(len(chain), 1 << 30)]
+            a, b, na, nb, c = [], [], [], [], []
             seen: dict[bytes, int] = {}
             for x, m in zip(begin.tolist(), size.tolist(), strict=True):
                 if 1 < m <= FEW and not many[x]:
@@ -411,17 +441,40 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
                 na.append(ns[x])
                 nb.append(ns[y])
                 c.append(np.full(len(x), count))
-            out = [np.concatenate(v).astype(np.int64) for v in (a, b, na, nb, c)]
+            out = [np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (a, b, na, nb, c)]
+            turn = out[0] > out[1]
+            for p, q in ((0, 1), (2, 3)):
+                out[p], out[q] = np.where(turn, out[q], out[p]), np.where(turn, out[p], out[q])
+            many[0] &= not cut  # it ended the part before
+            k = int(many.sum())
+            out = [np.append(x, y) for x, y in zip(out, (i[many], t[many], n[many], np.full(k, -1), np.zeros(k, np.int64)), strict=True)]
             if len(out[0]):
-                turn = out[0] > out[1]
-                for p, q in ((0, 1), (2, 3)):
-                    out[p], out[q] = np.where(turn, out[q], out[p]), np.where(turn, out[p], out[q])
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["a", "b", "na", "nb", "c"])
 
-    by = rows.repartition("token").sortWithinPartitions("token", "n", "id")
-    pairs = by.mapInArrow(run, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / 100) + 1
-    return pairs.where(F.col("c") >= need).select("a", "b")
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours by size of a token's holders."""
+        for _, _, i, first in _runs(batches, percent):
+            at = np.flatnonzero(~first[1:]) + 1
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(i[at - 1]), pa.array(i[at])], ["a", "b"])
+
+    def must(n: str) -> Column:
+        """A set's tokens past those of its prefix, and one."""
+        return F.ceil(F.col(n) * percent / 100) - F.least(F.lit(SPARE), F.floor(F.col(n) / EVERY))
+
+    sort = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    found = stored(sort(rows).mapInArrow(run, "a long, b long, na long, nb long, c long"), "token-pairs")
+    held = found.where("nb < 0").select(F.col("b").alias("token"), F.col("na").alias("n"), F.col("a").alias("id"))
+    many = stored(held.groupBy("id", "n").agg(F.count("*").alias("h")), "many-held")
+    # A set whose smallest partner's spare tokens are as many has, with any partner, a token of few holders in common.
+    able = many.where(F.col("h") > F.least(F.lit(SPARE), F.floor(F.ceil(F.col("n") * percent / 100) / EVERY))).select("id")
+    chains = sort(held.join(able, "id").select("token", "n", "id")).mapInArrow(chain, "a long, b long")
+    pairs = found.where("nb >= 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    for x in "ab":
+        pairs = pairs.join(many.select(F.col("id").alias(x), F.col("h").alias("h" + x)), x, "left")
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(must("na"), must("nb"), F.lit(1)) + 1
+    both = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    return pairs.where(F.col("c") + both >= need).select("a", "b").union(chains)
 
 
 def name(tokens: np.ndarray) -> tuple[int, int]:
@@ -442,7 +495,7 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     that doc_id, the smallest mark; rows equal in both are all first. Rows without a set or a doc_id are.
     """
     cells = sketch(docs, n)
-    shared = docs.sparkSession.sparkContext.broadcast(cells)  # CELLS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(cells)  # a byte a cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -268,6 +268,41 @@ def test_jaccard_pods_of_several_groups(spark, block, wide):
     assert {d: got.get(d, d) for d in want} == want and 4 < len(set(want.values())) < 100
 
 
+def test_jaccard_edges_of_sets_that_share_a_passage(spark):
+    """Sets that share one token of many holders and nothing else are no candidates; whatever links is connected by candidates."""
+    alone = [(1, 240, i) for i in range(40)] + [(100 + i, 240, i) for i in range(40)]
+    assert jaccard.token_edges(spark.createDataFrame(alone, "token long, n long, id long"), 85).count() == 0
+    rng = np.random.default_rng(7)
+    common, held = rng.integers(0, 1 << 62, 200, np.uint64), []
+    for d in range(240):
+        own = np.random.default_rng(d // 3).integers(0, 1 << 62, 200, np.uint64)[: 20 + d // 3]
+        s = np.concatenate([own, common[: 5 * (d // 3 % 40)]])
+        held.append(np.unique(np.append(s[rng.random(len(s)) > 0.06], rng.integers(0, 1 << 62, int(rng.integers(3)), np.uint64))))
+    cells = np.zeros(1 << 20, np.uint8)
+    rows = [(int(t), len(s), d) for d, s in enumerate(held) for t in jaccard.prefix(s, cells, 85)]
+    found = jaccard.components(jaccard.token_edges(spark.createDataFrame(rows, "token long, n long, id long"), 85))
+    of = {r.id: r.component for r in found.collect()}
+    links = [(x, y) for y in range(240) for x in range(y) if 100 * (i := len(np.intersect1d(held[x], held[y]))) >= 85 * (len(held[x]) + len(held[y]) - i)]
+    assert len(links) > 100 and all(of.get(x, x) == of.get(y, y) for x, y in links)
+
+
+def test_cells_grow_with_the_texts():
+    """A cell holds about as many tokens whatever the size, until 8 GB of parquet; large sketches agree with small ones on what stands out."""
+    assert [jaccard.cell_bits(x << 30) for x in (0, 1, 11)] == [20, 21, 24]
+
+
+def test_components_in_few_jobs(spark):
+    """A long path is connected by one task; in rounds it gives the same."""
+    edges = spark.range(3000).selectExpr("id * 7919 % 3001 a", "(id + 1) * 7919 % 3001 b").union(spark.createDataFrame([(5000, 5001), (None, 5), (6000, 6000)], "a long, b long"))
+    want = {i: 0 for i in range(3001)} | {5000: 5000, 5001: 5000}
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    got = {r.id: r.component for r in jaccard.components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs <= 8
+    assert {r.id: r.component for r in jaccard.components(edges, few=100).collect()} == want
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_mixing(docs, odd, which):
     table = docs if which == "small" else odd
