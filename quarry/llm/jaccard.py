@@ -1,9 +1,10 @@
 """Exact similarity self-join of sets by signature trees, in pods.
 
 ``link_sets`` is the join proper. It gets pods: groups of sets such that two sets that link share a pod. A
-task builds trees: leaves hold a few sets, nodes the OR of their token bitmaps and the range of
+task builds trees: leaves hold some sets, nodes the OR of their token bitmaps and the range of
 their sizes. A dual traversal prunes node pairs whose largest possible overlap is too small, and those whose
-sets are all one component already; what remains is compared exactly. So the links found connect just
+sets are all one component already; what remains are pairs of leaves, whose sets are compared exactly, all of them by one look-up
+of each token. So the links found connect just
 what all links connect, without listing all pairs of a group.
 
 A pod of more than ``block`` elements is cut into blocks by size band (sets that link are in the same band or
@@ -48,10 +49,11 @@ from quarry.llm.common import components, fresh_names, join_by_size, stored
 from quarry.llm.text import buffers, mix, shingle_sets
 from quarry.llm.tokens import release
 
-#: The powers of two that the number of cells is between, and cells that are counted up together.
+#: The powers of two that the number of cells is between, and cells or tokens that are counted up together.
 CELL_BITS = 20, 25
 PART = 1 << 16
-LEAF = 8
+#: Sets of a leaf, a bit each, and nodes of a node above.
+LEAF, FAN = 32, 8
 #: A token with at most so many holders counts their pairs.
 FEW = 16
 #: A prefix has a token more for every so many of the set, up to SPARE: so many tokens with more holders connect nothing.
@@ -77,10 +79,11 @@ class Union:
 
 
 class Node:
-    __slots__ = ("bitmap", "low", "high", "spare", "items", "kids", "one")
+    __slots__ = ("bitmap", "low", "high", "spare", "items", "kids", "one", "tokens", "held", "sizes")
 
     def __init__(self, bitmap, low, high, spare, items, kids) -> None:
         self.bitmap, self.low, self.high, self.spare, self.items, self.kids, self.one = bitmap, low, high, spare, items, kids, False
+        self.tokens = None
 
     def whole(self, u: Union) -> int | None:
         """The root that all sets below have in common, else None. Once they have one they keep it."""
@@ -96,6 +99,16 @@ class Node:
             at = at.kids[0]
         return u.find(at.items[0])
 
+    def spread(self, sets: list[np.ndarray]) -> None:
+        """For a leaf, once: its distinct tokens, and for each a bit a set that tells whether the set holds it."""
+        if self.tokens is None:
+            self.tokens, at = np.unique(np.concatenate([sets[i] for i in self.items]), return_inverse=True)
+            self.sizes = np.array([len(sets[i]) for i in self.items])
+            held = np.zeros(len(self.tokens), np.uint32)
+            for k, end in enumerate(np.cumsum(self.sizes)):
+                held[at[end - self.sizes[k] : end]] |= np.uint32(1 << k)
+            self.held = held
+
 
 def tree(sets: list[np.ndarray], which: list[int], words: int) -> Node:
     """A signature tree over these sets; similar sets are neighbours because their smallest tokens are."""
@@ -113,8 +126,8 @@ def tree(sets: list[np.ndarray], which: list[int], words: int) -> Node:
         level.append(Node(np.packbits(bitmap).view(np.uint64), min(sizes), max(sizes), spare, items, None))
     while len(level) > 1:
         up = []
-        for k in range(0, len(level), LEAF):
-            kids = level[k : k + LEAF]
+        for k in range(0, len(level), FAN):
+            kids = level[k : k + FAN]
             up.append(Node(np.bitwise_or.reduce([n.bitmap for n in kids]), min(n.low for n in kids), max(n.high for n in kids), max(n.spare for n in kids), None, kids))
         level = up
     return level[0]
@@ -137,7 +150,28 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
             u.join(i, j)
             links.append((i, j))
 
-    if right is None and len(left) <= LEAF:
+    def meet(x: Node, y: Node) -> None:
+        """Compares all sets of two leaves at once: each token that both have is looked up once and counts for all pairs."""
+        x.spread(sets)
+        y.spread(sets)
+        if len(x.tokens) > len(y.tokens):
+            x, y = y, x
+        at = np.searchsorted(y.tokens, x.tokens)
+        at[at == len(y.tokens)] = 0
+        same = np.flatnonzero(y.tokens[at] == x.tokens)
+        both = np.zeros((LEAF, LEAF), np.int64)
+        for k in range(0, len(same), PART):
+            some = same[k : k + PART]
+            a, b = (np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, LEAF).astype(np.float32) for h in (x.held[some], y.held[at[some]]))
+            both += (a.T @ b).astype(np.int64)
+        both = both[: len(x.items), : len(y.items)]
+        for k, m in np.argwhere(100 * both >= percent * (x.sizes[:, None] + y.sizes - both)).tolist():
+            i, j = x.items[k], y.items[m]
+            if u.find(i) != u.find(j):
+                u.join(i, j)
+                links.append((i, j))
+
+    if right is None and len(left) <= FAN:
         for x, i in enumerate(left):
             for j in left[x + 1 :]:
                 compare(i, j)
@@ -164,17 +198,13 @@ def traverse(sets: list[np.ndarray], left: list[int], right: list[int] | None, p
                 stack += [(k, m) for i, k in enumerate(x.kids) for m in x.kids[i + 1 :]]
                 stack += [(k, k) for k in x.kids]
             else:
-                for k, i in enumerate(x.items):
-                    for j in x.items[k + 1 :]:
-                        compare(i, j)
+                meet(x, x)
         elif x.kids and (not y.kids or x.high >= y.high):
             stack += [(k, y) for k in x.kids]
         elif y.kids:
             stack += [(x, k) for k in y.kids]
         else:
-            for i in x.items:
-                for j in y.items:
-                    compare(i, j)
+            meet(x, y)
     return links
 
 
@@ -424,23 +454,17 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
             if cut:
                 many[: size[0]] = True
             a, b, na, nb, c = [], [], [], [], []
-            seen: dict[bytes, int] = {}
-            for x, m in zip(begin.tolist(), size.tolist(), strict=True):
-                if 1 < m <= FEW and not many[x]:
-                    key = np.append(i[x : x + m], n[x : x + m]).tobytes()
-                    seen[key] = seen.get(key, 0) + 1
-            for key, count in seen.items():
-                both = np.frombuffer(key, np.int64)
-                m = len(both) // 2
-                x, y = PAIRS[m]
-                ids, ns = both[:m], both[m:]
-                ok = 100 * ns[x] >= percent * ns[y]
+            few = np.flatnonzero((size > 1) & (size <= FEW) & ~many[begin])  # most tokens have one holder
+            for m in np.unique(size[few]).tolist():
+                at = begin[few[size[few] == m]][:, None]
+                x, y = ((at + k).ravel() for k in PAIRS[m])
+                ok = 100 * n[x] >= percent * n[y]
                 x, y = x[ok], y[ok]
-                a.append(ids[x])
-                b.append(ids[y])
-                na.append(ns[x])
-                nb.append(ns[y])
-                c.append(np.full(len(x), count))
+                a.append(i[x])
+                b.append(i[y])
+                na.append(n[x])
+                nb.append(n[y])
+                c.append(np.ones(len(x), np.int64))
             out = [np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (a, b, na, nb, c)]
             turn = out[0] > out[1]
             for p, q in ((0, 1), (2, 3)):

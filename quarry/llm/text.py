@@ -124,5 +124,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
     """For each row the sorted distinct hashes of its n-word shingles."""
     for i, j in slices(offsets):
         _, _, hashes, rows = words(data, offsets[i : j + 1])
-        for a, b in zip(rows[:-1], rows[1:], strict=True):
-            yield np.unique(shingles(hashes[a:b], n))
+        every = shingles(hashes, n) if len(hashes) >= n else hashes  # those that begin in one row and end in another are passed over
+        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            s = np.sort(every[a : b - n + 1]) if b - a >= n else shingles(hashes[a:b], n)
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s if new.all() else s[new]

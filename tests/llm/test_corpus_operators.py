@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from quarry.llm import exact, fingerprint, jaccard, langid, lines, mixing, packing, queries, substring, tokenfile, tokens, toxicity
+from quarry.llm import exact, fingerprint, jaccard, langid, lines, mixing, packing, queries, substring, text, tokenfile, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()), T.StructField("score", T.StringType()), T.StructField("n", T.StringType())])
@@ -286,6 +287,35 @@ def test_jaccard_edges_of_sets_that_share_a_passage(spark):
     assert len(links) > 100 and all(of.get(x, x) == of.get(y, y) for x, y in links)
 
 
+def test_jaccard_leaves_meet_at_once(monkeypatch):
+    """Copies too far from each other to link, which no bitmap tells apart, are compared by leaves and not pair by pair; links stay exact."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 300, np.uint64)
+    held = [np.unique(np.append(base[rng.random(300) > rng.uniform(0.05, 0.2)], rng.integers(0, 1 << 62, 20, np.uint64))) for _ in range(300)]
+    calls, look = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *args: calls.append(1) or look(*args))
+    for left, right in ((range(300), None), (range(100), range(100, 300))):
+        calls.clear()
+        u = jaccard.Union(300)
+        links = jaccard.traverse(held, list(left), right and list(right), 80, u)
+        done = len(calls)
+        want = jaccard.Union(300)
+        for x in left:
+            for y in right or range(x):
+                if 100 * (i := len(np.intersect1d(held[x], held[y]))) >= 80 * (len(held[x]) + len(held[y]) - i):
+                    want.join(x, y)
+        assert [u.find(k) for k in range(300)] == [want.find(k) for k in range(300)]
+        assert len(links) == 300 - len({u.find(k) for k in range(300)}) and 20 < len(links) < 250 and done < 200
+
+
+def test_shingle_sets_by_rows():
+    """Each row's sorted distinct shingles, though the block is shingled at once; rows of fewer words are one, empty ones none."""
+    texts = ["a b c d e f a b c d e f", None, "a b", "", "c d e f g", " ", "x y z a b"]
+    data, offsets = text.buffers(pa.array(texts, pa.string()))
+    alone = [text.shingles(text.words(*text.buffers(pa.array([t], pa.string())))[2], 5) for t in texts]
+    assert [s.tolist() for s in text.shingle_sets(data, offsets, 5)] == [sorted(set(s.tolist())) for s in alone]
+
+
 def test_cells_grow_with_the_texts():
     """A cell holds about as many tokens whatever the size, until 8 GB of parquet; large sketches agree with small ones on what stands out."""
     assert [jaccard.cell_bits(x << 30) for x in (0, 1, 11)] == [20, 21, 24]
