@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of small tables that one task writes, and edges whose components one task finds.
 FEW_ROWS = 250_000
+#: Bytes of text of which one task at most writes what is made from them, where there is more than two tasks a core have.
+SHARE = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,16 +34,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+def few_tasks(spark: SparkSession, size: int) -> int:
+    """How many tasks write what is made from so many bytes of text: two a core, and more where each would have over SHARE."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARE))
+
+
+def stored(df: DataFrame, name: str, most: int | None = None, tasks: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and is computed once.
 
     most: how many rows there can be, where that is known. They are then written by a task for each quarter of a million, so that
-    small tables are few files; the last stage runs in as many tasks.
+    small tables are few files; the last stage runs in as many tasks. tasks: how many there are at most, where ``most`` is not known.
     """
     path = scratch(df.sparkSession, name)
     schema = df.schema
     if most is not None:
         df = df.coalesce(max(1, most // FEW_ROWS))
+    elif tasks is not None:
+        df = df.coalesce(tasks)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
@@ -116,7 +125,7 @@ def stars(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60, few: int = FEW_ROWS) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_ROWS, tasks: int | None = None) -> DataFrame:
     """Connected components of the undirected edges (a long, b long): rows (id, component), component the smallest id.
 
     Each task first turns the edges that it has into stars. At most ``few`` of them are connected by one task; while there are more,
@@ -124,11 +133,11 @@ def components(edges: DataFrame, rounds: int = 60, few: int = FEW_ROWS) -> DataF
     round. Nothing but the number of edges and a checksum reaches the driver. A hub with many
     neighbours is pre-aggregated by the minimum and can be split by AQE in the join. Edges with a
     null end are ignored. Raises if ``rounds`` are not enough (they grow with the logarithm of
-    the longest path).
+    the longest path). tasks: in how many tasks the edges are read at most.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    e = stored(e.mapInArrow(stars, "u long, v long"), "components")
+    e = stored((e.coalesce(tasks) if tasks else e).mapInArrow(stars, "u long, v long"), "components")
     n, mark = e.count(), None
     for _ in range(rounds):
         if n <= few:

@@ -45,8 +45,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, fresh_names, join_by_size, stored
-from quarry.llm.text import buffers, mix, shingle_sets
+from quarry.llm.common import components, few_tasks, fresh_names, join_by_size, stored
+from quarry.llm.text import buffers, mix, shingle_sets, slices
 from quarry.llm.tokens import release
 
 #: The powers of two that the number of cells is between, and cells or tokens that are counted up together.
@@ -274,12 +274,13 @@ def _meet(tasks: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return one.union(two)
 
 
-def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 1 << 14, wide: int = 1 << 22) -> DataFrame:
+def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 1 << 14, wide: int = 1 << 22, tasks: int | None = None) -> DataFrame:
     """Components (id, component) of the sets that link; sets without a link don't appear.
 
     pods: (pod, id, n), n the size of the set; an id may be in several. fetch: from ids (a DataFrame with
     distinct id) to (id, tokens), the sorted distinct tokens as little-endian 64-bit bytes. block: elements of a
-    block in the first pass; in the second a third of the pod, from 4 * block to ``wide``.
+    block in the first pass; in the second a third of the pod, from 4 * block to ``wide``. tasks: how many tasks at most write
+    sets or links.
     """
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     rows = stored(pods.withColumn("band", F.floor(F.log("n") / width).cast("long")).withColumn("known", F.col("id")), "pods")
@@ -295,12 +296,12 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     single = rows.join(large, "pod", "left_anti").select("pod", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), "id", "known")
 
     # Both passes read the sets, which are made from their texts once.
-    sets = stored(fetch(rows.select("id").distinct()), "pod-sets")
+    sets = stored(fetch(rows.select("id").distinct()), "pod-sets", tasks=tasks)
 
     def compare(each: DataFrame) -> DataFrame:
         each = stored(each, "pod-tasks", 4 * most)
         dealt = sets.join(each.hint("shuffle_hash"), "id").select("pod", "i", "j", "side", "id", "known", "tokens")
-        return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links")
+        return stored(dealt.repartition("pod", "i", "j").sortWithinPartitions("pod", "i", "j").mapInArrow(_tasks(percent), "a long, b long"), "set-links", tasks=tasks)
 
     links = compare(single.union(_meet(own, cut, cut)).union(_meet(near, hub, cut)))
     found = components(links)
@@ -318,8 +319,8 @@ def link_sets(pods: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     x = left.select("pod", "band", F.col("block").alias("i")).distinct()
     y = right.select("pod", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j")).distinct()
     # The two sides are numbered apart, so that a block never counts as meeting itself.
-    left, tasks = left.withColumn("block", -2 - F.col("block")), x.join(y, ["pod", "band"]).select("pod", (-2 - F.col("i")).alias("i"), "j")
-    more = compare(_meet(tasks, left, right))
+    left, each = left.withColumn("block", -2 - F.col("block")), x.join(y, ["pod", "band"]).select("pod", (-2 - F.col("i")).alias("i"), "j")
+    more = compare(_meet(each, left, right))
     # What is connected already goes in as a star a component.
     return found if more.isEmpty() else components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
@@ -329,23 +330,28 @@ def cell_bits(size: int) -> int:
     return min(CELL_BITS[1], max(CELL_BITS[0], round(math.log2(max(1, size) / 600))))
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
+def _portions(b: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Rows of a batch with the sets of their texts, a block of text at a time: a task holds the sets of one, however large batches are."""
+    data, offsets = buffers(b.column("text"))
+    for i, j in slices(offsets):
+        yield b.slice(i, j - i), shingle_sets(data, offsets[i : j + 1], n)
+
+
+def sketch(docs: DataFrame, n: int, size: int) -> np.ndarray:
     """Fullness of each cell, a log scale in 8 bits: how often tokens of the cell occur in the sets of all documents.
 
     Each task counts for itself; its counts go by a shuffle in parts of PART cells, clipped to 16 bits, and are added up there. The
-    driver gets a byte a cell.
+    driver gets a byte a cell. size: bytes of all texts.
     """
     spark = docs.sparkSession
-    bits = cell_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = cell_bits(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         sums = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            data, offsets = buffers(b.column("text"))
-            held = [cells_of(s, bits) for s in shingle_sets(data, offsets, n)]
-            if held:
-                np.add.at(sums, np.concatenate(held), np.uint32(1))
+            for _, sets in _portions(b, n):
+                np.add.at(sums, np.concatenate([cells_of(s, bits) for s in sets]), np.uint32(1))
         parts = np.minimum(sums, 65535).astype(np.uint16).reshape(-1, PART)
         for k in range(0, len(parts), 16):
             some = [p.tobytes() for p in parts[k : k + 16]]
@@ -439,8 +445,8 @@ def token_pods(rows: DataFrame, percent: int) -> DataFrame:
     return by.mapInArrow(run, "pod long, id long, n long")
 
 
-def token_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate edges (a, b) from rows (token, n, id): a shuffle by token, sorted by size within it."""
+def token_edges(rows: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
+    """Candidate edges (a, b) from rows (token, n, id): a shuffle by token, sorted by size within it. tasks: how many at most write a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b, na, nb, c) with c tokens of few holders, and (id, token, n, -1, 0) for the holders of any other."""
@@ -487,9 +493,9 @@ def token_edges(rows: DataFrame, percent: int) -> DataFrame:
         return F.ceil(F.col(n) * percent / 100) - F.least(F.lit(SPARE), F.floor(F.col(n) / EVERY))
 
     sort = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "id")
-    found = stored(sort(rows).mapInArrow(run, "a long, b long, na long, nb long, c long"), "token-pairs")
+    found = stored(sort(rows).mapInArrow(run, "a long, b long, na long, nb long, c long"), "token-pairs", tasks=tasks)
     held = found.where("nb < 0").select(F.col("b").alias("token"), F.col("na").alias("n"), F.col("a").alias("id"))
-    many = stored(held.groupBy("id", "n").agg(F.count("*").alias("h")), "many-held")
+    many = stored(held.groupBy("id", "n").agg(F.count("*").alias("h")), "many-held", tasks=tasks)
     # A set whose smallest partner's spare tokens are as many has, with any partner, a token of few holders in common.
     able = many.where(F.col("h") > F.least(F.lit(SPARE), F.floor(F.ceil(F.col("n") * percent / 100) / EVERY))).select("id")
     chains = sort(held.join(able, "id").select("token", "n", "id")).mapInArrow(chain, "a long, b long")
@@ -518,22 +524,22 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     first: whether the row is the first of its component, that with the smallest doc_id and, of several with
     that doc_id, the smallest mark; rows equal in both are all first. Rows without a set or a doc_id are.
     """
-    cells = sketch(docs, n)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = few_tasks(docs.sparkSession, text_bytes)
+    cells = sketch(docs, n, text_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(cells)  # a byte a cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = buffers(b.column("text"))
+        for b, sets in (x for b in batches for x in _portions(b, n)):
             size, one, two, first = [], [], [], []
-            for s in shingle_sets(data, offsets, n):
+            for s in sets:
                 k1, k2 = name(s)
                 size.append(len(s))
                 one.append(k1)
                 two.append(k2)
                 first.append(prefix(s, shared.value, percent).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-            flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "mark", "n", "k1", "k2", "prefix"])
 
     made = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, prefix array<long>")
@@ -541,18 +547,17 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes = made.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.count("*").alias("rows")).withColumn("id", F.col("at.doc_id"))
     # A class is named by its smallest doc_id, or by a hash where several classes have that one (rows that repeat a doc_id).
     several = classes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("several"))
-    classes = stored(classes.join(several, "id", "left").select("k1", "k2", "n", "id", "at", "rows", F.when(F.col("several"), F.xxhash64("k1", "k2", "id")).otherwise(F.col("id")).alias("node")), "classes")
+    classes = stored(classes.join(several, "id", "left").select("k1", "k2", "n", "id", "at", "rows", F.when(F.col("several"), F.xxhash64("k1", "k2", "id")).otherwise(F.col("id")).alias("node")), "classes", tasks=tasks)
     firsts = classes.select(F.col("id").alias("doc_id"), "k1", "k2", "node")
     rows = made.where("n > 0").select("doc_id", "k1", "k2", "n", "prefix").join(firsts, ["doc_id", "k1", "k2"])
-    edges = token_edges(rows.select(F.explode("prefix").alias("token"), "n", F.col("node").alias("id")), percent)
+    edges = token_edges(rows.select(F.explode("prefix").alias("token"), "n", F.col("node").alias("id")), percent, tasks)
 
     most = classes.count()
 
     def fetch(ids: DataFrame) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-                data, offsets = buffers(b.column("text"))
-                held = list(shingle_sets(data, offsets, n))
+            for b, each in (x for b in batches for x in _portions(b, n)):
+                held = list(each)
                 # Of rows that repeat a doc_id only those of the class count.
                 own = [k for k, want in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)) if name(held[k]) == want]
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own, pa.int64())), pa.array([held[k].tobytes() for k in own], pa.binary())], ["id", "tokens"])
@@ -561,8 +566,8 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(sets, "id long, tokens binary")
 
     sizes = classes.select(F.col("node").alias("id"), "n")
-    pods = components(edges).withColumnRenamed("component", "pod").join(sizes, "id").select("pod", "id", "n")
-    groups = link_sets(pods, fetch, percent).withColumnRenamed("id", "node")
+    pods = components(edges, tasks=tasks).withColumnRenamed("component", "pod").join(sizes, "id").select("pod", "id", "n")
+    groups = link_sets(pods, fetch, percent, tasks=tasks).withColumnRenamed("id", "node")
     both = stored(classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "class-groups")
     least = both.groupBy("component").agg(F.min("at").alias("least"))
     named = both.join(least, "component").select("k1", "k2", "rows", "least")
@@ -570,7 +575,7 @@ def row_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     part = made.where("n > 0 and doc_id is not null").select("doc_id", "mark", "n", "k1", "k2")
     out = join_by_size(part, named, ["k1", "k2"], "rows", total)
     out = out.select("doc_id", "mark", "n", F.col("least.doc_id").alias("component_id"), ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))).alias("first"))
-    return out.union(made.where("n = 0 or doc_id is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+    return out.union(made.where("n = 0 or doc_id is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))).coalesce(tasks)
 
 
 def drop_near(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -321,6 +322,36 @@ def test_cells_grow_with_the_texts():
     assert [jaccard.cell_bits(x << 30) for x in (0, 1, 11)] == [20, 21, 24]
 
 
+def test_jaccard_tables_are_few_files(spark, docs, rows):
+    """Two tasks a core write a small table, however many shuffle partitions there are; the result is whole."""
+    folder, cores = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), spark.sparkContext.defaultParallelism
+    old, held = set(folder.iterdir()), {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        made = jaccard.shingle_groups(docs)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()}
+        assert made.rdd.getNumPartitions() <= 2 * cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.groups(rows, 4, 85)
+    files = {p.name: len(list(p.glob("part-*"))) for p in set(folder.iterdir()) - old}
+    assert len(files) > 5 and max(files.values()) <= 2 * cores
+
+
+def test_jaccard_holds_the_sets_of_a_block(spark):
+    """What is held of a batch at once are the sets of about a block of text; all rows come, with their own sets."""
+    texts = [None, "", *(" ".join(f"{d}w{k}" for k in range(3000)) for d in range(200)), "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = [(b, list(sets)) for b, sets in jaccard._portions(batch, 4)]
+    assert [d for b, _ in parts for d in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    alone = list(text.shingle_sets(*text.buffers(batch.column("text")), 4))
+    assert all(np.array_equal(x, y) for x, y in zip((s for _, sets in parts for s in sets), alone, strict=True))
+    assert len(parts) > 3 and all(sum(len(t or "") for t in b.column("text").to_pylist()) <= text.BLOCK for b, _ in parts)
+
+
 def test_components_in_few_jobs(spark):
     """A long path is connected by one task; in rounds it gives the same."""
     edges = spark.range(3000).selectExpr("id * 7919 % 3001 a", "(id + 1) * 7919 % 3001 b").union(spark.createDataFrame([(5000, 5001), (None, 5), (6000, 6000)], "a long, b long"))
