@@ -564,13 +564,13 @@ def domain_lists(spark, d):
 
 @query(f"WITH {_U} SELECT arg_max(page_id, page_id) AS page_id, site FROM k GROUP BY site")
 def renders_read(spark, d):
-    from quarry.sources.readers import landed, rendered
+    from quarry.sources.readers import landed, rendered, write_files
 
     at = landed(spark, "renders")
     p = table(spark, d, "pages").select(urls.site(F.col("url")).alias("url"), F.array(F.col("page_id").cast("string")).alias("links"), "page_id")
     # One file a page, the names in the order of the ids.
-    p.select("url", "links", F.lpad(F.col("page_id").cast("string"), 9, "0").alias("n")).repartition("n").write.partitionBy("n").json(at)
-    got = rendered(spark, f"{at}/*")
+    write_files(p.select(F.lpad(F.col("page_id").cast("string"), 19, "0").alias("name"), F.to_json(F.struct("url", "links")).alias("content")), at)
+    got = rendered(spark, at)
     return got.select(F.get("links", F.lit(0)).cast("long").alias("page_id"), F.col("url").alias("site"))
 
 

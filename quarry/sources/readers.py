@@ -30,6 +30,34 @@ def landed(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_files(rows: DataFrame, at: str) -> None:
+    """Each row (name, content) as a file of its own in the folder ``at``; read back by name, equal names in no set order.
+
+    Tasks write their files themselves, under a name that readers skip, and move them into place. A partitioned write takes a
+    folder, a commit and two moves by the driver for each of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        # Hadoop writes local folders as file:/x; Arrow wants file:///x.
+        uri = f"file://{at[5:]}" if at.startswith("file:/") and not at.startswith("file://") else at
+        store, folder = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        store.create_dir(folder, recursive=True)
+        context, n = TaskContext.get(), 0
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = f"{folder}/.{context.partitionId()}-{n}-{context.taskAttemptId()}"
+                with store.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                store.move(part, f"{folder}/{name}-{context.partitionId():05d}-{n:09d}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    spread(rows.select("name", "content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def json_file(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
     """A JSON document a file or, with lines, one a line, which can be split between tasks."""
     reader = spark.read.option("multiLine", not lines)

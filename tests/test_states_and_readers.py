@@ -1,9 +1,11 @@
 """Variants, hints, states, candidate URLs and landed files on rows written by hand."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.functions import names, urls
 from quarry.operators import quality, reports, tagging
 from quarry.sources import readers
@@ -62,3 +64,29 @@ def test_landed(spark, tmp_path):
     assert readers.rendered(spark, str(tmp_path)).first().anchors[0].id == "i"
     p = readers.probe_summary(spark.createDataFrame([("s", "u", "<a href='/docs/a'></a><a href='/docs'></a><a href='/x?y'></a><h2 id=a></h2>"), ("t", "u", None)], "site string, url string, html string"))
     assert {r.site: (r.links, r.prefixes, r.ids) for r in p.collect()} == {"s": (3, ["/docs 2", "/x 1"], 1), "t": (None, None, None)}
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    """A file a row, also for equal names; none in a folder of its own."""
+    at = tmp_path / "files"
+    rows = [(f"n{k % 40}", f"ü{k}\nx\n") for k in range(50)] + [("empty", "")]
+    readers.write_files(spark.createDataFrame(rows, "name string, content string"), f"file://{at}")
+    assert sorted(r.value for r in readers.text_files(spark, f"file://{at}").collect()) == sorted(c for _, c in rows if c)
+    assert len(os.listdir(at)) == 51 and all((at / f).is_file() for f in os.listdir(at))
+
+
+def landed_by(spark, query, d):
+    """The rows of a query, and what it left in the shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    got = [tuple(r) for r in queries.queries()[query](spark, d).collect()]
+    (new,) = set(os.listdir(shared)) - before
+    return got, [f.is_file() for f in os.scandir(f"{shared}/{new}")]
+
+
+def test_renders_are_landed_without_folders(spark, tmp_path):
+    """The last page of a site counts, by number and not by its digits; a page is a file, not a folder."""
+    rows = [(9, "https://a.com/x", ""), (10, "https://a.com/y", ""), (12_345_678_901, "https://b.com/z", ""), (2, "https://b.com", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, files = landed_by(spark, "renders_read", str(tmp_path))
+    assert sorted(got) == [(10, "a.com"), (12_345_678_901, "b.com")] and files == [True] * 4
