@@ -496,10 +496,10 @@ def json_round_trip(spark, d):
 
 @query("SELECT s_suppkey, s_name || chr(10) || s_nationkey AS text FROM supplier")
 def text_round_trip(spark, d):
-    from quarry.sources.readers import landed, text_files
+    from quarry.sources.readers import landed, text_files, write_files
 
     at = landed(spark, "text")
-    rows(spark, d, "supplier", value="concat(s_suppkey, '\\t', s_name, '\\n', s_nationkey)", part="s_suppkey").repartition("part").write.partitionBy("part").text(at)
+    write_files(rows(spark, d, "supplier", name="CAST(s_suppkey AS STRING)", content="concat(s_suppkey, '\\t', s_name, '\\n', s_nationkey, '\\n')"), at)
     f = text_files(spark, at)
     return f.select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("s_suppkey"), F.regexp_replace(F.split_part("value", F.lit("\t"), F.lit(2)), "\n$", "").alias("text"))
 

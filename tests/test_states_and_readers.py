@@ -90,3 +90,11 @@ def test_renders_are_landed_without_folders(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got, files = landed_by(spark, "renders_read", str(tmp_path))
     assert sorted(got) == [(10, "a.com"), (12_345_678_901, "b.com")] and files == [True] * 4
+
+
+def test_texts_are_landed_without_folders(spark, tmp_path):
+    """Rows of equal keys are files of their own."""
+    rows = [(1, "a", 3, 0.0), (1, "b", 4, 0.0), (2, "c", 5, 0.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got, files = landed_by(spark, "text_round_trip", str(tmp_path))
+    assert sorted(got) == [(1, "a\n3"), (1, "b\n4"), (2, "c\n5")] and files == [True] * 3
