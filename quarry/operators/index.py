@@ -24,28 +24,52 @@ def postings(docs: DataFrame, doc: str, fields: dict[str, str], tags: list[tuple
     fields maps a field to its text column; tags are (field, prefix, array column), whole tags that become prefix:tag.
     only: a small table (term) of the terms that are wanted, such as those of a query.
 
-    Documents are tokenized where they lie; a document's length is a sum of array sizes there, carried in its rows, and the
-    averages are a row a kind. So what is shuffled, once, is a document's counts of the wanted terms.
+    Documents are tokenized, and their terms counted, where they lie: a row's words are sorted and runs of equal ones added up, so
+    nothing is shuffled and no task keeps a table of terms. The averages are a row a kind. Only where documents have several rows
+    (looked for by their ids) are counts added up by a shuffle.
     """
     kind = F.col("kind") if "kind" in docs.columns else F.lit("entry")
     own = docs.select(F.col(doc).alias("doc"), kind.alias("kind"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()], *[F.coalesce(_prefixed(v, p), F.array().cast("array<string>")).alias(f"g_{f}") for f, p, v in tags])
     note = lambda f: (F.col("kind") == "item") & F.lit(f == "description")
     parts, length, count = [], F.lit(0.0), F.lit(0)
     for f, name, words in [*((f, f"t_{f}", True) for f in fields), *((f, f"g_{f}", False) for f, _, _ in tags)]:
-        parts.append(F.struct(F.lit(1 << FIELDS.index(f)).alias("bit"), F.when(note(f) & F.lit(words), 1.0).otherwise(WEIGHTS[f]).alias("weight"), F.lit(words).alias("words"), F.col(name).alias("raw")))
+        weight = F.when(note(f) & F.lit(words), 1.0).otherwise(WEIGHTS[f])
+        parts.append(_weighed(name, words, weight, 1 << FIELDS.index(f)))
         count = count + F.size(name)
         length = length + F.when(note(f) & F.lit(words), 0.0).otherwise(WEIGHTS[f]) * F.size(name)
     own = own.withColumn("len", length)
-    average = own.where(count > 0).groupBy("kind").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
-    each = own.select("doc", "kind", "len", F.explode(F.array(*parts)).alias("p")).select("doc", "kind", "len", "p.bit", "p.weight", "p.words", F.explode("p.raw").alias("raw"))
-    each = each.withColumn("term", F.when(F.col("words"), stem(F.col("raw"))).otherwise(F.col("raw")))
+    # No filter on what is made from the words: Spark would move it below, and tokenize for it once more.
+    average = own.groupBy("kind").agg(F.greatest(F.avg(F.when(count > 0, F.col("len"))), F.lit(1.0)).alias("avg"))
+    each = own.select("doc", "kind", "len", F.sort_array(F.concat(*parts)).alias("s")).withColumn("bounds", _bounds(F.col("s")))
+    tf = each.select("doc", "kind", "len", F.explode(_runs(F.col("s"), F.col("bounds"))).alias("r")).select("doc", "kind", "len", "r.*")
     if only is not None:
-        each = each.join(small(only.select("term").distinct()), "term", "left_semi")
-    tf = each.groupBy("doc", "kind", "len", "term").agg(F.sum("weight").alias("w"), F.bit_or("bit").alias("mask")).join(F.broadcast(average), "kind")
+        tf = tf.join(small(only.select("term").distinct()), "term", "left_semi")
+    if not docs.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        tf = tf.groupBy("doc", "kind", "len", "term").agg(F.sum("w").alias("w"), F.bit_or("mask").alias("mask"))
+    tf = tf.join(F.broadcast(average), "kind")
     norm = 1 - B + B * F.col("len") / F.col("avg")
     return tf.select("term", "doc", F.greatest(F.lit(1), F.floor(100 * F.col("w") / norm + 0.5)).cast("int").alias("tf100"), F.col("mask").cast("int"))
 
 
+def _weighed(values: str, words: bool, weight: Column, bit: int) -> Column:
+    return F.transform(values, lambda x: F.struct((stem(x) if words else x).alias("term"), weight.alias("weight"), F.lit(bit).alias("bit")))
+
+
+def _bounds(s: Column) -> Column:
+    """Where runs of one term begin in sorted structs (term, weight, bit), and the size after the last."""
+    at = lambda i: F.get(s, i)["term"]
+    return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | ~at(i).eqNullSafe(at(i - 1)))
+
+
+def _runs(s: Column, bounds: Column) -> Column:
+    """struct(term, w, mask) for each run: weights added up, bits joined."""
+    n = F.size(bounds) - 1
+    runs = F.zip_with(F.slice(bounds, F.lit(1), n), F.slice(bounds, F.lit(2), n), lambda i, j: F.slice(s, i + 1, j - i))
+    w = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y["weight"])
+    mask = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a.bitwiseOR(y["bit"]))
+    return F.transform(runs, lambda x: F.struct(F.get(x, F.lit(0))["term"].alias("term"), w(x).alias("w"), mask(x).alias("mask")))
+
+
 def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, len): words of a text column."""
     return docs.select(F.col(doc).alias("doc"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("len"))
@@ -60,13 +84,14 @@ def delta(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
     """Postings with the gap to the term's previous document, for compact storage.
 
     Documents are numbers of 0 and more. A window holds a term's documents of one span of ids, so no term is one task; the first of a
-    span takes the last document before it from a table with a row for each term and span.
+    span takes the last document before it from a table with a row for each term and span, made from the same shuffle.
     """
-    part = postings.withColumn("span", F.floor(F.col("doc") / span))
+    # The two readers of this shuffle need the same columns and rows of it, or it would be made, and texts tokenized, twice.
+    part = postings.where("doc is not null and term is not null").withColumn("span", F.floor(F.col("doc") / span)).repartition("term", "span")
     ends = part.groupBy("term", "span").agg(F.max("doc").alias("last"))
-    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("term").orderBy("span"))).select("term", "span", "before")
+    ends = ends.select(F.col("term").alias("_term"), F.col("span").alias("_span"), F.lag("last").over(Window.partitionBy("term").orderBy("span")).alias("before"))
     prev = F.lag("doc").over(Window.partitionBy("term", "span").orderBy("doc"))
-    own = part.withColumn("prev", prev).join(ends, ["term", "span"])
+    own = part.withColumn("prev", prev).join(ends, (F.col("term") == F.col("_term")) & (F.col("span") == F.col("_span")), "left")
     gap = F.col("doc") - F.coalesce("prev", "before", F.lit(0))
     return own.select("term", "doc", "tf100", F.lower(F.conv(gap.cast("string"), 10, 36)).alias("gap36"))
 

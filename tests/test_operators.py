@@ -147,3 +147,30 @@ def test_scores_prefer_whole_matches(spark):
     p = index.postings(docs, "doc_id", {"name": "text"})
     c = search.analyse(spark.createDataFrame([("red buttons",)], "q string"), spark.createDataFrame([], "term string, alt_terms array<string>"))
     assert search.top(search.score(p, index.idf(p, 3), c), 1).first().doc == 1
+
+
+def test_postings_count_terms_where_documents_lie(spark):
+    """Fields and tags of a row are added up without a shuffle of terms; several rows of a document are added up too."""
+    from quarry.operators import index
+
+    rows = [(1, "Red buttons, red", "a red 2x", ["x", "x", None]), (2, "", None, None), (3, "button", "", []), (4, None, "plain", ["y"])]
+    kind = "id int, name string, about string, tags array<string>"
+    made = lambda r: index.postings(spark.createDataFrame(r, kind), "id", {"name": "name", "about": "about"}, [("element", "el", F.col("tags"))])
+    p = made(rows)
+    mean = (3 * 3 + 4 + 2 * 3 + 3 + 1 + 3) / 3
+    tf = lambda w, n: max(1, int(100 * w / (0.25 + 0.75 * n / mean) + 0.5))
+    want = {(1, "red"): (7, 33), (1, "button"): (3, 1), (1, "a"): (1, 32), (1, "2"): (1, 32), (1, "x"): (1, 32), (1, "el:x"): (3, 2), (1, None): (3, 2), (3, "button"): (3, 1), (4, "plain"): (1, 32), (4, "el:y"): (3, 2)}
+    length = {1: 19, 3: 3, 4: 4}
+    assert {(r.doc, r.term): (r.tf100, r.mask) for r in p.collect()} == {k: (tf(w, length[k[0]]), m) for k, (w, m) in want.items()}
+    assert "term#" not in "".join(x for x in p._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    assert sorted((r.doc, r.term) for r in made([(3, "button", None, None), (3, "button", None, None)]).collect()) == [(3, "button")]
+
+
+def test_delta_makes_postings_once(spark):
+    from quarry.operators import index
+
+    docs = spark.createDataFrame([(k, "all" + (" odd" if k % 2 else "")) for k in (0, 1, 5, 9, 70_000, 70_001, 200_001)], "id long, text string")
+    d = index.delta(index.postings(docs, "id", {"about": "text"})).select("term", "doc", "gap36").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc", "gap36"))).alias("g"))
+    got = {r.term: [int(x.gap36, 36) for x in r.g] for r in d.collect()}
+    assert got == {"all": [0, 1, 4, 4, 69_991, 1, 130_000], "odd": [1, 4, 4, 69_992, 130_000]}
+    assert "ReusedExchange" in d._jdf.queryExecution().executedPlan().toString()
