@@ -694,7 +694,7 @@ _FIELDS = f"""w AS (SELECT p_partkey AS doc, unnest(string_split(p_name, ' ')) A
 
 
 def _parts(spark, d, tags=()):
-    return index.postings(rows(spark, d, "part", id="p_partkey", name="p_name", about="concat(p_brand, ' ', p_type)", noun="array(split(p_name, ' ')[1])"), "id", {"name": "name", "about": "about"}, list(tags))
+    return index.postings(readers.spread(rows(spark, d, "part", id="p_partkey", name="p_name", about="concat(p_brand, ' ', p_type)", noun="array(split(p_name, ' ')[1])")), "id", {"name": "name", "about": "about"}, list(tags))
 
 
 @query(f"WITH {_FIELDS} SELECT term, doc, tf100, mask, CASE WHEN mask % 2 = 1 THEN 'name' ELSE 'about' END AS field FROM post")
