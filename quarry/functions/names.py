@@ -38,6 +38,12 @@ def nfkc(c: Column) -> Column:
     return form(c)
 
 
+def nfkc_native(c: Column) -> Column:
+    """As nfkc(), by the ICU library that Spark brings, and only for texts that aren't ASCII. To be selected before it is used:
+    Spark takes a Java method for random and makes it again wherever it is named."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))).otherwise(c)
+
+
 def head_singular(w: Column) -> Column:
     """Singular of one word where its ending says so; short words, words with digits and the kept ones stay."""
     irregular = reduce(lambda x, p: x.when(w == p[0], p[1]), PLURALS.items(), F.when(F.lit(False), ""))
@@ -54,7 +60,12 @@ def head_singular(w: Column) -> Column:
 
 def keyword(c: Column) -> Column:
     """Lower case, one space between words, bare ends, the last word singular; null counts as empty."""
-    s = F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[_\s]+", " ")
+    return keyword_of_form(nfkc(F.coalesce(c, F.lit(""))))
+
+
+def keyword_of_form(c: Column) -> Column:
+    """keyword() of a text in compatibility form."""
+    s = F.regexp_replace(F.lower(c), r"[_\s]+", " ")
     s = F.trim(F.regexp_replace(s, r"^[^\p{L}\p{N}#.+]+|[^\p{L}\p{N}#+]+$", ""))
     last = F.regexp_extract(s, r"([\p{L}\p{N}.+#']+)$", 1)
     return F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(last)), head_singular(last))

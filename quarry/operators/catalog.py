@@ -97,7 +97,9 @@ def keyword_spellings(said: DataFrame) -> DataFrame:
 
 def normalise_keywords(rows: DataFrame, spellings: DataFrame) -> DataFrame:
     """(id, keywords): each cleaned and in its canonical spelling, the first of equal ones; ids without keywords are left out."""
-    each = rows.select("id", F.posexplode("keywords").alias("pos", "k")).withColumn("clean", names.keyword(F.col("k"))).where("clean <> ''")
+    forms = rows.select("id", F.posexplode("keywords").alias("pos", "k")).select("id", "pos", names.nfkc_native(F.coalesce("k", F.lit(""))).alias("k"))
+    each = forms.select("id", "pos", names.keyword_of_form(F.col("k")).alias("clean"))
     each = each.withColumn("spelling", F.regexp_replace("clean", r"[^\p{L}\p{N}]+", "")).join(small(spellings), "spelling", "left")
-    one = each.groupBy("id", F.coalesce("canonical", "clean").alias("k")).agg(F.min("pos").alias("pos"))
-    return one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k"))), lambda x: x["k"]).alias("keywords"))
+    # Keywords of an id in their order, the first of equal ones: one shuffle. Empty ones go here; a filter above would clean all of them twice.
+    found = F.sort_array(F.collect_list(F.when(F.col("clean") != "", F.struct("pos", F.coalesce("canonical", "clean").alias("k")))))
+    return each.groupBy("id").agg(F.array_distinct(F.transform(found, lambda x: x["k"])).alias("keywords")).where(F.size("keywords") > 0)

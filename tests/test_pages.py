@@ -47,6 +47,15 @@ def test_keywords(spark):
     assert [tuple(r) for r in catalog.normalise_keywords(rows, catalog.keyword_spellings(said)).collect()] == [(1, ["navbar", "animation", "tool call"])]
 
 
+def test_keywords_take_no_python_and_one_shuffle(spark):
+    said = spark.createDataFrame([("view", "page view", 0, 0)], "alias string, canonical string, rank int, pos int")
+    rows = spark.createDataFrame([(1, ["Views", None, "ﬁelds", "VIEW", "b", "field"]), (1, ["b", "a"]), (2, ["!"])], "id int, keywords array<string>")
+    out = catalog.normalise_keywords(rows, catalog.keyword_spellings(said))
+    assert [tuple(r) for r in out.collect()] == [(1, ["b", "page view", "a", "field"])]
+    plan = catalog.normalise_keywords(rows, said.selectExpr("alias AS spelling", "canonical"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_choose(spark):
     links = ["/docs/a/b", "/docs", "/components/x", "/components/y/z", "/pricing", "/blog/docs", "/about?x=1", "/guides", "/license", "/logo.png", "/docs"]
     rows = [("https://a.com/", "https://www.a.com" + x, "nav") for x in links] + [("https://a.com/", "https://b.com/docs", "llms"), ("https://e.com", "https://e.com/", "nav"), (None, None, None)]
